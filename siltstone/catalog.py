@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from siltstone.plans import retrieval
+
+AREAS = (retrieval,)
+QUERIES: dict = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
