@@ -247,7 +247,8 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = linkable.where(F.size("keys") > 0).join(families, "doc_id").groupBy("family", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     sizes = members.groupBy("family").agg(F.count("*").alias("n_sets"), F.ceil(F.greatest(F.count("*") / NODE_SETS, F.sum("n") / NODE_SHINGLES)).cast("int").alias("n_nodes")).where("n_sets > 1").drop("n_sets")
     members = written(members.join(sizes, "family").select("doc_id", "family", "d1", "n_nodes", F.pmod(F.xxhash64("doc_id"), F.col("n_nodes").cast("long")).cast("int").alias("bucket")), "members")
-    rows = members.join(docs, "doc_id").select("doc_id", "family", "bucket", "d1", "text").mapInArrow(_members(k), "family long, bucket int, doc_id long, elements binary")
+    # members grow with the documents, so they are never broadcast
+    rows = members.hint("merge").join(docs, "doc_id").select("doc_id", "family", "bucket", "d1", "text").mapInArrow(_members(k), "family long, bucket int, doc_id long, elements binary")
     nodes = rows.groupBy("family", "bucket").agg(F.collect_list(F.struct("doc_id", "elements")).alias("members"))
     nodes = written(nodes.join(sizes, "family"), "nodes")
     alone = nodes.select("members", F.lit(None).cast(nodes.schema["members"].dataType).alias("other"))
