@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import retrieval
+from siltstone.plans import changes, evaluation, grounding, interactions, logs, parsing, retrieval, rules
 
-AREAS = (retrieval,)
+AREAS = (retrieval, grounding, changes, parsing, rules, logs, evaluation, interactions)
 QUERIES: dict = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
