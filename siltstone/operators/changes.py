@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fixed values.
 CLASSES = ["unchanged", "modified", "moved_or_renamed", "ambiguous", "added", "deleted"]
@@ -56,7 +57,7 @@ def signature(files: DataFrame, by: str) -> DataFrame:
     return files.withColumn("line", line).groupBy(by).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("signature"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
