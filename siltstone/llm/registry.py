@@ -55,14 +55,14 @@ def op10_ngram_join(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_warc, op4_substring_dedup, op5_language_id, op6_bpe, op7_embedding_dedup, op8_mixing, op9_suffix_dedup, op10_ngram_join)}
 
-_REACHED = """, r AS (SELECT id, id AS at FROM n UNION SELECT r.id, e.v FROM r JOIN e ON r.at = e.u)
+_REACHED = """, r AS (SELECT id, id AS reached FROM n UNION SELECT r.id, e.v FROM r JOIN e ON r.reached = e.u)
 """
 
 OP7 = f"""
 WITH RECURSIVE x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
 e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
 n AS (SELECT vec_id AS id FROM embeddings){_REACHED},
-c AS (SELECT id, min(at) AS component_id FROM r GROUP BY id),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id),
 k AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
 SELECT c.id AS vec_id, coalesce(k.n_links, 0)::BIGINT AS n_links, c.component_id, c.id = c.component_id AS kept FROM c LEFT JOIN k ON c.id = k.u
 """
@@ -72,10 +72,10 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
   ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS s FROM w),
 z AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT p.u, p.v FROM p JOIN z a ON p.u = a.doc_id JOIN z b ON p.v = b.doc_id WHERE 100 * p.both >= 90 * (a.size + b.size - p.both)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.u, p.v FROM p JOIN z a ON p.u = a.doc_id JOIN z b ON p.v = b.doc_id WHERE 100 * p.shared >= 90 * (a.size + b.size - p.shared)),
 n AS (SELECT doc_id AS id FROM documents){_REACHED},
-c AS (SELECT id, min(at) AS component_id FROM r GROUP BY id)
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
 SELECT c.id AS doc_id, coalesce(z.size, 0)::BIGINT AS n_shingles, c.component_id FROM c LEFT JOIN z ON c.id = z.doc_id
 """
 
