@@ -22,7 +22,8 @@ MARGIN = 2048
 #: Seeds of two texts that are this near, in bytes and in the shift between the texts, are compared as one.
 NEAR = 1024
 
-SPANS = "doc_id long, span_start long, span_end long, n_words long, other_id long, other_start long, other_end long"
+SPANS = "doc_id long, span_start long, span_end long, n_words long, other_id long, other_start long, other_end long, seed_at long"
+NAMES = [c.split(" ")[0] for c in SPANS.split(", ")]
 
 
 def common(x: list, y: list) -> int:
@@ -52,7 +53,7 @@ def located(piece: bytes, at: int, total: int) -> tuple[list[bytes], np.ndarray]
     return words, start
 
 
-def _extended(min_words: int):
+def _extended():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -66,19 +67,19 @@ def _extended(min_words: int):
                         continue
                     left, right = common(b[:i][::-1], a[:j][::-1]), common(b[i:], a[j:])
                     done.append((i - left, i + right, i - j))
-                    if left + right >= min_words:
-                        i0, i1, j0, j1 = i - left, i + right - 1, j - left, j + right - 1
-                        out.append((r["b_id"], int(b_start[i0]), int(b_start[i1]) + len(b[i1]), left + right, r["a_id"], int(a_start[j0]), int(a_start[j1]) + len(a[j1])))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "span_start", "span_end", "n_words", "other_id", "other_start", "other_end"])
+                    i0, i1, j0, j1 = i - left, max(i + right - 1, 0), j - left, max(j + right - 1, 0)
+                    out.append((r["b_id"], int(b_start[i0]), int(b_start[i1]) + len(b[i1]), left + right, r["a_id"], int(a_start[j0]), int(a_start[j1]) + len(a[j1]), seed["b_at"]))
+            columns = list(zip(*out, strict=True)) or [[]] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
     return run
 
 
-def shared_passages(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` (doc_id, text), ``seeds`` (b_id, b_at, a_id, a_at, bytes) to the passages of ``min_words`` or more.
+def grown(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), ``seeds`` (b_id, b_at, a_id, a_at, bytes) to the passages of any length around them, with a seed of each.
 
-    Offsets are bytes of the UTF-8 text, ends are exclusive. A passage may be found from several seeds; it is returned once.
+    Offsets are bytes of the UTF-8 text, ends are exclusive. A passage may be found from several seeds; it is returned once, or in rows that
+    overlap if it has more than about 16 KB.
     """
     near = seeds.groupBy("b_id", "a_id", F.round((F.col("b_at") - F.col("a_at")) / NEAR).alias("_shift"), F.floor(F.col("b_at") / (16 * NEAR)).alias("_part")).agg(
         F.min("b_at").alias("b_low"), F.max(F.col("b_at") + F.col("bytes")).alias("b_high"), F.min("a_at").alias("a_low"), F.max(F.col("a_at") + F.col("bytes")).alias("a_high"), F.collect_list(F.struct("b_at", "a_at")).alias("seeds")
@@ -92,7 +93,12 @@ def shared_passages(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFr
         return with_text.withColumns({f"{side}_from": low, f"{side}_piece": F.substring("body", low + 1, size), f"{side}_bytes": F.length("body")}).drop("doc_id", "body")
 
     pieces = sliced(sliced(near, "a"), "b")
-    return pieces.select("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece", "seeds").mapInArrow(_extended(min_words), SPANS).distinct()
+    return pieces.select("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece", "seeds").mapInArrow(_extended(), SPANS)
+
+
+def shared_passages(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFrame:
+    """The passages of ``min_words`` or more around the seeds, as ``grown`` has them."""
+    return grown(docs, seeds).where(F.col("n_words") >= min_words).drop("seed_at").distinct()
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     All columns and rows stay; a text without spans is unchanged, what is left of others is joined by single line feeds.
     """
-    by_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("_spans"))
     # keep[i] runs from the furthest end before span i to its start
     pieces = F.expr(
         """transform(sequence(0, size(_spans)), i -> named_struct(
@@ -110,5 +116,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     body = F.expr(
         r"""array_join(filter(transform(_keep, p -> regexp_replace(decode(substring(encode(text, 'utf-8'), cast(p.low as int) + 1, greatest(cast(p.high - p.low as int), 0)), 'utf-8'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '')), x -> x <> ''), '\n')"""
     )
-    joined = docs.join(by_doc, docs["doc_id"] == by_doc["_id"], "left").withColumn("_keep", pieces)
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(body)).select(*docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_doc"), "text")  # set aside, whatever the names of its columns
+    joined = rows.join(by_doc, F.col("_doc") == F.col("_id"), "left").withColumn("_keep", pieces)
+    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(body))
+    return joined.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

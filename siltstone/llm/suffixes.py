@@ -8,6 +8,10 @@ The suffixes are sorted over the cluster by range, ties of one 10-gram included,
 spread over many tasks. Neighbours are compared; where they begin with the same 10-gram they are the seed of a match, which is then
 extended left and right in the texts. The first and last suffix of each sorted partition are compared apart.
 
+Suffixes are sorted by what follows, so a neighbour may agree in fewer than ``min_words`` although a third text with the same 10-gram agrees in more. Wherever a
+match of neighbours is too short and its 10-gram stands in three places or more, all windows of ``min_words`` words around these places are
+hashed, and each is compared with the first one of its hash. So no passage is missed.
+
 Null and empty texts have no suffixes; rows with a null id take no part; rows that repeat an id are texts of the same document.
 """
 
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.repeats import shared_passages
+from siltstone.llm.repeats import grown, shared_passages
 from siltstone.llm.shared import slices, small_batches, text_or_empty, written
 from siltstone.llm.words import windows_of, words
 
@@ -99,6 +103,41 @@ def neighbours(sorted_suffixes: DataFrame) -> DataFrame:
     return found.where("inner").select(*b, *a).union(across.select(*b, *a))
 
 
+def _window_rows(min_words: int):
+    """The windows of min_words words that hold the 10-gram at one of the given places, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, places = batch.column(0), batch.column(1), batch.column(2)
+            for i in range(batch.num_rows):
+                w = words(texts.slice(i, 1))
+                every = windows_of(w.hash, min_words)
+                if not len(every):
+                    continue
+                at = np.searchsorted(w.start, places[i].values.to_numpy())
+                low, high = np.maximum(at - (min_words - GRAM), 0), np.minimum(at + 1, len(every))
+                marks = np.zeros(len(every) + 1, np.int64)
+                np.add.at(marks, low[low < high], 1)
+                np.add.at(marks, high[low < high], -1)
+                begin = np.flatnonzero(np.cumsum(marks[:-1]))
+                size = w.end[begin + min_words - 1] - w.start[begin]
+                yield pa.RecordBatch.from_arrays([pa.array(every[begin].view(np.int64)), pa.array(np.full(len(begin), ids[i].as_py(), np.int64)), pa.array(w.start[begin].astype(np.int32)), pa.array(size.astype(np.int32))], ["digest", "doc_id", "at", "bytes"])
+
+    return run
+
+
+def _mixed(docs: DataFrame, suffixes: DataFrame, short: DataFrame, min_words: int) -> DataFrame:
+    """Seeds for the places whose 10-gram is that of a match of neighbours (doc_id, seed_at) that is too short."""
+    grams = suffixes.select(F.col("doc_id").alias("_doc"), "at", "h0").join(short.distinct(), (F.col("_doc") == F.col("doc_id")) & (F.col("at") == F.col("seed_at"))).select("h0").distinct()
+    several = suffixes.groupBy("h0").agg(F.count("*").alias("n")).where("n > 2").select("h0").join(grams, "h0")
+    places = suffixes.join(several, "h0").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.col("at").cast("long")).alias("places"))  # of one text
+    rows = docs.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, bytes int")
+    rows = written(rows, "windows")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    again = rows.join(firsts, "digest").where("doc_id <> first.doc_id or at <> first.at")
+    return again.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), "bytes")
+
+
 def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text) to the passages of ``min_words`` or more that a text shares with its neighbour in suffix order.
 
@@ -114,4 +153,7 @@ def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     swap = F.expr("a_doc_id > b_doc_id or (a_doc_id = b_doc_id and a_at > b_at)")
     pick = lambda side, c: F.when(swap, F.col(f"{'a' if side == 'b' else 'b'}_{c}")).otherwise(F.col(f"{side}_{c}"))
     seeds = pairs.where("a_doc_id <> b_doc_id or a_at <> b_at").select(pick("b", "doc_id").alias("b_id"), pick("b", "at").alias("b_at"), pick("a", "doc_id").alias("a_id"), pick("a", "at").alias("a_at"), F.greatest("a_bytes", "b_bytes").alias("bytes"))
-    return shared_passages(docs, seeds, min_words)
+    found = written(grown(docs, seeds), "matches")
+    short = found.where(F.col("n_words") < min_words).select("doc_id", "seed_at")
+    rest = shared_passages(docs, _mixed(docs, suffixes, short, min_words), min_words)
+    return found.where(F.col("n_words") >= min_words).drop("seed_at").union(rest).distinct()
