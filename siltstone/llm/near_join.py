@@ -4,14 +4,17 @@ Each text becomes the set of its distinct k-word shingles (64-bit hashes). Two t
 ``100 * |A and B| >= percent * |A or B|``.
 
 1. *Roots.* Sets that link differ in at most D elements, D following from their sizes. The hash space is cut into more than
-   D segments, so linked sets agree on all elements of at least one segment. Every set reports a key for each segment; sets that
-   share a key fall under the same root. A frequent shingle alone brings no sets together: whole segments must agree.
-2. *Nodes.* The sets under connected roots are dealt to nodes of bounded size. In a node they hang in a tree whose inner nodes hold
-   the OR of the token bitmaps below and the range of set sizes.
-3. *Dual traversal.* Pairs of nodes descend together; a pair is dropped when the size ranges exclude a link or when the bits
-   that both have, with the largest surplus of tokens over bits, stay below the overlap that the smallest sizes need. Remaining
-   leaf pairs are intersected exactly. Sets already connected in the task are not compared again, so a group of
-   n near copies gives fewer than n links, not their square.
+   D segments, so linked sets agree on all elements of at least one segment. Every set reports a key for each segment that isn't empty; sets that
+   share a key stand under the same root. Sets with so many empty segments that these alone may be the equal ones report their
+   least elements as well, as many as can't all be missing in a linked set.
+2. *Hubs.* In a few rounds each set is compared with the one that comes first, in that round's order, under most of its roots. What links is
+   united, so that a group of near copies is one part before any pairs are looked at. Roots with sets of one part alone, and roots
+   with the same sets as another root, are done with.
+3. *Nodes.* The sets under a root are dealt to nodes of bounded size. In a node they hang in a tree whose inner nodes hold
+   the OR of the token bitmaps below and the range of set sizes. Bitmaps have about 4 bits for each token, a twelfth of the text.
+4. *Dual traversal.* Pairs of nodes of a root descend together; a pair is dropped when the size ranges exclude a link or when the bits
+   that both have, with the largest surplus of tokens over bits, stay below the overlap that the smallest sizes need. Pairs of leaves that
+   remain and are of different parts are intersected exactly, each once.
 
 Equal sets are one class from the start. Texts without words link with nothing. Rows with a null id are returned with a null
 component and link with nothing; rows that repeat an id are one vertex. Extra columns are ignored.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from siltstone.llm.shared import slices, small_batches, text_or_empty, written
 from siltstone.llm.words import mix, shingle_sets
 
 RATIO = 1.5  # of a size band's end to its start
-NODE_SETS, NODE_SHINGLES, FANOUT = 128, 1 << 16, 16
+NODE_SETS, NODE_SHINGLES, FANOUT, HUB_ROUNDS = 256, 1 << 18, 16, 2
 SEEN_MOST = 1 << 20
 
 
@@ -83,74 +87,109 @@ def segment_keys(elements: np.ndarray, percent: int) -> np.ndarray:
         edge = np.searchsorted(segment, np.arange(k + 1, dtype=np.uint64))
         signature = total[edge[1:]] - total[edge[:-1]]
         full = edge[1:] > edge[:-1]
-        if k - full.sum() >= k - d:  # so many are empty that empty ones alone may be what linked sets share
-            full[:] = True
+        if k - full.sum() >= k - d:  # empty segments alone may be what linked sets share: then both report their first elements too
+            out.append(mix(elements[: n - -(-percent * n // 100) + 1] + np.uint64(at + 1)))
         where = np.flatnonzero(full).astype(np.uint64)
         out.append(mix(signature[full] + mix(where * np.uint64(1 << 20) + np.uint64(at + 1))))
     return np.concatenate(out)
 
 
-SETS = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
+def _set_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                sets = [(len(s), xxhash.xxh3_128_digest(s.tobytes())) for s in shingle_sets(texts.slice(a, b - a), k)]
+                half = lambda at: pa.array([int.from_bytes(d[at : at + 8], "big", signed=True) for _, d in sets], pa.int64())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([n for n, _ in sets], pa.int64()), half(0), half(8)], ["doc_id", "n_shingles", "d1", "d2"])
+
+    return run
+
 
+def _key_rows(k: int, percent: int):
+    """The keys of each set; copies within a task report them once."""
 
-def _set_rows(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # exact copies within a task report their keys once
+        seen: set[bytes] = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
-                n, d1, d2, keys = [], [], [], []
+                rows = []
                 for i, s in enumerate(shingle_sets(texts.slice(a, b - a), k)):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
-                    own = np.zeros(0, np.int64)
-                    if digest not in seen and ids[a + i].is_valid:
-                        if len(seen) > SEEN_MOST:
-                            seen.clear()
-                        seen.add(digest)
-                        own = segment_keys(s, percent).view(np.int64)
-                    n.append(len(s))
-                    d1.append(int.from_bytes(digest[:8], "big", signed=True))
-                    d2.append(int.from_bytes(digest[8:], "big", signed=True))
-                    keys.append(own)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], ["doc_id", "n_shingles", "d1", "d2", "keys"])
+                    if digest in seen or not len(keys := segment_keys(s, percent)):
+                        continue
+                    if len(seen) > SEEN_MOST:
+                        seen.clear()
+                    seen.add(digest)
+                    rows.append((a + i, len(s), int.from_bytes(digest[:8], "big", signed=True), keys.view(np.int64)))
+                if rows:
+                    at, n, d1, keys = zip(*rows, strict=True)
+                    times = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+                    own = [ids.take(pa.array(at)), pa.array(d1, pa.int64()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(x.take(times) for x in own)], ["key", "doc_id", "d1", "n"])
 
     return run
 
 
-def _members(k: int):
-    """Candidate sets with their elements; a row whose digest isn't the asked one (an id that repeats) is left out."""
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each element, by its last bits; the number of bits is a power of two."""
+    bits = min(1 << 20, max(256, 1 << (4 * len(s) - 1).bit_length()))
+    where = np.zeros(bits, bool)
+    where[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(where).tobytes()
+
+
+def _bodies(k: int):
+    """The texts and bitmaps of members; a row whose digest isn't the asked one (an id that repeats) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, family, bucket, d1, texts = (batch.column(x) for x in ("doc_id", "family", "bucket", "d1", "text"))
+            d1, texts = batch.column("d1"), batch.column("text")
             for a, b in slices(texts):
-                keep, sets = [], []
+                keep, maps = [], []
                 for i, s in enumerate(shingle_sets(texts.slice(a, b - a), k)):
-                    raw = s.tobytes()
-                    if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "big", signed=True) == d1[a + i].as_py():
+                    if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) == d1[a + i].as_py():
                         keep.append(a + i)
-                        sets.append(raw)
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([family.take(at), bucket.take(at), ids.take(at), pa.array(sets, pa.binary())], ["family", "bucket", "doc_id", "elements"])
+                        maps.append(bitmap(s))
+                part = batch.select(["doc_id", "text"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(maps, pa.binary())], ["doc_id", "text", "map"])
+
+    return run
+
+
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def _verified(k: int, percent: int):
+    """Pairs (u, v, text, other) whose sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, others, keep = batch.column("text"), batch.column("other"), []
+            for a, b in slices(texts):
+                pairs = zip(shingle_sets(texts.slice(a, b - a), k), shingle_sets(others.slice(a, b - a), k), strict=True)
+                keep += [a + i for i, (s, t) in enumerate(pairs) if alike(s, t, percent)]
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
 class Tree:
-    """The sets of a node, by size; level 0 has a bitmap for each set, each next level the OR of FANOUT of the one below."""
-
-    def __init__(self, ids: list[int], sets: list[np.ndarray], bits: int):
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-        self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
-        sizes = np.array([len(s) for s in self.sets], np.int64)
-        maps = np.zeros((len(sizes), bits // 8), np.uint8)
-        for row, s in zip(maps, self.sets, strict=True):
-            where = np.zeros(bits, bool)
-            where[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-            row[:] = np.packbits(where)
-        maps = maps.view(np.uint64)
-        surplus = sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
+    """The sets of a node, by size; level 0 has a bitmap for each set, each next level the OR of FANOUT of the one below.
+
+    Shorter bitmaps are repeated up to ``size`` bytes: they then hold more bits than the set has, never fewer.
+    """
+
+    def __init__(self, members: list[dict], size: int):
+        members = sorted(members, key=lambda m: (m["n"], m["doc_id"]))
+        self.ids, self.parts = [m["doc_id"] for m in members], [m["part"] for m in members]
+        sizes = np.array([m["n"] for m in members], np.int64)
+        own = [np.frombuffer(m["map"], np.uint8) for m in members]
+        maps = np.stack([np.tile(x, size // len(x)) for x in own]).view(np.uint64)
+        surplus = sizes - np.array([int(np.bitwise_count(x).sum()) for x in own], np.int64)
         self.levels = [(maps, sizes, sizes, surplus)]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, surplus = self.levels[-1]
@@ -172,35 +211,18 @@ def possible(x: tuple, rows: range, y: tuple, cols: range, percent: int) -> np.n
     return fits
 
 
-def links(first: tuple[list, list], second: tuple[list, list] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning set of the links within one node, or of those between two nodes."""
-    largest = max((len(s) for part in (first, second) if part for s in part[1]), default=1)
-    bits = min(1 << 16, max(1024, 1 << (4 * largest - 1).bit_length()))
-    x = Tree(*first, bits)
-    y = x if second is None else Tree(*second, bits)
-    root: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def find(v):
-        while (up := root.get(v, v)) != v:
-            root[v] = root.get(up, up)
-            v = up
-        return v
-
+def candidates(first: list[dict], second: list[dict] | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different parts within one node, or between two nodes, that may link."""
+    size = max(len(m["map"]) for part in (first, second or []) for m in part)
+    x = Tree(first, size)
+    y = x if second is None else Tree(second, size)
     same = y is x
     stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while stack:
         lx, i, ly, j = stack.pop()
         if lx == 0 and ly == 0:
-            if same and i >= j:
-                continue
-            a, b = find((0, i)), find((0 if same else 1, j))
-            if a == b:
-                continue
-            s, t = x.sets[i], y.sets[j]
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= percent * (len(s) + len(t) - both):
-                root[a] = b
-                yield x.ids[i], y.ids[j]
+            if x.parts[i] != y.parts[j] and not (same and i >= j):
+                yield min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j])
             continue
         rows = x.children(lx, i) if lx else range(i, i + 1)
         cols = y.children(ly, j) if ly else range(j, j + 1)
@@ -211,18 +233,14 @@ def links(first: tuple[list, list], second: tuple[list, list] | None, percent: i
                 stack.append((down_x, rows[r], down_y, cols[c]))
 
 
-def _pair_links(percent: int):
-    def unpack(scalar: pa.Scalar) -> tuple[list, list]:
-        rows = scalar.as_py()
-        return [r["doc_id"] for r in rows], [np.frombuffer(r["elements"], np.uint64) for r in rows]
-
+def _candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                other = batch.column("other")[i]
-                found += links(unpack(batch.column("members")[i]), unpack(other) if other.is_valid else None, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+            found: set[tuple[int, int]] = set()
+            for members, other in zip(batch.column("members"), batch.column("other"), strict=True):
+                found.update(candidates(members.as_py(), other.as_py(), percent))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], ["u", "v"])
 
     return run
 
@@ -235,32 +253,56 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sets = written(docs.mapInArrow(_set_rows(k, percent), SETS), "sets")
+    sets = written(docs.mapInArrow(_set_rows(k), "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
     linkable = sets.where("n_shingles > 0 and doc_id is not null")
 
-    # the same root key: a star around the smallest id under the key
-    keyed = linkable.select(F.explode("keys").alias("key"), "doc_id")
-    stars = keyed.withColumn("least", F.min("doc_id").over(Window.partitionBy("key"))).where("doc_id <> least")
-    families = components(stars.select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct()).withColumnsRenamed({"id": "doc_id", "component": "family"})
-
-    # one member for each distinct set of a family, then the family's nodes
-    members = linkable.where(F.size("keys") > 0).join(families, "doc_id").groupBy("family", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    sizes = members.groupBy("family").agg(F.count("*").alias("n_sets"), F.ceil(F.greatest(F.count("*") / NODE_SETS, F.sum("n") / NODE_SHINGLES)).cast("int").alias("n_nodes")).where("n_sets > 1").drop("n_sets")
-    members = written(members.join(sizes, "family").select("doc_id", "family", "d1", "n_nodes", F.pmod(F.xxhash64("doc_id"), F.col("n_nodes").cast("long")).cast("int").alias("bucket")), "members")
+    # equal sets: the smallest id stands for all
+    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = written(linkable.select(F.col("doc_id").alias("u"), "d1", "d2").join(classes, ["d1", "d2"]).where("u <> v").select("u", "v").distinct(), "copies")
+
+    # what stands under a root with another set
+    keyed = docs.where("doc_id is not null").mapInArrow(_key_rows(k, percent), "key long, doc_id long, d1 long, n long")
+    by_key = Window.partitionBy("key")
+    together = keyed.select("*", F.min("d1").over(by_key).alias("low"), F.max("d1").over(by_key).alias("high")).where("low < high").drop("low", "high")
+    shared = together.join(copies, F.col("doc_id") == F.col("u"), "left").select("key", F.coalesce("v", "doc_id").alias("doc_id"), "d1", "n")
+    shared = written(shared.distinct(), "shared")
+    members = shared.select(F.col("doc_id").alias("member"), "d1").distinct()
     # members grow with the documents, so they are never broadcast
-    rows = members.hint("merge").join(docs, "doc_id").select("doc_id", "family", "bucket", "d1", "text").mapInArrow(_members(k), "family long, bucket int, doc_id long, elements binary")
-    nodes = rows.groupBy("family", "bucket").agg(F.collect_list(F.struct("doc_id", "elements")).alias("members"))
-    nodes = written(nodes.join(sizes, "family"), "nodes")
-    alone = nodes.select("members", F.lit(None).cast(nodes.schema["members"].dataType).alias("other"))
-    wide = nodes.where("n_nodes > 1")
-    aimed = wide.where("bucket < n_nodes - 1").select("family", F.explode(F.expr("sequence(bucket + 1, n_nodes - 1)")).alias("bucket"), "members")
-    pairs = aimed.join(wide.select("family", "bucket", F.col("members").alias("other")), ["family", "bucket"]).select("members", "other")
-    found = written(alone.union(pairs).mapInArrow(_pair_links(percent), "u long, v long"), "links")
-
-    # equal sets, then what the trees found
-    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
-    copies = linkable.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    whole = components(copies.union(found)).withColumnsRenamed({"id": "doc_id", "component": "reached"})
+    bodies = written(members.hint("merge").join(docs, F.col("member") == F.col("doc_id")).select("doc_id", "text", "d1").mapInArrow(_bodies(k), "doc_id long, text string, map binary"), "bodies")
+    texts = bodies.select("doc_id", "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.withColumnRenamed("doc_id", "u"), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v")
+        return written(both.mapInArrow(_verified(k, percent), "u long, v long"), "links")
+
+    # hubs: after each round only roots with several parts are left
+    linked, left = [], shared.withColumn("part", F.col("doc_id"))
+    for turn in range(HUB_ROUNDS):
+        place = F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id", "part")
+        hub = F.min(place).over(by_key)
+        stars = left.select("doc_id", "part", hub.alias("hub")).where("part <> hub.part").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+        linked.append(verified(stars.groupBy(F.col("doc_id").alias("u")).agg(F.max_by("hub.doc_id", F.struct("n", "hub")).alias("v"))))
+        parts = components(reduce(DataFrame.union, linked)).withColumnsRenamed({"id": "doc_id", "component": "part"})
+        named = left.drop("part").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        several = named.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).where("low < high").drop("low", "high")
+        left = written(several, "left")
+
+    # one of the roots with the same sets, its nodes, and the pairs that their trees leave
+    same = F.struct(F.count("*"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")), F.min("doc_id"), F.max("doc_id")).alias("same")
+    roots = left.groupBy("key").agg(same, F.ceil(F.greatest(F.count("*") / NODE_SETS, F.sum("n") / NODE_SHINGLES)).cast("int").alias("n_nodes"))
+    roots = written(roots.groupBy("same").agg(F.min(F.struct("key", "n_nodes")).alias("root")).select("root.*"), "roots")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.col("n_nodes").cast("long")).cast("int").alias("bucket")
+    rows = left.join(roots, "key").select("key", "n_nodes", bucket, "doc_id", "part", "n").join(bodies.select("doc_id", "map"), "doc_id")
+    members = F.collect_list(F.struct("doc_id", "part", "n", "map")).alias("members")
+    alone = rows.where("n_nodes = 1").groupBy("key").agg(members)
+    wide = written(rows.where("n_nodes > 1").groupBy("key", "n_nodes", "bucket").agg(members), "nodes")
+    alone = alone.select("members").union(wide.select("members")).withColumn("other", F.lit(None).cast(wide.schema["members"].dataType))
+    aimed = wide.where("bucket < n_nodes - 1").select("key", F.explode(F.expr("sequence(bucket + 1, n_nodes - 1)")).alias("bucket"), "members")
+    pairs = aimed.join(wide.select("key", "bucket", F.col("members").alias("other")), ["key", "bucket"]).select("members", "other")
+    small_batches(spark, 64)
+    linked.append(verified(alone.union(pairs).mapInArrow(_candidates(percent), "u long, v long").distinct()))
+
+    whole = components(reduce(DataFrame.union, linked, copies)).withColumnsRenamed({"id": "doc_id", "component": "reached"})
     return sets.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"))
 
 
