@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import slices, small_batches, text_or_empty, written
+from siltstone.llm.shared import bucketed, slices, small_batches, text_or_empty, written
 from siltstone.llm.words import mix, shingle_sets
 
 RATIO = 1.5  # of a size band's end to its start
-NODE_SETS, NODE_SHINGLES, FANOUT, HUB_ROUNDS = 256, 1 << 18, 16, 2
+NODE_SETS, NODE_SHINGLES, FANOUT = 256, 1 << 18, 16
+HUB_ROUNDS, HUB_LEAST = 2, 3  # a set is compared with a hub if they share so many roots; the trees find the other links
 SEEN_MOST = 1 << 20
 
 
@@ -268,7 +269,7 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = written(shared.distinct(), "shared")
     members = shared.select(F.col("doc_id").alias("member"), "d1").distinct()
     # members grow with the documents, so they are never broadcast
-    bodies = written(members.hint("merge").join(docs, F.col("member") == F.col("doc_id")).select("doc_id", "text", "d1").mapInArrow(_bodies(k), "doc_id long, text string, map binary"), "bodies")
+    bodies = bucketed(members.hint("merge").join(docs, F.col("member") == F.col("doc_id")).select("doc_id", "text", "d1").mapInArrow(_bodies(k), "doc_id long, text string, map binary"), "bodies", "doc_id")
     texts = bodies.select("doc_id", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -280,7 +281,7 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     for turn in range(HUB_ROUNDS):
         place = F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id", "part")
         hub = F.min(place).over(by_key)
-        stars = left.select("doc_id", "part", hub.alias("hub")).where("part <> hub.part").groupBy("doc_id", "hub").agg(F.count("*").alias("n"))
+        stars = left.select("doc_id", "part", hub.alias("hub")).where("part <> hub.part").groupBy("doc_id", "hub").agg(F.count("*").alias("n")).where(f"n >= {HUB_LEAST}")
         linked.append(verified(stars.groupBy(F.col("doc_id").alias("u")).agg(F.max_by("hub.doc_id", F.struct("n", "hub")).alias("v"))))
         parts = components(reduce(DataFrame.union, linked)).withColumnsRenamed({"id": "doc_id", "component": "part"})
         named = left.drop("part").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
