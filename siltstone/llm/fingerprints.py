@@ -19,6 +19,7 @@ from siltstone.llm.shared import text_or_empty, written
 
 #: Bits of an id below each level of the tree that finds neighbours: at most 1024 ids, then at most 2**18 nodes, stand under a node.
 LEVELS = (10, 28, 46, 63)
+SALTS = 16
 
 
 def canonical(text: Column) -> Column:
@@ -59,7 +60,11 @@ def next_ids(ids: DataFrame) -> DataFrame:
 def suffixes(hashes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Byte comparison inside buckets: (h1, h2, canon, suffix) of the texts that are not the first of their bucket; None without any."""
     shared = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = hashes.where("doc_id is not null").join(shared, ["h1", "h2"]).select(F.col("doc_id").alias("member"), "h1", "h2").distinct()
+    # a bucket may hold a third of all documents: its members are dealt by id as well
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    salted = shared.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    members = hashes.where("doc_id is not null").select("doc_id", "h1", "h2", salt).join(salted, ["h1", "h2", "salt"])
+    members = members.select(F.col("doc_id").alias("member"), "h1", "h2", "salt").distinct().drop("salt")
     bodies = texts.join(members, texts["doc_id"] == members["member"]).select("doc_id", "h1", "h2", canonical(F.col("text")).alias("canon"))
     distinct = bodies.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("least"))
     ranked = distinct.withColumn("suffix", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("least")) - 1)
