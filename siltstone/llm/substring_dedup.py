@@ -1,12 +1,15 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the words of a text: the hash of each step is the last one, shifted left by 16 of its 64 bits, plus a fixed random
-value of the word, so that four words decide it. A chunk begins where the (mixed) hash is least among those up to four words away. These
-places depend on nearby words alone: an insertion moves the chunks after it but does not change them. Chunks have 5 words or more, 9 in
-the mean; one that is longer than 256 words (repetitive text) is cut.
+value of the word, so that four words decide it. A cut is where the (mixed) hash is least, the last of equals, among some ``reach``
+consecutive ones, with 2 * reach + 3 <= ``min_words``. A chunk reaches from the four words of one cut to the four words of the next, so it has
+5 words or more. An insertion moves the chunks after it but does not change them, and every ``min_words`` (50) words, repetitive ones
+as well, hold a chunk that they alone decide: of the spans that lie within them there are more than one cut can be the least of, and a
+span that reaches beyond them adds no cut between two of their own.
 
 Chunks are deduplicated by digest: each is paired with its digest's first occurrence, by (doc_id, position). Pairs are the seeds from
-which the exact shared passages are grown. A passage of ``min_words`` (50) words or more contains whole chunks, wherever it stands.
+which the exact shared passages are grown. Stretches of a short period would have a chunk at each word; of these only the chunks near both
+ends are retained, as the stretch is itself a passage that repeats one period later (one more seed).
 
 Texts that are null or empty have no chunks. Rows with a null id are left as they are. Rows that repeat an id are taken as texts of the
 same document. Passages that a text repeats within itself count like those of other texts.
@@ -23,55 +26,82 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.repeats import shared_passages, without
 from siltstone.llm.shared import slices, small_batches, text_or_empty, written
-from siltstone.llm.words import mix, words
+from siltstone.llm.words import mix, powers, words
 
-REACH, CONTEXT, LONGEST = 4, 4, 256
-CHUNKS = "digest long, doc_id long, at int, bytes int"
+CONTEXT, PERIOD = 4, 32
+CHUNKS = "digest long, doc_id long, at int, bytes int, back int"
 
 
-def cuts(hashes: np.ndarray) -> np.ndarray:
-    """The words at which chunks begin, of one text; the last chunk ends with the text."""
-    n = len(hashes)
+def cuts(hashes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts of one text, by the first of their four words, and for each the first and the last span of ``reach`` gear hashes that it is the least of."""
+    n = len(hashes) - CONTEXT + 1
+    if n < reach:
+        return (np.zeros(0, np.int64),) * 3
     gear = np.zeros(n, np.uint64)
     for back in range(CONTEXT):
-        gear[back:] += mix(hashes[: n - back] + np.uint64(0x5851F42D4C957F2D)) << np.uint64(16 * back)
-    gear = mix(gear)
-    least = np.ones(n, bool)
-    for away in range(1, REACH + 1):
-        least[away:] &= gear[away:] < gear[:-away]
-        least[:-away] &= gear[:-away] <= gear[away:]
-    at = np.flatnonzero(least)
-    at = np.concatenate([[0], at[at > 0], [n]])
-    long = np.flatnonzero(np.diff(at) > LONGEST)
-    if len(long):
-        at = np.unique(np.concatenate([at, *(np.arange(at[i], at[i + 1], LONGEST) for i in long)]))
-    return at
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for a, b in slices(texts):
-            w = words(texts.slice(a, b - a))
-            digests, owner, at, size = [], [], [], []
-            for d in range(b - a):
-                low, high = w.first[d], w.first[d + 1]
-                if high - low < REACH + 1:
-                    continue
-                own = w.hash[low:high]
-                cut = cuts(own)
-                begin, end = cut[:-1], cut[1:]
-                position = np.arange(high - low) - np.repeat(begin, end - begin)
-                terms = mix(own + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                digest = mix(np.add.reduceat(terms, begin) + (end - begin).astype(np.uint64))
-                full = end - begin > REACH
-                digests.append(digest[full].view(np.int64))
-                at.append((w.start[low + begin] - w.offsets[d])[full])
-                size.append((w.end[low + end - 1] - w.start[low + begin])[full])
-                owner.append(np.full(int(full.sum()), a + d))
-            if digests:
-                rows = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(digests)), ids.take(pa.array(rows)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32))], ["digest", "doc_id", "at", "bytes"])
+        ahead = CONTEXT - 1 - back
+        gear += mix(hashes[ahead : ahead + n] + np.uint64(0x5851F42D4C957F2D)) << np.uint64(16 * back)
+    spans = np.lib.stride_tricks.sliding_window_view(mix(gear)[::-1], reach)
+    least = (n - 1 - (np.argmin(spans, axis=1) + np.arange(len(spans))))[::-1]
+    at, first = np.unique(least, return_index=True)
+    return at, first, np.append(first[1:], len(least)) - 1
+
+
+def stretches(hashes: np.ndarray, begin: np.ndarray, digest: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(first word, end, period) of stretches with a period of up to 32 words that repeat at least ``least`` words one period later."""
+    order = np.argsort(digest, kind="stable")
+    apart = np.diff(begin[order])[digest[order][1:] == digest[order][:-1]]
+    found = []
+    for period in np.unique(apart[apart <= PERIOD]):
+        same = np.concatenate([[False], hashes[period:] == hashes[:-period], [False]])
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        found += [(int(a), int(b + period), int(period)) for a, b in zip(turns[::2], turns[1::2], strict=True) if b - a >= least]
+    return found
+
+
+def chunks_of(hashes: np.ndarray, min_words: int):
+    """Chunks of one text: (begin, end, digest, low, high, retained), and the stretches of a short period.
+
+    ``low`` to ``high`` are the first words of all windows of ``min_words`` words that alone decide the chunk.
+    """
+    reach = max(1, (min_words - CONTEXT + 1) // 2)
+    at, first, last = cuts(hashes, reach)
+    begin, end = at[:-1], at[1:] + CONTEXT
+    power, inverse = powers(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=total[1:])
+    digest = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    retained, periodic = np.ones(len(begin), bool), stretches(hashes, begin, digest, min_words)
+    for a, b, period in periodic:
+        retained &= (begin < a + period + min_words) | (end > b - period - min_words)
+    return begin, end, digest, first[1:] + reach + CONTEXT - 1 - min_words, last[:-1], retained, periodic
+
+
+def _chunk_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(texts):
+                w = words(texts.slice(a, b - a))
+                parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for d in range(b - a):
+                    low, high = w.first[d], w.first[d + 1]
+                    if high - low < min_words:
+                        continue
+                    start, stop = w.start[low:high] - w.offsets[d], w.end[low:high] - w.offsets[d]
+                    begin, end, digest, _, _, retained, periodic = chunks_of(w.hash[low:high], min_words)
+                    begin, end = begin[retained], end[retained]
+                    rows = [(digest[retained].view(np.int64), np.full(len(begin), a + d), start[begin], stop[end - 1] - start[begin], np.full(len(begin), -1))]
+                    for x, y, period in periodic:
+                        rows.append(([0], [a + d], [start[x + period]], [stop[y - 1] - start[x + period]], [start[x]]))
+                    for row in rows:
+                        for part, x in zip(parts, row, strict=True):
+                            part.append(np.asarray(x))
+                if parts[0]:
+                    digest, owner, at, size, back = (np.concatenate(p) for p in parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(digest), ids.take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (at, size, back))], ["digest", "doc_id", "at", "bytes", "back"])
+
+    return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -81,11 +111,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    chunks = written(docs.mapInArrow(_chunk_rows, CHUNKS), "chunks")
-    firsts = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    seeds = chunks.join(firsts, "digest").where("doc_id <> first.doc_id or at <> first.at")
+    chunks = written(docs.mapInArrow(_chunk_rows(min_words), CHUNKS), "chunks")
+    later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), "bytes")
+    firsts = chunks.where("back < 0").groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    seeds = chunks.where("back < 0").join(firsts, "digest").where("doc_id <> first.doc_id or at <> first.at")
     seeds = seeds.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), "bytes")
-    return shared_passages(docs, seeds, min_words)
+    return shared_passages(docs, seeds.union(later), min_words)
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
