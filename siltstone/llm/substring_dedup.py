@@ -11,6 +11,10 @@ Chunks are deduplicated by digest: each is paired with its digest's first occurr
 which the exact shared passages are grown. Stretches of a short period would have a chunk at each word; of these only the chunks near both
 ends are retained, as the stretch is itself a passage that repeats one period later (one more seed).
 
+The first places of a passage's chunks may be in texts that hold only parts of it. So of what no passage found so far covers, all windows of
+``min_words`` words whose chunks stand in three places or more are hashed, and each is paired with the first one of its hash. A chunk that
+stands in two places has its pair already, and a window with a chunk that stands alone repeats nothing. So no passage is missed.
+
 Texts that are null or empty have no chunks. Rows with a null id are left as they are. Rows that repeat an id are taken as texts of the
 same document. Passages that a text repeats within itself count like those of other texts.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.repeats import shared_passages, without
 from siltstone.llm.shared import slices, small_batches, text_or_empty, written
-from siltstone.llm.words import mix, powers, words
+from siltstone.llm.words import mix, powers, windows_of, words
 
 CONTEXT, PERIOD = 4, 32
 CHUNKS = "digest long, doc_id long, at int, bytes int, back int"
@@ -104,6 +108,56 @@ def _chunk_rows(min_words: int):
     return run
 
 
+def _window_rows(min_words: int):
+    """The windows of ``min_words`` words all of whose chunks stand in three places or more (``places``) and that no passage (``spans``) covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, places, spans = (batch.column(i) for i in range(4))
+            for i in range(batch.num_rows):
+                w = words(texts.slice(i, 1))
+                every = windows_of(w.hash, min_words)
+                if not len(every):
+                    continue
+                begin, end, _, low, high, retained, _ = chunks_of(w.hash, min_words)
+                often = np.isin(w.start[begin], places[i].values.to_numpy())
+                covered = [(int(np.searchsorted(w.start, s["span_start"])), int(np.searchsorted(w.end, s["span_end"], "right")) - min_words) for s in spans[i].as_py() or []]
+
+                def marked(a, b):
+                    """Which windows lie in one of the ranges, ends included."""
+                    a, b = np.maximum(a, 0), np.minimum(np.asarray(b) + 1, len(every))
+                    marks = np.zeros(len(every) + 1, np.int64)
+                    np.add.at(marks, a[a < b], 1)
+                    np.add.at(marks, b[a < b], -1)
+                    return np.cumsum(marks[:-1]) > 0
+
+                open_ = marked(low[often], high[often]) & ~marked(low[retained & ~often], high[retained & ~often])
+                open_ &= ~marked(*np.array(covered, np.int64).reshape(-1, 2).T)
+                at = np.flatnonzero(open_)
+                size = w.end[at + min_words - 1] - w.start[at]
+                yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(np.full(len(at), ids[i].as_py(), np.int64)), pa.array(w.start[at].astype(np.int32)), pa.array(size.astype(np.int32))], ["digest", "doc_id", "at", "bytes"])
+
+    return run
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Each row of (digest, doc_id, at, bytes) with the first place of its digest and the number of its places, from two on."""
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(firsts, "digest").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), "bytes", "n")
+
+
+LATER = "b_id <> a_id or b_at <> a_at"
+
+
+def _uncovered(docs: DataFrame, paired: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Seeds for passages whose chunks come first elsewhere, in texts that hold only parts of the passage."""
+    places = paired.where("n > 2").groupBy(F.col("b_id").alias("_doc")).agg(F.collect_list(F.col("b_at").cast("long")).alias("places"))
+    spans = found.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("span_start", "span_end")).alias("spans"))
+    rows = docs.join(places, F.col("doc_id") == F.col("_doc")).join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
+    rows = rows.select("doc_id", "text", "places", "spans").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, bytes int")
+    return _paired(written(rows, "windows")).where(LATER).drop("n")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text) to one row for each passage of a text that an earlier place has as well.
 
@@ -113,10 +167,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
     chunks = written(docs.mapInArrow(_chunk_rows(min_words), CHUNKS), "chunks")
     later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), "bytes")
-    firsts = chunks.where("back < 0").groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    seeds = chunks.where("back < 0").join(firsts, "digest").where("doc_id <> first.doc_id or at <> first.at")
-    seeds = seeds.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), "bytes")
-    return shared_passages(docs, seeds.union(later), min_words)
+    paired = written(_paired(chunks.where("back < 0").drop("back")), "paired")
+    found = written(shared_passages(docs, paired.where(LATER).drop("n").union(later), min_words), "passages")
+    return found.union(shared_passages(docs, _uncovered(docs, paired, found, min_words), min_words)).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:

@@ -44,3 +44,26 @@ def test_every_window_decides_a_chunk():
             begin, end, digest, low, high, *_ = substring_dedup.chunks_of(h, 50)
             found.append({(b, e, d) for b, e, d, x, y in zip(begin, end, digest, low, high) if x <= 30 <= y and b >= 30 and e <= 80})
         assert found[0] == found[1] and found[0], n
+
+
+def test_passages_whose_parts_come_first_elsewhere(spark):
+    for seed in range(3):
+        p = prose(7000 + seed, 60).split()
+        parts = {1: p[:49], 2: p[11:], 5: p, 9: p}
+        texts = {i: " ".join([prose(seed + 10 * i, 40), *w, prose(seed + 10 * i + 5, 40)]) for i, w in parts.items()}
+        rows = substring_dedup.repeated_passages(documents(spark, [*texts.items()])).collect()
+        assert [(r["doc_id"], r["other_id"], r["n_words"]) for r in rows] == [(9, 5, 60)]
+        assert missed(texts, rows) == []
+
+
+def test_no_window_is_missed_among_many_parts(spark):
+    rng = random.Random(3)
+    pool = [prose(8000 + i, 140).split() for i in range(3)]
+    texts = {}
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            p, a = rng.choice(pool), rng.randint(0, 100)
+            words += [*p[a : a + rng.randint(10, 75)], *prose(9000 + 7 * i + len(words), rng.randint(0, 12)).split()]
+        texts[i] = " ".join(words)
+    assert missed(texts, substring_dedup.repeated_passages(documents(spark, [*texts.items()])).collect()) == []
