@@ -4,6 +4,10 @@ A seed says that text ``b_id`` from byte ``b_at`` and text ``a_id`` from byte ``
 texts on about the same diagonal are one request. A request reads from each text only the bytes around its seeds (sliced by the JVM), so
 a long text that very many others copy from is never handed to Python whole. The slices are compared word by word from a seed to the
 left and to the right. White space does not count: a passage that is wrapped in another way is still the same.
+
+A seed also says which word of its text it is (``b_nth``, ``a_nth``), so matches of the same two texts with the same shift in words are united
+where they touch. An end at which a match left its slice, not at a mismatch or at the end of a text, is open: from its last word there the
+comparison goes on in a wider slice, until no end is open.
 """
 
 from __future__ import annotations
@@ -12,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import text_or_empty
+from siltstone.llm.shared import text_or_empty, written
 
-#: Bytes that a slice holds beyond the outermost seeds. A passage that goes on further has seeds there.
-MARGIN = 2048
+#: Bytes that the first slice holds beyond the outermost seeds, and by how much each next one is wider.
+MARGIN, WIDER = 2048, 8
 #: Seeds of two texts that are this near, in bytes and in the shift between the texts, are compared as one.
 NEAR = 1024
 
-SPANS = "doc_id long, span_start long, span_end long, n_words long, other_id long, other_start long, other_end long, seed_at long"
-NAMES = [c.split(" ")[0] for c in SPANS.split(", ")]
+#: Words low to high (exclusive) of b_id's text, and the first bytes of the first and of the last word and the end.
+MATCHES = "b_id long, a_id long, b_bytes long, a_bytes long, shift long, low long, high long, b_start long, a_start long, b_last long, a_last long, b_end long, a_end long, open_left boolean, open_right boolean, seeds array<long>"
+NAMES = [c.split(" ")[0] for c in MATCHES.split(", ")]
 
 
 def common(x: list, y: list) -> int:
@@ -61,44 +66,83 @@ def _extended():
                 b, b_start = located(r["b_piece"], r["b_from"], r["b_bytes"])
                 a, a_start = located(r["a_piece"], r["a_from"], r["a_bytes"])
                 done: list[tuple[int, int, int]] = []
+                held: list[list[int]] = []
+                b_more, a_more = r["b_from"] + len(r["b_piece"]) < r["b_bytes"], r["a_from"] + len(r["a_piece"]) < r["a_bytes"]
                 for seed in sorted(r["seeds"], key=lambda s: (s["b_at"], s["a_at"])):
                     i, j = int(np.searchsorted(b_start, seed["b_at"])), int(np.searchsorted(a_start, seed["a_at"]))
-                    if i >= len(b) or j >= len(a) or b_start[i] != seed["b_at"] or a_start[j] != seed["a_at"] or any(f <= i < t and i - j == d for f, t, d in done):
+                    if i >= len(b) or j >= len(a) or b_start[i] != seed["b_at"] or a_start[j] != seed["a_at"]:
+                        continue
+                    known = next((h for (f, t, d), h in zip(done, held, strict=True) if f <= i < t and i - j == d), None)
+                    if known is not None:
+                        known.append(seed["b_at"])
                         continue
                     left, right = common(b[:i][::-1], a[:j][::-1]), common(b[i:], a[j:])
+                    if not right:
+                        continue
                     done.append((i - left, i + right, i - j))
-                    i0, i1, j0, j1 = i - left, max(i + right - 1, 0), j - left, max(j + right - 1, 0)
-                    out.append((r["b_id"], int(b_start[i0]), int(b_start[i1]) + len(b[i1]), left + right, r["a_id"], int(a_start[j0]), int(a_start[j1]) + len(a[j1]), seed["b_at"]))
+                    held.append([seed["b_at"]])
+                    open_left = bool(left == min(i, j) and (left < i or r["b_from"] > 0) and (left < j or r["a_from"] > 0))
+                    open_right = bool(right == min(len(b) - i, len(a) - j) and (right < len(b) - i or b_more) and (right < len(a) - j or a_more))
+                    i0, i1, j0, j1 = i - left, i + right - 1, j - left, j + right - 1
+                    ends = [int(x) for x in (b_start[i0], a_start[j0], b_start[i1], a_start[j1], b_start[i1] + len(b[i1]), a_start[j1] + len(a[j1]))]
+                    out.append((r["b_id"], r["a_id"], r["b_bytes"], r["a_bytes"], seed["b_nth"] - seed["a_nth"], seed["b_nth"] - left, seed["b_nth"] + right, *ends, open_left, open_right, held[-1]))
             columns = list(zip(*out, strict=True)) or [[]] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
+            kinds = [*[pa.int64()] * 13, pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
     return run
 
 
-def grown(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text), ``seeds`` (b_id, b_at, a_id, a_at, bytes) to the passages of any length around them, with a seed of each.
-
-    Offsets are bytes of the UTF-8 text, ends are exclusive. A passage may be found from several seeds; it is returned once, or in rows that
-    overlap if it has more than about 16 KB.
-    """
-    near = seeds.groupBy("b_id", "a_id", F.round((F.col("b_at") - F.col("a_at")) / NEAR).alias("_shift"), F.floor(F.col("b_at") / (16 * NEAR)).alias("_part")).agg(
-        F.min("b_at").alias("b_low"), F.max(F.col("b_at") + F.col("bytes")).alias("b_high"), F.min("a_at").alias("a_low"), F.max(F.col("a_at") + F.col("bytes")).alias("a_high"), F.collect_list(F.struct("b_at", "a_at")).alias("seeds")
+def _compared(whole: DataFrame, seeds: DataFrame, margin: int) -> DataFrame:
+    """Matches around the seeds, as far as slices of ``margin`` bytes beyond the outermost ones show them."""
+    near_by = seeds.groupBy("b_id", "a_id", F.round((F.col("b_at") - F.col("a_at")) / NEAR).alias("_shift"), F.floor(F.col("b_at") / (16 * NEAR)).alias("_part")).agg(
+        F.min("b_at").alias("b_low"), F.max(F.col("b_at") + F.col("bytes")).alias("b_high"), F.min("a_at").alias("a_low"), F.max(F.col("a_at") + F.col("bytes")).alias("a_high"), F.collect_list(F.struct("b_at", "a_at", "b_nth", "a_nth")).alias("seeds")
     )
-    whole = docs.where("doc_id is not null").select("doc_id", F.encode(text_or_empty(), "utf-8").alias("body"))
 
     def sliced(requests: DataFrame, side: str) -> DataFrame:
-        low = F.greatest(F.col(f"{side}_low") - MARGIN, F.lit(0)).cast("int")
-        size = (F.col(f"{side}_high") + MARGIN - low).cast("int")
+        low = F.greatest(F.col(f"{side}_low") - margin, F.lit(0)).cast("int")
+        size = (F.col(f"{side}_high") + margin - low).cast("int")
         with_text = requests.join(whole, requests[f"{side}_id"] == whole["doc_id"])
         return with_text.withColumns({f"{side}_from": low, f"{side}_piece": F.substring("body", low + 1, size), f"{side}_bytes": F.length("body")}).drop("doc_id", "body")
 
-    pieces = sliced(sliced(near, "a"), "b")
-    return pieces.select("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece", "seeds").mapInArrow(_extended(), SPANS)
+    pieces = sliced(sliced(near_by, "a"), "b")
+    return pieces.select("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece", "seeds").mapInArrow(_extended(), MATCHES)
+
+
+def _united(matches: DataFrame) -> DataFrame:
+    """Matches with the same shift that touch or overlap, as one; an end is open where none of those that reach it ends there for good."""
+    key = ["b_id", "a_id", "b_bytes", "a_bytes", "shift"]
+    order = Window.partitionBy(*key).orderBy("low", "high")
+    parts = matches.withColumn("_before", F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.withColumn("_island", F.sum(F.when(F.col("low") > F.col("_before"), 1).otherwise(0)).over(order))
+    both = parts.groupBy(*key, "_island").agg(
+        F.min(F.struct("low", "open_left", "b_start", "a_start")).alias("l"),
+        F.max(F.struct("high", (~F.col("open_right")).alias("shut"), "b_last", "a_last", "b_end", "a_end")).alias("r"),
+        F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"),
+    )
+    return both.select(*key, "l.low", "r.high", "l.b_start", "l.a_start", "r.b_last", "r.a_last", "r.b_end", "r.a_end", "l.open_left", (~F.col("r.shut")).alias("open_right"), "seeds")
+
+
+def grown(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), ``seeds`` (b_id, b_at, b_nth, a_id, a_at, a_nth, bytes) to the passages of any length around them, with their seeds.
+
+    Offsets are bytes of the UTF-8 text, ends are exclusive; ``b_nth`` and ``a_nth`` count words. Each passage is returned once and whole.
+    """
+    whole = docs.where("doc_id is not null").select("doc_id", F.encode(text_or_empty(), "utf-8").alias("body"))
+    margin = MARGIN
+    found = written(_united(written(_compared(whole, seeds, margin), "compared")), "united")
+    while not (further := found.where("open_left or open_right")).isEmpty():
+        margin *= WIDER
+        left = further.where("open_left").select("b_id", F.col("b_start").alias("b_at"), F.col("low").alias("b_nth"), "a_id", F.col("a_start").alias("a_at"), (F.col("low") - F.col("shift")).alias("a_nth"), F.lit(0).alias("bytes"))
+        right = further.where("open_right").select("b_id", F.col("b_last").alias("b_at"), (F.col("high") - 1).alias("b_nth"), "a_id", F.col("a_last").alias("a_at"), (F.col("high") - 1 - F.col("shift")).alias("a_nth"), (F.greatest(F.col("b_end") - F.col("b_last"), F.col("a_end") - F.col("a_last"))).alias("bytes"))
+        more = _compared(whole, left.union(right), margin).withColumn("seeds", F.array().cast("array<long>"))
+        found = written(_united(found.union(more)), "united")
+    return found.select(F.col("b_id").alias("doc_id"), F.col("b_start").alias("span_start"), F.col("b_end").alias("span_end"), (F.col("high") - F.col("low")).alias("n_words"), F.col("a_id").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"), "seeds")
 
 
 def shared_passages(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFrame:
     """The passages of ``min_words`` or more around the seeds, as ``grown`` has them."""
-    return grown(docs, seeds).where(F.col("n_words") >= min_words).drop("seed_at").distinct()
+    return grown(docs, seeds).where(F.col("n_words") >= min_words).drop("seeds").distinct()
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:

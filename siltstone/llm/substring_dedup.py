@@ -33,7 +33,8 @@ from siltstone.llm.shared import slices, small_batches, text_or_empty, written
 from siltstone.llm.words import mix, powers, windows_of, words
 
 CONTEXT, PERIOD = 4, 32
-CHUNKS = "digest long, doc_id long, at int, bytes int, back int"
+CHUNKS = "digest long, doc_id long, at int, nth int, bytes int, back int, back_nth int"
+CHUNK_NAMES = [c.split(" ")[0] for c in CHUNKS.split(", ")]
 
 
 def cuts(hashes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +88,7 @@ def _chunk_rows(min_words: int):
             ids, texts = batch.column(0), batch.column(1)
             for a, b in slices(texts):
                 w = words(texts.slice(a, b - a))
-                parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+                parts: list[list[np.ndarray]] = [[] for _ in range(7)]
                 for d in range(b - a):
                     low, high = w.first[d], w.first[d + 1]
                     if high - low < min_words:
@@ -95,15 +96,15 @@ def _chunk_rows(min_words: int):
                     start, stop = w.start[low:high] - w.offsets[d], w.end[low:high] - w.offsets[d]
                     begin, end, digest, _, _, retained, periodic = chunks_of(w.hash[low:high], min_words)
                     begin, end = begin[retained], end[retained]
-                    rows = [(digest[retained].view(np.int64), np.full(len(begin), a + d), start[begin], stop[end - 1] - start[begin], np.full(len(begin), -1))]
+                    rows = [(digest[retained].view(np.int64), np.full(len(begin), a + d), start[begin], begin, stop[end - 1] - start[begin], np.full(len(begin), -1), np.full(len(begin), -1))]
                     for x, y, period in periodic:
-                        rows.append(([0], [a + d], [start[x + period]], [stop[y - 1] - start[x + period]], [start[x]]))
+                        rows.append(([0], [a + d], [start[x + period]], [x + period], [stop[y - 1] - start[x + period]], [start[x]], [x]))
                     for row in rows:
                         for part, x in zip(parts, row, strict=True):
                             part.append(np.asarray(x))
                 if parts[0]:
-                    digest, owner, at, size, back = (np.concatenate(p) for p in parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest), ids.take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in (at, size, back))], ["digest", "doc_id", "at", "bytes", "back"])
+                    digest, owner, *rest = (np.concatenate(p) for p in parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(digest), ids.take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in rest)], CHUNK_NAMES)
 
     return run
 
@@ -135,15 +136,15 @@ def _window_rows(min_words: int):
                 open_ &= ~marked(*np.array(covered, np.int64).reshape(-1, 2).T)
                 at = np.flatnonzero(open_)
                 size = w.end[at + min_words - 1] - w.start[at]
-                yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(np.full(len(at), ids[i].as_py(), np.int64)), pa.array(w.start[at].astype(np.int32)), pa.array(size.astype(np.int32))], ["digest", "doc_id", "at", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(np.full(len(at), ids[i].as_py(), np.int64)), *(pa.array(x.astype(np.int32)) for x in (w.start[at], at, size))], ["digest", "doc_id", "at", "nth", "bytes"])
 
     return run
 
 
 def _paired(rows: DataFrame) -> DataFrame:
-    """Each row of (digest, doc_id, at, bytes) with the first place of its digest and the number of its places, from two on."""
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(firsts, "digest").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), "bytes", "n")
+    """Each row of (digest, doc_id, at, nth, bytes) with the first place of its digest and the number of its places, from two on."""
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(firsts, "digest").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), F.col("first.nth").alias("a_nth"), "bytes", "n")
 
 
 LATER = "b_id <> a_id or b_at <> a_at"
@@ -154,7 +155,7 @@ def _uncovered(docs: DataFrame, paired: DataFrame, found: DataFrame, min_words:
     places = paired.where("n > 2").groupBy(F.col("b_id").alias("_doc")).agg(F.collect_list(F.col("b_at").cast("long")).alias("places"))
     spans = found.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("span_start", "span_end")).alias("spans"))
     rows = docs.join(places, F.col("doc_id") == F.col("_doc")).join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
-    rows = rows.select("doc_id", "text", "places", "spans").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, bytes int")
+    rows = rows.select("doc_id", "text", "places", "spans").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, nth int, bytes int")
     return _paired(written(rows, "windows")).where(LATER).drop("n")
 
 
@@ -166,8 +167,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
     chunks = written(docs.mapInArrow(_chunk_rows(min_words), CHUNKS), "chunks")
-    later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), "bytes")
-    paired = written(_paired(chunks.where("back < 0").drop("back")), "paired")
+    later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), F.col("back_nth").alias("a_nth"), "bytes")
+    paired = written(_paired(chunks.where("back < 0").drop("back", "back_nth")), "paired")
     found = written(shared_passages(docs, paired.where(LATER).drop("n").union(later), min_words), "passages")
     return found.union(shared_passages(docs, _uncovered(docs, paired, found, min_words), min_words)).distinct()
 

@@ -29,7 +29,7 @@ from siltstone.llm.shared import slices, small_batches, text_or_empty, written
 from siltstone.llm.words import windows_of, words
 
 GRAM, WINDOW = 10, 40
-SUFFIXES = "h0 long, h1 long, h2 long, doc_id long, at int, bytes int"
+SUFFIXES = "h0 long, h1 long, h2 long, doc_id long, at int, nth int, bytes int"
 
 
 def minimisers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -47,7 +47,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), batch.column(1)
         for a, b in slices(texts):
             w = words(texts.slice(a, b - a))
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
             for d in range(b - a):
                 low, high = w.first[d], w.first[d + 1]
                 if high - low < GRAM:
@@ -57,14 +57,14 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = minimisers(grams)
                 padded = np.concatenate([own, np.zeros(60, np.uint64)])  # beyond the end: one word that no text has
                 rest = [windows_of(padded[10:], 20), windows_of(padded[30:], 30)]
-                for part, x in zip(parts, (grams[at].view(np.int64), rest[0][at].view(np.int64), rest[1][at].view(np.int64), np.full(len(at), a + d), w.start[low + at] - w.offsets[d], w.end[low + at + GRAM - 1] - w.start[low + at]), strict=True):
+                for part, x in zip(parts, (grams[at].view(np.int64), rest[0][at].view(np.int64), rest[1][at].view(np.int64), np.full(len(at), a + d), w.start[low + at] - w.offsets[d], at, w.end[low + at + GRAM - 1] - w.start[low + at]), strict=True):
                     part.append(x)
             if parts[0]:
-                h0, h1, h2, rows, at, size = (np.concatenate(p) for p in parts)
-                yield pa.RecordBatch.from_arrays([pa.array(h0), pa.array(h1), pa.array(h2), ids.take(pa.array(rows)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["h0", "h1", "h2", "doc_id", "at", "bytes"])
+                h0, h1, h2, rows, *rest = (np.concatenate(p) for p in parts)
+                yield pa.RecordBatch.from_arrays([pa.array(h0), pa.array(h1), pa.array(h2), ids.take(pa.array(rows)), *(pa.array(x.astype(np.int32)) for x in rest)], NAMES)
 
 
-NAMES = ["h0", "h1", "h2", "doc_id", "at", "bytes"]
+NAMES = ["h0", "h1", "h2", "doc_id", "at", "nth", "bytes"]
 
 
 def neighbours(sorted_suffixes: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _window_rows(min_words: int):
                 np.add.at(marks, high[low < high], -1)
                 begin = np.flatnonzero(np.cumsum(marks[:-1]))
                 size = w.end[begin + min_words - 1] - w.start[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(every[begin].view(np.int64)), pa.array(np.full(len(begin), ids[i].as_py(), np.int64)), pa.array(w.start[begin].astype(np.int32)), pa.array(size.astype(np.int32))], ["digest", "doc_id", "at", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(every[begin].view(np.int64)), pa.array(np.full(len(begin), ids[i].as_py(), np.int64)), *(pa.array(x.astype(np.int32)) for x in (w.start[begin], begin, size))], ["digest", "doc_id", "at", "nth", "bytes"])
 
     return run
 
@@ -131,11 +131,11 @@ def _mixed(docs: DataFrame, suffixes: DataFrame, short: DataFrame, min_words: in
     grams = suffixes.select(F.col("doc_id").alias("_doc"), "at", "h0").join(short.distinct(), (F.col("_doc") == F.col("doc_id")) & (F.col("at") == F.col("seed_at"))).select("h0").distinct()
     several = suffixes.groupBy("h0").agg(F.count("*").alias("n")).where("n > 2").select("h0").join(grams, "h0")
     places = suffixes.join(several, "h0").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.col("at").cast("long")).alias("places"))  # of one text
-    rows = docs.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, bytes int")
+    rows = docs.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, nth int, bytes int")
     rows = written(rows, "windows")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = rows.join(firsts, "digest").where("doc_id <> first.doc_id or at <> first.at")
-    return again.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), "bytes")
+    return again.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), F.col("first.nth").alias("a_nth"), "bytes")
 
 
 def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -152,8 +152,8 @@ def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     pairs = neighbours(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order))
     swap = F.expr("a_doc_id > b_doc_id or (a_doc_id = b_doc_id and a_at > b_at)")
     pick = lambda side, c: F.when(swap, F.col(f"{'a' if side == 'b' else 'b'}_{c}")).otherwise(F.col(f"{side}_{c}"))
-    seeds = pairs.where("a_doc_id <> b_doc_id or a_at <> b_at").select(pick("b", "doc_id").alias("b_id"), pick("b", "at").alias("b_at"), pick("a", "doc_id").alias("a_id"), pick("a", "at").alias("a_at"), F.greatest("a_bytes", "b_bytes").alias("bytes"))
-    found = written(grown(docs, seeds), "matches")
-    short = found.where(F.col("n_words") < min_words).select("doc_id", "seed_at")
+    seeds = pairs.where("a_doc_id <> b_doc_id or a_at <> b_at").select(pick("b", "doc_id").alias("b_id"), pick("b", "at").alias("b_at"), pick("b", "nth").alias("b_nth"), pick("a", "doc_id").alias("a_id"), pick("a", "at").alias("a_at"), pick("a", "nth").alias("a_nth"), F.greatest("a_bytes", "b_bytes").alias("bytes"))
+    found = grown(docs, seeds)
+    short = found.where(F.col("n_words") < min_words).select("doc_id", F.explode("seeds").alias("seed_at"))
     rest = shared_passages(docs, _mixed(docs, suffixes, short, min_words), min_words)
-    return found.where(F.col("n_words") >= min_words).drop("seed_at").union(rest).distinct()
+    return found.where(F.col("n_words") >= min_words).drop("seeds").union(rest).distinct()

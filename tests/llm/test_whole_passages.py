@@ -67,3 +67,16 @@ def test_no_window_is_missed_among_many_parts(spark):
             words += [*p[a : a + rng.randint(10, 75)], *prose(9000 + 7 * i + len(words), rng.randint(0, 12)).split()]
         texts[i] = " ".join(words)
     assert missed(texts, substring_dedup.repeated_passages(documents(spark, [*texts.items()])).collect()) == []
+
+
+@pytest.mark.parametrize("find", [substring_dedup.repeated_passages, suffixes.suffix_repeats])
+def test_passages_of_long_words(spark, find):
+    """50 words of 120 to 9,000 bytes, between other words: one slice around a seed does not hold them."""
+    texts, rng = {}, random.Random(8)
+    for n, size in enumerate([120, 400, 9000]):
+        passage = " ".join(prose(60 * n + i, 1 + size // 6).replace(" ", "")[:size] for i in range(50))
+        for m in range(2):
+            texts[10 * n + m] = f"{prose(rng.random(), 60)} {passage} {prose(rng.random(), 60)}"
+    rows = find(documents(spark, [*texts.items()])).collect()
+    assert sorted((r["doc_id"], r["other_id"], r["n_words"]) for r in rows) == [(10 * n + 1, 10 * n, 50) for n in range(3)]
+    assert missed(texts, rows) == []
