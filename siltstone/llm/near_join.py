@@ -7,14 +7,17 @@ Each text becomes the set of its distinct k-word shingles (64-bit hashes). Two t
    D segments, so linked sets agree on all elements of at least one segment. Every set reports a key for each segment that isn't empty; sets that
    share a key stand under the same root. Sets with so many empty segments that these alone may be the equal ones report their
    least elements as well, as many as can't all be missing in a linked set.
-2. *Hubs.* In a few rounds each set is compared with the one that comes first, in that round's order, under most of its roots. What links is
+2. *Hubs.* Each set is compared with the one that comes first under most of its roots. What links is
    united, so that a group of near copies is one part before any pairs are looked at. Roots with sets of one part alone, and roots
    with the same sets as another root, are done with.
 3. *Nodes.* The sets under a root are dealt to nodes of bounded size. In a node they hang in a tree whose inner nodes hold
-   the OR of the token bitmaps below and the range of set sizes. Bitmaps have about 4 bits for each token, a twelfth of the text.
+   the OR of the token bitmaps below and the range of set sizes. A leaf also holds the parities of its tokens by bit.
 4. *Dual traversal.* Pairs of nodes of a root descend together; a pair is dropped when the size ranges exclude a link or when the bits
-   that both have, with the largest surplus of tokens over bits, stay below the overlap that the smallest sizes need. Pairs of leaves that
-   remain and are of different parts are intersected exactly, each once.
+   that both have, with the largest surplus of tokens over bits, stay below the overlap that the smallest sizes need. Two leaves are dropped
+   when more of their parities differ than tokens of linked sets can.
+5. *Spanning pairs.* Of the pairs that a pair of nodes leaves, nearest first, only those that unite two parts go out to be intersected
+   exactly; members of pairs that are held back are marked. Then what links is united, and of marked members of a root every
+   remaining pair of different parts goes out. A group of near copies so gives about as many pairs as it has members, and no link between parts is lost.
 
 Equal sets are one class from the start. Texts without words link with nothing. Rows with a null id are returned with a null
 component and link with nothing; rows that repeat an id are one vertex. Extra columns are ignored.
@@ -33,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import bucketed, slices, small_batches, text_or_empty, written
+from siltstone.llm.shared import bucketed, discard, forget, slices, small_batches, text_or_empty, written
 from siltstone.llm.words import mix, shingle_sets
 
 RATIO = 1.5  # of a size band's end to its start
 NODE_SETS, NODE_SHINGLES, FANOUT = 256, 1 << 18, 16
-HUB_ROUNDS, HUB_LEAST = 2, 3  # a set is compared with a hub if they share so many roots; the trees find the other links
+HUB_LEAST = 3  # a set is compared with a hub if they share so many roots; the trees find the other links
 SEEN_MOST = 1 << 20
 
 
@@ -133,28 +136,42 @@ def _key_rows(k: int, percent: int):
     return run
 
 
+def sketch(s: np.ndarray, per_element: int) -> np.ndarray:
+    """How many elements fall on each bit, by their last bits; the number of bits is a power of two."""
+    bits = min(1 << 20, max(256, 1 << (per_element * len(s) - 1).bit_length()))
+    return np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+
+
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each element, by its last bits; the number of bits is a power of two."""
-    bits = min(1 << 20, max(256, 1 << (4 * len(s) - 1).bit_length()))
-    where = np.zeros(bits, bool)
-    where[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(where).tobytes()
+    """A bit for each element: 2 to 4 bits an element."""
+    return np.packbits(sketch(s, 2) > 0).tobytes()
+
+
+def parities(s: np.ndarray) -> bytes:
+    """For each bit whether an odd number of elements falls on it, 4 to 8 bits an element: two sets differ in at least as many elements as bits."""
+    return np.packbits((sketch(s, 4) & 1).astype(bool)).tobytes()
+
+
+def folded(odd: np.ndarray, size: int) -> np.ndarray:
+    """Parities on fewer bits: bits that now fall together are added."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, size), axis=0)
 
 
 def _bodies(k: int):
-    """The texts and bitmaps of members; a row whose digest isn't the asked one (an id that repeats) is left out."""
+    """The texts, bitmaps and parities of members; a row whose digest isn't the asked one (an id that repeats) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d1, texts = batch.column("d1"), batch.column("text")
             for a, b in slices(texts):
-                keep, maps = [], []
+                keep, maps, odds = [], [], []
                 for i, s in enumerate(shingle_sets(texts.slice(a, b - a), k)):
                     if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True) == d1[a + i].as_py():
                         keep.append(a + i)
                         maps.append(bitmap(s))
+                        odds.append(parities(s))
                 part = batch.select(["doc_id", "text"]).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(maps, pa.binary())], ["doc_id", "text", "map"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(maps, pa.binary()), pa.array(odds, pa.binary())], ["doc_id", "text", "map", "odd"])
 
     return run
 
@@ -191,6 +208,7 @@ class Tree:
         own = [np.frombuffer(m["map"], np.uint8) for m in members]
         maps = np.stack([np.tile(x, size // len(x)) for x in own]).view(np.uint64)
         surplus = sizes - np.array([int(np.bitwise_count(x).sum()) for x in own], np.int64)
+        self.sizes, self.odds = sizes, [np.frombuffer(m["odd"], np.uint8) for m in members]
         self.levels = [(maps, sizes, sizes, surplus)]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, surplus = self.levels[-1]
@@ -212,36 +230,79 @@ def possible(x: tuple, rows: range, y: tuple, cols: range, percent: int) -> np.n
     return fits
 
 
-def candidates(first: list[dict], second: list[dict] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of different parts within one node, or between two nodes, that may link."""
+def differing(x: Tree, rows: range, y: Tree, cols: range) -> np.ndarray:
+    """In how many parities each two leaves differ, at the resolution of the coarsest."""
+    size = min(len(t.odds[i]) for t, r in ((x, rows), (y, cols)) for i in r)
+    a, b = (np.stack([folded(t.odds[i], size) for i in r]).view(np.uint64) for t, r in ((x, rows), (y, cols)))
+    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+
+
+def candidates(first: list[dict], second: list[dict] | None, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """(differing parities, ids, parts) of pairs of different parts within one node, or between two nodes, that may link."""
     size = max(len(m["map"]) for part in (first, second or []) for m in part)
     x = Tree(first, size)
     y = x if second is None else Tree(second, size)
-    same = y is x
+    same, found = y is x, []
     stack = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
     while stack:
         lx, i, ly, j = stack.pop()
-        if lx == 0 and ly == 0:
-            if x.parts[i] != y.parts[j] and not (same and i >= j):
-                yield min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j])
-            continue
         rows = x.children(lx, i) if lx else range(i, i + 1)
         cols = y.children(ly, j) if ly else range(j, j + 1)
         down_x, down_y = max(lx - 1, 0), max(ly - 1, 0)
         fits = possible(x.levels[down_x], rows, y.levels[down_y], cols, percent)
+        if down_x == 0 and down_y == 0:
+            if fits.any():
+                apart = differing(x, rows, y, cols)
+                fits &= (100 + percent) * apart <= (100 - percent) * (x.sizes[rows.start : rows.stop, None] + y.sizes[None, cols.start : cols.stop])
+            for r, c in np.argwhere(fits):
+                i, j = rows[r], cols[c]
+                if x.parts[i] != y.parts[j] and not (same and i >= j):
+                    found.append((int(apart[r, c]), min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j]), x.parts[i], y.parts[j]))
+            continue
         for r, c in np.argwhere(fits):
             if not (same and down_x == down_y and rows[r] > cols[c]):
                 stack.append((down_x, rows[r], down_y, cols[c]))
+    return found
+
+
+def spanning(pairs: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Of pairs, nearest first, those that unite two parts; the ids of pairs that are held back."""
+    root: dict[int, int] = {}
+
+    def find(p: int) -> int:
+        while (q := root.get(p, p)) != p:
+            root[p] = root.get(q, q)
+            p = q
+        return p
 
+    out, held = [], set()
+    for _, u, v, p, q in sorted(pairs):
+        p, q = find(p), find(q)
+        if p != q:
+            root[p] = q
+            out.append((u, v))
+        else:
+            held |= {u, v}
+    return out, held
+
+
+def _candidates(percent: int, every: bool):
+    """Rows (u, v) of pairs to be intersected and, unless ``every`` pair goes out, rows (u, key) of members that are in pairs held back."""
 
-def _candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            for members, other in zip(batch.column("members"), batch.column("other"), strict=True):
-                found.update(candidates(members.as_py(), other.as_py(), percent))
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], ["u", "v"])
+            held: set[tuple[int, int]] = set()
+            for key, members, other in zip(*(batch.column(c) for c in ("key", "members", "other")), strict=True):
+                pairs = candidates(members.as_py(), other.as_py(), percent)
+                if every:
+                    found.update(p[1:3] for p in pairs)
+                    continue
+                out, back = spanning(pairs)
+                found.update(out)
+                held.update((u, key.as_py()) for u in back)
+            rows = [(u, v, None) for u, v in sorted(found)] + [(u, None, k) for u, k in sorted(held)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["u", "v", "key"])
 
     return run
 
@@ -258,7 +319,7 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     linkable = sets.where("n_shingles > 0 and doc_id is not null")
 
     # equal sets: the smallest id stands for all
-    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = written(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
     copies = written(linkable.select(F.col("doc_id").alias("u"), "d1", "d2").join(classes, ["d1", "d2"]).where("u <> v").select("u", "v").distinct(), "copies")
 
     # what stands under a root with another set
@@ -269,42 +330,57 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = written(shared.distinct(), "shared")
     members = shared.select(F.col("doc_id").alias("member"), "d1").distinct()
     # members grow with the documents, so they are never broadcast
-    bodies = bucketed(members.hint("merge").join(docs, F.col("member") == F.col("doc_id")).select("doc_id", "text", "d1").mapInArrow(_bodies(k), "doc_id long, text string, map binary"), "bodies", "doc_id")
+    bodies, table = bucketed(members.hint("merge").join(docs, F.col("member") == F.col("doc_id")).select("doc_id", "text", "d1").mapInArrow(_bodies(k), "doc_id long, text string, map binary, odd binary"), "bodies", "doc_id")
     texts = bodies.select("doc_id", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.withColumnRenamed("doc_id", "u"), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v")
         return written(both.mapInArrow(_verified(k, percent), "u long, v long"), "links")
 
-    # hubs: after each round only roots with several parts are left
-    linked, left = [], shared.withColumn("part", F.col("doc_id"))
-    for turn in range(HUB_ROUNDS):
-        place = F.struct(F.xxhash64(F.lit(turn), "doc_id"), "doc_id", "part")
-        hub = F.min(place).over(by_key)
-        stars = left.select("doc_id", "part", hub.alias("hub")).where("part <> hub.part").groupBy("doc_id", "hub").agg(F.count("*").alias("n")).where(f"n >= {HUB_LEAST}")
-        linked.append(verified(stars.groupBy(F.col("doc_id").alias("u")).agg(F.max_by("hub.doc_id", F.struct("n", "hub")).alias("v"))))
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows of roots with several parts, parts by the links so far."""
         parts = components(reduce(DataFrame.union, linked)).withColumnsRenamed({"id": "doc_id", "component": "part"})
-        named = left.drop("part").join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-        several = named.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).where("low < high").drop("low", "high")
-        left = written(several, "left")
+        named = rows.join(parts, "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        return written(named.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).where("low < high").drop("low", "high"), "left")
 
-    # one of the roots with the same sets, its nodes, and the pairs that their trees leave
+    place = F.struct(F.xxhash64("doc_id"), "doc_id")
+    stars = shared.select("doc_id", F.min(place).over(by_key).alias("hub")).where("doc_id <> hub.doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n")).where(f"n >= {HUB_LEAST}")
+    linked = [verified(stars.groupBy(F.col("doc_id").alias("u")).agg(F.max_by("hub.doc_id", F.struct("n", "hub")).alias("v")))]
+    left = several(shared)
+    discard(shared)
+
+    # one of the roots with the same sets
     same = F.struct(F.count("*"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")), F.min("doc_id"), F.max("doc_id")).alias("same")
     roots = left.groupBy("key").agg(same, F.ceil(F.greatest(F.count("*") / NODE_SETS, F.sum("n") / NODE_SHINGLES)).cast("int").alias("n_nodes"))
     roots = written(roots.groupBy("same").agg(F.min(F.struct("key", "n_nodes")).alias("root")).select("root.*"), "roots")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.col("n_nodes").cast("long")).cast("int").alias("bucket")
-    rows = left.join(roots, "key").select("key", "n_nodes", bucket, "doc_id", "part", "n").join(bodies.select("doc_id", "map"), "doc_id")
-    members = F.collect_list(F.struct("doc_id", "part", "n", "map")).alias("members")
-    alone = rows.where("n_nodes = 1").groupBy("key").agg(members)
-    wide = written(rows.where("n_nodes > 1").groupBy("key", "n_nodes", "bucket").agg(members), "nodes")
-    alone = alone.select("members").union(wide.select("members")).withColumn("other", F.lit(None).cast(wide.schema["members"].dataType))
-    aimed = wide.where("bucket < n_nodes - 1").select("key", F.explode(F.expr("sequence(bucket + 1, n_nodes - 1)")).alias("bucket"), "members")
-    pairs = aimed.join(wide.select("key", "bucket", F.col("members").alias("other")), ["key", "bucket"]).select("members", "other")
-    small_batches(spark, 64)
-    linked.append(verified(alone.union(pairs).mapInArrow(_candidates(percent), "u long, v long").distinct()))
-
-    whole = components(reduce(DataFrame.union, linked, copies)).withColumnsRenamed({"id": "doc_id", "component": "reached"})
-    return sets.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"))
+
+    def pairs(rows: DataFrame, every: bool) -> DataFrame:
+        """What the trees of the roots leave."""
+        bucket = F.pmod(F.xxhash64("doc_id"), F.col("n_nodes").cast("long")).cast("int").alias("bucket")
+        rows = rows.select("key", "n_nodes", bucket, "doc_id", "part", "n").join(bodies.select("doc_id", "map", "odd"), "doc_id")
+        members = F.collect_list(F.struct("doc_id", "part", "n", "map", "odd")).alias("members")
+        alone = rows.where("n_nodes = 1").groupBy("key").agg(members)
+        wide = written(rows.where("n_nodes > 1").groupBy("key", "n_nodes", "bucket").agg(members), "nodes")
+        alone = alone.select("key", "members").union(wide.select("key", "members")).withColumn("other", F.lit(None).cast(wide.schema["members"].dataType))
+        aimed = wide.where("bucket < n_nodes - 1").select("key", F.explode(F.expr("sequence(bucket + 1, n_nodes - 1)")).alias("bucket"), "members")
+        across = aimed.join(wide.select("key", "bucket", F.col("members").alias("other")), ["key", "bucket"]).select("key", "members", "other")
+        small_batches(spark, 64)
+        found = written(alone.union(across).mapInArrow(_candidates(percent, every), "u long, v long, key long"), "pairs")
+        small_batches(spark)
+        discard(wide)
+        return found
+
+    left = left.join(roots, "key")
+    found = pairs(left, False)
+    linked.append(verified(found.where("key is null").select("u", "v").distinct()))
+    back = found.where("key is not null").select("key", F.col("u").alias("doc_id")).distinct()
+    held = several(left.drop("part").join(back, ["key", "doc_id"], "left_semi"))
+    linked.append(verified(pairs(held, True).select("u", "v").distinct()))
+
+    whole = components(reduce(DataFrame.union, linked)).select(F.col("id").alias("v"), F.col("component").alias("reached"))
+    forget(bodies, table)
+    named = sets.select("doc_id", "n_shingles").join(copies.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("v", F.coalesce("v", "doc_id"))
+    return named.join(whole, "v", "left").select("doc_id", "n_shingles", F.coalesce("reached", "v").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -6,6 +6,7 @@ executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (as in tests)."""
+    """The folder that driver and executors share; where the session names none, one of our own if driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"{tempfile.gettempdir()}/siltstone-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -37,14 +39,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key``: later joins by it don't shuffle this side again."""
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame, name: str) -> None:
+    """Take the table of ``bucketed`` out of the catalog; its files stay for plans that read them."""
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, bucketed by ``key`` (later joins by it don't shuffle this side again), and its name for ``forget``."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), table
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

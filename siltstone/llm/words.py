@@ -1,6 +1,8 @@
 """Words of a batch of texts and their 64-bit hashes, without a Python string for each word.
 
-A word is a run of bytes other than space and U+0009 to U+000D, that is ``[^\\x20\\x09-\\x0D]+`` of the text.
+A word is a run of bytes other than space and U+0009 to U+000D, that is ``[^\\x20\\x09-\\x0D]+`` of the text. Words of up to ``SHORT`` bytes
+are hashed together as polynomials, longer ones each with xxh3: a polynomial modulo 2**64 has known collisions of long, regular words.
+Bytes are worked on in blocks, so what is needed beside the words themselves does not grow with the longest text.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from siltstone.llm.shared import buffers
 
@@ -18,8 +21,7 @@ UPPER = np.arange(256, dtype=np.uint8)
 UPPER[65:91] += 32
 
 BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
-_powers: list[np.ndarray] = []
+SHORT, BLOCK = 64, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,16 +31,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _geometric(base: int, n: int) -> np.ndarray:
+    step = np.full(n, np.uint64(base), np.uint64)
+    step[0] = 1
+    return np.multiply.accumulate(step)
+
+
+POWERS = _geometric(BASE, BLOCK + SHORT + 1), _geometric(pow(BASE, -1, 1 << 64), BLOCK + SHORT + 1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        _powers[:] = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            step = np.full(size, np.uint64(base), np.uint64)
-            step[0] = 1
-            _powers.append(np.multiply.accumulate(step))
-    return _powers[0], _powers[1]
+    return POWERS if n < len(POWERS[0]) else (_geometric(BASE, n + 1), _geometric(pow(BASE, -1, 1 << 64), n + 1))
 
 
 @dataclass
@@ -53,10 +57,7 @@ class Words:
     first: np.ndarray
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    data, offsets = buffers(texts)
-    if lower:
-        data = UPPER[data]
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = SPACE[data]
     begins, ends = ~space, ~space
     if len(data):
@@ -66,13 +67,31 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
         edges = edges[(edges > 0) & (edges < len(data))]
         begins[edges] = ~space[edges]
         ends[edges - 1] = ~space[edges - 1]
-    start = np.flatnonzero(begins)
-    end = np.flatnonzero(ends) + 1
-    power, inverse = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start])
-    return Words(data, offsets, start, end, hashes, np.searchsorted(start, offsets))
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(start), np.uint64)
+    power, inverse = POWERS
+    cut = np.searchsorted(start, np.arange(0, len(data), BLOCK))
+    for a, b in zip(cut, [*cut[1:], len(start)], strict=True):
+        short = np.flatnonzero(end[a:b] - start[a:b] <= SHORT) + a
+        if len(short):
+            low, high = int(start[short[0]]), int(end[short[-1]])
+            total = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
+            out[short] = mix((total[end[short] - low] - total[start[short] - low]) * inverse[start[short] - low])
+    for i in np.flatnonzero(end - start > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
+
+
+def words(texts: pa.Array, lower: bool = False) -> Words:
+    data, offsets = buffers(texts)
+    if lower:
+        data = UPPER[data]
+    start, end = _bounds(data, offsets)
+    return Words(data, offsets, start, end, _hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def windows_of(hashes: np.ndarray, k: int) -> np.ndarray:
