@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import text_or_empty, written
+from siltstone.llm.shared import discard, text_or_empty, written
 
 #: Bytes that the first slice holds beyond the outermost seeds, and by how much each next one is wider.
 MARGIN, WIDER = 2048, 8
 #: Seeds of two texts that are this near, in bytes and in the shift between the texts, are compared as one.
 NEAR = 1024
+#: So many ids may be broadcast.
+FEW_IDS = 1 << 17
 
 #: Words low to high (exclusive) of b_id's text, and the first bytes of the first and of the last word and the end.
 MATCHES = "b_id long, a_id long, b_bytes long, a_bytes long, shift long, low long, high long, b_start long, a_start long, b_last long, a_last long, b_end long, a_end long, open_left boolean, open_right boolean, seeds array<long>"
@@ -93,6 +95,32 @@ def _extended():
     return run
 
 
+def thinned(seeds: DataFrame, words: int) -> DataFrame:
+    """Of seeds of ``words`` words each, the first in each ``words`` words of b_id's text among those of the same texts and shift.
+
+    Two of these that begin in the same ``words`` words overlap or touch, so they lie in one passage.
+    """
+    key = ["b_id", "a_id", F.expr("b_nth - a_nth").alias("_d"), F.floor(F.col("b_nth") / words).alias("_p")]
+    first = F.min(F.struct("b_nth", "b_at", "a_nth", "a_at", "bytes")).alias("s")
+    return seeds.groupBy(*key).agg(first).select("b_id", "s.b_at", "s.b_nth", "a_id", "s.a_at", "s.a_nth", "s.bytes")
+
+
+def first_places(rows: DataFrame) -> DataFrame:
+    """Each row of (digest, doc_id, at, nth, bytes) with the first place of its digest and the number of its places, from two on.
+
+    The first places are a table of their own, so that the rows of a very frequent digest can be dealt to several tasks.
+    """
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    named = rows.join(written(firsts, "firsts"), "digest")
+    return named.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), F.col("first.nth").alias("a_nth"), "bytes", "n")
+
+
+def _asked(whole: DataFrame, requests: DataFrame) -> DataFrame:
+    """``whole`` without texts that no request names, if these are so few that their ids (8 bytes each) may be broadcast."""
+    ids = written(requests.select(F.col("a_id").alias("_asked")).union(requests.select("b_id")).distinct(), "asked")
+    return whole.join(F.broadcast(ids), F.col("doc_id") == F.col("_asked"), "left_semi") if ids.count() <= FEW_IDS else whole
+
+
 def _compared(whole: DataFrame, seeds: DataFrame, margin: int) -> DataFrame:
     """Matches around the seeds, as far as slices of ``margin`` bytes beyond the outermost ones show them."""
     near_by = seeds.groupBy("b_id", "a_id", F.round((F.col("b_at") - F.col("a_at")) / NEAR).alias("_shift"), F.floor(F.col("b_at") / (16 * NEAR)).alias("_part")).agg(
@@ -105,8 +133,13 @@ def _compared(whole: DataFrame, seeds: DataFrame, margin: int) -> DataFrame:
         with_text = requests.join(whole, requests[f"{side}_id"] == whole["doc_id"])
         return with_text.withColumns({f"{side}_from": low, f"{side}_piece": F.substring("body", low + 1, size), f"{side}_bytes": F.length("body")}).drop("doc_id", "body")
 
+    near_by = written(near_by, "requests")
+    whole = _asked(whole, near_by)
     pieces = sliced(sliced(near_by, "a"), "b")
-    return pieces.select("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece", "seeds").mapInArrow(_extended(), MATCHES)
+    rows = pieces.select("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece", "seeds").mapInArrow(_extended(), MATCHES)
+    rows = written(rows, "compared")
+    discard(near_by)
+    return rows
 
 
 def _united(matches: DataFrame) -> DataFrame:
@@ -130,13 +163,16 @@ def grown(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     whole = docs.where("doc_id is not null").select("doc_id", F.encode(text_or_empty(), "utf-8").alias("body"))
     margin = MARGIN
-    found = written(_united(written(_compared(whole, seeds, margin), "compared")), "united")
+    compared = _compared(whole, seeds, margin)
+    found = written(_united(compared), "united")
+    discard(compared)
     while not (further := found.where("open_left or open_right")).isEmpty():
         margin *= WIDER
         left = further.where("open_left").select("b_id", F.col("b_start").alias("b_at"), F.col("low").alias("b_nth"), "a_id", F.col("a_start").alias("a_at"), (F.col("low") - F.col("shift")).alias("a_nth"), F.lit(0).alias("bytes"))
         right = further.where("open_right").select("b_id", F.col("b_last").alias("b_at"), (F.col("high") - 1).alias("b_nth"), "a_id", F.col("a_last").alias("a_at"), (F.col("high") - 1 - F.col("shift")).alias("a_nth"), (F.greatest(F.col("b_end") - F.col("b_last"), F.col("a_end") - F.col("a_last"))).alias("bytes"))
         more = _compared(whole, left.union(right), margin).withColumn("seeds", F.array().cast("array<long>"))
-        found = written(_united(found.union(more)), "united")
+        before, found = found, written(_united(found.union(more)), "united")
+        discard(before)
     return found.select(F.col("b_id").alias("doc_id"), F.col("b_start").alias("span_start"), F.col("b_end").alias("span_end"), (F.col("high") - F.col("low")).alias("n_words"), F.col("a_id").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"), "seeds")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.repeats import shared_passages, without
+from siltstone.llm.repeats import first_places, shared_passages, thinned, without
 from siltstone.llm.shared import slices, small_batches, text_or_empty, written
 from siltstone.llm.words import mix, powers, windows_of, words
 
@@ -141,12 +141,6 @@ def _window_rows(min_words: int):
     return run
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """Each row of (digest, doc_id, at, nth, bytes) with the first place of its digest and the number of its places, from two on."""
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(firsts, "digest").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), F.col("first.nth").alias("a_nth"), "bytes", "n")
-
-
 LATER = "b_id <> a_id or b_at <> a_at"
 
 
@@ -156,7 +150,7 @@ def _uncovered(docs: DataFrame, paired: DataFrame, found: DataFrame, min_words:
     spans = found.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("span_start", "span_end")).alias("spans"))
     rows = docs.join(places, F.col("doc_id") == F.col("_doc")).join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
     rows = rows.select("doc_id", "text", "places", "spans").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, nth int, bytes int")
-    return _paired(written(rows, "windows")).where(LATER).drop("n")
+    return thinned(first_places(written(rows, "windows")).where(LATER).drop("n"), min_words)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -168,7 +162,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
     chunks = written(docs.mapInArrow(_chunk_rows(min_words), CHUNKS), "chunks")
     later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), F.col("back_nth").alias("a_nth"), "bytes")
-    paired = written(_paired(chunks.where("back < 0").drop("back", "back_nth")), "paired")
+    paired = written(first_places(chunks.where("back < 0").drop("back", "back_nth")), "paired")
     found = written(shared_passages(docs, paired.where(LATER).drop("n").union(later), min_words), "passages")
     return found.union(shared_passages(docs, _uncovered(docs, paired, found, min_words), min_words)).distinct()
 

@@ -5,12 +5,14 @@ consecutive ones. Any passage of 49 words or more holds at least one, and holds
 hashes, of its words 0-9, 10-29 and 30-59, compared in this order.
 
 The suffixes are sorted over the cluster by range, ties of one 10-gram included, so a passage that a third of all texts share is
-spread over many tasks. Neighbours are compared; where they begin with the same 10-gram they are the seed of a match, which is then
-extended left and right in the texts. The first and last suffix of each sorted partition are compared apart.
+spread over many tasks. Equal suffixes are a run, whose first member is the earliest place. Each of a run is compared with this first one, and first ones with
+that of the run before, where they begin with the same 10-gram; such a pair is the seed of a match, which is then
+extended left and right in the texts. Runs that go on beyond a sorted partition are joined at its border.
 
-Suffixes are sorted by what follows, so a neighbour may agree in fewer than ``min_words`` although a third text with the same 10-gram agrees in more. Wherever a
-match of neighbours is too short and its 10-gram stands in three places or more, all windows of ``min_words`` words around these places are
-hashed, and each is compared with the first one of its hash. So no passage is missed.
+Suffixes are sorted by what follows, so a neighbour may agree in fewer than ``min_words`` although a third text with the same 10-gram agrees in more, and a place
+that comes before both of its neighbours need not be the first of its passage. Where a 10-gram stands in three places or more, all windows of ``min_words`` words
+that hold it and that no match found so far names as a later place are hashed, and each is compared with the first one of its hash. The first place of a window
+is never a later one, so it is among them: every later place of every window is named.
 
 Null and empty texts have no suffixes; rows with a null id take no part; rows that repeat an id are texts of the same document.
 """
@@ -18,14 +20,15 @@ Null and empty texts have no suffixes; rows with a null id take no part; rows th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.repeats import grown, shared_passages
-from siltstone.llm.shared import slices, small_batches, text_or_empty, written
+from siltstone.llm.repeats import first_places, shared_passages, thinned
+from siltstone.llm.shared import discard, slices, small_batches, text_or_empty, written
 from siltstone.llm.words import windows_of, words
 
 GRAM, WINDOW = 10, 40
@@ -67,48 +70,70 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 NAMES = ["h0", "h1", "h2", "doc_id", "at", "nth", "bytes"]
 
 
+def _runs(both: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted suffixes: the row that each is compared with, whether both have the same 10-gram, and whether more than two rows may have it."""
+    h0, h1, h2 = (both.column(c).to_numpy() for c in ("h0", "h1", "h2"))
+    n = len(h0)
+    opens = np.ones(n, bool)
+    opens[1:] = (h0[1:] != h0[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    starts = np.flatnonzero(opens)
+    run = np.cumsum(opens) - 1
+    partner = np.where(opens, starts[np.maximum(run - 1, 0)], starts[run])
+    same = h0[partner] == h0
+    same[0] = False
+    turns = np.concatenate([[0], np.flatnonzero(h0[1:] != h0[:-1]) + 1, [n]])
+    sizes = np.diff(turns)
+    sizes[[0, -1]] = n + 3  # may go on in the batches before and after
+    return partner, same, np.repeat(sizes, np.diff(turns)) > 2
+
+
 def neighbours(sorted_suffixes: DataFrame) -> DataFrame:
-    """Pairs of adjacent suffixes with the same 10-gram, within partitions and across their borders."""
-    pairs = "inner boolean, part int, last boolean, " + ", ".join(f"{s}_{c}" for s in "ba" for c in SUFFIXES.split(", "))
+    """Pairs of suffixes with the same 10-gram, within partitions and across their borders; ``more`` if a third one may have it."""
+    pairs = "inner boolean, more boolean, part int, last boolean, " + ", ".join(f"{s}_{c}" for s in "ba" for c in SUFFIXES.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, first = TaskContext.get().partitionId(), None, None
+        part, held, first = TaskContext.get().partitionId(), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = pa.Table.from_batches([batch.select(NAMES)])
             first = first or now.slice(0, 1)
-            both = pa.concat_tables([before, now]).combine_chunks() if before is not None else now
-            h0 = both.column("h0").to_numpy()
-            at = pa.array(np.flatnonzero(h0[1:] == h0[:-1]))
-            a, b = both.slice(0, both.num_rows - 1).take(at), both.slice(1).take(at)
-            yield from _rows(b, a, True, part, False)
-            before = now.slice(now.num_rows - 1)
-        if before is not None:
-            yield from _rows(first, first, False, part, False)
-            yield from _rows(before, before, False, part, True)
-
-    def _rows(b: pa.Table, a: pa.Table, inner: bool, part: int, last: bool):
+            both = pa.concat_tables([held, now]).combine_chunks() if held is not None else now
+            partner, same, more = _runs(both)
+            at = np.flatnonzero(same)
+            yield from _rows(both.take(pa.array(at)), both.take(pa.array(partner[at])), True, part, False, more[at])
+            last = both.num_rows - 1
+            opened = last if last == 0 or not _equal(both, last) else int(partner[last])
+            held = both.slice(opened, 1)
+        if held is not None:
+            yield from _rows(first, first, False, part, False, [True])
+            yield from _rows(held, held, False, part, True, [True])
+
+    def _equal(both: pa.Table, i: int) -> bool:
+        """Whether a suffix goes on with the run before it."""
+        return all(both.column(c)[i] == both.column(c)[i - 1] for c in ("h0", "h1", "h2"))
+
+    def _rows(b: pa.Table, a: pa.Table, inner: bool, part: int, last: bool, more):
         n = b.num_rows
-        fixed = {"inner": pa.array([inner] * n), "part": pa.array([part] * n, pa.int32()), "last": pa.array([last] * n)}
+        fixed = {"inner": pa.array([inner] * n), "more": pa.array(more, pa.bool_()), "part": pa.array([part] * n, pa.int32()), "last": pa.array([last] * n)}
         yield from pa.table(fixed | {f"{s}_{c}": t.column(c) for s, t in (("b", b), ("a", a)) for c in NAMES}).to_batches()
 
     found = written(sorted_suffixes.mapInArrow(run, pairs), "neighbours")
     a, b = [f"a_{c}" for c in NAMES], [f"b_{c}" for c in NAMES]
-    edge = found.where("not inner").select("part", "last", *b)  # two rows a partition
+    edge = found.where("not inner").select("more", "part", "last", *b)  # two rows a partition
     order = Window.orderBy("part", "last")
-    across = edge.select("part", "last", *b, *(F.lag(x).over(order).alias(y) for x, y in zip(b, a, strict=True))).where("not last and a_h0 = b_h0")
-    return found.where("inner").select(*b, *a).union(across.select(*b, *a))
+    across = edge.select("more", "part", "last", *b, *(F.lag(x).over(order).alias(y) for x, y in zip(b, a, strict=True))).where("not last and a_h0 = b_h0")
+    return found.where("inner").select("more", *b, *a).union(across.select("more", *b, *a))
 
 
 def _window_rows(min_words: int):
-    """The windows of min_words words that hold the 10-gram at one of the given places, each once."""
+    """The windows of min_words words that hold the 10-gram at one of the given places and that no passage (``spans``) covers, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, places = batch.column(0), batch.column(1), batch.column(2)
+            ids, texts, places, spans = (batch.column(i) for i in range(4))
             for i in range(batch.num_rows):
                 w = words(texts.slice(i, 1))
                 every = windows_of(w.hash, min_words)
@@ -119,41 +144,43 @@ def _window_rows(min_words: int):
                 marks = np.zeros(len(every) + 1, np.int64)
                 np.add.at(marks, low[low < high], 1)
                 np.add.at(marks, high[low < high], -1)
-                begin = np.flatnonzero(np.cumsum(marks[:-1]))
+                wanted = np.cumsum(marks[:-1]) > 0
+                for s in spans[i].as_py() or []:
+                    wanted[np.searchsorted(w.start, s["span_start"]) : max(0, np.searchsorted(w.end, s["span_end"], "right") - min_words + 1)] = False
+                begin = np.flatnonzero(wanted)
                 size = w.end[begin + min_words - 1] - w.start[begin]
                 yield pa.RecordBatch.from_arrays([pa.array(every[begin].view(np.int64)), pa.array(np.full(len(begin), ids[i].as_py(), np.int64)), *(pa.array(x.astype(np.int32)) for x in (w.start[begin], begin, size))], ["digest", "doc_id", "at", "nth", "bytes"])
 
     return run
 
 
-def _mixed(docs: DataFrame, suffixes: DataFrame, short: DataFrame, min_words: int) -> DataFrame:
-    """Seeds for the places whose 10-gram is that of a match of neighbours (doc_id, seed_at) that is too short."""
-    grams = suffixes.select(F.col("doc_id").alias("_doc"), "at", "h0").join(short.distinct(), (F.col("_doc") == F.col("doc_id")) & (F.col("at") == F.col("seed_at"))).select("h0").distinct()
-    several = suffixes.groupBy("h0").agg(F.count("*").alias("n")).where("n > 2").select("h0").join(grams, "h0")
-    places = suffixes.join(several, "h0").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.col("at").cast("long")).alias("places"))  # of one text
-    rows = docs.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, nth int, bytes int")
-    rows = written(rows, "windows")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = rows.join(firsts, "digest").where("doc_id <> first.doc_id or at <> first.at")
-    return again.select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("first.doc_id").alias("a_id"), F.col("first.at").alias("a_at"), F.col("first.nth").alias("a_nth"), "bytes")
+def _settled(docs: DataFrame, pairs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Seeds for later places of windows that no passage found so far names as such."""
+    sides = reduce(DataFrame.union, (pairs.where("more").select(F.col(f"{s}_doc_id").alias("_doc"), F.col(f"{s}_at").cast("long").alias("at")) for s in "ab"))
+    places = sides.groupBy("_doc").agg(F.collect_set("at").alias("places"))  # of one text
+    spans = found.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_set(F.struct("span_start", "span_end")).alias("spans"))
+    rows = docs.join(places, F.col("doc_id") == F.col("_doc")).join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
+    rows = rows.select("doc_id", "text", "places", "spans").mapInArrow(_window_rows(min_words), "digest long, doc_id long, at int, nth int, bytes int")
+    return thinned(first_places(written(rows, "windows")).where("b_id <> a_id or b_at <> a_at").drop("n"), min_words)
 
 
 def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` (doc_id, text) to the passages of ``min_words`` or more that a text shares with its neighbour in suffix order.
+    """``docs`` (doc_id, text) to the passages of ``min_words`` or more that an earlier place has as well.
 
-    (doc_id, span_start, span_end, n_words, other_id, other_start, other_end), ``other_id`` <= ``doc_id``, byte offsets. Each place of a
-    passage is a neighbour of another place of it, so every text that has a repeated passage is named.
+    (doc_id, span_start, span_end, n_words, other_id, other_start, other_end), byte offsets, the other place before this one by (id, offset).
+    The rows of a text cover every window of ``min_words`` words that an earlier place has, and nothing else.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    suffixes = written(docs.mapInArrow(_suffix_rows, SUFFIXES), "suffixes")
+    suffixes = docs.mapInArrow(_suffix_rows, SUFFIXES)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h0", "h1", "h2", "doc_id", "at"]
+    suffixes = written(suffixes, "suffixes")
     pairs = neighbours(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    discard(suffixes)
+    pairs = pairs.where("a_doc_id <> b_doc_id or a_at <> b_at")
     swap = F.expr("a_doc_id > b_doc_id or (a_doc_id = b_doc_id and a_at > b_at)")
     pick = lambda side, c: F.when(swap, F.col(f"{'a' if side == 'b' else 'b'}_{c}")).otherwise(F.col(f"{side}_{c}"))
-    seeds = pairs.where("a_doc_id <> b_doc_id or a_at <> b_at").select(pick("b", "doc_id").alias("b_id"), pick("b", "at").alias("b_at"), pick("b", "nth").alias("b_nth"), pick("a", "doc_id").alias("a_id"), pick("a", "at").alias("a_at"), pick("a", "nth").alias("a_nth"), F.greatest("a_bytes", "b_bytes").alias("bytes"))
-    found = grown(docs, seeds)
-    short = found.where(F.col("n_words") < min_words).select("doc_id", F.explode("seeds").alias("seed_at"))
-    rest = shared_passages(docs, _mixed(docs, suffixes, short, min_words), min_words)
-    return found.where(F.col("n_words") >= min_words).drop("seeds").union(rest).distinct()
+    seeds = pairs.select(pick("b", "doc_id").alias("b_id"), pick("b", "at").alias("b_at"), pick("b", "nth").alias("b_nth"), pick("a", "doc_id").alias("a_id"), pick("a", "at").alias("a_at"), pick("a", "nth").alias("a_nth"), F.greatest("a_bytes", "b_bytes").alias("bytes"))
+    found = written(shared_passages(docs, seeds, min_words), "passages")
+    return found.union(shared_passages(docs, _settled(docs, pairs, found, min_words), min_words)).distinct()

@@ -24,13 +24,17 @@ def missed(texts, rows, k=50):
     return out
 
 
-def test_repetitive_passages(spark):
+FINDERS = pytest.mark.parametrize("find", [substring_dedup.repeated_passages, suffixes.suffix_repeats])
+
+
+@FINDERS
+def test_repetitive_passages(spark, find):
     texts = {}
     for n, unit in enumerate(["0", "| -", "a b c", "no more of it"]):
         for m, size in enumerate([60, 100, 200, 700]):
             run = " ".join((unit.split() * size)[:size])
             texts[10 * n + m] = f"{prose(10 * n + m, 23 + m)} {run} {prose(500 + 10 * n + m, 17 + 3 * m)}"
-    assert missed(texts, substring_dedup.repeated_passages(documents(spark, [*texts.items()])).collect()) == []
+    assert missed(texts, find(documents(spark, [*texts.items()])).collect()) == []
 
 
 def test_every_window_decides_a_chunk():
@@ -56,7 +60,8 @@ def test_passages_whose_parts_come_first_elsewhere(spark):
         assert missed(texts, rows) == []
 
 
-def test_no_window_is_missed_among_many_parts(spark):
+@FINDERS
+def test_no_window_is_missed_among_many_parts(spark, find):
     rng = random.Random(3)
     pool = [prose(8000 + i, 140).split() for i in range(3)]
     texts = {}
@@ -66,10 +71,27 @@ def test_no_window_is_missed_among_many_parts(spark):
             p, a = rng.choice(pool), rng.randint(0, 100)
             words += [*p[a : a + rng.randint(10, 75)], *prose(9000 + 7 * i + len(words), rng.randint(0, 12)).split()]
         texts[i] = " ".join(words)
-    assert missed(texts, substring_dedup.repeated_passages(documents(spark, [*texts.items()])).collect()) == []
+    assert missed(texts, find(documents(spark, [*texts.items()])).collect()) == []
+
+
+@FINDERS
+def test_later_copies_of_short_passages_are_named(spark, find):
+    """Passages of 50 to 58 words in four texts each: every copy but the first is a doc_id, wherever it stands in suffix order."""
+    rng, words = random.Random(11), {i: [] for i in range(160)}
+    homes = []
+    for n in range(40):
+        passage = prose(20_000 + n, 50 + n % 9)
+        homes.append(sorted(rng.sample(range(160), 4)))
+        for i in homes[-1]:
+            words[i] += [prose(rng.random(), rng.randint(5, 40)), passage]
+    texts = {i: " ".join([*w, prose(rng.random(), 20)]) for i, w in words.items()}
+    rows = find(documents(spark, [*texts.items()])).collect()
+    assert missed(texts, rows) == []
+    assert {r["doc_id"] for r in rows} == {i for h in homes for i in h[1:]}
+    assert all((r["other_id"], r["other_start"]) < (r["doc_id"], r["span_start"]) for r in rows)
 
 
-@pytest.mark.parametrize("find", [substring_dedup.repeated_passages, suffixes.suffix_repeats])
+@FINDERS
 def test_passages_of_long_words(spark, find):
     """50 words of 120 to 9,000 bytes, between other words: one slice around a seed does not hold them."""
     texts, rng = {}, random.Random(8)
