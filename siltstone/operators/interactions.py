@@ -17,7 +17,7 @@ def turns(log: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn")
     number = F.sum((F.col("role") == "user").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     held = log.withColumn("turn_no", number).groupBy("conv_id", "turn_no").agg(
-        F.min("turn").alias("opened"), F.max("turn").alias("closed"), F.count_if(F.col("role") == "assistant").alias("answers"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.max("turn_no").alias("_n"),
+        F.min("turn").alias("opened"), F.max("turn").alias("closed"), F.count_if(F.col("role") == "assistant").alias("answers"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"), F.max("turn_no").alias("_n"),
     ).drop("_n")
     last = F.max("turn_no").over(Window.partitionBy("conv_id")) == F.col("turn_no")
     closure = F.when(F.col("turn_no") == 0, "preamble").when(F.col("answers") > 0, "completed").when(last, "open").otherwise("superseded")

@@ -14,40 +14,42 @@ STATE = "turn_no long, opened long, closed long, answers long, n_chars long"
 
 #: Rows may arrive this late; a turn without news for so long is closed.
 PATIENCE = "10 minutes"
+PATIENCE_MS = 600_000
+
+
+def _closure(turn: tuple, left: str) -> str:
+    return "preamble" if turn[0] == 0 else "completed" if turn[3] else left
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a conversation in order; a user row closes the open turn and opens the next."""
+    """Rows of a conversation in order; a user row closes the open turn and opens the next. A null text has no characters."""
     (conv,), out = key, []
     held = list(state.get) if state.exists else None
     if state.hasTimedOut:
         state.remove()
-        rows = pd.DataFrame()
+        out.append((conv, *held, _closure(held, "open")))
     else:
         rows = pd.concat(list(batches)).sort_values("turn")
-    close = lambda t, how: out.append((conv, *t, how))
-    for r in rows.itertuples():
-        if r.role == "user" or held is None:
-            if held is not None:
-                close(held, "preamble" if held[0] == 0 else "completed" if held[3] else "superseded")
-            number = (held[0] if held is not None else 0) + (r.role == "user")
-            held = [number, r.turn, r.turn, 0, 0]
-        held[2], held[3], held[4] = r.turn, held[3] + (r.role == "assistant"), held[4] + len(r.text)
-    if state.hasTimedOut:
-        if held is not None:
-            close(held, "preamble" if held[0] == 0 else "completed" if held[3] else "open")
-    else:
+        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
+            if role == "user" or held is None:
+                if held is not None:
+                    out.append((conv, *held, _closure(held, "superseded")))
+                held = [(held[0] if held is not None else 0) + (role == "user"), turn, turn, 0, 0]
+            held[2], held[3], held[4] = turn, held[3] + (role == "assistant"), held[4] + (len(text) if isinstance(text, str) else 0)
         state.update(tuple(int(x) for x in held))
-        state.setTimeoutDuration(600_000)
+        news = int(rows["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(news, state.getCurrentWatermarkMs()) + PATIENCE_MS)
     yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in CLOSED.split(", ")])
 
 
 def turns(log: DataFrame) -> DataFrame:
-    """A stream of (conv_id, turn, role, text) to turns, each when the next one opens or nothing has come for ten minutes.
+    """A stream of (conv_id, turn, role, text, at: timestamp) to turns, each when the next one opens or ten minutes of event time bring nothing.
 
-    Rows of a conversation are folded in the order of arrival of their batches, by turn within a batch.
+    Time is that of the rows, so a bounded log ends when it is read; turns that are open then stay in the state for the next run.
+    Rows of a conversation are folded in the order of arrival of their batches, by turn within a batch; rows without a conversation are left out.
     """
-    return log.groupBy("conv_id").applyInPandasWithState(_fold, CLOSED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = log.where("conv_id is not null and turn is not null and at is not null").withWatermark("at", PATIENCE)
+    return timed.groupBy("conv_id").applyInPandasWithState(_fold, CLOSED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settled_once(events: DataFrame, at: str, key: list[str]) -> DataFrame:
