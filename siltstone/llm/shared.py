@@ -6,6 +6,7 @@ executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -40,11 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``written`` made, once nothing reads them any more."""
+    """Remove tables that ``written`` made, once nothing reads them any more.
+
+    The shuffle files of finished plans go as well: Spark removes them when the driver's garbage is collected, which it asks for here.
+    """
     for df in tables:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    for df in tables[:1]:
+        df.sparkSession._jvm.System.gc()
 
 
 def forget(df: DataFrame, name: str) -> None:

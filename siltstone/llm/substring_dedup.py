@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.repeats import first_places, shared_passages, thinned, without
-from siltstone.llm.shared import slices, small_batches, text_or_empty, written
+from siltstone.llm.shared import discard, slices, small_batches, text_or_empty, written
 from siltstone.llm.words import mix, powers, windows_of, words
 
 CONTEXT, PERIOD = 4, 32
@@ -164,7 +164,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), F.col("back_nth").alias("a_nth"), "bytes")
     paired = written(first_places(chunks.where("back < 0").drop("back", "back_nth")), "paired")
     found = written(shared_passages(docs, paired.where(LATER).drop("n").union(later), min_words), "passages")
-    return found.union(shared_passages(docs, _uncovered(docs, paired, found, min_words), min_words)).distinct()
+    discard(chunks)
+    rest = written(shared_passages(docs, _uncovered(docs, paired, found, min_words), min_words), "passages")
+    discard(paired)
+    return found.union(rest).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:

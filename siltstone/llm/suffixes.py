@@ -183,4 +183,6 @@ def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     pick = lambda side, c: F.when(swap, F.col(f"{'a' if side == 'b' else 'b'}_{c}")).otherwise(F.col(f"{side}_{c}"))
     seeds = pairs.select(pick("b", "doc_id").alias("b_id"), pick("b", "at").alias("b_at"), pick("b", "nth").alias("b_nth"), pick("a", "doc_id").alias("a_id"), pick("a", "at").alias("a_at"), pick("a", "nth").alias("a_nth"), F.greatest("a_bytes", "b_bytes").alias("bytes"))
     found = written(shared_passages(docs, seeds, min_words), "passages")
-    return found.union(shared_passages(docs, _settled(docs, pairs, found, min_words), min_words)).distinct()
+    rest = written(shared_passages(docs, _settled(docs, pairs, found, min_words), min_words), "passages")
+    discard(pairs)
+    return found.union(rest).distinct()
