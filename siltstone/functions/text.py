@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 TOKEN = "([0-9A-Za-z]+|[一-鿿]+)"
 
 #: Words that never need support of their own.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"]
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "for", "from", "had", "has", "have", "how", "in", "into", "is", "it", "its", "of", "on", "or",
+    "that", "the", "their", "there", "these", "this", "those", "to", "was", "were", "with",
+]
 
 
 def tokens(text: Column) -> Column:

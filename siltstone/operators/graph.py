@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.retrieval import HOP_SHARE, OTHER_STRENGTH, STRENGTH
+from siltstone.storage import settled
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -32,55 +30,33 @@ def one_hop(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return gains.groupBy("query_id", F.col("neighbor").alias("source_id")).agg(F.sum((F.col("total") * HOP_SHARE * F.col("weight")).cast("decimal(18,9)")).cast("double").alias("graph_bonus"))
 
 
-RESULT = "query_id string, source_id string, total double, graph_bonus double"
+def in_order(scores: DataFrame, edges: DataFrame, edge_order: list[str], exact: float = 1e-12) -> DataFrame:
+    """(query_id, source_id, total, graph_bonus): one hop in the order of the origins, a source passes on what it has gained before its turn.
 
-
-def _spread(hops: int):
-    weight = {**STRENGTH}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                totals = {x["source_id"]: x["total"] for x in r["scores"]}
-                gained = dict.fromkeys(totals, 0.0)
-                links: dict[str, list] = {}
-                for e in r["links"] or []:
-                    links.setdefault(e["source_id"], []).append((e["neighbor"], weight.get(e["strength"], OTHER_STRENGTH)))
-                for origin in [x["source_id"] for x in r["scores"]]:
-                    if totals[origin] <= 0:
-                        continue
-                    todo, seen = deque([(origin, 0, totals[origin])]), {(origin, 0)}
-                    while todo:
-                        at, hop, amount = todo.popleft()
-                        for neighbor, w in links.get(at, []) if hop < hops else []:
-                            if (neighbor, hop + 1) not in seen:
-                                seen.add((neighbor, hop + 1))
-                                gain = amount * HOP_SHARE / (hop + 1) * w
-                                totals[neighbor] = totals.get(neighbor, 0.0) + gain
-                                gained[neighbor] = gained.get(neighbor, 0.0) + gain
-                                todo.append((neighbor, hop + 1, gain))
-                rows += [{"query_id": r["query_id"], "source_id": s, "total": t, "graph_bonus": gained[s]} for s, t in totals.items()]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("query_id", pa.string()), ("source_id", pa.string()), ("total", pa.float64()), ("graph_bonus", pa.float64())]))
-
-    return run
-
-
-def in_order(scores: DataFrame, edges: DataFrame, hops: int = 1, origins: int = 200) -> DataFrame:
-    """Propagation in the order of the origins, where a source passes on what it has gained before its turn.
-
-    The order makes this a fold for each query; it runs over the ``origins`` best sources of a query (the ones that a ranking shows) and the edges at
-    most ``hops`` away, queries in parallel. ``one_hop`` covers all sources without an order.
+    Origins are the rows of ``scores`` (query_id, source_id, total > 0), highest first, ties by id. What origin i has at its turn is v(i) = s(i) + the sum of
+    v(j) * share(j, i) over origins j before i: a triangular system. Its rounds are joins over all origins of all queries; a round that
+    changes no value by more than ``exact`` ends them (each link passes on less than a quarter, so a few rounds do). Then every origin pays all of its neighbours.
+    Of parallel edges the first in ``edge_order`` counts; an edge from a source to itself pays as well.
     """
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "source_id"))
-    origins_ = scores.select("query_id", "source_id", "total", place.alias("place")).where(F.col("place") <= origins)
-    links, reach, frontier = adjacency(edges), None, origins_.select("query_id", "source_id")
-    for _ in range(hops):
-        step = frontier.join(links, "source_id")
-        reach = step if reach is None else reach.union(step)
-        frontier = step.select("query_id", F.col("neighbor").alias("source_id")).distinct()
-    lists = reach.distinct().groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "neighbor", "strength"))).alias("links"))
-    folded = origins_.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "source_id", "total"))).alias("scores")).join(lists, "query_id", "left")
-    return folded.mapInArrow(_spread(hops), RESULT)
+    origins = settled(scores.where("total > 0").select("query_id", "source_id", "total", place.alias("place")))
+    position = F.struct(*edge_order)
+    both = edges.select("source_id", F.col("related_source_id").alias("neighbor"), "strength", position.alias("at")).union(edges.select("related_source_id", "source_id", "strength", position))
+    share = (F.lit(HOP_SHARE) * strength_weight()).alias("share")
+    links = settled(both.groupBy("source_id", "neighbor").agg(F.min_by("strength", "at").alias("strength")).select("source_id", "neighbor", share))
+    named = lambda df, names: df.select(*(F.col(a).alias(b) for a, b in names.items()))
+    payers = named(origins, {"query_id": "query_id", "source_id": "source_id", "place": "payer_place"}).join(links, "source_id")
+    earlier = payers.join(named(origins, {"query_id": "query_id", "source_id": "neighbor", "place": "place"}), ["query_id", "neighbor"]).where("payer_place < place")
+    earlier = settled(earlier.select("query_id", "source_id", "neighbor", "share"))
+    value = origins.select("query_id", "source_id", F.col("total").alias("value"))
+    while True:
+        paid = earlier.join(value, ["query_id", "source_id"]).groupBy("query_id", F.col("neighbor").alias("source_id")).agg(F.sum(F.col("value") * F.col("share")).alias("gain"))
+        now = settled(origins.join(paid, ["query_id", "source_id"], "left").select("query_id", "source_id", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("value")))
+        moved = now.join(value.withColumnRenamed("value", "before"), ["query_id", "source_id"]).agg(F.max(F.abs(F.col("value") - F.col("before")))).first()[0]
+        value = now
+        if not moved or moved <= exact:
+            break
+    gains = value.join(links, "source_id").groupBy("query_id", F.col("neighbor").alias("source_id")).agg(F.sum(F.col("value") * F.col("share")).alias("graph_bonus"))
+    shown = origins.select("query_id", "source_id", "total").join(gains, ["query_id", "source_id"], "full")
+    bonus = F.coalesce("graph_bonus", F.lit(0.0))
+    return shown.select("query_id", "source_id", (F.coalesce("total", F.lit(0.0)) + bonus).alias("total"), bonus.alias("graph_bonus"))

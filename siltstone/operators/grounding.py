@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,20 +20,29 @@ PARTIAL_TOTAL, PARTIAL_COVERAGE = 2.5, 0.35
 SET_COVERAGE, SET_DIRECT = 0.6, 2.5
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
+
+
 def packed(paragraph: str) -> list[str]:
-    """A paragraph in parts of at most SEGMENT_CHARS, by sentences where there are any."""
-    if len(paragraph) <= SEGMENT_CHARS:
+    """A paragraph in parts of at most SEGMENT_CHARS: as many whole sentences as fit, a longer sentence in slices of its own.
+
+    ``end[i]`` is how far sentences 0 to i reach when they are joined by spaces, so the last one that fits is found by bisection.
+    """
+    sentences = [s.strip() for s in SENTENCE_END.split(paragraph) if s.strip()]
+    if len(paragraph) <= SEGMENT_CHARS or not sentences:
         return [paragraph]
-    parts: list[str] = [""]
-    for sentence in filter(None, (s.strip() for s in re.split(r"(?<=[.!?。！？])\s+", paragraph))):
-        joined = f"{parts[-1]} {sentence}".strip()
-        if len(joined) <= SEGMENT_CHARS:
-            parts[-1] = joined
-        elif len(sentence) <= SEGMENT_CHARS:
-            parts.append(sentence)
+    end = [*accumulate(len(s) + 1 for s in sentences)]
+    parts, i = [], 0
+    while i < len(sentences):
+        start = end[i] - len(sentences[i]) - 1
+        fits = bisect_right(end, start + SEGMENT_CHARS + 1)
+        if fits > i:
+            parts.append(" ".join(sentences[i:fits]))
+            i = fits
         else:
-            parts += [sentence[i : i + SEGMENT_CHARS].strip() for i in range(0, len(sentence), SEGMENT_CHARS)] + [""]
-    return [p for p in parts if p] or [paragraph]
+            parts += [sentences[i][at : at + SEGMENT_CHARS].strip() for at in range(0, len(sentences[i]), SEGMENT_CHARS)]
+            i += 1
+    return [p for p in parts if p]
 
 
 def segmented(answer: str) -> tuple[list[str], int]:

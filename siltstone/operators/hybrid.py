@@ -13,21 +13,27 @@ CHANNELS = ["text", "render", "structure", "notes", "media"]
 def batch(queue: DataFrame) -> DataFrame:
     """(source_id, unit_id, source_place, place): the next units, of the first sources by priority, some of each.
 
-    ``queue``: source_id, unit_id, priority (of the unit). Sources come by their highest priority, then by id.
+    ``queue``: source_id, source_path, unit_id, priority (of the unit). Sources come by their highest priority, then by how many units remain, path and id.
     """
     within = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("priority"), "unit_id"))
     short = queue.withColumn("place", within).where(F.col("place") <= UNITS_PER_SOURCE)
-    first = short.groupBy("source_id").agg(F.max("priority").alias("best"), F.count("*").alias("n")).orderBy(F.desc("best"), "source_id").limit(SOURCES_MOST)
-    order = Window.orderBy(F.desc("best"), "source_id")  # SOURCES_MOST rows
+    keys = [F.desc("best"), F.desc("remaining"), F.col("source_path"), F.col("source_id")]
+    left = queue.groupBy("source_id").agg(F.max("priority").alias("best"), F.count("*").alias("remaining"), F.min("source_path").alias("source_path"))
+    first = left.withColumn("n", F.least("remaining", F.lit(UNITS_PER_SOURCE))).orderBy(*keys).limit(SOURCES_MOST)
+    order = Window.orderBy(*keys)  # SOURCES_MOST rows
     fitting = first.withColumns({"source_place": F.row_number().over(order), "so_far": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))}).where(F.col("so_far") <= UNITS_MOST)
     return short.join(fitting.select("source_id", "source_place"), "source_id").select("source_id", "unit_id", "source_place", "place")
 
 
 def coverage(queue: DataFrame, by: str) -> DataFrame:
-    """(by, units, covered, stale, blocked, mode): how far each group has come."""
+    """(by, units, covered, blocked, remaining, mode): how far each group has come. A unit that is neither covered nor blocked remains."""
     count = lambda s: F.count_if(F.col("state") == s)
-    rolled = queue.groupBy(by).agg(F.count("*").alias("units"), count("covered").alias("covered"), count("stale").alias("stale"), count("blocked").alias("blocked"))
-    mode = F.when(F.col("covered") == F.col("units"), "covered").when(F.col("blocked") == F.col("units"), "blocked").when(F.col("covered") + F.col("stale") > 0, "partial").otherwise("candidate")
+    rolled = queue.groupBy(by).agg(F.count("*").alias("units"), count("covered").alias("covered"), count("blocked").alias("blocked"))
+    rolled = rolled.withColumn("remaining", F.col("units") - F.col("covered") - F.col("blocked"))
+    mode = (
+        F.when(F.col("units") == 0, "not-needed").when((F.col("remaining") == 0) & (F.col("blocked") == 0), "covered")
+        .when((F.col("covered") == 0) & (F.col("blocked") == 0), "candidate-prepared").otherwise("partially-covered")
+    )
     return rolled.withColumn("mode", mode)
 
 

@@ -38,19 +38,25 @@ def history(turns: DataFrame) -> DataFrame:
 
 
 def warm_starts(questions: DataFrame, top: int = 3, least: int = 2) -> DataFrame:
-    """(conv_id, turn, near_conv, near_turn, shared, place): earlier questions that share most distinct words.
+    """(conv_id, turn, near_conv, near_turn, shared, place): earlier questions of the same domain that share most distinct words, of equals the latest.
 
-    Only words of six letters or more that are no stop words make pairs; questions meet by an equi-join on them.
-    ``questions``: conv_id, turn, words (distinct).
+    All words count. Two questions that share ``least`` words share one at least beside each one's ``least - 1`` most frequent words, so questions meet on the
+    others (an equi-join) and the shared words of those that met are counted whole. ``questions``: conv_id, turn, domain, words (distinct).
     """
-    from siltstone.functions.text import STOPWORDS
-
-    words = questions.select("conv_id", "turn", F.explode("words").alias("word")).where(~F.col("word").isin(STOPWORDS) & (F.length("word") >= 6))
-    a, b = words.alias("a"), words.alias("b")
+    each = questions.select("conv_id", "turn", "domain", F.size("words").alias("n"), F.explode("words").alias("word"))
+    common = each.groupBy("domain", "word").agg(F.count("*").alias("df"))
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), F.lit(1), F.greatest(F.col("n") - least + 1, F.lit(0)))
+    keys = each.join(common, ["domain", "word"]).groupBy("conv_id", "turn", "domain", "n").agg(rarest.alias("rare")).select("conv_id", "turn", "domain", F.explode("rare.word").alias("word"))
+    a, b = keys.alias("a"), keys.alias("b")
     earlier = F.struct("b.conv_id", "b.turn") < F.struct("a.conv_id", "a.turn")
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier).groupBy("a.conv_id", "a.turn", F.col("b.conv_id").alias("near_conv"), F.col("b.turn").alias("near_turn")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    order = Window.partitionBy("conv_id", "turn").orderBy(F.desc("shared"), "near_conv", "near_turn")
-    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.domain") == F.col("b.domain")) & earlier)
+    met = met.select("a.conv_id", "a.turn", F.col("b.conv_id").alias("near_conv"), F.col("b.turn").alias("near_turn")).distinct()
+    words = questions.select("conv_id", "turn", "words")
+    near = words.select(F.col("conv_id").alias("near_conv"), F.col("turn").alias("near_turn"), F.col("words").alias("near_words"))
+    shared = F.size(F.array_intersect("words", "near_words")).cast("long")
+    counted = met.join(words, ["conv_id", "turn"]).join(near, ["near_conv", "near_turn"]).select("conv_id", "turn", "near_conv", "near_turn", shared.alias("shared")).where(F.col("shared") >= least)
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.desc("shared"), F.desc("near_conv"), F.desc("near_turn"))
+    return counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
 def latest(rows: DataFrame, key: list[str], at: list[str]) -> DataFrame:

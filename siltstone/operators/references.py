@@ -5,34 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import tokens
+from siltstone.functions.text import normalized, tokens
 
 #: A path weighs more than a title; a winner leads by this much or by this factor.
 PATH_WEIGHT, TITLE_WEIGHT, GAP, RATIO = 90.0, 72.0, 8.0, 1.25
 
 
 def alias_matches(questions: DataFrame, aliases: DataFrame, least: float = 0.5) -> DataFrame:
-    """(question_id, source_id, basis, score): aliases whose words the question has, all or at least half.
+    """(question_id, source_id, basis, exact, score): aliases that a question contains as a phrase, or of whose words it has at least half.
 
-    Questions and aliases meet on words (an equi-join); the share of an alias' distinct words that a question has scales its weight.
-    ``questions``: question_id, text. ``aliases``: source_id, alias, basis (path or title).
+    A phrase counts whole (if the alias may be exact: not a single character, nor two bare letters), a share of two words or more in proportion, to three places.
+    An alias of n distinct words needs n * least of them, so a question that matches has one at least of the rarest n - ceil(n * least) + 1: questions and
+    aliases meet on those alone, and the share is counted on what has met. ``questions``: question_id, text. ``aliases``: source_id, alias, basis (path or title).
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
     words = F.array_distinct(tokens(F.col("alias")))
-    known = aliases.select("source_id", "alias", "basis", F.size(words).alias("n"), F.explode(words).alias("word"))
-    hits = known.join(asked, "word").groupBy("question_id", "source_id", "basis", "alias", "n").agg(F.count("*").alias("met"))
-    share = F.col("met") / F.col("n")
+    known = aliases.select("source_id", "alias", "basis", normalized(F.col("alias")).alias("phrase"), words.alias("words")).where(F.size("words") > 0)
+    common = known.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    each = known.select("source_id", "basis", "alias", F.size("words").alias("n"), F.explode("words").alias("word")).join(common, "word")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("df", "word"))), F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
+    prefix = each.groupBy("source_id", "basis", "alias", "n").agg(rarest.alias("rare")).select("source_id", "basis", "alias", F.explode("rare.word").alias("word"))
+    asked = questions.select("question_id", normalized(F.col("text")).alias("asked"), F.array_distinct(tokens(F.col("text"))).alias("asked_words"))
+    wanted = asked.select("question_id", F.explode("asked_words").alias("word"))
+    met = wanted.join(prefix, "word").select("question_id", "source_id", "basis", "alias").distinct()
+    both = met.join(known, ["source_id", "basis", "alias"]).join(asked, "question_id")
+    one = F.element_at("words", 1)
+    bare = (F.size("words") == 1) & ((F.length(one) <= 1) | ((F.length(one) == 2) & one.rlike("^[a-z]+$") & ~F.col("alias").rlike("[/.]")))
+    exact = ~bare & F.concat(F.lit(" "), "asked", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    share = F.size(F.array_intersect("words", "asked_words")) / F.size("words")
     weight = F.when(F.col("basis") == "path", PATH_WEIGHT).otherwise(TITLE_WEIGHT)
-    return hits.where(share >= least).groupBy("question_id", "source_id", "basis").agg(F.max(weight * share).alias("score"))
+    score = F.when(exact, weight).when((F.size("words") >= 2) & (share >= least), F.round(weight * share, 3))
+    scored = both.select("question_id", "source_id", "basis", exact.alias("exact"), score.alias("score")).where("score is not null")
+    return scored.groupBy("question_id", "source_id", "basis").agg(F.max(F.struct("score", "exact")).alias("m")).select("question_id", "source_id", "basis", "m.exact", "m.score")
 
 
 def winners(candidates: DataFrame) -> DataFrame:
-    """(question_id, source_id, score, runner_up, status): the best source; exact if it leads clearly, else ambiguous."""
-    best = candidates.groupBy("question_id", "source_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source_id")
-    ranked = best.withColumns({"place": F.row_number().over(order), "runner_up": F.lead("score").over(order)}).where("place = 1").drop("place")
-    clear = F.col("runner_up").isNull() | (F.col("score") - F.col("runner_up") >= GAP) | (F.col("score") >= RATIO * F.col("runner_up"))
-    return ranked.withColumn("status", F.when(clear, "exact").otherwise("ambiguous"))
+    """(question_id, source_id, score, runner_up, status): the best source; exact if it leads clearly, else ambiguous.
+
+    Alone it leads with any score over 0. Beside another it must be ahead, and be the only one of the two whose alias stands in the question, or lead by a gap or a factor.
+    """
+    best = candidates.groupBy("question_id", "source_id").agg(F.max(F.struct("score", "exact")).alias("m")).select("question_id", "source_id", "m.score", "m.exact")
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("exact"), "source_id")
+    ranked = best.withColumns({"place": F.row_number().over(order), "runner_up": F.lead("score").over(order), "other_exact": F.lead("exact").over(order)}).where("place = 1")
+    ahead = F.col("score") > F.col("runner_up")
+    led = (F.col("exact") & ~F.col("other_exact")) | (F.col("score") - F.col("runner_up") >= GAP) | (F.col("score") >= RATIO * F.col("runner_up"))
+    clear = F.when(F.col("runner_up").isNull(), F.col("score") > 0).otherwise(ahead & led)
+    return ranked.withColumn("status", F.when(clear, "exact").otherwise("ambiguous")).drop("place", "exact", "other_exact")
 
 
 def locator(text: Column, kind: str) -> Column:

@@ -94,7 +94,7 @@ def support_units(scored: DataFrame, with_artifacts: DataFrame, cited: DataFrame
 
 
 #: What the prior of a memory adds, and the words that its gate asks for.
-PRIOR = {"high": 0.8, "medium": 0.4, "low": 0.1}
+PRIOR = {"high": 1.2, "medium": 0.5, "low": 0.0}
 
 
 def memory_gate(rows: DataFrame) -> DataFrame:

@@ -34,10 +34,10 @@ def eval_checks(spark, sf_dir):
 
 
 def baseline_regressions(spark, sf_dir):
-    """Mean scores of the later half of the trials against those of the earlier half."""
+    """Mean scores of trials of odd documents against those of even ones."""
     labels = corpus.table(spark, sf_dir, "labels")
-    mean = lambda rows: rows.groupBy((F.col("doc_id") % 50).alias("case_id")).agg(F.round(F.sum("quality") / F.count("*"), 6).alias("score"))
-    return evaluation.regressions(mean(labels.where("doc_id % 3 = 0")), mean(labels.where("doc_id % 3 = 1 and doc_id % 50 <> 7")), 0.2)
+    mean = lambda rows: rows.groupBy(F.floor(F.col("doc_id") % 97 / 2).cast("long").alias("case_id")).agg(F.round(F.sum("quality") / F.count("*"), 6).alias("score"))
+    return evaluation.regressions(mean(labels.where("doc_id % 2 = 1")), mean(labels.where("doc_id % 2 = 0")), 0.2)
 
 
 QUERIES = {f.__name__: f for f in (rubric_median_spread, eval_checks, baseline_regressions)}
@@ -48,6 +48,6 @@ SELECT case_id, dimension, count(*) AS trials, floor(median(score))::BIGINT AS m
     "eval_checks": f"""WITH {_TRACED}, d AS (SELECT DISTINCT answer_id, source_id, substr(source_id, 5)::BIGINT AS doc_id FROM p),
 c AS (SELECT answer_id, count(*) AS found, count(*) FILTER (doc_id % 2 = 0) AS overlap, count(*) FILTER (doc_id < 100) AS forbidden_found FROM d GROUP BY 1)
 SELECT 'a-' || item_id AS case_id, coalesce(found, 0)::BIGINT AS found, coalesce(overlap, 0)::BIGINT AS overlap, coalesce(forbidden_found, 0)::BIGINT AS forbidden_found, coalesce(overlap, 0) >= 1 AND coalesce(forbidden_found, 0) = 0 AS passed FROM benchmark LEFT JOIN c ON answer_id = 'a-' || item_id""",
-    "baseline_regressions": """WITH n AS (SELECT doc_id % 50 AS case_id, round(sum(quality) / count(*), 6) AS score FROM labels WHERE doc_id % 3 = 0 GROUP BY 1), b AS (SELECT doc_id % 50 AS case_id, round(sum(quality) / count(*), 6) AS base_score FROM labels WHERE doc_id % 3 = 1 AND doc_id % 50 <> 7 GROUP BY 1)
+    "baseline_regressions": """WITH n AS (SELECT (doc_id % 97) // 2 AS case_id, round(sum(quality) / count(*), 6) AS score FROM labels WHERE doc_id % 2 = 1 GROUP BY 1), b AS (SELECT (doc_id % 97) // 2 AS case_id, round(sum(quality) / count(*), 6) AS base_score FROM labels WHERE doc_id % 2 = 0 GROUP BY 1)
 SELECT case_id, score, base_score, CASE WHEN base_score IS NULL THEN 'new' WHEN score - base_score < -0.2 THEN 'regressed' WHEN score - base_score > 0.2 THEN 'improved' ELSE 'steady' END AS status FROM n LEFT JOIN b USING (case_id)""",
 }

@@ -19,9 +19,9 @@ def turn_reconstruction(spark, sf_dir):
 
 
 def interaction_dedup(spark, sf_dir):
-    """Rows of the same role that begin with the same twelve characters, one of each."""
+    """Rows of the same role and text, one of each."""
     log = _log(spark, sf_dir).withColumn("promoted", F.col("turn") % 3 == 0)
-    kept = interactions.without_duplicates(log, [F.col("role"), F.lower(F.substring("text", 1, 12))], "promoted", [F.col("conv_id"), F.col("turn")])
+    kept = interactions.without_duplicates(log, [F.col("role"), F.coalesce("text", F.lit(""))], "promoted", [F.col("conv_id"), F.col("turn")])
     return kept.select("conv_id", "turn", "signature", "copies", "any_promoted")
 
 
@@ -39,9 +39,9 @@ def overlay_union(spark, sf_dir):
 
 def _questions(spark, sf_dir):
     """Benchmark items as questions that name a document's path or line."""
-    n = F.col("item_id") * 7 % 200
-    items = corpus.table(spark, sf_dir, "benchmark").withColumn("n", n)
-    docs = corpus.sources(spark, sf_dir).select(F.col("doc_id").alias("n"), "source_id", "title", "current_path")
+    docs = corpus.sources(spark, sf_dir).select("doc_id", F.col("doc_id").alias("n"), "source_id", "title", "current_path")
+    last = docs.agg((F.max("doc_id") + 1).alias("last"))
+    items = corpus.table(spark, sf_dir, "benchmark").join(F.broadcast(last)).withColumn("n", F.col("item_id") * 7919 % F.col("last"))  # one row
     text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("what does line "), (F.col("item_id") % 9 + 1).cast("string"), F.lit(" of "), "current_path", F.lit(" say"))).otherwise(F.concat(F.lit("Summarise: "), "title"))
     return items.select("item_id", "n").join(docs, "n").select(F.concat(F.lit("q-"), "item_id").alias("question_id"), "source_id", text.alias("text"))
 
@@ -73,8 +73,8 @@ def column_profile(spark, sf_dir):
 
 def _boxes(spark, sf_dir, caption: bool):
     """Line items laid out on pages: every fourth is a caption."""
-    items = corpus.table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
-    k = F.col("l_orderkey")
+    items = corpus.table(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     x, y = (k * 37 % 400).cast("double"), (k * 53 % 700).cast("double")
     rows = items.select(F.floor(k / 16).alias("page"), k.alias("id"), x.alias("x0"), y.alias("y0"), (x + (k * 11 % 150) + 20).alias("x1"), (y + 12 + (k * 7 % 60)).alias("y1"))
     return rows.where((F.col("id") % 4 == 0) if caption else (F.col("id") % 4 != 0))
@@ -90,10 +90,10 @@ def continuation_links(spark, sf_dir):
 
 
 def _queue(spark, sf_dir):
-    units = corpus.units(spark, sf_dir)
+    units = corpus.units(spark, sf_dir).withColumn("source_path", F.concat(F.lit("units/"), "source_id"))
     n = F.length("text") % 7
     state = F.when(n < 2, "covered").when(n == 2, "stale").when(n == 3, "blocked").otherwise("pending")
-    return units.select("source_id", "unit_id", F.length("text").cast("long").alias("priority"), state.alias("state"))
+    return units.select("source_id", "source_path", "unit_id", F.length("text").cast("long").alias("priority"), state.alias("state"))
 
 
 def lane_batch(spark, sf_dir):
@@ -118,46 +118,50 @@ QUERIES = {
     for f in (turn_reconstruction, interaction_dedup, memory_semantics_fold, overlay_union, alias_match, clear_winner, locator_match, column_profile, caption_nearest, continuation_links, lane_batch, hybrid_coverage, channel_plan)
 }
 
-_Q = f"""{DUCK_SOURCES}, qs AS (SELECT 'q-' || item_id AS question_id, source_id, CASE WHEN item_id % 2 = 0 THEN 'what does line ' || (item_id % 9 + 1) || ' of ' || current_path || ' say' ELSE 'Summarise: ' || title END AS text FROM benchmark JOIN sources ON doc_id = item_id * 7 % 200)"""
+_Q = f"""{DUCK_SOURCES}, qs AS (SELECT 'q-' || item_id AS question_id, source_id, CASE WHEN item_id % 2 = 0 THEN 'what does line ' || (item_id % 9 + 1) || ' of ' || current_path || ' say' ELSE 'Summarise: ' || title END AS text FROM benchmark JOIN sources ON doc_id = item_id * 7919 % (SELECT max(doc_id) + 1 FROM documents))"""
 _M = f"""{_Q}, ak AS (SELECT source_id, current_path AS alias, 'path' AS basis FROM sources UNION ALL SELECT source_id, title, 'title' FROM sources),
 kn AS (SELECT source_id, alias, basis, list_distinct({duck_tokens('alias')}) AS w FROM ak), kw AS (SELECT source_id, alias, basis, len(w) AS n, unnest(w) AS word FROM kn),
 aw AS (SELECT question_id, unnest(list_distinct({duck_tokens('text')})) AS word FROM qs),
 hi AS (SELECT question_id, source_id, basis, alias, n, count(*) AS met FROM kw JOIN aw USING (word) GROUP BY ALL),
-ma AS (SELECT question_id, source_id, basis, max(CASE WHEN basis = 'path' THEN 90 ELSE 72 END::DOUBLE * (met / n)) AS score FROM hi WHERE met / n >= 0.5 GROUP BY ALL)"""
+ha AS (SELECT *, CASE WHEN basis = 'path' THEN 90 ELSE 72 END::DOUBLE AS weight, array_to_string({duck_tokens('alias')}, ' ') AS phrase, met / n AS share FROM hi),
+hx AS (SELECT ha.*, contains(' ' || array_to_string({duck_tokens('qs.text')}, ' ') || ' ', ' ' || phrase || ' ')
+  AND NOT (n = 1 AND (length(phrase) <= 1 OR (length(phrase) = 2 AND regexp_full_match(phrase, '[a-z]+') AND NOT regexp_matches(alias, '[/.]')))) AS exact FROM ha JOIN qs USING (question_id)),
+hs AS (SELECT *, CASE WHEN exact THEN weight WHEN n >= 2 AND share >= 0.5 THEN round(weight * share, 3) END AS score FROM hx),
+ma AS (SELECT question_id, source_id, basis, max(score) AS score, arg_max(exact, score * 2 + exact::INT) AS exact FROM hs WHERE score IS NOT NULL GROUP BY ALL)"""
 _U = f"""{DUCK_SOURCES}, {DUCK_UNITS}, qu AS (SELECT source_id, unit_id, length(text)::BIGINT AS priority, CASE WHEN length(text) % 7 < 2 THEN 'covered' WHEN length(text) % 7 = 2 THEN 'stale' WHEN length(text) % 7 = 3 THEN 'blocked' ELSE 'pending' END AS state FROM units)"""
 _KIND = r"CASE WHEN regexp_matches(text, '\?\s*$') THEN 'clarification' WHEN length(text) < 80 THEN 'preference' WHEN regexp_matches(text, '\d') THEN 'constraint' WHEN length(text) > 400 THEN 'working-note' ELSE 'operator-intent' END"
 ORACLES = {
     "turn_reconstruction": """WITH n AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations),
 h AS (SELECT conv_id, turn_no::BIGINT AS turn_no, min(turn) AS opened, max(turn) AS closed, count(*) FILTER (role = 'assistant') AS answers, sum(length(text))::BIGINT AS n_chars FROM n GROUP BY 1, 2)
 SELECT *, CASE WHEN turn_no = 0 THEN 'preamble' WHEN answers > 0 THEN 'completed' WHEN turn_no = max(turn_no) OVER (PARTITION BY conv_id) THEN 'open' ELSE 'superseded' END AS closure FROM h""",
-    "interaction_dedup": """WITH k AS (SELECT *, sha256(role || '|' || lower(substr(text, 1, 12))) AS signature, turn % 3 = 0 AS promoted FROM conversations),
+    "interaction_dedup": """WITH k AS (SELECT *, sha256(role || '|' || coalesce(text, '')) AS signature, turn % 3 = 0 AS promoted FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY conv_id, turn) AS place, count(*) OVER (PARTITION BY signature) AS copies, bool_or(promoted) OVER (PARTITION BY signature) AS any_promoted FROM k)
 SELECT conv_id, turn, signature, copies, any_promoted FROM r WHERE place = 1""",
     "memory_semantics_fold": rf"""WITH e AS (SELECT *, {_KIND} AS kind, NOT regexp_matches(text, '\?') AS certain FROM conversations WHERE role = 'user')
 SELECT conv_id, count(*) AS entries, arg_min(kind, list_position(['constraint', 'preference', 'clarification', 'operator-intent', 'working-note'], kind)) AS kind, bool_and(certain) AS certain, sha256(string_agg(sha256(turn || '|' || kind), '' ORDER BY sha256(turn || '|' || kind))) AS digest FROM e GROUP BY 1""",
     "overlay_union": f"""WITH {DUCK_SOURCES}, {DUCK_UNITS}, o AS (SELECT 'doc-' || conv_id AS source_id, 'line-' || lpad((turn + 1)::VARCHAR, 4, '0') AS unit_id, md5(text) AS digest, 'interaction' AS family FROM conversations)
 SELECT source_id, unit_id, md5(text) AS digest, 'corpus' AS family FROM units ANTI JOIN o USING (source_id, unit_id) UNION ALL SELECT * FROM o""",
-    "alias_match": f"WITH {_M} SELECT question_id, source_id, basis, round(score, 6) AS score FROM ma",
-    "clear_winner": f"""WITH {_M}, b AS (SELECT question_id, source_id, max(score) AS score FROM ma GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS runner_up FROM b WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, source_id))
-SELECT question_id, source_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, CASE WHEN runner_up IS NULL OR score - runner_up >= 8 OR score >= 1.25 * runner_up THEN 'exact' ELSE 'ambiguous' END AS status FROM r WHERE place = 1""",
+    "alias_match": f"WITH {_M} SELECT question_id, source_id, basis, exact, round(score, 6) AS score FROM ma",
+    "clear_winner": f"""WITH {_M}, b AS (SELECT question_id, source_id, max(score) AS score, arg_max(exact, score * 2 + exact::INT) AS exact FROM ma GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS runner_up, lead(exact) OVER w AS other FROM b WINDOW w AS (PARTITION BY question_id ORDER BY score DESC, exact DESC, source_id))
+SELECT question_id, source_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, CASE WHEN (runner_up IS NULL AND score > 0) OR (score > runner_up AND ((exact AND NOT other) OR score - runner_up >= 8 OR score >= 1.25 * runner_up)) THEN 'exact' ELSE 'ambiguous' END AS status FROM r WHERE place = 1""",
     "locator_match": rf"""WITH {_Q}, {DUCK_UNITS}, a AS (SELECT question_id, source_id, try_cast(nullif(regexp_extract(lower(text), '\blines?[ #-]*0*([0-9]+)', 1), '') AS BIGINT) AS line FROM qs)
 SELECT question_id, source_id, unit_id FROM a JOIN units USING (source_id) WHERE line = ordinal""",
     "column_profile": """WITH r AS (SELECT l_suppkey % 50 AS sheet, l_returnflag AS "column", l_quantity AS value, row_number() OVER (PARTITION BY l_suppkey % 50, l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
 p AS (SELECT sheet, "column", count(*) AS n_values, min(value) AS least, max(value) AS most, sum(value::DECIMAL(18,4))::DOUBLE / count(*) AS mean FROM r WHERE n <= 25 GROUP BY 1, 2)
 SELECT sheet, "column", n_values, least, most, round(mean, 6) AS mean, most > 1.8 * mean OR least < 0.2 * mean AS odd FROM p""",
-    "caption_nearest": """WITH b AS (SELECT l_orderkey // 16 AS page, l_orderkey AS id, (l_orderkey * 37 % 400)::DOUBLE AS x0, (l_orderkey * 53 % 700)::DOUBLE AS y0 FROM lineitem WHERE l_linenumber = 1),
+    "caption_nearest": """WITH k AS (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem), b AS (SELECT id // 16 AS page, id, (id * 37 % 400)::DOUBLE AS x0, (id * 53 % 700)::DOUBLE AS y0 FROM k),
 x AS (SELECT *, x0 + (id * 11 % 150) + 20 AS x1, y0 + 12 + (id * 7 % 60) AS y1 FROM b),
 n AS (SELECT c.page, c.id AS caption_id, f.id AS figure_id, greatest(c.y0 - f.y1, f.y0 - c.y1, 0.0)::DOUBLE AS gap FROM x c JOIN x f ON c.page = f.page AND c.id % 4 = 0 AND f.id % 4 <> 0 AND least(c.x1, f.x1) - greatest(c.x0, f.x0) > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY page, caption_id ORDER BY gap, figure_id) AS place FROM n WHERE gap <= 88) SELECT page, caption_id, figure_id, gap FROM o WHERE place = 1""",
     "continuation_links": """WITH d AS (SELECT DISTINCT l_suppkey AS doc, l_orderkey // 100 AS page, l_returnflag AS kind FROM lineitem), r AS (SELECT *, page - row_number() OVER (PARTITION BY doc, kind ORDER BY page) AS run FROM d)
 SELECT doc, kind, min(page) AS first_page, count(*) AS pages FROM r GROUP BY doc, kind, run HAVING count(*) > 1""",
     "lane_batch": f"""WITH {_U}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY priority DESC, unit_id) AS place FROM qu WHERE state = 'pending') WHERE place <= 3),
-f AS (SELECT source_id, max(priority) AS best, count(*) AS n FROM s GROUP BY 1 ORDER BY best DESC, source_id LIMIT 4),
-g AS (SELECT *, row_number() OVER (ORDER BY best DESC, source_id) AS source_place, sum(n) OVER (ORDER BY best DESC, source_id ROWS UNBOUNDED PRECEDING) AS so_far FROM f)
+f AS (SELECT source_id, max(priority) AS best, count(*) AS remaining, least(count(*), 3) AS n FROM qu WHERE state = 'pending' GROUP BY 1 ORDER BY best DESC, remaining DESC, source_id LIMIT 4),
+g AS (SELECT *, row_number() OVER (ORDER BY best DESC, remaining DESC, source_id) AS source_place, sum(n) OVER (ORDER BY best DESC, remaining DESC, source_id ROWS UNBOUNDED PRECEDING) AS so_far FROM f)
 SELECT source_id, unit_id, source_place::INT AS source_place, place::INT AS place FROM s JOIN g USING (source_id) WHERE so_far <= 12""",
-    "hybrid_coverage": f"""WITH {_U}, c AS (SELECT source_id, count(*) AS units, count(*) FILTER (state = 'covered') AS covered, count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'blocked') AS blocked FROM qu GROUP BY 1)
-SELECT *, CASE WHEN covered = units THEN 'covered' WHEN blocked = units THEN 'blocked' WHEN covered + stale > 0 THEN 'partial' ELSE 'candidate' END AS mode FROM c""",
+    "hybrid_coverage": f"""WITH {_U}, c AS (SELECT source_id, count(*) AS units, count(*) FILTER (state = 'covered') AS covered, count(*) FILTER (state = 'blocked') AS blocked, count(*) FILTER (state NOT IN ('covered', 'blocked')) AS remaining FROM qu GROUP BY 1)
+SELECT *, CASE WHEN remaining = 0 AND blocked = 0 THEN 'covered' WHEN covered = 0 AND blocked = 0 THEN 'candidate-prepared' ELSE 'partially-covered' END AS mode FROM c""",
     "channel_plan": """WITH w AS (SELECT conv_id AS query_id, ['text', 'render', 'structure', 'notes', 'media'][1 : count(*) % 4 + 1] AS channels, list_distinct(list(CASE WHEN role = 'user' THEN 'text' WHEN turn % 4 = 1 THEN 'structure' ELSE 'render' END)) AS got FROM conversations GROUP BY conv_id),
 m AS (SELECT *, list_sort(list_filter(channels, lambda x: NOT list_contains(got, x))) AS missing FROM w)
 SELECT query_id, len(channels)::BIGINT AS wanted, (len(channels) - len(missing))::BIGINT AS matched, array_to_string(missing, ',') AS missing, len(missing) = 0 AS sufficient FROM m""",

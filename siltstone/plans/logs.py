@@ -41,7 +41,7 @@ def answer_history(spark, sf_dir):
 
 
 def warm_start(spark, sf_dir):
-    questions = corpus.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_distinct(tokens(F.col("text"))).alias("words"))
+    questions = corpus.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", (F.col("conv_id") % 4).alias("domain"), F.array_distinct(tokens(F.col("text"))).alias("words"))
     return logs.warm_starts(questions).withColumn("place", F.col("place").cast("long"))
 
 
@@ -65,7 +65,7 @@ def release_upsert(spark, sf_dir):
     """Orders of even keys are the table, those of odd keys with the number halved the updates: new values win, missing ones keep the old."""
     orders = corpus.table(spark, sf_dir, "orders")
     old = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("channel"), F.col("o_orderstatus").alias("version"), F.col("o_orderpriority").alias("asset"))
-    new = orders.where("o_orderkey % 6 = 1").select((F.col("o_orderkey") - 1).alias("channel"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("version"), F.col("o_orderpriority").alias("asset"))
+    new = orders.where("o_orderkey % 2 = 1").select((F.col("o_orderkey") - 1).alias("channel"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("version"), F.col("o_orderpriority").alias("asset"))
     both = old.alias("o").join(new.alias("n"), "channel", "full")
     return both.select("channel", F.coalesce("n.version", "o.version").alias("version"), F.coalesce("n.asset", "o.asset").alias("asset"), F.col("n.asset").isNotNull().alias("touched"))
 
@@ -82,14 +82,14 @@ SELECT hour, count(*) AS failures, min(event_id) AS first_id, max(event_id) AS l
 o AS (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY severity DESC, event_id DESC) AS place FROM r)
 SELECT conversation, count(*) AS signals, max(severity) AS severity, max(reason) FILTER (place = 1) AS reason, max(event_id) AS last_event FROM o GROUP BY 1""",
     "answer_history": """SELECT conv_id, turn, md5(text) AS question, (SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.role = 'assistant') AS answer_turn FROM conversations a WHERE role = 'user'""",
-    "warm_start": f"""WITH w AS (SELECT conv_id, turn, unnest(list_distinct({duck_tokens('text')})) AS word FROM conversations WHERE role = 'user'), k AS (SELECT * FROM w WHERE length(word) >= 6),
-m AS (SELECT a.conv_id, a.turn, b.conv_id AS near_conv, b.turn AS near_turn, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND (b.conv_id < a.conv_id OR (b.conv_id = a.conv_id AND b.turn < a.turn)) GROUP BY ALL HAVING count(*) >= 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, near_conv, near_turn) AS place FROM m) WHERE place <= 3""",
+    "warm_start": f"""WITH k AS (SELECT conv_id, turn, conv_id % 4 AS domain, unnest(list_distinct({duck_tokens('text')})) AS word FROM conversations WHERE role = 'user'),
+m AS (SELECT a.conv_id, a.turn, b.conv_id AS near_conv, b.turn AS near_turn, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND a.domain = b.domain AND (b.conv_id < a.conv_id OR (b.conv_id = a.conv_id AND b.turn < a.turn)) GROUP BY ALL HAVING count(*) >= 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, near_conv DESC, near_turn DESC) AS place FROM m) WHERE place <= 3""",
     "ledger_latest": f"WITH {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM ev) SELECT user_id, event_type, event_id, round(value, 6) AS value FROM o WHERE place = 1",
     "phase_costs": """WITH t AS (SELECT user_id AS run, event_type AS phase, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000000 AS taken FROM events)
 SELECT run, phase, sum(round(taken * 1000)::BIGINT)::BIGINT AS milliseconds, count(*) AS times FROM t WHERE taken <= 36000 GROUP BY 1, 2""",
     "daily_activity_dedup": "SELECT strftime(ts, '%Y-%m-%d') AS event_day, user_id, event_type, min(event_id) AS event_id, count(*) AS tries FROM events GROUP BY 1, 2, 3",
     "release_upsert": """WITH o AS (SELECT o_orderkey AS channel, o_orderstatus AS version, o_orderpriority AS asset FROM orders WHERE o_orderkey % 2 = 0),
-n AS (SELECT o_orderkey - 1 AS channel, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS version, o_orderpriority AS asset FROM orders WHERE o_orderkey % 6 = 1)
+n AS (SELECT o_orderkey - 1 AS channel, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS version, o_orderpriority AS asset FROM orders WHERE o_orderkey % 2 = 1)
 SELECT channel, coalesce(n.version, o.version) AS version, coalesce(n.asset, o.asset) AS asset, n.asset IS NOT NULL AS touched FROM o FULL JOIN n USING (channel)""",
 }

@@ -31,7 +31,7 @@ def _lexical_sql(name: str, records: str, keys: str, fields: dict[str, float]) -
 
 
 #: The source table with the names of the scored fields.
-_FIELDS_SQL = "scored AS (SELECT source_id, title, substr(text, 1, 400) AS summary, current_path AS path FROM sources)"
+_FIELDS_SQL = "scored AS (SELECT source_id, title, text AS summary, current_path AS path FROM sources)"
 _ALL_SQL = ",\n".join(
     [DUCK_SOURCES, DUCK_UNITS, DUCK_ARTIFACTS, DUCK_EDGES, _terms_sql(), _FIELDS_SQL]
     + [_lexical_sql("s", "scored", "source_id", retrieval.SOURCE_FIELDS), _lexical_sql("u", "units", "source_id, unit_id", retrieval.UNIT_FIELDS), _lexical_sql("a", "artifacts", "source_id, artifact_id", retrieval.ARTIFACT_FIELDS)]
@@ -48,7 +48,7 @@ _ALL_SQL = ",\n".join(
 
 
 def _scored_sources(spark, sf_dir):
-    return corpus.sources(spark, sf_dir).select("source_id", "title", F.substring("text", 1, 400).alias("summary"), F.col("current_path").alias("path"))
+    return corpus.sources(spark, sf_dir).select("source_id", "title", F.col("text").alias("summary"), F.col("current_path").alias("path"))
 
 
 def _citations(spark, sf_dir):
@@ -100,7 +100,8 @@ def graph_hop1_all(spark, sf_dir):
 
 
 def graph_propagation_seq(spark, sf_dir):
-    return graph.in_order(_scores(spark, sf_dir), corpus.edges(spark, sf_dir), hops=2)
+    scores = _scores(spark, sf_dir).where("lexical_source + lexical_units + lexical_artifacts > 0")
+    return _shown(graph.in_order(scores, corpus.edges(spark, sf_dir), ["relation_type", "source_id", "related_source_id"]), "total", "graph_bonus")
 
 
 def compare_bonus(spark, sf_dir):
@@ -167,7 +168,7 @@ r AS (SELECT conv_id, turn, ['interaction-memory', 'interaction-pending', 'corpu
   ['external-factual', 'workspace-corpus', 'general-stable', 'composition'][(n + turn) % 4 + 1] AS domain, (n % 9) * 0.75 AS lexical FROM t),
 g AS (SELECT *, family = 'corpus' OR NOT (domain = 'external-factual' OR (domain = 'workspace-corpus' AND mode = 'minimal') OR (mode = 'minimal' AND lexical < 2)
   OR (domain = 'general-stable' AND policy = 'contextual-only' AND lexical < 4) OR (domain = 'workspace-corpus' AND kind IN ('operator-intent', 'working-note') AND lexical < 3)) AS admitted FROM r)
-SELECT conv_id, turn, admitted, round(CASE WHEN family <> 'corpus' AND admitted THEN CASE prior WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.4 ELSE 0.1 END
+SELECT conv_id, turn, admitted, round(CASE WHEN family <> 'corpus' AND admitted THEN CASE prior WHEN 'high' THEN 1.2 WHEN 'medium' THEN 0.5 ELSE 0.0 END
   + CASE mode WHEN 'strong' THEN 0.4 + CASE WHEN relevant THEN 0.6 ELSE 0 END WHEN 'contextual' THEN 0.15 + CASE WHEN relevant THEN 0.35 ELSE 0 END - CASE WHEN policy = 'contextual-only' THEN 0.1 ELSE 0 END
     ELSE CASE WHEN policy = 'contextual-only' THEN -1.0 ELSE -0.4 END END ELSE 0 END::DOUBLE, 6) AS adjustment FROM g""",
     "support_tiers": f"""WITH {_ALL_SQL}, {_RANKED_SQL}, f AS (SELECT query_id, source_id FROM ranked WHERE place <= 10),

@@ -35,12 +35,35 @@ def test_term_counts_twice_at_most(spark):
 
 def test_propagation_follows_the_order_of_origins(spark):
     scores = spark.createDataFrame([("q", "a", 10.0), ("q", "b", 4.0)], "query_id string, source_id string, total double")
-    edges = spark.createDataFrame([("a", "b", "r", "high"), ("b", "c", "r", "medium")], "source_id string, related_source_id string, relation_type string, strength string")
-    got = {r["source_id"]: r["total"] for r in graph.in_order(scores, edges, hops=1).collect()}
+    edges = spark.createDataFrame([("a", "b", "q", "high"), ("a", "b", "r", "low"), ("b", "c", "r", "medium")], "source_id string, related_source_id string, relation_type string, strength string")
+    got = {r["source_id"]: r["total"] for r in graph.in_order(scores, edges, ["relation_type"]).collect()}
     b = 4.0 + 10 * 0.15 * 1.5  # a passes on first
     assert abs(got["b"] - b) < 1e-9 and abs(got["c"] - b * 0.15 * 0.8) < 1e-9 and abs(got["a"] - (10 + b * 0.15 * 1.5)) < 1e-9
 
 
+def test_propagation_against_a_walk_in_order(spark):
+    import random
+
+    rng = random.Random(4)
+    ids = [f"s{i:02d}" for i in range(30)]
+    given = {i: round(rng.uniform(0.5, 20), 3) for i in ids[:22]}
+    links = [(rng.choice(ids), rng.choice(ids), f"r{n}", rng.choice(["high", "medium", "low"])) for n in range(80)]
+    totals, weight = dict(given), {"high": 1.5, "medium": 0.8, "low": 0.5}
+    first = {}
+    for a, b, n, w in sorted(links, key=lambda e: e[2]):
+        first.setdefault((a, b), weight[w])
+        first.setdefault((b, a), weight[w])
+    for origin in sorted(given, key=lambda i: (-given[i], i)):
+        live = totals[origin]
+        for (a, b), w in first.items():
+            if a == origin:
+                totals[b] = totals.get(b, 0.0) + live * 0.15 * w
+    scores = spark.createDataFrame([("q", i, t) for i, t in given.items()], "query_id string, source_id string, total double")
+    edges = spark.createDataFrame(links, "source_id string, related_source_id string, relation_type string, strength string")
+    got = {r["source_id"]: r["total"] for r in graph.in_order(scores, edges, ["relation_type"]).collect()}
+    assert set(got) == set(totals) and all(abs(got[i] - totals[i]) < 1e-9 for i in totals)
+
+
 def test_segments_fit_their_budget():
     answer = "\n\n".join(f"Paragraph {i} says something. " * 3 for i in range(40))
     parts, before = grounding.segmented(answer)
@@ -78,8 +101,15 @@ def test_changes_of_every_class(spark):
 
 
 def test_clear_winner(spark):
-    df = spark.createDataFrame([("q", "a", 90.0), ("q", "b", 80.0), ("r", "a", 20.0), ("r", "b", 17.0), ("s", "a", 1.0)], "question_id string, source_id string, score double")
-    assert rows(references.winners(df), "question_id", "status") == [("q", "exact"), ("r", "ambiguous"), ("s", "exact")]
+    given = [("q", "a", 90.0, True), ("q", "b", 80.0, True), ("r", "a", 20.0, False), ("r", "b", 17.0, False), ("s", "a", 1.0, False), ("t", "a", 20.0, True), ("t", "b", 17.0, False), ("u", "a", 9.0, True), ("u", "b", 9.0, True), ("v", "a", 0.0, False)]
+    df = spark.createDataFrame(given, "question_id string, source_id string, score double, exact boolean")
+    assert rows(references.winners(df), "question_id", "status") == [("q", "exact"), ("r", "ambiguous"), ("s", "exact"), ("t", "exact"), ("u", "ambiguous"), ("v", "ambiguous")]
+
+
+def test_aliases_as_phrases_and_by_words(spark):
+    asked = spark.createDataFrame([("q", "what does the annual energy report say")], "question_id string, text string")
+    known = spark.createDataFrame([("a", "Annual-Energy Report", "title"), ("b", "energy plan", "path"), ("c", "report", "path"), ("d", "xy", "title"), ("e", "annual gas grid price", "title"), ("f", "the", "title")], "source_id string, alias string, basis string")
+    assert rows(references.alias_matches(asked, known), "source_id", "exact", "score") == [("a", True, 72.0), ("b", False, 45.0), ("c", True, 90.0), ("f", True, 72.0)]
 
 
 def test_continuations_need_adjacent_pages(spark):
