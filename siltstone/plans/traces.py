@@ -53,7 +53,7 @@ def support_ids(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (trace_states, support_ids)}
 
 _l = lambda xs: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
-_IDS = lambda c: f"(SELECT coalesce(string_agg(v, ',' ORDER BY at), '') FROM (SELECT {c} AS v, min(event_id) AS at FROM r x WHERE x.user_id = k.user_id AND {c} <> '' GROUP BY 1))"
+_IDS = lambda c: f"(SELECT coalesce(string_agg(v, ',' ORDER BY pos), '') FROM (SELECT {c} AS v, min(event_id) AS pos FROM r x WHERE x.user_id = k.user_id AND {c} <> '' GROUP BY 1))"
 ORACLES = {
     "trace_states": f"""WITH r AS (SELECT event_id, event_id AS e, user_id AS u, 's' || user_id % 9 AS source, CASE WHEN event_id % 3 > 0 THEN 's' || event_id % 9 END AS target, {_l(MODES)}[event_id % 3 + 1] AS match, CASE WHEN event_id % 4 = 0 THEN 0 ELSE round(value, 3) END::DOUBLE AS lexical,
   CASE WHEN event_id % 14 = 0 THEN [] ELSE ['s1', 's4'] END::VARCHAR[] AS compared, {_l(BASES)}[event_id % 5 + 1] AS basis, CASE event_id % 3 WHEN 1 THEN 'm.json' WHEN 2 THEN '' END AS manifest, {_l(STATES[:3])}[(user_id + event_id) % 3 + 1] AS kb, CASE WHEN event_id % 17 = 0 THEN {_l(STATES)}[user_id % 4 + 1] END AS declared,
