@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import changes, evaluation, grounding, interactions, logs, parsing, predicates, records, retrieval, reviews, rules, traces
+from siltstone.plans import changes, evaluation, grounding, interactions, links, logs, parsing, predicates, records, retrieval, reviews, rules, traces
 
-AREAS = (retrieval, grounding, changes, parsing, rules, logs, evaluation, interactions, predicates, traces, reviews, records)
+AREAS = (retrieval, grounding, changes, parsing, rules, logs, evaluation, interactions, predicates, traces, reviews, records, links)
 QUERIES: dict = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
