@@ -18,38 +18,47 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_fingerprints(spark, sf_dir):
+    """Fingerprints of every text and of its edited text; null texts count as empty, rows that repeat an id stay."""
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark, sf_dir):
+    """Every page written to archives and read back; null html is an empty payload."""
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
 def op4_substring_dedup(spark, sf_dir):
+    """One row for each passage of 50 words or more that an earlier place has as well; null texts and null ids have none."""
     return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark, sf_dir):
+    """A language for every document; ``und`` for texts that are null or have no letter."""
     return language_id.language_ids(_table(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark, sf_dir):
+    """Token ids of every text and what they decode to; null texts count as empty."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_embedding_dedup(spark, sf_dir):
+    """Links and components of all vectors; vectors without a label, a length or finite components link with nothing."""
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
 
 
 def op8_mixing(spark, sf_dir):
+    """How many words of each document the mix takes; a null source is a source of its own, the last."""
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark, sf_dir):
+    """As op4, by suffix arrays."""
     return suffixes.suffix_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_join(spark, sf_dir):
+    """Components of documents by sets of three-word shingles at 0.9; texts without words link with nothing."""
     return near_join.near_join(_table(spark, sf_dir, "documents"), 3, 90)
 
 
