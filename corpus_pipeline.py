@@ -26,10 +26,12 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks: the whole part of the rate, and one more drawn by its fraction; at most three times each."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with the ids of its whole text; null texts have none."""
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
