@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.repeats import first_places, shared_passages, thinned, without
 from siltstone.llm.shared import discard, slices, small_batches, text_or_empty, written
-from siltstone.llm.words import mix, powers, windows_of, words
+from siltstone.llm.words import covered, least, mix, powers, spans_in_words, windows_of, words
 
 CONTEXT, PERIOD = 4, 32
 CHUNKS = "digest long, doc_id long, at int, nth int, bytes int, back int, back_nth int"
@@ -43,13 +43,13 @@ def cuts(hashes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if n < reach:
         return (np.zeros(0, np.int64),) * 3
     gear = np.zeros(n, np.uint64)
+    values = mix(hashes + np.uint64(0x5851F42D4C957F2D))
     for back in range(CONTEXT):
         ahead = CONTEXT - 1 - back
-        gear += mix(hashes[ahead : ahead + n] + np.uint64(0x5851F42D4C957F2D)) << np.uint64(16 * back)
-    spans = np.lib.stride_tricks.sliding_window_view(mix(gear)[::-1], reach)
-    least = (n - 1 - (np.argmin(spans, axis=1) + np.arange(len(spans))))[::-1]
-    at, first = np.unique(least, return_index=True)
-    return at, first, np.append(first[1:], len(least)) - 1
+        gear += values[ahead : ahead + n] << np.uint64(16 * back)
+    by_span = least(mix(gear), reach)  # never decreases
+    first = np.flatnonzero(np.append(True, by_span[1:] != by_span[:-1]))
+    return by_span[first], first, np.append(first[1:], len(by_span)) - 1
 
 
 def stretches(hashes: np.ndarray, begin: np.ndarray, digest: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -122,19 +122,10 @@ def _window_rows(min_words: int):
                     continue
                 begin, end, _, low, high, retained, _ = chunks_of(w.hash, min_words)
                 often = np.isin(w.start[begin], places[i].values.to_numpy())
-                covered = [(int(np.searchsorted(w.start, s["span_start"])), int(np.searchsorted(w.end, s["span_end"], "right")) - min_words) for s in spans[i].as_py() or []]
-
-                def marked(a, b):
-                    """Which windows lie in one of the ranges, ends included."""
-                    a, b = np.maximum(a, 0), np.minimum(np.asarray(b) + 1, len(every))
-                    marks = np.zeros(len(every) + 1, np.int64)
-                    np.add.at(marks, a[a < b], 1)
-                    np.add.at(marks, b[a < b], -1)
-                    return np.cumsum(marks[:-1]) > 0
-
-                open_ = marked(low[often], high[often]) & ~marked(low[retained & ~often], high[retained & ~often])
-                open_ &= ~marked(*np.array(covered, np.int64).reshape(-1, 2).T)
-                at = np.flatnonzero(open_)
+                alone = retained & ~often
+                open_ = covered(low[often], high[often] + 1, len(every)) & ~covered(low[alone], high[alone] + 1, len(every))
+                first, end_of = spans_in_words(w, spans[i])
+                at = np.flatnonzero(open_ & ~covered(first, end_of - min_words + 1, len(every)))
                 size = w.end[at + min_words - 1] - w.start[at]
                 yield pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(np.full(len(at), ids[i].as_py(), np.int64)), *(pa.array(x.astype(np.int32)) for x in (w.start[at], at, size))], ["digest", "doc_id", "at", "nth", "bytes"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.repeats import first_places, shared_passages, thinned
 from siltstone.llm.shared import discard, slices, small_batches, text_or_empty, written
-from siltstone.llm.words import windows_of, words
+from siltstone.llm.words import covered, least, spans_in_words, windows_of, words
 
 GRAM, WINDOW = 10, 40
 SUFFIXES = "h0 long, h1 long, h2 long, doc_id long, at int, nth int, bytes int"
@@ -39,10 +39,8 @@ def minimisers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions whose hash is least (the last of equals) in some window of consecutive positions."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))])
-    views = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
-    return np.unique(len(hashes) - 1 - (np.argmin(views, axis=1) + np.arange(len(views))))
+    at = least(hashes, min(window, len(hashes)))  # never decreases
+    return at[np.append(True, at[1:] != at[:-1])]
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,16 +49,17 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(texts):
             w = words(texts.slice(a, b - a))
             parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            padded = np.zeros(len(w.hash) + 60 * (b - a), np.uint64)  # beyond the end of each text: one word that no text has
+            padded[np.arange(len(w.hash)) + np.repeat(60 * np.arange(b - a), np.diff(w.first))] = w.hash
+            grams, second, third = (windows_of(padded[skip:], k) for skip, k in ((0, GRAM), (10, 20), (30, 30)))
             for d in range(b - a):
                 low, high = w.first[d], w.first[d + 1]
                 if high - low < GRAM:
                     continue
-                own = w.hash[low:high]
-                grams = windows_of(own, GRAM)
-                at = minimisers(grams)
-                padded = np.concatenate([own, np.zeros(60, np.uint64)])  # beyond the end: one word that no text has
-                rest = [windows_of(padded[10:], 20), windows_of(padded[30:], 30)]
-                for part, x in zip(parts, (grams[at].view(np.int64), rest[0][at].view(np.int64), rest[1][at].view(np.int64), np.full(len(at), a + d), w.start[low + at] - w.offsets[d], at, w.end[low + at + GRAM - 1] - w.start[low + at]), strict=True):
+                begin = low + 60 * d
+                at = minimisers(grams[begin : begin + high - low - GRAM + 1])
+                by = begin + at
+                for part, x in zip(parts, (grams[by].view(np.int64), second[by].view(np.int64), third[by].view(np.int64), np.full(len(at), a + d), w.start[low + at] - w.offsets[d], at, w.end[low + at + GRAM - 1] - w.start[low + at]), strict=True):
                     part.append(x)
             if parts[0]:
                 h0, h1, h2, rows, *rest = (np.concatenate(p) for p in parts)
@@ -140,13 +139,8 @@ def _window_rows(min_words: int):
                 if not len(every):
                     continue
                 at = np.searchsorted(w.start, places[i].values.to_numpy())
-                low, high = np.maximum(at - (min_words - GRAM), 0), np.minimum(at + 1, len(every))
-                marks = np.zeros(len(every) + 1, np.int64)
-                np.add.at(marks, low[low < high], 1)
-                np.add.at(marks, high[low < high], -1)
-                wanted = np.cumsum(marks[:-1]) > 0
-                for s in spans[i].as_py() or []:
-                    wanted[np.searchsorted(w.start, s["span_start"]) : max(0, np.searchsorted(w.end, s["span_end"], "right") - min_words + 1)] = False
+                first, end = spans_in_words(w, spans[i])
+                wanted = covered(at - (min_words - GRAM), at + 1, len(every)) & ~covered(first, end - min_words + 1, len(every))
                 begin = np.flatnonzero(wanted)
                 size = w.end[begin + min_words - 1] - w.start[begin]
                 yield pa.RecordBatch.from_arrays([pa.array(every[begin].view(np.int64)), pa.array(np.full(len(begin), ids[i].as_py(), np.int64)), *(pa.array(x.astype(np.int32)) for x in (w.start[begin], begin, size))], ["digest", "doc_id", "at", "nth", "bytes"])

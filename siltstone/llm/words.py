@@ -97,12 +97,49 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
 def windows_of(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive words; element i begins at word i."""
     n = max(0, len(hashes) - k + 1)
-    out = np.full(n, np.uint64(k), np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + n]
+    power = lambda j: np.uint64(pow(0xD6E8FEB86659FD93, j, 1 << 64))
+    # polynomials of 1, 2, 4, ... words; those that k is the sum of, one after the other
+    step, size, out, done = hashes, 1, np.full(n, np.uint64(k), np.uint64), 0
+    while done < k and n:
+        if k & size:
+            out = out * power(size) + step[done : done + n]
+            done += size
+        if 2 * size <= k:
+            step = step[:-size] * power(size) + step[size:]
+        size *= 2
     return mix(out)
 
 
+def least(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each ``window`` consecutive positions the one whose hash is least, the last of equals."""
+    n = len(hashes) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def later(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where(hashes[y] <= hashes[x], y, x)
+
+    at, size = np.arange(len(hashes)), 1
+    while 2 * size <= window:
+        at, size = later(at[:-size], at[size:]), 2 * size
+    return later(at[:n], at[window - size : window - size + n])
+
+
+def covered(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` positions lie in one of the ranges from ``low`` to ``high`` (exclusive)."""
+    low, high = np.clip(low, 0, n), np.clip(high, 0, n)
+    some = low < high
+    return np.cumsum(np.bincount(low[some], minlength=n + 1) - np.bincount(high[some], minlength=n + 1))[:n] > 0
+
+
+def spans_in_words(w: Words, spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (span_start, span_end) in bytes of the only text of ``w``: the first word of each and the word after its last; none if null."""
+    if spans.values is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, end = (x.to_numpy() for x in spans.values.flatten())
+    return np.searchsorted(w.start, start), np.searchsorted(w.end, end, "right")
+
+
 def shingle_sets(texts: pa.Array, k: int):
     """For each text the sorted distinct hashes of its k-word shingles, of the whole sequence if it has fewer words."""
     w = words(texts, lower=True)
