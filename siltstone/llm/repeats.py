@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import discard, text_or_empty, written
+from siltstone.llm.words import SPACE
 
 #: Bytes that the first slice holds beyond the outermost seeds, and by how much each next one is wider.
 MARGIN, WIDER = 2048, 8
@@ -29,7 +30,7 @@ NEAR = 1024
 FEW_IDS = 1 << 17
 
 #: Words low to high (exclusive) of b_id's text, and the first bytes of the first and of the last word and the end.
-MATCHES = "b_id long, a_id long, b_bytes long, a_bytes long, shift long, low long, high long, b_start long, a_start long, b_last long, a_last long, b_end long, a_end long, open_left boolean, open_right boolean, seeds array<long>"
+MATCHES = "b_id long, a_id long, b_bytes long, a_bytes long, shift long, low long, high long, b_start long, a_start long, b_last long, a_last long, b_end long, a_end long, open_left boolean, open_right boolean"
 NAMES = [c.split(" ")[0] for c in MATCHES.split(", ")]
 
 
@@ -51,7 +52,7 @@ def common(x: list, y: list) -> int:
 def located(piece: bytes, at: int, total: int) -> tuple[list[bytes], np.ndarray]:
     """Whole words of a slice that begins at byte ``at`` of a text of ``total`` bytes, and where each begins in the text."""
     words = piece.split()
-    space = np.isin(np.frombuffer(piece, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+    space = SPACE[np.frombuffer(piece, np.uint8)]
     start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) + at
     if words and at > 0 and not space[0]:
         words, start = words[1:], start[1:]
@@ -64,32 +65,31 @@ def _extended():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                b, b_start = located(r["b_piece"], r["b_from"], r["b_bytes"])
-                a, a_start = located(r["a_piece"], r["a_from"], r["a_bytes"])
+            requests = (batch.column(c).to_pylist() for c in ("b_id", "a_id", "b_from", "a_from", "b_bytes", "a_bytes", "b_piece", "a_piece"))
+            seeds, turns = batch.column("seeds"), batch.column("seeds").offsets.to_pylist()
+            flat = list(zip(*(c.to_pylist() for c in seeds.values.flatten()), strict=True))
+            for k, (b_id, a_id, b_from, a_from, b_bytes, a_bytes, b_piece, a_piece) in enumerate(zip(*requests, strict=True)):
+                b, b_start = located(b_piece, b_from, b_bytes)
+                a, a_start = located(a_piece, a_from, a_bytes)
                 done: list[tuple[int, int, int]] = []
-                held: list[list[int]] = []
-                b_more, a_more = r["b_from"] + len(r["b_piece"]) < r["b_bytes"], r["a_from"] + len(r["a_piece"]) < r["a_bytes"]
-                for seed in sorted(r["seeds"], key=lambda s: (s["b_at"], s["a_at"])):
-                    i, j = int(np.searchsorted(b_start, seed["b_at"])), int(np.searchsorted(a_start, seed["a_at"]))
-                    if i >= len(b) or j >= len(a) or b_start[i] != seed["b_at"] or a_start[j] != seed["a_at"]:
+                b_more, a_more = b_from + len(b_piece) < b_bytes, a_from + len(a_piece) < a_bytes
+                for b_at, a_at, b_nth, a_nth in sorted(flat[turns[k] : turns[k + 1]]):
+                    i, j = int(b_start.searchsorted(b_at)), int(a_start.searchsorted(a_at))
+                    if i >= len(b) or j >= len(a) or b_start[i] != b_at or a_start[j] != a_at:
                         continue
-                    known = next((h for (f, t, d), h in zip(done, held, strict=True) if f <= i < t and i - j == d), None)
-                    if known is not None:
-                        known.append(seed["b_at"])
+                    if any(f <= i < t and i - j == d for f, t, d in done):
                         continue
                     left, right = common(b[:i][::-1], a[:j][::-1]), common(b[i:], a[j:])
                     if not right:
                         continue
                     done.append((i - left, i + right, i - j))
-                    held.append([seed["b_at"]])
-                    open_left = bool(left == min(i, j) and (left < i or r["b_from"] > 0) and (left < j or r["a_from"] > 0))
+                    open_left = bool(left == min(i, j) and (left < i or b_from > 0) and (left < j or a_from > 0))
                     open_right = bool(right == min(len(b) - i, len(a) - j) and (right < len(b) - i or b_more) and (right < len(a) - j or a_more))
                     i0, i1, j0, j1 = i - left, i + right - 1, j - left, j + right - 1
                     ends = [int(x) for x in (b_start[i0], a_start[j0], b_start[i1], a_start[j1], b_start[i1] + len(b[i1]), a_start[j1] + len(a[j1]))]
-                    out.append((r["b_id"], r["a_id"], r["b_bytes"], r["a_bytes"], seed["b_nth"] - seed["a_nth"], seed["b_nth"] - left, seed["b_nth"] + right, *ends, open_left, open_right, held[-1]))
+                    out.append((b_id, a_id, b_bytes, a_bytes, b_nth - a_nth, b_nth - left, b_nth + right, *ends, open_left, open_right))
             columns = list(zip(*out, strict=True)) or [[]] * len(NAMES)
-            kinds = [*[pa.int64()] * 13, pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+            kinds = [*[pa.int64()] * 13, pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
     return run
@@ -151,13 +151,12 @@ def _united(matches: DataFrame) -> DataFrame:
     both = parts.groupBy(*key, "_island").agg(
         F.min(F.struct("low", "open_left", "b_start", "a_start")).alias("l"),
         F.max(F.struct("high", (~F.col("open_right")).alias("shut"), "b_last", "a_last", "b_end", "a_end")).alias("r"),
-        F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"),
     )
-    return both.select(*key, "l.low", "r.high", "l.b_start", "l.a_start", "r.b_last", "r.a_last", "r.b_end", "r.a_end", "l.open_left", (~F.col("r.shut")).alias("open_right"), "seeds")
+    return both.select(*key, "l.low", "r.high", "l.b_start", "l.a_start", "r.b_last", "r.a_last", "r.b_end", "r.a_end", "l.open_left", (~F.col("r.shut")).alias("open_right"))
 
 
 def grown(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text), ``seeds`` (b_id, b_at, b_nth, a_id, a_at, a_nth, bytes) to the passages of any length around them, with their seeds.
+    """``docs`` (doc_id, text), ``seeds`` (b_id, b_at, b_nth, a_id, a_at, a_nth, bytes) to the passages of any length around them.
 
     Offsets are bytes of the UTF-8 text, ends are exclusive; ``b_nth`` and ``a_nth`` count words. Each passage is returned once and whole.
     """
@@ -170,15 +169,15 @@ def grown(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         margin *= WIDER
         left = further.where("open_left").select("b_id", F.col("b_start").alias("b_at"), F.col("low").alias("b_nth"), "a_id", F.col("a_start").alias("a_at"), (F.col("low") - F.col("shift")).alias("a_nth"), F.lit(0).alias("bytes"))
         right = further.where("open_right").select("b_id", F.col("b_last").alias("b_at"), (F.col("high") - 1).alias("b_nth"), "a_id", F.col("a_last").alias("a_at"), (F.col("high") - 1 - F.col("shift")).alias("a_nth"), (F.greatest(F.col("b_end") - F.col("b_last"), F.col("a_end") - F.col("a_last"))).alias("bytes"))
-        more = _compared(whole, left.union(right), margin).withColumn("seeds", F.array().cast("array<long>"))
+        more = _compared(whole, left.union(right), margin)
         before, found = found, written(_united(found.union(more)), "united")
         discard(before)
-    return found.select(F.col("b_id").alias("doc_id"), F.col("b_start").alias("span_start"), F.col("b_end").alias("span_end"), (F.col("high") - F.col("low")).alias("n_words"), F.col("a_id").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"), "seeds")
+    return found.select(F.col("b_id").alias("doc_id"), F.col("b_start").alias("span_start"), F.col("b_end").alias("span_end"), (F.col("high") - F.col("low")).alias("n_words"), F.col("a_id").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"))
 
 
 def shared_passages(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFrame:
     """The passages of ``min_words`` or more around the seeds, as ``grown`` has them."""
-    return grown(docs, seeds).where(F.col("n_words") >= min_words).drop("seeds").distinct()
+    return grown(docs, seeds).where(F.col("n_words") >= min_words).distinct()
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
