@@ -119,7 +119,8 @@ QUERIES = {
 }
 
 _Q = f"""{DUCK_SOURCES}, qs AS (SELECT 'q-' || item_id AS question_id, source_id, CASE WHEN item_id % 2 = 0 THEN 'what does line ' || (item_id % 9 + 1) || ' of ' || current_path || ' say' ELSE 'Summarise: ' || title END AS text FROM benchmark JOIN sources ON doc_id = item_id * 7919 % (SELECT max(doc_id) + 1 FROM documents))"""
-_M = f"""{_Q}, ak AS (SELECT source_id, current_path AS alias, 'path' AS basis FROM sources UNION ALL SELECT source_id, title, 'title' FROM sources),
+#: Alias matches of ``qs`` (question_id, text) over ``sources``.
+MATCHED = f""", ak AS (SELECT source_id, current_path AS alias, 'path' AS basis FROM sources UNION ALL SELECT source_id, title, 'title' FROM sources),
 kn AS (SELECT source_id, alias, basis, list_distinct({duck_tokens('alias')}) AS w FROM ak), kw AS (SELECT source_id, alias, basis, len(w) AS n, unnest(w) AS word FROM kn),
 aw AS (SELECT question_id, unnest(list_distinct({duck_tokens('text')})) AS word FROM qs),
 hi AS (SELECT question_id, source_id, basis, alias, n, count(*) AS met FROM kw JOIN aw USING (word) GROUP BY ALL),
@@ -128,6 +129,7 @@ hx AS (SELECT ha.*, contains(' ' || array_to_string({duck_tokens('qs.text')}, '
   AND NOT (n = 1 AND (length(phrase) <= 1 OR (length(phrase) = 2 AND regexp_full_match(phrase, '[a-z]+') AND NOT regexp_matches(alias, '[/.]')))) AS exact FROM ha JOIN qs USING (question_id)),
 hs AS (SELECT *, CASE WHEN exact THEN weight WHEN n >= 2 AND share >= 0.5 THEN round(weight * share, 3) END AS score FROM hx),
 ma AS (SELECT question_id, source_id, basis, max(score) AS score, arg_max(exact, score * 2 + exact::INT) AS exact FROM hs WHERE score IS NOT NULL GROUP BY ALL)"""
+_M = _Q + MATCHED
 _U = f"""{DUCK_SOURCES}, {DUCK_UNITS}, qu AS (SELECT source_id, unit_id, length(text)::BIGINT AS priority, CASE WHEN length(text) % 7 < 2 THEN 'covered' WHEN length(text) % 7 = 2 THEN 'stale' WHEN length(text) % 7 = 3 THEN 'blocked' ELSE 'pending' END AS state FROM units)"""
 _KIND = r"CASE WHEN regexp_matches(text, '\?\s*$') THEN 'clarification' WHEN length(text) < 80 THEN 'preference' WHEN regexp_matches(text, '\d') THEN 'constraint' WHEN length(text) > 400 THEN 'working-note' ELSE 'operator-intent' END"
 ORACLES = {
