@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as P
 from siltstone.functions.text import tokens
-from siltstone.operators.references import GAP, RATIO, alias_matches, located_units, locator
+from siltstone.operators.references import GAP, RATIO, alias_matches, locator
 
 #: What a unit adds whose lines hold the asked one, words for documents and for parts of them, and least reference bonus that counts as support.
 LINE_SCORE, REFERENCE_LEAST = 58.0, 6.0
@@ -38,14 +38,25 @@ def _clear(score: str, runner: str) -> Column:
     return F.when(F.col(runner).isNull(), F.col(score) > 0).otherwise(ahead)
 
 
-def _leader(rows: DataFrame, name: str, exact_counts: bool) -> DataFrame:
-    """The best row of each question and whether it leads clearly; with ``exact_counts`` an exact one that is ahead of one that isn't leads by that alone."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("exact"), F.desc("source_score"), "source_id")
-    top = rows.withColumns({"place": F.row_number().over(order), "runner_up": F.lead("score").over(order), "other": F.lead("exact").over(order)}).where("place = 1")
-    clear = _clear("score", "runner_up")
-    if exact_counts:
-        clear = clear | F.coalesce((F.col("score") > F.col("runner_up")) & F.col("exact") & ~F.col("other"), F.lit(False))
-    return top.select("question_id", F.struct("source_id", "basis", "unit_id", "n_units", "score", clear.alias("clear")).alias(name))
+def _leaders(rows: DataFrame) -> DataFrame:
+    """Per question, in one pass: the best row of the exact ones (``e``), of those with an alias (``a``) and of all (``f``), whether it leads clearly, and counts.
+
+    Beside one that isn't, an exact row that is ahead leads by that alone.
+    """
+    order = [F.desc("score"), F.desc("exact"), F.desc("source_score"), "source_id"]
+    within = {"e": Window.partitionBy("question_id", "exact").orderBy(*order), "a": Window.partitionBy("question_id", "known").orderBy(*order), "f": Window.partitionBy("question_id").orderBy(*order)}
+    of = {"e": F.col("exact"), "a": F.col("known"), "f": F.lit(True)}
+    seen = rows.withColumn("known", F.col("source_score") > 0)
+    for w in within:
+        seen = seen.withColumns({f"{w}_place": F.row_number().over(within[w]), f"{w}_next": F.lead("score").over(within[w]), f"{w}_other": F.lead("exact").over(within[w])})
+    alone = lambda w: F.coalesce((F.col("score") > F.col(f"{w}_next")) & F.col("exact") & ~F.col(f"{w}_other"), F.lit(False))
+    top = lambda w: F.max(F.when(of[w] & (F.col(f"{w}_place") == 1), F.struct("source_id", "basis", "unit_id", "n_units", (_clear("score", f"{w}_next") | alone(w)).alias("clear")))).alias(w)  # noqa: E731  of one row
+    return seen.groupBy("question_id").agg(top("e"), top("a"), top("f"), F.count_if("exact").alias("n_exact"), F.count_if("known").alias("n_known"), F.max("n_units").alias("any_unit"))
+
+
+def _by_source(aliased: DataFrame) -> DataFrame:
+    best = aliased.groupBy("question_id", "source_id").agg(F.max(F.struct("score", F.col("basis") == "path", "exact", "basis")).alias("m"))
+    return best.select("question_id", "source_id", "m.basis", F.col("m.score").alias("source_score"), "m.exact")
 
 
 def candidates(asked: DataFrame, aliased: DataFrame, units: DataFrame) -> DataFrame:
@@ -54,24 +65,20 @@ def candidates(asked: DataFrame, aliased: DataFrame, units: DataFrame) -> DataFr
     Sources that only have such a unit can win only where no alias matches, by the smallest id; so of those just that one is kept, found once a line number.
     ``asked``: ``with_hints``. ``aliased``: ``references.alias_matches``. ``units``: source_id, unit_id, line_start, line_end.
     """
-    best = aliased.groupBy("question_id", "source_id").agg(F.max(F.struct("score", F.col("basis") == "path", "exact", "basis")).alias("m"))
-    best = best.select("question_id", "source_id", "m.basis", F.col("m.score").alias("source_score"), "m.exact")
-    hits = located_units(best.select("question_id", "source_id").join(asked.select("question_id", "text"), "question_id"), units)
-    hits = hits.groupBy("question_id", "source_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n_units"))
-    named = best.join(hits, ["question_id", "source_id"], "left")
+    lines = _by_source(aliased).join(asked.select("question_id", "line"), "question_id").alias("b")
+    inside = (F.col("b.source_id") == F.col("u.source_id")) & F.col("line").between(F.col("u.line_start"), F.col("u.line_end"))
+    own = ["question_id", F.col("b.source_id").alias("source_id"), "basis", "source_score", "exact"]
+    named = lines.join(units.alias("u"), inside, "left").groupBy(*own).agg(F.min("u.unit_id").alias("unit_id"), F.count("u.unit_id").alias("n_units"))
     wanted = asked.where("line is not null").select("line").distinct()
     first = wanted.join(units, F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("line", "source_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n_units"))
     first = first.groupBy("line").agg(F.min_by(F.struct("source_id", "unit_id", "n_units"), "source_id").alias("f"))
     alone = asked.join(first, "line").select("question_id", F.col("f.source_id").alias("source_id"), F.lit(None).cast("string").alias("basis"), F.lit(0.0).alias("source_score"), F.lit(False).alias("exact"), F.col("f.unit_id").alias("unit_id"), F.col("f.n_units").alias("n_units"))
-    rows = named.unionByName(alone).withColumn("n_units", F.coalesce("n_units", F.lit(0)))
-    return rows.withColumn("score", F.col("source_score") + F.when(F.col("n_units") > 0, LINE_SCORE).otherwise(0.0))
+    return named.unionByName(alone).withColumn("score", F.col("source_score") + F.when(F.col("n_units") > 0, LINE_SCORE).otherwise(0.0))
 
 
 def declared_sources(aliased: DataFrame) -> DataFrame:
     """(question_id, source_id, status): for each name on its own the source that it means: exact, approximate, or absent if none leads clearly."""
-    best = aliased.groupBy("question_id", "source_id").agg(F.max(F.struct("score", F.col("basis") == "path", "exact", "basis")).alias("m"))
-    rows = best.select("question_id", "source_id", "m.basis", F.col("m.score").alias("source_score"), "m.exact", F.col("m.score").alias("score"), F.lit(None).cast("string").alias("unit_id"), F.lit(0).alias("n_units"))
-    both = _leader(rows.where("exact"), "e", False).join(_leader(rows, "a", True), "question_id", "full")
+    both = _leaders(_by_source(aliased).withColumns({"score": F.col("source_score"), "unit_id": F.lit(None).cast("string"), "n_units": F.lit(0)}))
     sure = F.coalesce(F.col("e.clear"), F.lit(False))
     return both.where(sure | F.col("a.clear")).select("question_id", F.when(sure, F.col("e.source_id")).otherwise(F.col("a.source_id")).alias("source_id"), F.when(sure, "exact").otherwise("approximate").alias("status"))
 
@@ -82,11 +89,7 @@ def resolutions(asked: DataFrame, found: DataFrame, aliases: DataFrame) -> DataF
     A clear exact source is taken, else a clear approximate one unless two stand exactly under a requested name, else the best source if any has the asked unit.
     A question for a single, named source that isn't exact is stopped at its boundary. ``found``: ``candidates``. ``aliases``: source_id, basis, alias.
     """
-    known = found.where("source_score > 0")
-    counts = found.groupBy("question_id").agg(F.count_if("exact").alias("n_exact"), F.count_if(F.col("source_score") > 0).alias("n_known"), F.max("n_units").alias("any_unit"))
-    rows = asked.join(counts, "question_id", "left").fillna(0, ["n_exact", "n_known", "any_unit"])
-    for part in (_leader(found.where("exact"), "e", False), _leader(known, "a", True), _leader(found, "f", False)):
-        rows = rows.join(part, "question_id", "left")
+    rows = asked.join(_leaders(found), "question_id", "left").fillna(0, ["n_exact", "n_known", "any_unit"])
     located, asks = F.col("line").isNotNull(), F.col("requested").isNotNull()
     open_ = (F.col("n_known") > 0) & ~(asks & (F.col("n_exact") >= 2))
     sure = F.coalesce(F.col("e.clear"), F.lit(False))
@@ -117,10 +120,10 @@ def resolutions(asked: DataFrame, found: DataFrame, aliases: DataFrame) -> DataF
 
 
 def comparisons(wanted: DataFrame) -> DataFrame:
-    """(question_id, expected, missing, status, hard_boundary) of (question_id, name, source_id, match): a comparison of named sources is exact if all are, or else stops."""
-    rolled = wanted.groupBy("question_id").agg(F.count("*").alias("expected"), F.countDistinct("source_id").alias("met"), F.count_if(F.coalesce(F.col("match") == "exact", F.lit(False))).alias("sure"))
+    """(question_id, expected, missing, status, hard_boundary, compared) of (question_id, name, source_id, match): a comparison of named sources is exact if all are, or else stops."""
+    rolled = wanted.groupBy("question_id").agg(F.count("*").alias("expected"), F.countDistinct("source_id").alias("met"), F.count_if(F.coalesce(F.col("match") == "exact", F.lit(False))).alias("sure"), F.array_sort(F.collect_set("source_id")).alias("compared"))  # two names a question
     status = F.when((F.col("met") >= F.col("expected")) & (F.col("sure") == F.col("expected")), "exact").otherwise("unresolved")
-    return rolled.select("question_id", "expected", (F.col("expected") - F.col("met")).alias("missing"), status.alias("status"), (status != "exact").alias("hard_boundary"))
+    return rolled.select("question_id", "expected", (F.col("expected") - F.col("met")).alias("missing"), status.alias("status"), (status != "exact").alias("hard_boundary"), "compared")
 
 
 def resolved(questions: DataFrame, aliases: DataFrame, units: DataFrame) -> DataFrame:
@@ -137,9 +140,8 @@ def resolved(questions: DataFrame, aliases: DataFrame, units: DataFrame) -> Data
     rows = resolutions(asked, candidates(asked, own, units), aliases)
     meant = declared_sources(met.where("question_id.part > 0")).withColumnRenamed("status", "match")
     wanted = names.select(F.struct("question_id", "part").alias("question_id")).join(meant, "question_id", "left").select("question_id.question_id", "source_id", "match")
-    compared = comparisons(wanted).select("question_id", "expected", "missing", F.col("status").alias("c_status"), F.col("hard_boundary").alias("c_hard"))
-    ids = wanted.groupBy("question_id").agg(F.array_sort(F.collect_set("source_id")).alias("compared"))  # two names a question
-    rows = rows.join(compared, "question_id", "left").join(ids, "question_id", "left")
+    compared = comparisons(wanted).select("question_id", "expected", "missing", F.col("status").alias("c_status"), F.col("hard_boundary").alias("c_hard"), "compared")
+    rows = rows.join(compared, "question_id", "left")
     is_compared = F.col("c_status").isNotNull()
     reason = F.when(F.col("c_status") == "unresolved", "compare-source-unresolved").when(~is_compared, F.col("reason"))
     rows = rows.withColumns({
