@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as P
+from siltstone.functions.lineage import cut
 from siltstone.functions.text import tokens
 from siltstone.operators.references import GAP, RATIO, alias_matches, locator
 
@@ -129,13 +130,14 @@ def comparisons(wanted: DataFrame) -> DataFrame:
 def resolved(questions: DataFrame, aliases: DataFrame, units: DataFrame) -> DataFrame:
     """``resolutions`` with what comparisons of named sources change, how many sources they expect and miss, and the sources that a search is held to.
 
-    Names of a comparison meet the aliases in the same pass as the questions, each as a question of its own.
+    Names of a comparison meet the aliases in the same pass as the questions, each as a question of its own. Questions, aliases and
+    matches are used many times and checkpointed where the session has a folder for that.
     """
-    asked = with_hints(questions)
+    asked, aliases = cut(with_hints(questions)), cut(aliases)
     whole = asked.select("question_id", F.lit(0).alias("part"), F.coalesce("requested", "text").alias("text"))
     names = asked.select("question_id", F.posexplode("declared").alias("part", "text")).select("question_id", (F.col("part") + 1).alias("part"), "text")
     parts = whole.union(names).select(F.struct("question_id", "part").alias("question_id"), "text")
-    met = alias_matches(parts, aliases)
+    met = cut(alias_matches(parts, aliases))
     own = met.where("question_id.part = 0").withColumn("question_id", F.col("question_id.question_id"))
     rows = resolutions(asked, candidates(asked, own, units), aliases)
     meant = declared_sources(met.where("question_id.part > 0")).withColumnRenamed("status", "match")
