@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from siltstone.llm import bpe, embedding_dedup, fill_in_middle, fingerprints, language_id, mixing, near_join, recursive_bpe, substring_dedup, suffixes, token_counts, warc
+from siltstone.llm import bpe, collocations, embedding_dedup, fill_in_middle, fingerprints, language_id, mixing, near_join, recursive_bpe, substring_dedup, suffixes, token_counts, warc
 from siltstone.llm.shared import new_folder
 
 
@@ -67,6 +67,11 @@ def op11_recursive_bpe(spark, sf_dir):
     return recursive_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_collocations(spark, sf_dir):
+    """The best 2000 phrases of each language; null texts count as empty, a null language as ``und``."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     """Every text with its middle moved to the end, and the text that this gives back; null texts count as empty."""
     return fill_in_middle.round_trip(_table(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_fingerprints, op3_warc, op4_substring_dedup, op5_language_id, op6_bpe, op7_embedding_dedup, op8_mixing, op9_suffix_dedup, op10_ngram_join,
-        op11_recursive_bpe, op13_fill_in_middle,
+        op11_recursive_bpe, op12_collocations, op13_fill_in_middle,
     )
 }
 
@@ -104,4 +109,4 @@ c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
 SELECT c.id AS doc_id, coalesce(z.size, 0)::BIGINT AS n_shingles, c.component_id FROM c LEFT JOIN z ON c.id = z.doc_id
 """
 
-ORACLES = {"op3_warc": warc.ORACLE, "op7_embedding_dedup": OP7, "op8_mixing": mixing.ORACLE, "op10_ngram_join": OP10, "op13_fill_in_middle": fill_in_middle.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op7_embedding_dedup": OP7, "op8_mixing": mixing.ORACLE, "op10_ngram_join": OP10, "op12_collocations": collocations.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE}
