@@ -3,7 +3,7 @@
 The vocabulary is a rank file: a token's rank is its id, and two neighbours merge if their bytes together are a token. The merge table
 holds every split of a token into two tokens. Pieces of texts (matches of the pre-tokenizer's pattern) that are tokens themselves need no merging.
 The distinct others of a batch become rows (fragment, position, token), one for each byte. Every round of the recursive query
-joins neighbours to the merge table and contracts, in each fragment, the pair of least rank: its leftmost place, and with it the other places of
+joins neighbours to the merge table and contracts, in each fragment, the pair of least rank at its leftmost place; in long fragments also at the other places of
 that pair if no token made from the new one has a lower rank (``alone`` marks the tokens for which one has), as nothing could come between them.
 A fragment without a pair in the table drops out; the query ends when none is left. Decoding joins (row, position, token) to the vocabulary
 and aggregates the bytes in the order of positions.
@@ -28,11 +28,24 @@ from pyspark.sql import DataFrame
 
 from siltstone.llm.shared import slices, small_batches, text_or_empty
 
-POSITIONS = 1 << 19  # bytes of distinct pieces in a query
-CACHED = 1 << 18  # pieces whose tokens a worker keeps
-LONG = 48  # bytes above which a piece is cut where no merge can cross
+POSITIONS = 1 << 18  # bytes of distinct pieces in a query
+CACHED = 1 << 20  # pieces whose tokens a worker keeps
+FEW = 48  # bytes of a short fragment; longer pieces are cut where no merge can cross
+
+#: Short fragments: one contraction a round, and all rounds' rows are kept, which their length bounds.
+SHORT = """
+WITH RECURSIVE t(f, p, tok, going) AS (
+  SELECT f, p, tok, true FROM start
+  UNION ALL
+  (WITH near AS (SELECT f, p, tok, lead(tok) OVER x AS next_tok, lag(p) OVER x AS last_p FROM t WHERE going WINDOW x AS (PARTITION BY f ORDER BY p)),
+   least AS (SELECT near.f, min(merges.made::BIGINT << 32 | near.p) AS pair FROM near JOIN merges ON near.tok = merges.x AND near.next_tok = merges.y GROUP BY near.f)
+   SELECT near.f, p, CASE WHEN p = (pair & 4294967295) THEN (pair >> 32)::INT ELSE tok END, pair IS NOT NULL FROM near LEFT JOIN least ON near.f = least.f
+   WHERE pair IS NULL OR last_p IS NULL OR last_p <> (pair & 4294967295))
+), done AS (SELECT f, p, tok FROM t WHERE NOT going)
+"""
 
-CONTRACT = """
+#: Long ones: all places of the pair in a round, and only the last state of each position is kept.
+LONG = """
 WITH RECURSIVE t(f, p, tok) USING KEY (f, p) AS (
   SELECT f, p, tok FROM start
   UNION
@@ -43,9 +56,12 @@ WITH RECURSIVE t(f, p, tok) USING KEY (f, p) AS (
    runs AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p) AS nth FROM least),
    free AS (SELECT *, row_number() OVER (PARTITION BY f, place - nth ORDER BY p) % 2 = 1 AND (nth = 1 OR NOT alone) AS mine FROM runs)
    SELECT f, unnest([p, next_p]) AS p, unnest([made, NULL]) AS tok FROM free WHERE mine)
-)
-SELECT own.w, list(t.tok ORDER BY t.p) AS ids, unhex(string_agg(vocabulary.hex, '' ORDER BY t.p)) AS bytes
-FROM t JOIN own USING (f) JOIN vocabulary ON t.tok = vocabulary.id GROUP BY own.w
+), done AS (SELECT f, p, tok FROM t WHERE tok IS NOT NULL)
+"""
+
+ENCODED = """
+SELECT own.w, list(done.tok ORDER BY done.p) AS ids, unhex(string_agg(vocabulary.hex, '' ORDER BY done.p)) AS bytes
+FROM done JOIN own USING (f) JOIN vocabulary ON done.tok = vocabulary.id GROUP BY own.w
 """
 
 DECODE = "SELECT r, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY r"
@@ -77,7 +93,8 @@ class RankedBpe:
         self.sql.register("given", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [token.hex() for token in self.ranks]}))
         self.sql.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.sql.unregister("given")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}  # of known pieces, little-endian
+        self.back: dict[str, bytes] = {}  # what these decode to
 
     def contracted(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each piece its ids (little-endian, four bytes each) and what they decode to, by merging alone."""
@@ -87,12 +104,13 @@ class RankedBpe:
         edge = np.zeros(len(data), bool)
         edge[begins] = True
         loose = np.flatnonzero(~self.glued[data[:-1], data[1:]]) + 1
-        edge[loose[np.repeat(size, size)[loose] > LONG]] = True
+        edge[loose[np.repeat(size, size)[loose] > FEW]] = True
         fragment = np.cumsum(edge, dtype=np.int32) - 1
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size)[edge]
         self.sql.register("start", pa.table({"f": fragment, "p": np.arange(len(data), dtype=np.int32), "tok": self.single[data]}))
         self.sql.register("own", pa.table({"f": np.arange(len(owner), dtype=np.int32), "w": owner}))
-        found = self.sql.sql(CONTRACT).to_arrow_table().combine_chunks()
+        longest = int(np.diff(np.append(np.flatnonzero(edge), len(data))).max())
+        found = self.sql.sql((SHORT if longest <= FEW else LONG) + ENCODED).to_arrow_table().combine_chunks()
         out: list = [None] * len(pieces)
         ids = found["ids"].combine_chunks()
         flat, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
@@ -102,32 +120,34 @@ class RankedBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Make the cache hold these pieces."""
-        if len(self.cache) + len(pieces) > CACHED:
-            self.cache.clear()
-        new = {p: p.encode() for p in pieces if p not in self.cache}
+        if len(self.ids) + len(pieces) > CACHED:
+            self.ids.clear()
+            self.back.clear()
+        new = {p: p.encode() for p in pieces.difference(self.ids)}
         queue = []
         for p, raw in new.items():
             if raw in self.ranks:
-                self.cache[p] = (self.ranks[raw].to_bytes(4, "little"), raw)
+                self.ids[p], self.back[p] = self.ranks[raw].to_bytes(4, "little"), raw
             else:
                 queue.append(p)
         queue.sort(key=lambda p: len(new[p]))  # pieces of a query take about as many rounds
         first, total = 0, 0
         for i in range(len(queue) + 1):
             n = len(new[queue[i]]) if i < len(queue) else 0
-            if i > first and (i == len(queue) or total + n > POSITIONS):
-                self.cache.update(zip(queue[first:i], self.contracted([new[p] for p in queue[first:i]]), strict=True))
+            if i > first and (i == len(queue) or total + n > POSITIONS or len(new[queue[first]]) <= FEW < n):
+                for p, (ids, back) in zip(queue[first:i], self.contracted([new[p] for p in queue[first:i]]), strict=True):
+                    self.ids[p], self.back[p] = ids, back
                 first, total = i, 0
             total += n
 
     def cut(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of them in the cache."""
         cut = [self.pattern.findall(t) for t in texts]
-        self.learn({p for pieces in cut for p in pieces})
+        self.learn(set().union(*cut))
         return cut
 
     def encoded(self, pieces: list[str]) -> bytes:
-        return b"".join([self.cache[p][0] for p in pieces])
+        return b"".join(map(self.ids.__getitem__, pieces))
 
     def decoded(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of each row of ids."""
@@ -152,11 +172,10 @@ def _digests(path: str, pattern: str):
             for a, b in slices(batch.column(1), 4 << 20):
                 count, encoded, decoded = [], [], []
                 for pieces in bpe.cut(batch.column(1).slice(a, b - a).to_pylist()):
-                    known = [bpe.cache[p] for p in pieces]
-                    ids = b"".join([x for x, _ in known])
+                    ids = bpe.encoded(pieces)
                     count.append(len(ids) // 4)
                     encoded.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([x for _, x in known])).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(bpe.back.__getitem__, pieces))).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
