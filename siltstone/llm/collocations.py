@@ -26,10 +26,10 @@ from siltstone.llm import count_tries
 from siltstone.llm.shared import slices, small_batches, text_or_empty, written
 
 LONGEST, LEAST, SCALE, COVERS, TOP = 4, 30, 2_000_000, 80, 2000
-SHARD_WORDS = 1 << 21  # words after which a task sends its trie and begins another
-RANGE_BYTES, RANGES = 8 << 20, 1 << 15  # text for each range, and the most ranges
+SHARD_WORDS = 1 << 20  # words after which a task sends its trie and begins another
+RANGE_BYTES, RANGES = 4 << 20, 1 << 15  # text for each range, and the most ranges
 SAMPLE_BYTES, PER_RANGE = 64 << 20, 24  # text that borders are taken from, and sequences of it for each
-MERGE_NODES = 1 << 22  # nodes that wait for a merge
+MERGE_NODES = 1 << 21  # nodes that wait for a merge
 SALTS = (256, 16, 1)  # the best phrases are found in so many parts of a language, then in fewer
 
 NODES = "lang string, level int, phrase string, rest string, f long, lefts array<long>"
