@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import changes, evaluation, freshness, grounding, identity, interactions, links, logs, parsing, predicates, records, retrieval, reviews, rules, scopes, traces
+from siltstone.plans import changes, evaluation, freshness, grounding, identity, interactions, links, logs, pages, parsing, predicates, records, retrieval, reviews, rules, scopes, traces
 
-AREAS = (retrieval, grounding, changes, parsing, rules, logs, evaluation, interactions, predicates, traces, reviews, records, links, scopes, freshness, identity)
+AREAS = (retrieval, grounding, changes, parsing, rules, logs, evaluation, interactions, predicates, traces, reviews, records, links, scopes, freshness, identity, pages)
 QUERIES: dict = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for area in AREAS for name, sql in area.ORACLES.items()}
