@@ -77,22 +77,23 @@ def fingerprints(docs: DataFrame, hashed=wide_hash) -> DataFrame:
 
     class_id is the smallest doc_id with the same canonical text, copies the number of rows that have it.
     """
-    return _own(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), hashed)[1].drop("h1", "h2", "suffix")
+    return _own(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), hashed)[1].drop("h1", "h2", "suffix", "raw")
 
 
 def _own(docs: DataFrame, hashed) -> tuple[DataFrame, DataFrame]:
     h1, h2 = hashed(F.col("canon"))
-    hashes = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon")).select("doc_id", "n_chars", h1.alias("h1"), h2.alias("h2"))
+    raw = F.unhex(F.sha2("text", 256)).alias("raw")  # tells texts of one id and one canonical form apart
+    hashes = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), raw, canonical(F.col("text")).alias("canon")).select("doc_id", "n_chars", "raw", h1.alias("h1"), h2.alias("h2"))
     hashes = written(hashes, "hashes")
     several = suffixes(hashes, docs.where("doc_id is not null"))
     if several is None:
         own = hashes.withColumn("suffix", F.lit(0))
     else:
-        canon = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon")).select("doc_id", "n_chars", "canon", h1.alias("h1"), h2.alias("h2"))
-        own = written(canon.join(several, ["h1", "h2", "canon"], "left").select("doc_id", "n_chars", "h1", "h2", F.coalesce("suffix", F.lit(0)).alias("suffix")), "own")
+        canon = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), raw, canonical(F.col("text")).alias("canon")).select("doc_id", "n_chars", "raw", "canon", h1.alias("h1"), h2.alias("h2"))
+        own = written(canon.join(several, ["h1", "h2", "canon"], "left").select("doc_id", "n_chars", "raw", "h1", "h2", F.coalesce("suffix", F.lit(0)).alias("suffix")), "own")
     classes = own.groupBy("h1", "h2", "suffix").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     full = own.join(classes, ["h1", "h2", "suffix"]).withColumn("fingerprint", as_text(F.col("h1"), F.col("h2"), F.col("suffix")))
-    return own, full.select("doc_id", "n_chars", "fingerprint", "class_id", "copies", "h1", "h2", "suffix")
+    return own, full.select("doc_id", "n_chars", "fingerprint", "class_id", "copies", "h1", "h2", "suffix", "raw")
 
 
 def edited_fingerprints(docs: DataFrame, hashed=wide_hash) -> DataFrame:
@@ -116,13 +117,13 @@ def edited_fingerprints(docs: DataFrame, hashed=wide_hash) -> DataFrame:
 
     h1, h2 = hashed(F.col("canon"))
     e1, e2 = hashed(F.col("edited_canon"))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"))
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", h1.alias("h1"), h2.alias("h2"), e1.alias("e1"), e2.alias("e2"), (F.col("canon") == F.col("edited_canon")).alias("same"))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("text", 256)).alias("raw"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"))
+    rows = rows.select("doc_id", "n_chars", "raw", "edited_sha256", h1.alias("h1"), h2.alias("h2"), e1.alias("e1"), e2.alias("e2"), (F.col("canon") == F.col("edited_canon")).alias("same"))
     edited = written(rows.distinct(), "edited")
 
     prints = full.select("doc_id", "fingerprint").groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint"))
     following = ring.join(prints.withColumnRenamed("doc_id", "next_id"), "next_id").select(F.col("doc_id").alias("of"), "next_fingerprint")
-    out = full.join(edited.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "n_chars", "h1", "h2")}), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n_chars") == F.col("_n_chars")))
+    out = full.join(edited.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "n_chars", "h1", "h2", "raw")}), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("raw") == F.col("_raw")))
     out = out.join(following, F.col("doc_id") == F.col("of"), "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint",

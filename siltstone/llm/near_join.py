@@ -320,13 +320,16 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # equal sets: the smallest id stands for all
     classes = written(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
-    copies = written(linkable.select(F.col("doc_id").alias("u"), "d1", "d2").join(classes, ["d1", "d2"]).where("u <> v").select("u", "v").distinct(), "copies")
+    copies = written(linkable.select(F.col("doc_id").alias("u"), "d1", "d2").join(classes, ["d1", "d2"]).where("u <> v").select("u", "v", F.col("d1").alias("_d1")).distinct(), "copies")
+    # an id with several sets is one vertex: it links the classes of all of them
+    several_sets = linkable.groupBy(F.col("doc_id").alias("u")).agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low <> high").select("u")
+    bridges = written(copies.join(several_sets, "u", "left_semi").select("u", "v").distinct(), "bridges")
 
     # what stands under a root with another set
     keyed = docs.where("doc_id is not null").mapInArrow(_key_rows(k, percent), "key long, doc_id long, d1 long, n long")
     by_key = Window.partitionBy("key")
     together = keyed.select("*", F.min("d1").over(by_key).alias("low"), F.max("d1").over(by_key).alias("high")).where("low < high").drop("low", "high")
-    shared = together.join(copies, F.col("doc_id") == F.col("u"), "left").select("key", F.coalesce("v", "doc_id").alias("doc_id"), "d1", "n")
+    shared = together.join(copies, (F.col("doc_id") == F.col("u")) & (F.col("d1") == F.col("_d1")), "left").select("key", F.coalesce("v", "doc_id").alias("doc_id"), "d1", "n")
     shared = written(shared.distinct(), "shared")
     members = shared.select(F.col("doc_id").alias("member"), "d1").distinct()
     # members grow with the documents, so they are never broadcast
@@ -345,7 +348,7 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     place = F.struct(F.xxhash64("doc_id"), "doc_id")
     stars = shared.select("doc_id", F.min(place).over(by_key).alias("hub")).where("doc_id <> hub.doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("n")).where(f"n >= {HUB_LEAST}")
-    linked = [verified(stars.groupBy(F.col("doc_id").alias("u")).agg(F.max_by("hub.doc_id", F.struct("n", "hub")).alias("v")))]
+    linked = [bridges, verified(stars.groupBy(F.col("doc_id").alias("u")).agg(F.max_by("hub.doc_id", F.struct("n", "hub")).alias("v")))]
     left = several(shared)
     discard(shared)
 
@@ -379,7 +382,7 @@ def near_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     whole = components(reduce(DataFrame.union, linked)).select(F.col("id").alias("v"), F.col("component").alias("reached"))
     forget(bodies, table)
-    named = sets.select("doc_id", "n_shingles").join(copies.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn("v", F.coalesce("v", "doc_id"))
+    named = sets.select("doc_id", "n_shingles").join(copies.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("v")), "doc_id", "left").withColumn("v", F.coalesce("v", "doc_id"))
     return named.join(whole, "v", "left").select("doc_id", "n_shingles", F.coalesce("reached", "v").alias("component_id"))
 
 

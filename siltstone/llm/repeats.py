@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import discard, text_or_empty, written
@@ -95,6 +95,43 @@ def _extended():
     return run
 
 
+def _digest(text: Column) -> Column:
+    return F.struct(F.xxhash64(text), F.xxhash64(F.lit("text"), text), F.octet_length(text))
+
+
+def text_ids(docs: DataFrame) -> DataFrame | None:
+    """(_id, _digest, _text_id) of texts that share their id with a lesser text (by digest): ids of their own, behind all others (before them, if ids go beyond 2**62); None without any.
+
+    So texts of one id are told apart, and what one of them repeats is never cut from another.
+    """
+    digests = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), _digest(F.col("text")).alias("_digest"))
+    several = digests.groupBy("_id").agg(F.min("_digest").alias("_low"), F.max("_digest").alias("_high")).where("_low <> _high").select("_id", "_low")
+    more = written(digests.distinct().join(several, "_id").where("_digest <> _low").select("_id", "_digest", F.monotonically_increasing_id().alias("_n")), "more")
+    if more.isEmpty():
+        return None
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # above the ids; below them where these reach the top
+    free = F.lit(max(high, 0) + 1) + F.col("_n") if high < 1 << 62 else F.lit(min(low, 0) - 1) - F.col("_n")
+    return more.select("_id", "_digest", free.alias("_text_id"))
+
+
+def with_text_ids(rows: DataFrame, ids: DataFrame | None, own: str = "doc_id") -> DataFrame:
+    """``rows`` (``own``, text) with the ids of ``text_ids`` in place of their own."""
+    if ids is None:
+        return rows
+    met = rows.withColumn("_own_digest", _digest(text_or_empty())).join(ids, (F.col(own) == F.col("_id")) & (F.col("_own_digest") == F.col("_digest")), "left")
+    return met.withColumn(own, F.coalesce("_text_id", own)).drop("_id", "_digest", "_own_digest", "_text_id")
+
+
+def with_own_ids(passages: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Passages with the ids that the documents came with."""
+    if ids is None:
+        return passages
+    for c in ("doc_id", "other_id"):
+        passages = passages.join(ids.select(F.col("_id"), F.col("_text_id")), F.col(c) == F.col("_text_id"), "left").withColumn(c, F.coalesce("_id", c)).drop("_id", "_text_id")
+    return passages
+
+
 def thinned(seeds: DataFrame, words: int) -> DataFrame:
     """Of seeds of ``words`` words each, the first in each ``words`` words of b_id's text among those of the same texts and shift.
 
@@ -180,10 +217,10 @@ def shared_passages(docs: DataFrame, seeds: DataFrame, min_words: int) -> DataFr
     return grown(docs, seeds).where(F.col("n_words") >= min_words).distinct()
 
 
-def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def without(docs: DataFrame, spans: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """``docs`` with the bytes of ``spans`` (doc_id, span_start, span_end) cut from ``text``; overlapping spans are united.
 
-    All columns and rows stay; a text without spans is unchanged, what is left of others is joined by single line feeds.
+    ``spans`` name documents by ``ids`` of ``text_ids``, if given. All columns and rows stay; a text without spans is unchanged, what is left of others is joined by single line feeds.
     """
     by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("_spans"))
     # keep[i] runs from the furthest end before span i to its start
@@ -195,7 +232,8 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     body = F.expr(
         r"""array_join(filter(transform(_keep, p -> regexp_replace(decode(substring(encode(text, 'utf-8'), cast(p.low as int) + 1, greatest(cast(p.high - p.low as int), 0)), 'utf-8'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '')), x -> x <> ''), '\n')"""
     )
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_doc"), "text")  # set aside, whatever the names of its columns
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), "text")  # set aside, whatever the names of its columns
+    rows = with_text_ids(rows, ids, "_doc")
     joined = rows.join(by_doc, F.col("_doc") == F.col("_id"), "left").withColumn("_keep", pieces)
     joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(body))
     return joined.select(*(F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns))

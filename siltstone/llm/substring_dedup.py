@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.repeats import first_places, shared_passages, thinned, without
+from siltstone.llm.repeats import first_places, shared_passages, text_ids, thinned, with_own_ids, with_text_ids, without
 from siltstone.llm.shared import discard, slices, small_batches, text_or_empty, written
 from siltstone.llm.words import covered, least, mix, powers, spans_in_words, windows_of, words
 
@@ -147,10 +147,17 @@ def _uncovered(docs: DataFrame, paired: DataFrame, found: DataFrame, min_words:
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text) to one row for each passage of a text that an earlier place has as well.
 
-    (doc_id, span_start, span_end, n_words, other_id, other_start, other_end): bytes of ``doc_id``'s text, and the earlier place.
+    (doc_id, span_start, span_end, n_words, other_id, other_start, other_end): bytes of ``doc_id``'s text, and the earlier place. Of different texts that share
+    an id, all but one stand behind all other documents; equal rows are one text.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = text_ids(docs)
+    return with_own_ids(_passages(with_text_ids(docs, ids), min_words), ids)
+
+
+def _passages(docs: DataFrame, min_words: int) -> DataFrame:
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
+    docs = docs.where("doc_id is not null")
     chunks = written(docs.mapInArrow(_chunk_rows(min_words), CHUNKS), "chunks")
     later = chunks.where("back >= 0").select(F.col("doc_id").alias("b_id"), F.col("at").alias("b_at"), F.col("nth").alias("b_nth"), F.col("doc_id").alias("a_id"), F.col("back").alias("a_at"), F.col("back_nth").alias("a_nth"), "bytes")
     paired = written(first_places(chunks.where("back < 0").drop("back", "back_nth")), "paired")
@@ -163,4 +170,6 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with each repeated passage kept at its first place alone; rows and other columns stay as they are."""
-    return without(docs, written(repeated_passages(docs.select("doc_id", "text"), min_words), "repeats"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = text_ids(texts)
+    return without(docs, written(_passages(with_text_ids(texts, ids), min_words), "repeats"), ids)

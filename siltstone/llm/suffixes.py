@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.repeats import first_places, shared_passages, thinned
+from siltstone.llm.repeats import first_places, shared_passages, text_ids, thinned, with_own_ids, with_text_ids
 from siltstone.llm.shared import discard, slices, small_batches, text_or_empty, written
 from siltstone.llm.words import covered, least, spans_in_words, windows_of, words
 
@@ -162,10 +162,17 @@ def suffix_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text) to the passages of ``min_words`` or more that an earlier place has as well.
 
     (doc_id, span_start, span_end, n_words, other_id, other_start, other_end), byte offsets, the other place before this one by (id, offset).
-    The rows of a text cover every window of ``min_words`` words that an earlier place has, and nothing else.
+    The rows of a text cover every window of ``min_words`` words that an earlier place has, and nothing else. Texts that share an id are told apart as in
+    ``substring_dedup``.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = text_ids(docs)
+    return with_own_ids(_passages(with_text_ids(docs, ids), min_words), ids)
+
+
+def _passages(docs: DataFrame, min_words: int) -> DataFrame:
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
+    docs = docs.where("doc_id is not null")
     suffixes = docs.mapInArrow(_suffix_rows, SUFFIXES)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h0", "h1", "h2", "doc_id", "at"]

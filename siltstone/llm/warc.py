@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import new_folder, small_batches, written
 
-LEAST, ROLL, CHUNK, HEADER_MOST = 100, 64 << 20, 1 << 18, 1 << 16
+LEAST, ROLL, CHUNK = 100, 64 << 20, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "archive string, records long, bytes long"
 ROWS = "archive string, start long, end long, kind string, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -37,10 +37,15 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 
+def one_line(value: str) -> str:
+    """A header's value without control characters and line separators: these are percent-encoded."""
+    return re.sub("[\x00-\x1f\x7f-\x9f\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     name = f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE)]
-    head += [("WARC-Target-URI", re.sub(r"[\r\n]+", "%0A", url))] if url is not None else []
+    head += [("WARC-Target-URI", one_line(url))] if url is not None else []
     head += [("X-Page-Id", str(page_id))] if page_id is not None else []
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload)))]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -138,26 +143,37 @@ class Source:
         return -1
 
 
+BLANK = re.compile(rb"\r?\n\r?\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
 VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 
 
-def headers(raw: bytes) -> tuple[dict[str, str], int]:
-    """The header of a record and its length."""
-    if not VERSION.match(raw):
+def headers(raw: bytes, at: int = 0) -> tuple[dict[str, str], int]:
+    """The header of the record at ``at``, and its length."""
+    if not VERSION.match(raw, at):
         raise Damaged("no version line")
-    end = re.search(rb"\r?\n\r?\n", raw)
+    end = BLANK.search(raw, at)
     if not end:
         raise Damaged("header does not end")
     fields = {}
-    for line in raw[: end.start()].decode("utf-8", "replace").splitlines()[1:]:
-        name, colon, value = line.partition(":")
+    for line in raw[at : end.start()].split(b"\n")[1:]:
+        name, colon, value = line.decode("utf-8", "replace").strip(" \t\r").partition(":")
         if not colon:
             raise Damaged("bad header line")
-        fields[name.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+        fields[name.strip(" \t").lower()] = value.strip(" \t")
+    if not re.fullmatch("[0-9]+", fields.get("content-length", "")) or "warc-type" not in fields:
         raise Damaged("header lacks content length or type")
-    return fields, end.end()
+    return fields, end.end() - at
+
+
+def plain_headers(source: Source, pos: int) -> tuple[dict[str, str], int]:
+    """The header of the plain record at pos, however long."""
+    n = 1 << 12
+    while True:
+        raw = source.at(pos, n)
+        if len(raw) < n or not VERSION.match(raw) or BLANK.search(raw):
+            return headers(raw)
+        n *= 4
 
 
 def checked(fields: dict[str, str], block: bytes) -> dict:
@@ -196,7 +212,7 @@ def member(source: Source, pos: int) -> tuple[list[dict], int]:
         raw, end = b"".join(parts), at - len(unpack.unused_data)
         rows, done = [], 0
         while done < len(raw):
-            fields, size = headers(raw[done : done + HEADER_MOST])
+            fields, size = headers(raw, done)
             block = raw[done + size : done + size + int(fields["content-length"])]
             if len(block) < int(fields["content-length"]):
                 raise Damaged("record is cut off")
@@ -205,7 +221,7 @@ def member(source: Source, pos: int) -> tuple[list[dict], int]:
             while raw[done : done + 1] in (b"\r", b"\n"):
                 done += 1
         return rows, end
-    fields, size = headers(source.at(pos, HEADER_MOST))
+    fields, size = plain_headers(source, pos)
     length = int(fields["content-length"])
     if pos + size + length > source.size:
         raise Damaged("record is cut off")
