@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 CHANNELS = ["text", "render", "structure", "notes", "media"]
 CONFIDENCE_BONUS = {"high": 0.4, "medium": 0.2, "low": -0.1}
 STALE_MINUTES = 10
-FENCE, HEADING = r"^\s*(```|~~~)", r"^#{1,6}\s+\S"
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
@@ -27,19 +26,6 @@ def blocks(lines: DataFrame) -> DataFrame:
     return held.withColumn("block", F.row_number().over(Window.partitionBy("doc").orderBy("line_start"))).drop("_island")
 
 
-def sections(lines: DataFrame) -> DataFrame:
-    """(doc, section, level, title, line_start, line_end): a heading outside of code fences opens a section; lines before the first belong to section 0."""
-    order = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(FENCE)
-    outside = (F.count_if(fence).over(order) % 2 == 0) & ~fence
-    marked = lines.withColumn("_heads", outside & F.col("line").rlike(HEADING))
-    numbered = marked.withColumn("section", F.count_if("_heads").over(order))
-    first = F.min(F.when(F.col("_heads"), F.struct("line_no", "line")))["line"]
-    rolled = numbered.groupBy("doc", "section").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), first.alias("_head"))
-    level = F.coalesce(F.length(F.regexp_extract("_head", "^(#+)", 1)), F.lit(0)).cast("long")
-    return rolled.withColumns({"level": level, "title": F.coalesce(F.trim(F.regexp_replace("_head", "^#+", "")), F.lit(""))}).drop("_head")
-
-
 def front_matter(lines: DataFrame) -> DataFrame:
     """(doc, key, value): ``key: value`` lines between a first line of dashes and the next one; comments and empty values are left out, of a key the last counts."""
     dashes = F.trim("line") == "---"

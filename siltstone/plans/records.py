@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import records
+from siltstone.operators import markdown, records
+from siltstone.plans.markdown import duck_lines
 from siltstone.sources import corpus
 from siltstone.sources.corpus import DUCK_SOURCES, DUCK_UNITS
 
@@ -15,7 +16,7 @@ def _marked(spark, sf_dir):
     """Texts with headings, fences, blank lines and front matter where lines stand at certain places."""
     parts = F.transform(
         F.split("text", "\n"),
-        lambda x, i: F.when(i % 5 == 4, F.lit("")).when(i % 7 == 3, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "), F.trim(F.substring(x, 1, 20)), F.lit("."))).when(i % 11 == 6, F.lit("```py")).otherwise(x),
+        lambda x, i: F.when(i % 5 == 4, F.lit("")).when(i % 7 == 3, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "), F.trim(x), F.lit("."))).when(i % 11 == 6, F.lit("```py")).otherwise(x),
     )
     body = F.array_join(parts, "\n")
     return corpus.sources(spark, sf_dir).select(F.col("source_id").alias("doc"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(HEAD), body)).otherwise(body).alias("text"))
@@ -26,7 +27,7 @@ def paragraph_blocks(spark, sf_dir):
 
 
 def markdown_sections(spark, sf_dir):
-    return records.sections(records.lines_of(_marked(spark, sf_dir)))
+    return markdown.sections(_marked(spark, sf_dir))
 
 
 def front_matter_fields(spark, sf_dir):
@@ -104,17 +105,17 @@ _ALL = (paragraph_blocks, markdown_sections, front_matter_fields, turn_upsert, t
 QUERIES = {f.__name__: f for f in _ALL}
 
 _HEAD = HEAD.replace("'", "''")
-_MARKED = f"""{DUCK_SOURCES}, sp AS (SELECT source_id AS doc, doc_id, string_split(text, chr(10)) AS p FROM sources),
-mk AS (SELECT doc, doc_id, array_to_string(list_transform(p, lambda x, j: CASE WHEN (j - 1) % 5 = 4 THEN '' WHEN (j - 1) % 7 = 3 THEN repeat('#', (j - 1) % 3 + 1) || ' ' || trim(substr(x, 1, 20)) || '.' WHEN (j - 1) % 11 = 6 THEN '```py' ELSE x END), chr(10)) AS body FROM sp),
-tx AS (SELECT doc, string_split(CASE WHEN doc_id % 3 = 0 THEN '{_HEAD}' || body ELSE body END, chr(10)) AS p FROM mk), ln AS (SELECT doc, unnest(p) AS line, unnest(range(1, len(p) + 1)) AS line_no FROM tx)"""
+_MARKED_TEXTS = f"""{DUCK_SOURCES}, sp AS (SELECT source_id AS doc, doc_id, string_split(text, chr(10)) AS p FROM sources),
+mk AS (SELECT doc, doc_id, array_to_string(list_transform(p, lambda x, j: CASE WHEN (j - 1) % 5 = 4 THEN '' WHEN (j - 1) % 7 = 3 THEN repeat('#', (j - 1) % 3 + 1) || ' ' || trim(x) || '.' WHEN (j - 1) % 11 = 6 THEN '```py' ELSE x END), chr(10)) AS body FROM sp),
+tx AS (SELECT doc, CASE WHEN doc_id % 3 = 0 THEN '{_HEAD}' || body ELSE body END AS text FROM mk)"""
+_MARKED = f"""{_MARKED_TEXTS}, ln AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM tx)"""
 _known = "list_filter([['text', 'render', 'structure', 'notes', 'media', 'smell'][l_partkey % 6 + 1], ['text', 'render', 'structure', 'notes', 'media', 'smell'][l_linenumber % 6 + 1]], lambda x: x <> 'smell')"
 ORACLES = {
     "paragraph_blocks": f"""WITH {_MARKED}, b AS (SELECT *, regexp_matches(line, '\\S') AS full_, count(*) FILTER (NOT regexp_matches(line, '\\S')) OVER (PARTITION BY doc ORDER BY line_no) AS island FROM ln),
 g AS (SELECT doc, island, min(line_no) AS line_start, max(line_no) AS line_end, md5(string_agg(line, chr(10) ORDER BY line_no)) AS digest FROM b WHERE full_ GROUP BY 1, 2)
 SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line_start) AS block, line_start, line_end, digest FROM g""",
-    "markdown_sections": f"""WITH {_MARKED}, f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM ln), o AS (SELECT *, count(*) FILTER (fence) OVER (PARTITION BY doc ORDER BY line_no) % 2 = 0 AND NOT fence AND regexp_matches(line, '^#{{1,6}}\\s+\\S') AS heads FROM f),
-s AS (SELECT *, count(*) FILTER (heads) OVER (PARTITION BY doc ORDER BY line_no) AS section FROM o), g AS (SELECT doc, section, min(line_no) AS line_start, max(line_no) AS line_end, min(line) FILTER (heads) AS head FROM s GROUP BY 1, 2)
-SELECT doc, section, line_start, line_end, coalesce(length(regexp_extract(head, '^(#+)', 1)), 0)::BIGINT AS level, coalesce(trim(regexp_replace(head, '^#+', '')), '') AS title FROM g""",
+    "markdown_sections": f"""WITH RECURSIVE {_MARKED_TEXTS}, {duck_lines("tx")}
+SELECT doc, section, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(line, '^#+', '')) AS title, n AS line FROM walked WHERE head""",
     "front_matter_fields": "WITH d AS (SELECT 'doc-' || doc_id AS doc FROM documents WHERE doc_id % 3 = 0) SELECT doc, key, value FROM d, (VALUES ('title', 'A ''plain'' one'), ('lang', 'de')) v(key, value)",
     "turn_upsert": """WITH r AS (SELECT *, event_id % 4 AS turn, event_id % 8 >= 4 AS fresh FROM events), a AS (SELECT user_id, turn, list_sort(list_distinct(list(event_type))) AS ids, max(event_type) FILTER (fresh AND value > 20) AS n, max(event_type) FILTER (NOT fresh AND value > 20) AS o FROM r GROUP BY 1, 2)
 SELECT user_id, turn, array_to_string(ids, ',') AS ids, len(ids)::BIGINT AS n, coalesce(a.n, o) AS state FROM a""",
