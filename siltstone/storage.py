@@ -1,21 +1,31 @@
-"""Cutting lineage: intermediate results in the folder that driver and executors share."""
+"""Cutting lineage and keeping files: everything goes to the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="siltstone-")
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as files in the folder of spark.checkpoint.dir; a folder of our own only where driver and executors are one process."""
+    """``df`` computed once, as files in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="siltstone-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
