@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import html
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: What ends a line, and what counts as white space.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+W = "[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 TOKEN = "([0-9A-Za-z]+|[一-鿿]+)"
 
@@ -71,29 +79,33 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-#: Entities that are undone last, the ampersand after all others.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def html_to_text(html: Column) -> Column:
-    """Text of HTML: no scripts, styles or comments; breaks and block ends are line feeds; tags go, entities are undone, space is squeezed."""
-    out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<br[^>]*>|</(p|div|li|tr|h1|h2|h3|h4|h5|h6|section|article|table|ul|ol)>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n ?", "\n"), r"^[ \n]+|[ \n]+$|\n+(?=\n)", "")
-
-
-def duck_html_to_text(html: str) -> str:
-    """The same as a DuckDB expression; RE2 has no look-ahead, so runs of line feeds are replaced by one."""
-    out = rf"regexp_replace({html}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(?i)<br[^>]*>|</(p|div|li|tr|h1|h2|h3|h4|h5|h6|section|article|table|ul|ol)>', chr(10), 'g')"
-    out = rf"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
-    for name, char in ENTITIES:
-        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    out = rf"regexp_replace(regexp_replace({out}, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')"
-    return rf"regexp_replace(regexp_replace({out}, '\n+', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+@F.pandas_udf(StringType())
+def unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Character references as characters, all that HTML knows, with or without a semicolon where it allows that."""
+    for texts in batches:
+        yield texts.map(html.unescape, na_action="ignore")
+
+
+def html_to_text(source: Column) -> Column:
+    """Text of HTML: no scripts or styles; breaks and block ends are line feeds; tags go, references are undone, blanks are squeezed, three line feeds or more are two, lines are stripped."""
+    out = F.regexp_replace(source, r"(?is)<(script|style)\b.*?>.*?</\1>", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)<br\s*/?>", "\n"), r"(?i)</(?:p|div|li|tr|h[1-6]|table|section|article)>", "\n")
+    out = F.regexp_replace(out, "<[^>]+>", " ")
+    out = F.when(out.contains("&"), unescaped(out)).otherwise(out)
+    out = F.regexp_replace(F.regexp_replace(F.replace(F.replace(out, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    lines = F.transform(F.split(out, LINE_END), lambda x: F.regexp_replace(x, f"^{W}+|{W}+$", ""))
+    return F.regexp_replace(F.array_join(lines, "\n"), f"^{W}+|{W}+$", "")
+
+
+def duck_html_to_text(source: str) -> str:
+    """The same as a DuckDB expression, for the references that the pages have."""
+    out = rf"regexp_replace(regexp_replace({source}, '(?is)<script\b.*?>.*?</script>', ' ', 'g'), '(?is)<style\b.*?>.*?</style>', ' ', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|li|tr|h[1-6]|table|section|article)>', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '<[^>]+>', ' ', 'g')"
+    for name, char in (("&middot;?", "·"), ("&copy;?", "©"), ("&quot;?", '"'), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, '{name}', '{char}', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace(array_to_string(list_transform(string_split({out}, chr(10)), lambda l: regexp_replace(l, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')), chr(10)), '^\s+|\s+$', '', 'g')"
 
 
 def duck_tokens(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of memories, most important first.
-KINDS = ["constraint", "preference", "clarification", "operator-intent", "working-note"]
+KINDS = ["constraint", "preference", "correction", "clarification", "stakeholder-context", "political-context", "operator-intent", "working-note"]
 
 
 def turns(log: DataFrame) -> DataFrame:
@@ -32,18 +32,25 @@ def without_duplicates(entries: DataFrame, signature: list[Column], promoted: st
     return rows.where("_place = 1").drop("_place")
 
 
-def memory_kind(text: Column) -> Column:
-    """What kind of memory an utterance makes, by its form."""
-    return (
-        F.when(text.rlike(r"\?\s*$"), "clarification").when(F.length(text) < 80, "preference").when(text.rlike(r"\d"), "constraint").when(F.length(text) > 400, "working-note").otherwise("operator-intent")
-    )
-
-
 def folded_memories(entries: DataFrame) -> DataFrame:
-    """(conv_id, entries, kind, certain, digest): the most important kind of a conversation's entries; certain if all are."""
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", F.col("turn").cast("string"), "kind"), 256))), ""), 256)
-    return entries.groupBy("conv_id").agg(F.count("*").alias("entries"), F.min_by("kind", rank).alias("kind"), F.bool_and("certain").alias("certain"), digest.alias("digest"))
+    """(conv_id, entries, kind, durability, uncertainty, policy, prior, digest) of ``entries`` (conv_id, turn, kind, durability, uncertainty, policy, prior).
+
+    The most important kind of a conversation counts, a working note if there is none of another known kind. The entries that were more important than all before them say the rest, the last one
+    that says something. What one entry states as uncertain is uncertain, else inferred if one is. The digest is taken of the turns and kinds in order. A conversation is one window.
+    """
+    known = F.create_map(*(F.lit(x) for pair in ((k, i) for i, k in enumerate(KINDS)) for x in pair))
+    rank = F.coalesce(F.try_element_at(known, F.coalesce("kind", F.lit("working-note"))), F.lit(99))
+    before = F.min("rank").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    marked = entries.withColumn("rank", rank).withColumn("leads", F.col("rank") < F.least(F.lit(len(KINDS) - 1), F.coalesce(before, F.lit(99))))
+    said = lambda c, default: F.coalesce(F.max_by(c, F.when(F.col("leads") & (F.coalesce(c, F.lit("")) != ""), F.col("turn"))), F.lit(default)).alias(c)
+    one = lambda value: F.bool_or(F.coalesce(F.col("uncertainty") == value, F.lit(False)))
+    uncertainty = F.when(one("stated-uncertain"), "stated-uncertain").when(one("inferred"), "inferred").otherwise("confirmed")
+    line = F.struct("turn", F.sha2(F.concat_ws("|", F.col("turn").cast("string"), "kind"), 256).alias("line"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), ""), 256)
+    return marked.groupBy("conv_id").agg(
+        F.count("*").alias("entries"), F.coalesce(F.max_by("kind", F.when(F.col("leads"), F.col("turn"))), F.lit("working-note")).alias("kind"),
+        said("durability", "ephemeral"), uncertainty.alias("uncertainty"), said("policy", "contextual-only"), said("prior", "low"), digest.alias("digest"),
+    )
 
 
 def overlaid(base: DataFrame, overlay: DataFrame, key: list[str]) -> DataFrame:

@@ -5,27 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How far a caption may stand from what it names, how many rows a profile reads, and when a value is odd.
-CAPTION_GAP, PROFILE_ROWS, HIGH, LOW = 88.0, 25, 1.8, 0.2
+#: How far a caption may stand from what it names and how near it is sure, how many rows a profile reads, when a value is odd, and words of time axes.
+CAPTION_GAP, CAPTION_SURE, PROFILE_ROWS, HIGH, LOW = 88.0, 36.0, 25, 1.8, 0.2
+TIME_WORDS = ["date", "day", "week", "month", "quarter", "year", "timeline", "period"]
 
 
 def column_profile(cells: DataFrame, sheet: str, column: str, order: list) -> DataFrame:
-    """(sheet, column, values, least, most, mean, odd) over the first 25 rows of each column."""
-    first = cells.withColumn("_row", F.row_number().over(Window.partitionBy(sheet, column).orderBy(*order))).where(F.col("_row") <= PROFILE_ROWS)
-    rows = first.groupBy(sheet, column).agg(F.count("*").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("most"), (F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("*")).alias("mean"))
-    return rows.withColumn("odd", (F.col("most") > HIGH * F.col("mean")) | (F.col("least") < LOW * F.col("mean")))
+    """(sheet, column, kind, n_values, n_numbers, least, most, mean, odd) of ``cells`` (sheet, column, value: a string) over the first 25 rows of each column.
+
+    Empty values don't count. A column with a number is numeric, one whose name has a word of time is a time axis, others are text. It is odd if, with two numbers or more and a mean
+    other than 0, the largest is above 1.8 of the mean or the least below 0.2 of it.
+    """
+    first = cells.withColumn("_row", F.row_number().over(Window.partitionBy(sheet, column).orderBy(*order))).where(F.col("_row") <= PROFILE_ROWS).where("value <> ''")
+    first = first.withColumn("_number", F.expr("try_cast(value as double)"))
+    mean = F.sum(F.expr("try_cast(value as decimal(24,4))")).cast("double") / F.count("_number")
+    rows = first.groupBy(sheet, column).agg(F.count("*").alias("n_values"), F.count("_number").alias("n_numbers"), F.min("_number").alias("least"), F.max("_number").alias("most"), mean.alias("mean"))
+    timely = F.exists(F.array(*map(F.lit, TIME_WORDS)), lambda w: F.contains(F.lower(column), w))
+    kind = F.when(F.col("n_numbers") > 0, "numeric").when(timely, "time-axis").otherwise("text")
+    odd = (F.col("n_numbers") > 1) & (F.col("mean") != 0) & ((F.col("most") > HIGH * F.col("mean")) | (F.col("least") < LOW * F.col("mean")))
+    return rows.withColumns({"kind": kind, "odd": F.coalesce(odd, F.lit(False))})
 
 
 def nearest_captions(captions: DataFrame, figures: DataFrame) -> DataFrame:
-    """(page, caption_id, figure_id, gap): the nearest figure of the page that a caption overlaps in width, within CAPTION_GAP in height.
+    """(page, caption_id, figure_id, gap, sure): the nearest figure of the page that a caption overlaps in width, within CAPTION_GAP in height.
 
-    Boxes: page, id, x0, y0, x1, y1. Pages join by equality; figures of a page are few.
+    The gap is the lesser distance of opposite edges, whether boxes overlap or not; of equal ones the first figure counts. Boxes: page, id, x0, y0, x1, y1. Pages join by equality; figures of a page are few.
     """
     c, f = (d.select("page", *(F.col(x).alias(f"{p}_{x}") for x in ("id", "x0", "y0", "x1", "y1"))) for d, p in ((captions, "c"), (figures, "f")))
-    gap = F.greatest(F.col("c_y0") - F.col("f_y1"), F.col("f_y0") - F.col("c_y1"), F.lit(0.0))
+    gap = F.least(F.abs(F.col("f_y0") - F.col("c_y1")), F.abs(F.col("c_y0") - F.col("f_y1")))
     near = c.join(f, "page").where((F.least("c_x1", "f_x1") - F.greatest("c_x0", "f_x0")) > 0).withColumn("gap", gap).where(F.col("gap") <= CAPTION_GAP)
     order = Window.partitionBy("page", "c_id").orderBy("gap", "f_id")
-    return near.withColumn("place", F.row_number().over(order)).where("place = 1").select("page", F.col("c_id").alias("caption_id"), F.col("f_id").alias("figure_id"), "gap")
+    return near.withColumn("place", F.row_number().over(order)).where("place = 1").select("page", F.col("c_id").alias("caption_id"), F.col("f_id").alias("figure_id"), "gap", (F.col("gap") <= CAPTION_SURE).alias("sure"))
 
 
 def continuations(parts: DataFrame, doc: str, page: str, key: list[str]) -> DataFrame:

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What ends a line, what counts as white space, and what lines look like.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-W = "[\\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+from siltstone.functions.text import LINE_END, W
+
+#: What lines look like.
 BLANK, TICKS, TILDES, HEADING, ITEM, RULE, HTML, PIPE, INDENT = (1 << i for i in range(9))
 LOOKS = {
     BLANK: f"^{W}*$", TICKS: f"^{W}*```", TILDES: f"^{W}*~~~", HEADING: f"^#{{1,6}}[ \\t]+.+?{W}*$", ITEM: f"^{W}*(?:[-+*]|\\p{{Nd}}+\\.){W}+",

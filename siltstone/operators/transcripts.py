@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators.markdown import W
+from siltstone.functions.text import W
 from siltstone.storage import settled
 
 #: What equal and contained texts, times after the opening and before the end, and equal places count.

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import duck_tokens
-from siltstone.operators import hybrid, interactions, layout, references
+from siltstone.operators import freshness, hybrid, interactions, layout, references
+from siltstone.plans.freshness import CONTINUATIONS, _pick
 from siltstone.sources import corpus
 from siltstone.sources.corpus import DUCK_SOURCES, DUCK_UNITS
 
@@ -26,8 +27,11 @@ def interaction_dedup(spark, sf_dir):
 
 
 def memory_semantics_fold(spark, sf_dir):
-    entries = _log(spark, sf_dir).where("role = 'user'").withColumns({"kind": interactions.memory_kind(F.col("text")), "certain": ~F.col("text").rlike(r"\?")})
-    return interactions.folded_memories(entries)
+    """Entries of users, with what they mean by default; some name a kind that is unknown."""
+    k = F.col("conv_id") + F.col("turn") * 7
+    fields = freshness.semantics(_pick(k, [*interactions.KINDS, ""]), _pick(k, CONTINUATIONS), F.char_length(F.coalesce("text", F.lit(""))) % 3, {"durability": F.when(k % 8 == 3, "durable"), "uncertainty": F.when(F.contains("text", F.lit("?")), "stated-uncertain")})
+    kind = F.when(k % 10 == 9, "rumour").otherwise(fields.pop("kind"))
+    return interactions.folded_memories(_log(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", kind.alias("kind"), *(c.alias(name) for name, c in fields.items())))
 
 
 def overlay_union(spark, sf_dir):
@@ -66,9 +70,12 @@ def locator_match(spark, sf_dir):
 
 
 def column_profile(spark, sf_dir):
-    """Orders are sheets of quantities, by return flag."""
-    cells = corpus.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("sheet"), F.col("l_returnflag").alias("column"), F.col("l_quantity").alias("value"), "l_orderkey", "l_linenumber")
-    return layout.column_profile(cells, "sheet", "column", ["l_orderkey", "l_linenumber"]).withColumn("mean", F.round("mean", 6))
+    """Suppliers fill sheets with quantities, taxes, days of shipping and states of their items; some cells are empty."""
+    number = lambda c: F.col(c).cast("decimal(12,2)").cast("string")
+    of = {"quantity": F.when(F.col("l_linenumber") % 5 > 0, number("l_quantity")).otherwise(""), "tax": number("l_tax"), "Shipping date": F.date_format("l_shipdate", "yyyy-MM-dd"), "state": F.concat("l_returnflag", "l_linestatus")}
+    columns = F.array(*(F.struct(F.lit(k).alias("column"), v.alias("value")) for k, v in of.items()))
+    cells = corpus.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("sheet"), F.col("l_partkey").alias("row"), "l_orderkey", "l_linenumber", F.explode(columns).alias("c")).select("sheet", "c.column", "c.value", "l_orderkey", "l_linenumber", "row")
+    return layout.column_profile(cells, "sheet", "column", ["l_orderkey", "l_linenumber", "row", "value"]).withColumn("mean", F.round("mean", 6))
 
 
 def _boxes(spark, sf_dir, caption: bool):
@@ -131,7 +138,6 @@ hs AS (SELECT *, CASE WHEN exact THEN weight WHEN n >= 2 AND share >= 0.5 THEN r
 ma AS (SELECT question_id, source_id, basis, max(score) AS score, arg_max(exact, score * 2 + exact::INT) AS exact FROM hs WHERE score IS NOT NULL GROUP BY ALL)"""
 _M = _Q + MATCHED
 _U = f"""{DUCK_SOURCES}, {DUCK_UNITS}, qu AS (SELECT source_id, unit_id, length(text)::BIGINT AS priority, CASE WHEN length(text) % 7 < 2 THEN 'covered' WHEN length(text) % 7 = 2 THEN 'stale' WHEN length(text) % 7 = 3 THEN 'blocked' ELSE 'pending' END AS state FROM units)"""
-_KIND = r"CASE WHEN regexp_matches(text, '\?\s*$') THEN 'clarification' WHEN length(text) < 80 THEN 'preference' WHEN regexp_matches(text, '\d') THEN 'constraint' WHEN length(text) > 400 THEN 'working-note' ELSE 'operator-intent' END"
 ORACLES = {
     "turn_reconstruction": """WITH n AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations),
 h AS (SELECT conv_id, turn_no::BIGINT AS turn_no, min(turn) AS opened, max(turn) AS closed, count(*) FILTER (role = 'assistant') AS answers, sum(length(text))::BIGINT AS n_chars FROM n GROUP BY 1, 2)
@@ -139,8 +145,15 @@ SELECT *, CASE WHEN turn_no = 0 THEN 'preamble' WHEN answers > 0 THEN 'completed
     "interaction_dedup": """WITH k AS (SELECT *, sha256(role || '|' || coalesce(text, '')) AS signature, turn % 3 = 0 AS promoted FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY conv_id, turn) AS place, count(*) OVER (PARTITION BY signature) AS copies, bool_or(promoted) OVER (PARTITION BY signature) AS any_promoted FROM k)
 SELECT conv_id, turn, signature, copies, any_promoted FROM r WHERE place = 1""",
-    "memory_semantics_fold": rf"""WITH e AS (SELECT *, {_KIND} AS kind, NOT regexp_matches(text, '\?') AS certain FROM conversations WHERE role = 'user')
-SELECT conv_id, count(*) AS entries, arg_min(kind, list_position(['constraint', 'preference', 'clarification', 'operator-intent', 'working-note'], kind)) AS kind, bool_and(certain) AS certain, sha256(string_agg(sha256(turn || '|' || kind), '' ORDER BY sha256(turn || '|' || kind))) AS digest FROM e GROUP BY 1""",
+    "memory_semantics_fold": f"""WITH c AS (SELECT *, conv_id + turn * 7 AS k FROM conversations WHERE role = 'user'),
+d AS (SELECT *, CASE WHEN k % 9 < 8 THEN {[*interactions.KINDS]}[k % 9 + 1] WHEN k % 4 = 1 THEN 'constraint' WHEN length(coalesce(text, '')) % 3 > 0 THEN 'operator-intent' ELSE 'working-note' END AS own FROM c),
+e AS (SELECT *, CASE WHEN k % 10 = 9 THEN 'rumour' ELSE own END AS kind, CASE WHEN k % 8 = 3 OR own IN {tuple(freshness.DURABLE)} THEN 'durable' WHEN own IN {tuple(freshness.SITUATIONAL)} THEN 'situational' ELSE 'ephemeral' END AS durability,
+  CASE WHEN contains(text, '?') THEN 'stated-uncertain' WHEN own = 'working-note' THEN 'inferred' ELSE 'confirmed' END AS uncertainty, CASE WHEN own IN {tuple(freshness.DIRECT)} THEN 'direct-support' ELSE 'contextual-only' END AS policy,
+  CASE WHEN own IN {tuple(freshness.HIGH)} THEN 'high' WHEN own IN {tuple(freshness.MEDIUM)} THEN 'medium' ELSE 'low' END AS prior FROM d),
+b AS (SELECT conv_id, arg_min(struct_pack(kind, durability, policy, prior), {{'r': list_position({[*interactions.KINDS]}, kind), 't': turn}}) AS best FROM e WHERE list_position({[*interactions.KINDS]}, kind) < 8 GROUP BY conv_id)
+SELECT conv_id, count(*) AS entries, coalesce(any_value(best.kind), 'working-note') AS kind, coalesce(any_value(best.durability), 'ephemeral') AS durability,
+  CASE WHEN bool_or(uncertainty = 'stated-uncertain') THEN 'stated-uncertain' WHEN bool_or(uncertainty = 'inferred') THEN 'inferred' ELSE 'confirmed' END AS uncertainty, coalesce(any_value(best.policy), 'contextual-only') AS policy, coalesce(any_value(best.prior), 'low') AS prior,
+  sha256(string_agg(sha256(turn || '|' || kind), '' ORDER BY turn)) AS digest FROM e LEFT JOIN b USING (conv_id) GROUP BY conv_id""",
     "overlay_union": f"""WITH {DUCK_SOURCES}, {DUCK_UNITS}, o AS (SELECT 'doc-' || conv_id AS source_id, 'line-' || lpad((turn + 1)::VARCHAR, 4, '0') AS unit_id, md5(text) AS digest, 'interaction' AS family FROM conversations)
 SELECT source_id, unit_id, md5(text) AS digest, 'corpus' AS family FROM units ANTI JOIN o USING (source_id, unit_id) UNION ALL SELECT * FROM o""",
     "alias_match": f"WITH {_M} SELECT question_id, source_id, basis, exact, round(score, 6) AS score FROM ma",
@@ -149,13 +162,16 @@ r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS runner_up, l
 SELECT question_id, source_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, CASE WHEN (runner_up IS NULL AND score > 0) OR (score > runner_up AND ((exact AND NOT other) OR score - runner_up >= 8 OR score >= 1.25 * runner_up)) THEN 'exact' ELSE 'ambiguous' END AS status FROM r WHERE place = 1""",
     "locator_match": rf"""WITH {_Q}, {DUCK_UNITS}, a AS (SELECT question_id, source_id, try_cast(nullif(regexp_extract(lower(text), '\blines?[ #-]*0*([0-9]+)', 1), '') AS BIGINT) AS line FROM qs)
 SELECT question_id, source_id, unit_id FROM a JOIN units USING (source_id) WHERE line = ordinal""",
-    "column_profile": """WITH r AS (SELECT l_suppkey % 50 AS sheet, l_returnflag AS "column", l_quantity AS value, row_number() OVER (PARTITION BY l_suppkey % 50, l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
-p AS (SELECT sheet, "column", count(*) AS n_values, min(value) AS least, max(value) AS most, sum(value::DECIMAL(18,4))::DOUBLE / count(*) AS mean FROM r WHERE n <= 25 GROUP BY 1, 2)
-SELECT sheet, "column", n_values, least, most, round(mean, 6) AS mean, most > 1.8 * mean OR least < 0.2 * mean AS odd FROM p""",
+    "column_profile": """WITH c AS (SELECT l_suppkey % 50 AS sheet, l_orderkey, l_linenumber, l_partkey, unnest([{'c': 'quantity', 'v': CASE WHEN l_linenumber % 5 > 0 THEN l_quantity::DECIMAL(12,2)::VARCHAR ELSE '' END}, {'c': 'tax', 'v': l_tax::DECIMAL(12,2)::VARCHAR},
+  {'c': 'Shipping date', 'v': strftime(l_shipdate, '%Y-%m-%d')}, {'c': 'state', 'v': l_returnflag || l_linestatus}]) AS x FROM lineitem),
+r AS (SELECT sheet, x.c AS "column", x.v AS value, row_number() OVER (PARTITION BY sheet, x.c ORDER BY l_orderkey, l_linenumber, l_partkey, x.v) AS n FROM c),
+p AS (SELECT sheet, "column", count(*) AS n_values, count(try_cast(value AS DOUBLE)) AS n_numbers, min(try_cast(value AS DOUBLE)) AS least, max(try_cast(value AS DOUBLE)) AS most, sum(try_cast(value AS DECIMAL(24,4)))::DOUBLE / count(try_cast(value AS DOUBLE)) AS mean FROM r WHERE n <= 25 AND value <> '' GROUP BY 1, 2)
+SELECT sheet, "column", n_values, n_numbers, least, most, round(mean, 6) AS mean, CASE WHEN n_numbers > 0 THEN 'numeric' WHEN contains(lower("column"), 'date') THEN 'time-axis' ELSE 'text' END AS kind,
+  coalesce(n_numbers > 1 AND mean <> 0 AND (most > 1.8 * mean OR least < 0.2 * mean), false) AS odd FROM p""",
     "caption_nearest": """WITH k AS (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem), b AS (SELECT id // 16 AS page, id, (id * 37 % 400)::DOUBLE AS x0, (id * 53 % 700)::DOUBLE AS y0 FROM k),
 x AS (SELECT *, x0 + (id * 11 % 150) + 20 AS x1, y0 + 12 + (id * 7 % 60) AS y1 FROM b),
-n AS (SELECT c.page, c.id AS caption_id, f.id AS figure_id, greatest(c.y0 - f.y1, f.y0 - c.y1, 0.0)::DOUBLE AS gap FROM x c JOIN x f ON c.page = f.page AND c.id % 4 = 0 AND f.id % 4 <> 0 AND least(c.x1, f.x1) - greatest(c.x0, f.x0) > 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY page, caption_id ORDER BY gap, figure_id) AS place FROM n WHERE gap <= 88) SELECT page, caption_id, figure_id, gap FROM o WHERE place = 1""",
+n AS (SELECT c.page, c.id AS caption_id, f.id AS figure_id, least(abs(f.y0 - c.y1), abs(c.y0 - f.y1))::DOUBLE AS gap FROM x c JOIN x f ON c.page = f.page AND c.id % 4 = 0 AND f.id % 4 <> 0 AND least(c.x1, f.x1) - greatest(c.x0, f.x0) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY page, caption_id ORDER BY gap, figure_id) AS place FROM n WHERE gap <= 88) SELECT page, caption_id, figure_id, gap, gap <= 36 AS sure FROM o WHERE place = 1""",
     "continuation_links": """WITH d AS (SELECT DISTINCT l_suppkey AS doc, l_orderkey // 100 AS page, l_returnflag AS kind FROM lineitem), r AS (SELECT *, page - row_number() OVER (PARTITION BY doc, kind ORDER BY page) AS run FROM d)
 SELECT doc, kind, min(page) AS first_page, count(*) AS pages FROM r GROUP BY doc, kind, run HAVING count(*) > 1""",
     "lane_batch": f"""WITH {_U}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY priority DESC, unit_id) AS place FROM qu WHERE state = 'pending') WHERE place <= 3),
