@@ -113,4 +113,4 @@ def scores(sources: DataFrame, units: DataFrame, artifacts: DataFrame, queries:
     gated = memory_gate(rows.withColumn("lexical", F.col("lexical_source") + F.col("lexical_units") + F.col("lexical_artifacts"))).where("coalesce(admitted, true)")
     metadata, memory = F.col("own_metadata") + F.col("unit_metadata"), F.coalesce("adjustment", F.lit(0.0))
     out = gated.select(*key, "lexical_source", "lexical_units", "lexical_artifacts", metadata.alias("metadata"), "context", "overlay", memory.alias("memory"))
-    return out.withColumn("total", F.col("lexical_source") + F.col("lexical_units") + F.col("lexical_artifacts") + F.col("metadata") + F.col("memory"))
+    return out.withColumn("total", F.round(F.col("lexical_source") + F.col("lexical_units") + F.col("lexical_artifacts") + F.col("metadata") + F.col("memory"), 9))
