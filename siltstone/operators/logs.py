@@ -71,3 +71,20 @@ def phase_costs(events: DataFrame, gap_seconds: int) -> DataFrame:
     taken = (F.unix_micros(F.lead("at").over(order)) - F.unix_micros("at")) / 1000000
     timed = events.withColumn("taken", taken).where(F.col("taken") <= gap_seconds)
     return timed.groupBy("run", "phase").agg(F.sum(F.round(F.col("taken") * 1000).cast("long")).alias("milliseconds"), F.count("*").alias("times"))
+
+
+def phase_profile(events: DataFrame) -> DataFrame:
+    """(run, phase, seconds, times) of the phases that ``events`` (run, at, event_id, kind: start or finish, phase) finish.
+
+    A start makes its phase the active one of the run. A finish counts once more; it adds the time since the start if its phase is active, and then none is. Finishes of other
+    phases leave the active one as it is. Phases that nothing finishes have no row; one that is never active has 0 seconds.
+    """
+    order = Window.partitionBy("run").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.row_number().over(Window.partitionBy("run").orderBy("at", "event_id"))
+    numbered = events.where(F.col("kind").isin("start", "finish")).withColumn("place", place)
+    started = F.max(F.when(F.col("kind") == "start", F.struct("place", "phase", "at"))).over(order)
+    finished = F.max(F.when(F.col("kind") == "finish", F.col("place"))).over(Window.partitionBy("run", "phase").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = numbered.withColumns({"started": started, "finished": finished}).where("kind = 'finish'")
+    active = (F.col("started.phase") == F.col("phase")) & (F.coalesce("finished", F.lit(0)) < F.col("started.place"))
+    taken = F.when(active, F.unix_micros("at") - F.unix_micros("started.at")).otherwise(0)
+    return rows.groupBy("run", "phase").agg((F.sum(taken) / 1000000).alias("seconds"), F.count("*").alias("times"))

@@ -70,7 +70,14 @@ def release_upsert(spark, sf_dir):
     return both.select("channel", F.coalesce("n.version", "o.version").alias("version"), F.coalesce("n.asset", "o.asset").alias("asset"), F.col("n.asset").isNotNull().alias("touched"))
 
 
-QUERIES = {f.__name__: f for f in (frequent_sources, failure_patterns, orphan_sessions, benchmark_candidates, answer_history, warm_start, ledger_latest, phase_costs, daily_activity_dedup, release_upsert)}
+def phase_profile(spark, sf_dir):
+    """Events of a user are a run: what its value says opens or ends a phase."""
+    phase = F.element_at(F.array(*map(F.lit, ["detect", "stage", "publish"])), (F.floor("value") % 3 + 1).cast("int"))
+    events = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.when(F.floor(F.col("value") * 10) % 2 == 0, "start").otherwise("finish").alias("kind"), phase.alias("phase"))
+    return logs.phase_profile(events).withColumn("seconds", F.round("seconds", 6))
+
+
+QUERIES = {f.__name__: f for f in (frequent_sources, failure_patterns, orphan_sessions, benchmark_candidates, answer_history, warm_start, ledger_latest, phase_costs, phase_profile, daily_activity_dedup, release_upsert)}
 
 _E = "ev AS (SELECT *, user_id AS conv_id, (day(ts) % 8)::BIGINT AS turn, json_extract_string(props, '$.k')::BIGINT AS k, hour(ts)::BIGINT AS hour FROM events)"
 ORACLES = {
@@ -88,6 +95,11 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY
     "ledger_latest": f"WITH {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS place FROM ev) SELECT user_id, event_type, event_id, round(value, 6) AS value FROM o WHERE place = 1",
     "phase_costs": """WITH t AS (SELECT user_id AS run, event_type AS phase, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000000 AS taken FROM events)
 SELECT run, phase, sum(round(taken * 1000)::BIGINT)::BIGINT AS milliseconds, count(*) AS times FROM t WHERE taken <= 36000 GROUP BY 1, 2""",
+    "phase_profile": """WITH RECURSIVE e AS (SELECT user_id AS run, epoch_us(ts) AS at, floor(value * 10)::BIGINT % 2 = 0 AS opens, ['detect', 'stage', 'publish'][floor(value)::BIGINT % 3 + 1] AS phase, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT DISTINCT run, 0::BIGINT AS n, NULL::VARCHAR AS phase, NULL::VARCHAR AS active, NULL::BIGINT AS since, NULL::BIGINT AS taken FROM e
+  UNION ALL SELECT e.run, e.n, CASE WHEN NOT opens THEN e.phase END, CASE WHEN opens THEN e.phase WHEN w.active = e.phase THEN NULL ELSE w.active END, CASE WHEN opens THEN e.at WHEN w.active = e.phase THEN NULL ELSE w.since END,
+    CASE WHEN NOT opens THEN CASE WHEN w.active = e.phase THEN e.at - w.since ELSE 0 END END FROM w JOIN e ON e.run = w.run AND e.n = w.n + 1)
+SELECT run, phase, round(sum(taken) / 1000000, 6)::DOUBLE AS seconds, count(*) AS times FROM w WHERE phase IS NOT NULL GROUP BY run, phase""",
     "daily_activity_dedup": "SELECT strftime(ts, '%Y-%m-%d') AS event_day, user_id, event_type, min(event_id) AS event_id, count(*) AS tries FROM events GROUP BY 1, 2, 3",
     "release_upsert": """WITH o AS (SELECT o_orderkey AS channel, o_orderstatus AS version, o_orderpriority AS asset FROM orders WHERE o_orderkey % 2 = 0),
 n AS (SELECT o_orderkey - 1 AS channel, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS version, o_orderpriority AS asset FROM orders WHERE o_orderkey % 2 = 1)

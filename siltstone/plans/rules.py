@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import rules
@@ -36,6 +39,16 @@ def validation_report(spark, sf_dir):
     )
 
 
+def validation_status(spark, sf_dir):
+    """The state of each quarter of the corpus: of all, of what has no pending text, of what has no blocking rule, of what has no rule at all."""
+    reported = validation_report(spark, sf_dir)
+    pending = corpus.sources(spark, sf_dir).where(F.col("text").rlike(r"(?i)\bTODO\b")).select("source_id")
+    none, parts = pending.limit(0), []
+    for name, (rows, waiting) in {"all": (reported, pending), "no pending": (reported, none), "no blocking": (reported.where("status = 'warnings'"), none), "no rule": (reported.limit(0), none)}.items():
+        parts.append(rules.overall(rows, waiting).withColumn("part", F.lit(name)))
+    return reduce(DataFrame.union, parts)
+
+
 def coverage_totals(spark, sf_dir):
     """Units, artifacts and relations of each origin."""
     docs = corpus.sources(spark, sf_dir).select("source_id", "origin")
@@ -44,7 +57,7 @@ def coverage_totals(spark, sf_dir):
     return joined.groupBy("origin").agg(F.count("*").alias("sources"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("units", "artifacts", "relations")), F.count_if(F.col("artifacts").isNull()).alias("without_artifacts"))
 
 
-QUERIES = {f.__name__: f for f in (unresolved_citations, validation_report, coverage_totals)}
+QUERIES = {f.__name__: f for f in (unresolved_citations, validation_report, validation_status, coverage_totals)}
 
 ORACLES = {
     "unresolved_citations": f"""WITH {DUCK_SOURCES}, {DUCK_UNITS}, i AS (SELECT item_id, unnest([item_id * 3, item_id * 3 + 100000]) AS doc FROM benchmark),
@@ -61,3 +74,7 @@ SELECT source_id, count(*) AS n_rules, CASE WHEN bool_or(rule IN ('missing-text'
   LEFT JOIN (SELECT source_id, count(*) AS a FROM artifacts GROUP BY 1) USING (source_id) LEFT JOIN (SELECT source_id, count(*) AS r FROM edges GROUP BY 1) USING (source_id))
 SELECT origin, count(*) AS sources, coalesce(sum(u), 0)::BIGINT AS units, coalesce(sum(a), 0)::BIGINT AS artifacts, coalesce(sum(r), 0)::BIGINT AS relations, count(*) FILTER (a IS NULL) AS without_artifacts FROM j GROUP BY origin""",
 }
+_report = ORACLES["validation_report"]
+ORACLES["validation_status"] = rf"""WITH r AS ({_report}), c AS (SELECT (SELECT count(*) FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)\bTODO\b')) AS p, count(*) FILTER (status = 'blocking-errors') AS b, count(*) FILTER (status = 'warnings') AS w FROM r),
+x AS (SELECT 'all' AS part, p AS pending, b AS blocking, w AS warnings FROM c UNION ALL SELECT 'no pending', 0, b, w FROM c UNION ALL SELECT 'no blocking', 0, 0, w FROM c UNION ALL SELECT 'no rule', 0, 0, 0)
+SELECT part, pending, blocking, warnings, CASE WHEN pending > 0 THEN 'pending-synthesis' WHEN blocking > 0 THEN 'blocking-errors' WHEN warnings > 0 THEN 'warnings' ELSE 'valid' END AS status FROM x"""

@@ -44,3 +44,22 @@ def test_html_references_and_lines(spark):
     got = {r[0]: r[1] for r in df.select("i", T.html_to_text(F.col("h"))).collect()}
     assert got[0] == "ééé" and got[1] == html_library.unescape("a &amp;lt; b &amp c &notin; &nosuch;") and got[2] == "x\n\n\n y\nz".replace("\n\n\n ", "\n\n")
     assert got[4] == "a \xa0 b\nc" and got[5] == "one\ntwo" and got[6] == "x" and got[7] is None
+
+
+def test_phases_by_start_and_finish(spark):
+    from siltstone.operators import logs
+
+    log = ["start a 0", "finish b 1", "start b 5", "finish a 7", "finish b 9", "finish b 11", "start a 20", "start a 25", "finish a 30", "start c 40", "note c 41", "finish a 42"]
+    rows = [(1, int(x.split()[2]), i, *x.split()[:2]) for i, x in enumerate(log)]
+    df = spark.createDataFrame(rows, "run long, at long, event_id long, kind string, phase string").withColumn("at", F.timestamp_seconds("at"))
+    got = {r["phase"]: (r["seconds"], r["times"]) for r in logs.phase_profile(df).collect()}
+    assert got == {"a": (5.0, 3), "b": (4.0, 3)}
+
+
+def test_status_of_a_target(spark):
+    from siltstone.operators import rules
+
+    report = lambda *states: spark.createDataFrame([(str(i), s) for i, s in enumerate(states)], "source_id string, status string")
+    cases = {("blocking-errors", "warnings"): "blocking-errors", ("warnings",): "warnings", (): "valid"}
+    assert {k: rules.overall(report(*k), report()).first()["status"] for k in cases} == cases
+    assert tuple(rules.overall(report("blocking-errors"), report("x")).first()) == ("pending-synthesis", 1, 1, 0)
