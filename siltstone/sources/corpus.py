@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import first_line, truncated
 
 
+BLOCK = 4096  # ids in which neighbours are looked for at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +40,15 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).where("ordinal % 5 = 0").select("source_id", "unit_id", F.concat("unit_id", F.lit(":"), kind, F.lit("-001")).alias("artifact_id"), kind.alias("artifact_type"), F.substring("text", 1, 60).alias("title"), "text")
 
 
+def _followed(docs: DataFrame) -> DataFrame:
+    """(source_id, related_source_id): each document's next one of its origin, by id. Neighbours are found in blocks of ids first, then the ends of blocks meet: no task has all of an origin."""
+    rows = docs.withColumn("_block", F.floor(F.col("doc_id") / BLOCK))
+    inner = rows.select("source_id", F.lead("source_id").over(Window.partitionBy("origin", "_block").orderBy("doc_id")).alias("related_source_id"))
+    ends = rows.groupBy("origin", "_block").agg(F.max_by("source_id", "doc_id").alias("source_id"), F.min_by("source_id", "doc_id").alias("first"))
+    across = ends.select("source_id", F.lead("first").over(Window.partitionBy("origin").orderBy("_block")).alias("related_source_id"))
+    return inner.union(across).where("related_source_id is not null")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, related_source_id, relation_type, strength)"""
     docs = sources(spark, sf_dir).select("source_id", "doc_id", "fingerprint", "title", "origin")
@@ -45,8 +57,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         first = docs.groupBy(key).agg(F.min("doc_id").alias("first_id"))
         return docs.join(first, key).where("doc_id <> first_id").select("source_id", F.concat(F.lit("doc-"), "first_id").alias("related_source_id"), F.lit(relation).alias("relation_type"), F.lit(strength).alias("strength"))
 
-    following = F.lead("source_id").over(Window.partitionBy("origin").orderBy("doc_id"))
-    near = docs.select("source_id", following.alias("related_source_id")).where("related_source_id is not null").select("*", F.lit("sequence").alias("relation_type"), F.lit("low").alias("strength"))
+    near = _followed(docs).select("*", F.lit("sequence").alias("relation_type"), F.lit("low").alias("strength"))
     return to_first("fingerprint", "duplicate", "high").union(to_first("title", "same-title", "medium")).union(near)
 
 
