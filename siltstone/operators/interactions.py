@@ -27,9 +27,8 @@ def turns(log: DataFrame) -> DataFrame:
 def without_duplicates(entries: DataFrame, signature: list[Column], promoted: str, order: list[Column]) -> DataFrame:
     """One entry for each signature, the first in ``order``; it is promoted if any of them was."""
     keyed = entries.withColumn("signature", F.sha2(F.concat_ws("|", *signature), 256))
-    within = Window.partitionBy("signature")
-    rows = keyed.withColumns({"_place": F.row_number().over(within.orderBy(*order)), "copies": F.count("*").over(within), "any_promoted": F.bool_or(promoted).over(within)})
-    return rows.where("_place = 1").drop("_place")
+    one = keyed.groupBy("signature").agg(F.min_by(F.struct(*(F.col(c) for c in entries.columns)), F.struct(*order)).alias("_first"), F.count("*").alias("copies"), F.bool_or(promoted).alias("any_promoted"))
+    return one.select("_first.*", "signature", "copies", "any_promoted")
 
 
 def folded_memories(entries: DataFrame) -> DataFrame:

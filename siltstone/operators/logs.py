@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,12 @@ def top_counts(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 def failure_patterns(rows: DataFrame, key: list[str], ident: str, at: str) -> DataFrame:
     """(key, failures, first_seen, last_seen, examples): the first three ids of each pattern."""
-    places = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(at, ident)))
-    examples = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", F.col(ident).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    return places.groupBy(*key).agg(F.count("*").alias("failures"), F.min(ident).alias("first_id"), F.max(ident).alias("last_id"), examples.alias("examples"))
+    # the filter on the place lets every task keep three rows of a pattern before rows are sent
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(at, ident))).where("place <= 3")
+    examples = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(ident).alias("id")))), lambda x: x["id"].cast("string")), ",")
+    counts = rows.groupBy(*key).agg(F.count("*").alias("failures"), F.min(ident).alias("first_id"), F.max(ident).alias("last_id"))
+    shown = first.groupBy(*(F.col(k).alias(f"_{k}") for k in key)).agg(examples.alias("examples"))
+    return counts.join(shown, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key))).select(*key, "failures", "first_id", "last_id", "examples")
 
 
 def orphans(logs: DataFrame, turns: DataFrame, key: list[str]) -> DataFrame:

@@ -55,6 +55,9 @@ def _leaders(rows: DataFrame) -> DataFrame:
     return seen.groupBy("question_id").agg(top("e"), top("a"), top("f"), F.count_if("exact").alias("n_exact"), F.count_if("known").alias("n_known"), F.max("n_units").alias("any_unit"))
 
 
+LINE_BLOCK = 64  # lines in which questions and units meet
+
+
 def _by_source(aliased: DataFrame) -> DataFrame:
     best = aliased.groupBy("question_id", "source_id").agg(F.max(F.struct("score", F.col("basis") == "path", "exact", "basis")).alias("m"))
     return best.select("question_id", "source_id", "m.basis", F.col("m.score").alias("source_score"), "m.exact")
@@ -70,8 +73,10 @@ def candidates(asked: DataFrame, aliased: DataFrame, units: DataFrame) -> DataFr
     inside = (F.col("b.source_id") == F.col("u.source_id")) & F.col("line").between(F.col("u.line_start"), F.col("u.line_end"))
     own = ["question_id", F.col("b.source_id").alias("source_id"), "basis", "source_score", "exact"]
     named = lines.join(units.alias("u"), inside, "left").groupBy(*own).agg(F.min("u.unit_id").alias("unit_id"), F.count("u.unit_id").alias("n_units"))
-    wanted = asked.where("line is not null").select("line").distinct()
-    first = wanted.join(units, F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("line", "source_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n_units"))
+    # lines and spans meet in blocks of lines
+    wanted = asked.where("line is not null").select("line", F.expr(f"line div {LINE_BLOCK}").alias("block")).distinct()
+    spans = units.where("line_start <= line_end").withColumn("block", F.explode(F.expr(f"sequence(line_start div {LINE_BLOCK}, line_end div {LINE_BLOCK})")))
+    first = wanted.join(spans, "block").where(F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("line", "source_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n_units"))
     first = first.groupBy("line").agg(F.min_by(F.struct("source_id", "unit_id", "n_units"), "source_id").alias("f"))
     alone = asked.join(first, "line").select("question_id", F.col("f.source_id").alias("source_id"), F.lit(None).cast("string").alias("basis"), F.lit(0.0).alias("source_score"), F.lit(False).alias("exact"), F.col("f.unit_id").alias("unit_id"), F.col("f.n_units").alias("n_units"))
     return named.unionByName(alone).withColumn("score", F.col("source_score") + F.when(F.col("n_units") > 0, LINE_SCORE).otherwise(0.0))
