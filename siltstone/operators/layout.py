@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.predicates import slug48
+
 #: How far a caption may stand from what it names and how near it is sure, how many rows a profile reads, when a value is odd, and words of time axes.
 CAPTION_GAP, CAPTION_SURE, PROFILE_ROWS, HIGH, LOW = 88.0, 36.0, 25, 1.8, 0.2
 TIME_WORDS = ["date", "day", "week", "month", "quarter", "year", "timeline", "period"]
@@ -43,3 +45,38 @@ def continuations(parts: DataFrame, doc: str, page: str, key: list[str]) -> Data
     one = parts.select(doc, page, *key).distinct()
     run = F.col(page) - F.row_number().over(Window.partitionBy(doc, *key).orderBy(page))
     return one.withColumn("run", run).groupBy(doc, *key, "run").agg(F.min(page).alias("first_page"), F.count("*").alias("pages")).where("pages > 1").drop("run")
+
+
+def _compatible(a: str, b: str) -> Column:
+    """Whether two section paths may be one: equal, or one of them is not known."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return empty(a) | empty(b) | (F.col(a) == F.col(b))
+
+
+def continued_artifacts(artifacts: DataFrame) -> DataFrame:
+    """(doc, artifact_type, from_page, from_id, to_id, sure, reasons): what goes on on the next page of a document.
+
+    ``artifacts``: doc, page, id, place (in its page), artifact_type, caption, header, section (the path as a string). An artifact goes on in the first one of its type on the next page that has its key, the slug
+    of its caption or else of its header, if their sections may be one. Those that have neither share the key of untitled ones. They meet by document, page, type and key.
+    """
+    keyed = artifacts.withColumn("key", slug48(F.coalesce(F.nullif("caption", F.lit("")), F.col("header"), F.lit(""))))
+    names = ("page", "id", "place", "caption", "header", "section")
+    a, b = (keyed.select("doc", "artifact_type", "key", *(F.col(c).alias(f"{p}_{c}") for c in names)) for p in ("from", "to"))
+    met = a.withColumn("next_page", F.col("from_page") + 1).join(b.withColumn("next_page", F.col("to_page")), ["doc", "next_page", "artifact_type", "key"]).where(_compatible("from_section", "to_section"))
+    own = ["doc", "artifact_type", "from_page", "from_id", "from_caption", "from_header", "from_section"]
+    first = met.groupBy(*own).agg(F.min(F.struct("to_place", "to_id", "to_section")).alias("to"))
+    said = lambda c: F.coalesce(c, F.lit("")) != ""
+    reasons = F.array(F.when(said("from_caption"), "caption-match"), F.when(said("from_header"), "header-repeat"), F.when(F.col("from_section").eqNullSafe(F.col("to.to_section")), "section-continuity"))
+    return first.select("doc", "artifact_type", "from_page", "from_id", F.col("to.to_id").alias("to_id"), said("from_caption").alias("sure"), F.array_join(F.array_compact(reasons), ",").alias("reasons"))
+
+
+def continued_procedures(spans: DataFrame) -> DataFrame:
+    """(doc, from_page, from_id, to_id): ordered steps that go on on the next page, where the number after their last one comes first.
+
+    ``spans``: doc, page, id, place, step_kind, start_number, end_number, section. Of several the first of the page counts; sections must be compatible as in ``continued_artifacts``.
+    """
+    ordered = spans.where("step_kind = 'ordered'")
+    a = ordered.where("end_number is not null").select("doc", F.col("page").alias("from_page"), F.col("id").alias("from_id"), (F.col("page") + 1).alias("page"), (F.col("end_number") + 1).alias("start_number"), F.col("section").alias("from_section"))
+    b = ordered.select("doc", "page", "start_number", "id", "place", "section")
+    met = a.join(b, ["doc", "page", "start_number"]).where(_compatible("from_section", "section"))
+    return met.groupBy("doc", "from_page", "from_id").agg(F.min(F.struct("place", "id"))["id"].alias("to_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import pages
+from siltstone.operators import layout, pages
 from siltstone.sources import corpus
 
 #: Where the fields of a line item are printed.
@@ -63,7 +63,30 @@ def connector_links(spark, sf_dir):
     return pages.connector_links(lines, shapes)
 
 
-QUERIES = {f.__name__: f for f in (word_lines, table_regions, drawing_clusters, section_paths, connector_links)}
+def continued_artifacts(spark, sf_dir):
+    """Items as tables and charts of their supplier's report, a page for each hundred orders; sections change by the day of shipping."""
+    items = corpus.table(spark, sf_dir, "lineitem")
+    caption = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Table "), F.round(F.col("l_tax") * 100).cast("long").cast("string")))
+    section = F.when(F.dayofmonth("l_shipdate") % 3 > 0, F.concat(F.lit("Part "), (F.dayofmonth("l_shipdate") % 3).cast("string")))
+    place = F.col("l_orderkey") * 8 + F.col("l_linenumber") + F.col("l_partkey") * 1_000_000
+    rows = items.select(
+        F.col("l_suppkey").alias("doc"), F.expr("l_orderkey div 100").alias("page"), place.cast("string").alias("id"), place.alias("place"), F.when(F.col("l_linestatus") == "O", "chart").otherwise("table").alias("artifact_type"),
+        caption.alias("caption"), F.col("l_quantity").cast("long").cast("string").alias("header"), section.alias("section"),
+    )
+    return layout.continued_artifacts(rows)
+
+
+def continued_procedures(spark, sf_dir):
+    """Events of a user as steps, a page for each day: they begin and end at numbers that their values give."""
+    events = corpus.table(spark, sf_dir, "events")
+    spans = events.select(
+        F.col("user_id").alias("doc"), F.dayofmonth("ts").cast("long").alias("page"), F.col("event_id").alias("id"), F.col("event_id").alias("place"), F.when(F.col("event_type") == "error", "bullet").otherwise("ordered").alias("step_kind"),
+        (F.floor("value") % 4 + 1).alias("start_number"), F.when(F.floor("value") % 7 > 0, F.floor("value") % 5 + 1).alias("end_number"), F.when(F.col("event_type") == "click", "clicks").when(F.col("event_type") == "view", "views").alias("section"),
+    )
+    return layout.continued_procedures(spans)
+
+
+QUERIES = {f.__name__: f for f in (continued_artifacts, continued_procedures, word_lines, table_regions, drawing_clusters, section_paths, connector_links)}
 
 _FIELD = {"l_shipdate": "strftime(l_shipdate, '%Y-%m-%d')", "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}
 _LINES = f"""WITH RECURSIVE f AS (SELECT l_orderkey AS page, l_partkey, l_linenumber, 100.0::DOUBLE + 22 * l_linenumber + round(l_tax * 100)::BIGINT % 9 AS top, l_suppkey % 3 * 4 AS shift,
@@ -112,4 +135,13 @@ t AS (SELECT p.slide, p.id, s.shape FROM p JOIN s USING (slide) WHERE (px BETWEE
     OR least(abs(px - x0), abs(px - x1)) + least(abs(py - y0), abs(py - y1)) <= 320000
   UNION ALL SELECT i.slide, i.id, s.shape FROM i JOIN s USING (slide) WHERE NOT b AND NOT e AND x <= x1 AND x0 <= x + 2000000 AND y + 1000000 <= y1 AND y0 <= y + 1200000)
 SELECT DISTINCT slide, id AS connector, shape FROM t""",
+    "continued_artifacts": """WITH a AS (SELECT l_suppkey AS doc, l_orderkey // 100 AS page, l_orderkey * 8 + l_linenumber + l_partkey * 1000000 AS place, CASE WHEN l_linestatus = 'O' THEN 'chart' ELSE 'table' END AS artifact_type, l_returnflag <> 'N' AS named,
+  CASE WHEN l_returnflag <> 'N' THEN 'table-' || round(l_tax * 100)::BIGINT ELSE trunc(l_quantity)::BIGINT::VARCHAR END AS key, CASE WHEN day(l_shipdate) % 3 > 0 THEN 'Part ' || day(l_shipdate) % 3 END AS section FROM lineitem),
+j AS (SELECT a.*, b.place AS other, b.section AS behind, row_number() OVER (PARTITION BY a.doc, a.artifact_type, a.page, a.place, a.named, a.key, a.section ORDER BY b.place, b.section NULLS FIRST) AS n FROM (SELECT DISTINCT * FROM a) a
+  JOIN a b ON b.doc = a.doc AND b.page = a.page + 1 AND b.artifact_type = a.artifact_type AND b.key = a.key AND (a.section IS NULL OR b.section IS NULL OR a.section = b.section))
+SELECT doc, artifact_type, page AS from_page, place::VARCHAR AS from_id, other::VARCHAR AS to_id, named AS sure, array_to_string(list_filter([CASE WHEN named THEN 'caption-match' END, 'header-repeat', CASE WHEN section IS NOT DISTINCT FROM behind THEN 'section-continuity' END], lambda x: x IS NOT NULL), ',') AS reasons
+FROM j WHERE n = 1""",
+    "continued_procedures": """WITH s AS (SELECT user_id AS doc, day(ts) AS page, event_id AS id, event_type <> 'error' AS ordered, floor(value)::BIGINT % 4 + 1 AS first, CASE WHEN floor(value)::BIGINT % 7 > 0 THEN floor(value)::BIGINT % 5 + 1 END AS last,
+  CASE event_type WHEN 'click' THEN 'clicks' WHEN 'view' THEN 'views' END AS section FROM events WHERE event_type <> 'error')
+SELECT a.doc, a.page AS from_page, a.id AS from_id, min(b.id) AS to_id FROM s a JOIN s b ON b.doc = a.doc AND b.page = a.page + 1 AND b.first = a.last + 1 AND (a.section IS NULL OR b.section IS NULL OR a.section = b.section) GROUP BY 1, 2, 3""",
 }
