@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import changes
+from siltstone.plans.identity import DUCK_LIKENESS
 from siltstone.sources import corpus
 from siltstone.sources.corpus import DUCK_PREVIOUS, DUCK_SOURCES
 
@@ -55,6 +56,7 @@ oth AS (SELECT *, CASE WHEN n IS NULL OR (n = 1 AND turn > 1) THEN 'added' WHEN
 ch AS (SELECT current_path, old_id AS source_id, CASE WHEN fingerprint = old_print THEN 'unchanged' ELSE 'modified' END AS change, 'path' AS basis FROM bp WHERE old_id IS NOT NULL
   UNION ALL SELECT current_path, CASE WHEN change = 'moved_or_renamed' THEN only_id END, change, CASE WHEN change = 'added' THEN 'new' ELSE 'fingerprint' END FROM oth
   UNION ALL SELECT current_path, source_id, 'deleted', 'absent' FROM free WHERE source_id NOT IN (SELECT only_id FROM oth WHERE change = 'moved_or_renamed'))"""
+_STEM = r"regexp_replace(regexp_replace(lower(string_split(c.current_path, '/')[-1]), '\.[^.]*$', ''), '[^a-z0-9]+', ' ', 'g')"
 _STATS = "st AS (SELECT " + ", ".join(f"count(*) FILTER (change = '{c}') AS {c}" for c in changes.CLASSES) + " FROM ch)"
 ORACLES = {
     "cdc_classify": f"WITH {_CHANGES} SELECT * FROM ch",
@@ -64,5 +66,10 @@ w AS (SELECT *, list_filter([CASE WHEN changed_total >= 12 THEN 'changed_total'
 SELECT changed_total, round(CASE WHEN active > 0 THEN changed_total / active ELSE 0 END::DOUBLE, 6) AS changed_ratio, destructive_total, CASE WHEN len(why) > 0 THEN 'material' ELSE 'minor' END AS materiality, array_to_string(why, ',') AS reasons FROM w""",
     "inventory_signature": f"""WITH {DUCK_SOURCES}, l AS (SELECT origin, sha256(current_path || '|' || file_size || '|' || fingerprint) AS line FROM sources)
 SELECT origin, count(*) AS files, sha256(string_agg(line, '' ORDER BY line)) AS signature FROM l GROUP BY origin""",
+    "fuzzy_relocation": rf"""WITH RECURSIVE {_CHANGES},
+sz AS (SELECT doc_id, file_size FROM sources), nw AS (SELECT c.current_path, s.file_size AS size, {_STEM} AS x FROM ch c JOIN sources s USING (current_path) WHERE change = 'added'),
+ls AS (SELECT c.source_id, z.file_size AS old_size, {_STEM} AS y FROM ch c JOIN sz z ON c.source_id = 'old-' || z.doc_id WHERE change = 'deleted'),
+pr AS (SELECT current_path, source_id, x, y, least(size, old_size) / greatest(size, old_size, 1) AS share FROM nw JOIN ls ON least(size, old_size) / greatest(size, old_size, 1) >= 0.9), {DUCK_LIKENESS.replace('FROM met', 'FROM pr')}
+SELECT current_path, source_id, 0.7 * ratio + (1 - 0.7) * share AS score FROM pr JOIN ratio USING (x, y) WHERE ratio >= 0.65""",
     "dup_fingerprints": f"WITH {DUCK_SOURCES} SELECT fingerprint, count(*) AS copies, min(doc_id) AS first_doc, max(file_size) AS file_size FROM sources GROUP BY 1 HAVING count(*) > 1",
 }

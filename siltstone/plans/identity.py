@@ -28,6 +28,14 @@ def identity_by_print(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (identity_matching, identity_by_print)}
 
+#: Common table expressions for the likeness ``ratio`` of the pairs (x, y) of texts in ``met``.
+DUCK_LIKENESS = """m AS (SELECT DISTINCT x, y, x AS a, y AS b, 0::BIGINT AS k FROM met
+  UNION ALL SELECT x, y, part.a, part.b, CASE WHEN part.own THEN best[2] ELSE 0 END FROM (SELECT x, y, a, b, (SELECT max([i, k]) FROM (SELECT -i AS i, k FROM (SELECT unnest(range(1, length(a) + 1)) AS i), (SELECT unnest(range(1, length(a) + 1)) AS k)
+        WHERE i + k <= length(a) + 1 AND contains(b, substr(a, i, k)) ORDER BY k DESC, i DESC LIMIT 1)) AS best FROM m WHERE a <> '' AND b <> ''),
+      LATERAL (SELECT unnest([{'own': true, 'a': substr(a, 1, -best[1] - 1), 'b': substr(b, 1, instr(b, substr(a, -best[1], best[2])) - 1)},
+        {'own': false, 'a': substr(a, -best[1] + best[2]), 'b': substr(b, instr(b, substr(a, -best[1], best[2])) + best[2])}]) AS part) WHERE best IS NOT NULL),
+ratio AS (SELECT x, y, 2 * sum(k) / (length(x) + length(y)) AS ratio FROM m GROUP BY x, y)"""
+
 # File by file: ``walk`` has a row for each stranger so far and the list of what strangers have claimed. ``m`` finds the likeness of two names: their longest
 # common part (the first of equals), then those of what is left and right of it.
 _FILES = f"""WITH RECURSIVE {DUCK_SOURCES},
@@ -42,12 +50,7 @@ name_of AS (SELECT current_path, array_to_string({duck_tokens("regexp_replace(st
 met AS (SELECT s.n, o.source_id, a.name AS x, b.name AS y FROM strangers s JOIN old o ON o.active AND (o.gone IS NULL OR o.gone > s.turn)
     AND CASE WHEN s.file_size > 0 AND o.file_size > 0 THEN least(s.file_size, o.file_size) / greatest(s.file_size, o.file_size) ELSE 0.9 END >= 0.9
   JOIN name_of a ON a.current_path = s.current_path JOIN name_of b ON b.current_path = o.current_path WHERE a.name <> '' AND b.name <> ''),
-m AS (SELECT DISTINCT x, y, x AS a, y AS b, 0::BIGINT AS k FROM met
-  UNION ALL SELECT x, y, part.a, part.b, CASE WHEN part.own THEN best[2] ELSE 0 END FROM (SELECT x, y, a, b, (SELECT max([i, k]) FROM (SELECT -i AS i, k FROM (SELECT unnest(range(1, length(a) + 1)) AS i), (SELECT unnest(range(1, length(a) + 1)) AS k)
-        WHERE i + k <= length(a) + 1 AND contains(b, substr(a, i, k)) ORDER BY k DESC, i DESC LIMIT 1)) AS best FROM m WHERE a <> '' AND b <> ''),
-      LATERAL (SELECT unnest([{{'own': true, 'a': substr(a, 1, -best[1] - 1), 'b': substr(b, 1, instr(b, substr(a, -best[1], best[2])) - 1)}},
-        {{'own': false, 'a': substr(a, -best[1] + best[2]), 'b': substr(b, instr(b, substr(a, -best[1], best[2])) + best[2])}}]) AS part) WHERE best IS NOT NULL),
-ratio AS (SELECT x, y, 2 * sum(k) / (length(x) + length(y)) AS ratio FROM m GROUP BY x, y),
+{DUCK_LIKENESS},
 likes AS (SELECT n, list(source_id) AS ids FROM met JOIN ratio USING (x, y) WHERE ratio >= 0.65 GROUP BY n)"""
 _WALK = """,
 looks AS (SELECT s.n, coalesce(p.ids, []) AS prints, coalesce(l.ids, []) AS likes FROM strangers s LEFT JOIN prints p USING (n) LEFT JOIN likes l USING (n)),
