@@ -18,6 +18,7 @@ from siltstone.storage import settled
 LINE_GAP, CELL_GAP, ROW_GAP, COLUMN_SPREAD, LEAST_ROWS, PREVIEW, TABLE_PADDING = 4.5, 32.0, 28.0, 38.0, 3, 8, 6.0
 #: The padding of drawings, of the end of a connector, and how far a corner may be from it.
 DRAWING_PADDING, END_PADDING, CORNER_DISTANCE = 24.0, 180_000.0, 320_000.0
+NEAR = 1e-6  # so near to LINE_GAP, means are computed without rounding
 CELL = 256.0  # side of the grid cells in which drawings meet
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -43,21 +44,26 @@ def word_lines(words: DataFrame) -> DataFrame:
     """``words`` (page, word, text, x0, y0, x1, y1) with ``line``: from 1, from the top of each page.
 
     Words are taken in the order of (y0, x0, word). A word joins the line before it if its centre is within LINE_GAP of the mean centre of that line so far, else it opens the next
-    one. Means are exact. Pages are sorted and streamed, so a task holds the sum of one line. Words without a page, a word number or a whole box have no row.
+    one. Means are exact where it matters. Pages are sorted and streamed, so a task holds one line. Words without a page, a word number or a whole box have no row.
     """
     whole = words.select("page", "word", "text", *(F.col(c).cast("double").alias(c) for c in BOX)).dropna(subset=["page", "word", *BOX])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, line, total, n = None, 0, Fraction(0), 0
+        page, line, total, centres = None, 0, 0.0, []
         for batch in batches:
             lines = []
             for p, top, bottom in zip(*(batch.column(c).to_pylist() for c in ("page", "y0", "y1")), strict=True):
                 centre = (top + bottom) / 2.0
                 if p != page:
-                    page, line, total, n = p, 0, Fraction(0), 0
-                if not n or abs(centre - float(total / n)) > LINE_GAP:
-                    line, total, n = line + 1, Fraction(0), 0
-                total, n = total + Fraction(centre), n + 1
+                    page, line, total, centres = p, 0, 0.0, []
+                if centres:
+                    away = abs(centre - total / len(centres))
+                    if abs(away - LINE_GAP) < NEAR:
+                        away = abs(centre - float(sum(map(Fraction, centres)) / len(centres)))
+                if not centres or away > LINE_GAP:
+                    line, total, centres = line + 1, 0.0, []
+                total += centre
+                centres.append(centre)
                 lines.append(line)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int32())], [*batch.schema.names, "line"])
 
