@@ -109,11 +109,13 @@ def edited_fingerprints(docs: DataFrame, hashed=wide_hash) -> DataFrame:
 
     # what each document takes over from the next: cut where the next one's text is, then sent
     halves = own.where("doc_id is not null").select("doc_id", F.expr("n_chars div 2").alias("half")).distinct().join(ring, "doc_id").select(F.col("doc_id").alias("taker"), "half", "next_id")
-    pieces = keyed.join(halves, keyed["doc_id"] == halves["next_id"]).select("taker", "half", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("piece"))
+    # texts meet both sides by their id alone, under names of their own, so that they are dealt out once for both joins
+    giver = keyed.select(F.col("doc_id").alias("giver"), F.col("text").alias("giver_text"))
+    own_text = keyed.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+    pieces = giver.join(halves, F.col("giver") == F.col("next_id")).select("taker", "half", F.substring("giver_text", F.lit(1), F.col("half").cast("int")).alias("piece"))
     pieces = pieces.repartition("taker").groupBy("taker", "half").agg(F.min("piece").alias("piece"))
-    # texts meet both sides by their id alone, so they are dealt out once for both joins
-    own_half = F.expr("char_length(text) div 2")
-    joined = keyed.join(pieces, (keyed["doc_id"] == pieces["taker"]) & (own_half - pieces["half"] == 0)).select("doc_id", "text", F.concat(F.expr("substring(text, 1, cast(char_length(text) - half as int))"), "piece").alias("edited"))
+    joined = own_text.join(pieces, (F.col("own_id") == F.col("taker")) & (F.expr("char_length(own_text) div 2") - F.col("half") == 0))
+    joined = joined.select(F.col("own_id").alias("doc_id"), F.col("own_text").alias("text"), F.concat(F.expr("substring(own_text, 1, cast(char_length(own_text) - half as int))"), "piece").alias("edited"))
     rows = joined.union(docs.where("doc_id is null").select("doc_id", "text", F.col("text").alias("edited")))
 
     h1, h2 = hashed(F.col("canon"))
