@@ -32,3 +32,16 @@ def test_a_repeated_short_word_can_be_a_phrase(spark):
     known = spark.createDataFrame([("a", "Nt, Nt, Nt", "title"), ("b", "nt", "title"), ("c", "Nt. Nt. Ntat", "title")], "source_id string, alias string, basis string")
     got = references.alias_matches(asked, known).orderBy("source_id").select("source_id", "exact", "score").collect()
     assert [tuple(r) for r in got] == [("a", True, 72.0), ("c", False, 36.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_aliases_meet_questions_as_classes(spark):
+    """Paths that are equal up to words that no question has are one class."""
+    asked = spark.createDataFrame([(f"q{i}", f"what of corpus web en doc {i} txt") for i in range(3)], "question_id string, text string")
+    known = spark.range(3, 500).select(F.concat(F.lit("s"), "id").alias("source_id"), F.concat(F.lit("corpus/web/en/doc-"), "id", F.lit(".txt")).alias("alias"), F.lit("path").alias("basis"))
+    found = references.alias_matches(asked, known)
+    assert found.count() == 3 * 497 and found.select("score").distinct().collect()[0][0] == 75.0
+    assert "SortAggregate" not in plan(references.winners(found))  # maxima of pairs are hashed, not sorted
