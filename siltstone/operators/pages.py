@@ -5,7 +5,7 @@ Boxes are (x0, y0, x1, y1), x to the right and y downwards. Two boxes overlap if
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import pyarrow as pa
@@ -40,19 +40,21 @@ def cells_of(x0: Column, y0: Column, x1: Column, y1: Column, side: float) -> Col
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def word_lines(words: DataFrame) -> DataFrame:
-    """``words`` (page, word, text, x0, y0, x1, y1) with ``line``: from 1, from the top of each page.
-
-    Words are taken in the order of (y0, x0, word). A word joins the line before it if its centre is within LINE_GAP of the mean centre of that line so far, else it opens the next
-    one. Means are exact where it matters. Pages are sorted and streamed, so a task holds one line. Words without a page, a word number or a whole box have no row.
-    """
+def _whole(words: DataFrame) -> DataFrame:
     whole = words.select("page", "word", "text", *(F.col(c).cast("double").alias(c) for c in BOX)).dropna(subset=["page", "word", *BOX])
+    return whole.repartition("page").sortWithinPartitions("page", "y0", "x0", "word")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbering() -> Callable[[], Callable[[list, list, list], list[int]]]:
+    """What opens a count: a function of words (pages, tops, bottoms) that come in order, batch by batch, to their lines. It goes to tasks by value."""
+
+    def numbered() -> Callable[[list, list, list], list[int]]:
         page, line, total, centres = None, 0, 0.0, []
-        for batch in batches:
+
+        def number(pages: list, tops: list, bottoms: list) -> list[int]:
+            nonlocal page, line, total, centres
             lines = []
-            for p, top, bottom in zip(*(batch.column(c).to_pylist() for c in ("page", "y0", "y1")), strict=True):
+            for p, top, bottom in zip(pages, tops, bottoms, strict=True):
                 centre = (top + bottom) / 2.0
                 if p != page:
                     page, line, total, centres = p, 0, 0.0, []
@@ -65,10 +67,66 @@ def word_lines(words: DataFrame) -> DataFrame:
                 total += centre
                 centres.append(centre)
                 lines.append(line)
+            return lines
+
+        return number
+
+    return numbered
+
+
+def word_lines(words: DataFrame) -> DataFrame:
+    """``words`` (page, word, text, x0, y0, x1, y1) with ``line``: from 1, from the top of each page.
+
+    Words are taken in the order of (y0, x0, word). A word joins the line before it if its centre is within LINE_GAP of the mean centre of that line so far, else it opens the next
+    one. Means are exact where it matters. Pages are sorted and streamed, so a task holds one line. Words without a page, a word number or a whole box have no row.
+    """
+    whole, numbered = _whole(words), _numbering()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = numbered()
+        for batch in batches:
+            lines = number(*(batch.column(c).to_pylist() for c in ("page", "y0", "y1")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int32())], [*batch.schema.names, "line"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)
-    return whole.repartition("page").sortWithinPartitions("page", "y0", "x0", "word").mapInArrow(run, f"{fields}, line int")
+    return whole.mapInArrow(run, f"{fields}, line int")
+
+
+def word_cells(words: DataFrame) -> DataFrame:
+    """``line_cells(word_lines(words))`` in the one pass over sorted pages: words are sent once, and a task holds one line."""
+    whole, numbered = _whole(words), _numbering()
+    names, kinds = ["page", "line", "cell", "text", *BOX], [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 4]
+
+    def cells(line: list[tuple]) -> Iterator[tuple]:
+        """Words (x0, y0, word, x1, y1, text) from left to right, to number, text and box."""
+        parts, end = [], None
+        for x0, y0, _, x1, y1, text in sorted(line, key=lambda w: w[:3]):
+            if end is None or x0 - end > CELL_GAP:
+                parts.append([[], x0, y0, x1, y1])
+            part, end = parts[-1], x1
+            part[0].append(text or "")
+            part[1:] = min(part[1], x0), min(part[2], y0), max(part[3], x1), max(part[4], y1)
+        texts = [(" ".join(p[0]).strip(" \t\n\x0b\f\r"), *p[1:]) for p in parts]
+        return ((k, *c) for k, c in enumerate((c for c in texts if c[0]), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, key, held, kind = numbered(), None, [], None
+        for batch in batches:
+            out, kind = [], batch.column("page").type
+            page, top, bottom = (batch.column(c).to_pylist() for c in ("page", "y0", "y1"))
+            rest = zip(batch.column("x0").to_pylist(), top, batch.column("word").to_pylist(), batch.column("x1").to_pylist(), bottom, batch.column("text").to_pylist(), strict=True)
+            for p, n, word in zip(page, number(page, top, bottom), rest, strict=True):
+                if (p, n) != key:
+                    out += ((*key, *c) for c in cells(held)) if held else ()
+                    key, held = (p, n), []
+                held.append(word)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [kind, *kinds], strict=True)], names)
+        last = [(*key, *c) for c in cells(held)] if held else []
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*last, strict=True), [kind, *kinds], strict=True)], names)
+
+    return whole.mapInArrow(run, f"page {whole.schema['page'].dataType.simpleString()}, line int, cell int, text string, x0 double, y0 double, x1 double, y1 double")
 
 
 def line_cells(lines: DataFrame) -> DataFrame:
@@ -85,30 +143,32 @@ def tables(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(page, first_line, rows, columns, x0, y0, x1, y1, preview): tables made of lines with two cells or more.
 
     Neighbouring lines belong together while no other line comes between them and the tops of their first cells are within ROW_GAP. A table has LEAST_ROWS rows with as many cells as is most usual
-    in its lines (the first of equals) or more, and its columns begin within COLUMN_SPREAD. Boxes of ``known`` (page, x0, ...) keep tables away.
+    in its lines (the first of equals) or more, and its columns begin within COLUMN_SPREAD. Boxes of ``known`` (page, x0, ...) keep tables away. Cells are sent once, by page; windows and
+    groups within pages do the rest.
     """
-    rows = cells.groupBy("page", "line").agg(F.count("*").alias("n"), F.min_by("y0", "cell").alias("top")).where("n > 1")
+    of_line = F.array_sort(F.collect_list(F.struct("cell", "text", *BOX)))  # of one line
+    rows = cells.repartition("page").groupBy("page", "line").agg(of_line.alias("cells")).withColumn("n", F.size("cells")).where("n > 1")
+    top = F.element_at("cells", 1)["y0"]
     down = Window.partitionBy("page").orderBy("line")
     # every line of the page counts, so two rows are neighbours exactly if their numbers are
     apart = (F.col("line") - F.lag("line").over(down) > 1) | (F.abs(F.col("top") - F.lag("top").over(down)) > ROW_GAP)
-    runs = rows.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(down))
-    usual = runs.groupBy("page", "run", "n").agg(F.count("*").alias("times"), F.min("line").alias("seen"))
-    usual = usual.groupBy("page", "run").agg(F.max_by("n", F.struct("times", -F.col("seen"))).alias("columns"), F.min("seen").alias("first_line"), F.sum("times").alias("lines"))
-    usual = usual.where(F.col("lines") >= LEAST_ROWS).drop("lines")
-    fits = runs.join(usual, ["page", "run"]).where("n >= columns").select("page", "run", "line", "columns", "first_line")
-    inner = cells.join(fits, ["page", "line"]).where("cell <= columns")
-    columns = inner.groupBy("page", "run", "first_line", "columns", "cell").agg(F.count("*").alias("rows"), (F.max("x0") - F.min("x0")).alias("spread"), *_around())
-    found = columns.groupBy("page", "run", "first_line", "columns").agg(F.max("rows").alias("rows"), F.max("spread").alias("spread"), *_around())
+    runs = rows.withColumn("top", top).withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(down)).drop("top", "apart")
+    alike, run = Window.partitionBy("page", "run", "n"), Window.partitionBy("page", "run")
+    counted = runs.withColumns({"times": F.count("*").over(alike), "seen": F.min("line").over(alike)})
+    usual = counted.withColumns({"columns": F.max(F.struct("times", -F.col("seen"), "n")).over(run)["n"], "first_line": F.min("line").over(run), "lines": F.count("*").over(run)})
+    fits = usual.where((F.col("lines") >= LEAST_ROWS) & (F.col("n") >= F.col("columns"))).withColumn("place", F.row_number().over(run.orderBy("line")))
+    inner = fits.select("page", "run", "first_line", "columns", "place", F.explode(F.slice("cells", F.lit(1), F.col("columns"))).alias("c")).select("page", "run", "first_line", "columns", "place", "c.*")
+    shown = F.collect_list(F.when(F.col("place") <= PREVIEW, F.struct("place", "cell", "text")))  # of the first lines
+    columns = inner.groupBy("page", "run", "first_line", "columns", "cell").agg(F.count("*").alias("rows"), (F.max("x0") - F.min("x0")).alias("spread"), *_around(), shown.alias("shown"))
+    found = columns.groupBy("page", "run", "first_line", "columns").agg(F.max("rows").alias("rows"), F.max("spread").alias("spread"), *_around(), F.array_sort(F.flatten(F.collect_list("shown"))).alias("shown"))
     found = found.where((F.col("rows") >= LEAST_ROWS) & (F.col("spread") <= COLUMN_SPREAD))
     if known is not None:
         a = found.select("page", "run", *(F.col(c).alias(f"a_{c}") for c in BOX))
         hit = a.join(known.select("page", *(F.col(c).alias(f"b_{c}") for c in BOX)), "page").where(overlap("a", "b", TABLE_PADDING)).select("page", "run").distinct()
         found = found.join(hit, ["page", "run"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("page", "run").orderBy("line"))
-    shown = fits.withColumn("place", place).where(F.col("place") <= PREVIEW).select("page", "run", "line", "columns").join(cells, ["page", "line"]).where("cell <= columns")
-    preview = shown.groupBy("page", "run", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"]), " | ").alias("row"))
-    preview = preview.groupBy("page", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "row"))), lambda r: r["row"]), "\n").alias("preview"))
-    return found.join(preview, ["page", "run"]).select("page", "first_line", "rows", "columns", *BOX, "preview")
+    line = lambda p: F.array_join(F.transform(F.filter("shown", lambda x: x["place"] == p), lambda x: x["text"]), " | ")
+    preview = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.col("rows"), F.lit(PREVIEW)).cast("int")), line), "\n")
+    return found.select("page", "first_line", "rows", "columns", *BOX, preview.alias("preview"))
 
 
 def drawing_clusters(drawings: DataFrame, padding: float = DRAWING_PADDING, side: float = CELL) -> DataFrame:

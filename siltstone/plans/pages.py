@@ -29,7 +29,7 @@ def word_lines(spark, sf_dir):
 
 def table_regions(spark, sf_dir):
     """The tables of every invoice."""
-    return pages.tables(pages.line_cells(pages.word_lines(_words(spark, sf_dir))))
+    return pages.tables(pages.word_cells(_words(spark, sf_dir)))
 
 
 def drawing_clusters(spark, sf_dir):
