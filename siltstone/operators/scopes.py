@@ -40,19 +40,19 @@ def _clear(score: str, runner: str) -> Column:
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
-    """Per question, in one pass: the best row of the exact ones (``e``), of those with an alias (``a``) and of all (``f``), whether it leads clearly, and counts.
+    """Per question: the best row of the exact ones (``e``), of those with an alias (``a``) and of all (``f``), whether it leads clearly, and counts.
 
-    Beside one that isn't, an exact row that is ahead leads by that alone.
+    Beside one that isn't, an exact row that is ahead leads by that alone. Only the first two rows of a question are ever ranked together: the filter on the place lets every task keep two before rows are sent.
     """
-    order = [F.desc("score"), F.desc("exact"), F.desc("source_score"), "source_id"]
-    within = {"e": Window.partitionBy("question_id", "exact").orderBy(*order), "a": Window.partitionBy("question_id", "known").orderBy(*order), "f": Window.partitionBy("question_id").orderBy(*order)}
-    of = {"e": F.col("exact"), "a": F.col("known"), "f": F.lit(True)}
-    seen = rows.withColumn("known", F.col("source_score") > 0)
-    for w in within:
-        seen = seen.withColumns({f"{w}_place": F.row_number().over(within[w]), f"{w}_next": F.lead("score").over(within[w]), f"{w}_other": F.lead("exact").over(within[w])})
-    alone = lambda w: F.coalesce((F.col("score") > F.col(f"{w}_next")) & F.col("exact") & ~F.col(f"{w}_other"), F.lit(False))
-    top = lambda w: F.max(F.when(of[w] & (F.col(f"{w}_place") == 1), F.struct("source_id", "basis", "unit_id", "n_units", (_clear("score", f"{w}_next") | alone(w)).alias("clear")))).alias(w)  # noqa: E731  of one row
-    return seen.groupBy("question_id").agg(top("e"), top("a"), top("f"), F.count_if("exact").alias("n_exact"), F.count_if("known").alias("n_known"), F.max("n_units").alias("any_unit"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("exact"), F.desc("source_score"), "source_id")
+    known = F.col("source_score") > 0
+    seen = rows.groupBy("question_id").agg(F.count_if("exact").alias("n_exact"), F.count_if(known).alias("n_known"), F.max("n_units").alias("any_unit"))
+    for w, of in {"e": F.col("exact"), "a": known, "f": F.lit(True)}.items():
+        two = rows.where(of).withColumn("place", F.row_number().over(order)).where("place <= 2").withColumns({"next": F.lead("score").over(order), "other": F.lead("exact").over(order)})
+        alone = F.coalesce((F.col("score") > F.col("next")) & F.col("exact") & ~F.col("other"), F.lit(False))
+        top = two.where("place = 1").select("question_id", F.struct("source_id", "basis", "unit_id", "n_units", (_clear("score", "next") | alone).alias("clear")).alias(w))
+        seen = seen.join(top, "question_id", "left")
+    return seen
 
 
 LINE_BLOCK = 64  # lines in which questions and units meet
@@ -69,17 +69,16 @@ def candidates(asked: DataFrame, aliased: DataFrame, units: DataFrame) -> DataFr
     Sources that only have such a unit can win only where no alias matches, by the smallest id; so of those just that one is kept, found once a line number.
     ``asked``: ``with_hints``. ``aliased``: ``references.alias_matches``. ``units``: source_id, unit_id, line_start, line_end.
     """
-    lines = _by_source(aliased).join(asked.select("question_id", "line"), "question_id").alias("b")
-    inside = (F.col("b.source_id") == F.col("u.source_id")) & F.col("line").between(F.col("u.line_start"), F.col("u.line_end"))
-    own = ["question_id", F.col("b.source_id").alias("source_id"), "basis", "source_score", "exact"]
-    named = lines.join(units.alias("u"), inside, "left").groupBy(*own).agg(F.min("u.unit_id").alias("unit_id"), F.count("u.unit_id").alias("n_units"))
     # lines and spans meet in blocks of lines
     wanted = asked.where("line is not null").select("line", F.expr(f"line div {LINE_BLOCK}").alias("block")).distinct()
     spans = units.where("line_start <= line_end").withColumn("block", F.explode(F.expr(f"sequence(line_start div {LINE_BLOCK}, line_end div {LINE_BLOCK})")))
-    first = wanted.join(spans, "block").where(F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("line", "source_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n_units"))
-    first = first.groupBy("line").agg(F.min_by(F.struct("source_id", "unit_id", "n_units"), "source_id").alias("f"))
+    held = cut(wanted.join(spans, "block").where(F.col("line").between(F.col("line_start"), F.col("line_end"))).groupBy("line", "source_id").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("n_units")))
+    # a source's unit is found once a line, however many questions ask for it
+    lines = _by_source(aliased).join(asked.select("question_id", "line"), "question_id")
+    named = lines.join(held, ["source_id", "line"], "left").select("question_id", "source_id", "basis", "source_score", "exact", "unit_id", F.coalesce("n_units", F.lit(0)).alias("n_units"))
+    first = held.groupBy("line").agg(F.min_by(F.struct("source_id", "unit_id", "n_units"), "source_id").alias("f"))
     alone = asked.join(first, "line").select("question_id", F.col("f.source_id").alias("source_id"), F.lit(None).cast("string").alias("basis"), F.lit(0.0).alias("source_score"), F.lit(False).alias("exact"), F.col("f.unit_id").alias("unit_id"), F.col("f.n_units").alias("n_units"))
-    return named.unionByName(alone).withColumn("score", F.col("source_score") + F.when(F.col("n_units") > 0, LINE_SCORE).otherwise(0.0))
+    return cut(named.unionByName(alone).withColumn("score", F.col("source_score") + F.when(F.col("n_units") > 0, LINE_SCORE).otherwise(0.0)))
 
 
 def declared_sources(aliased: DataFrame) -> DataFrame:

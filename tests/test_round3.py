@@ -9,7 +9,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 
 from siltstone import catalog
-from siltstone.operators import logs, pages, references
+from siltstone.operators import logs, pages, references, scopes
 
 
 def copied(sf_dir, to, **tables):
@@ -72,3 +72,16 @@ def test_warm_starts_compare_all_in_blocks(spark, monkeypatch, block, frequent):
     found = logs.warm_starts(spark.createDataFrame(rows, "conv_id long, turn int, domain int, words array<string>"))
     assert sorted(map(tuple, found.select("conv_id", "turn", "near_conv", "near_turn", "shared", "place").collect())) == sorted(want)
     assert "FlatMapGroupsInArrow" in plan(found)
+
+
+def test_leaders_keep_two_rows_a_question_before_rows_are_sent(spark):
+    """And units are found once a line and source, where several hold the line too."""
+    asked = scopes.with_hints(spark.createDataFrame([("q", "what does line 3 of alpha say"), ("r", "line 3 of beta")], "question_id string, text string"))
+    aliased = spark.createDataFrame([("q", "a", "path", True, 90.0), ("q", "b", "title", False, 36.0), ("r", "b", "path", True, 90.0)], "question_id string, source_id string, basis string, exact boolean, score double")
+    units = spark.createDataFrame([("a", "u1", 1, 70), ("a", "u2", 3, 3), ("b", "u3", 4, 9), ("c", "u4", 2, 3)], "source_id string, unit_id string, line_start long, line_end long")
+    found = scopes.candidates(asked, aliased, units)
+    got = {(r.question_id, r.source_id, r.unit_id, r.n_units, r.score) for r in found.collect()}
+    assert got == {("q", "a", "u1", 2, 148.0), ("q", "b", None, 0, 36.0), ("r", "b", None, 0, 90.0), ("q", "a", "u1", 2, 58.0), ("r", "a", "u1", 2, 58.0)}
+    leaders = scopes._leaders(found.where("source_score > 0"))
+    assert {(r.question_id, r.e.source_id, r.e.clear, r.n_exact, r.n_known) for r in leaders.collect()} == {("q", "a", True, 1, 2), ("r", "b", True, 1, 1)}
+    assert plan(leaders).count("WindowGroupLimit") >= 3
