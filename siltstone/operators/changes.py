@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.types import DoubleType
 #: Fixed values.
 CLASSES = ["unchanged", "modified", "moved_or_renamed", "ambiguous", "added", "deleted"]
 NAME_LEAST, SIZE_LEAST, NAME_SHARE = 0.65, 0.9, 0.7
+PARTS = 16
 
 
 def classified(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -57,21 +59,87 @@ def signature(files: DataFrame, by: str) -> DataFrame:
     return files.withColumn("line", line).groupBy(by).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("signature"))
 
 
+#: From this length on difflib leaves frequent characters out.
+POPULAR_FROM = 200
+#: Cells of a table of common parts that are worked on at once.
+CELLS = 1 << 16
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start in a, start in b) of each column's longest common part, the first one in a and then in b: the largest of numbers made of size and, backwards, both starts."""
+    run, best = np.zeros((len(b) + 1, b.shape[1]), np.int32), np.zeros(b.shape[1], np.int32)
+    ends = np.arange(len(b), dtype=np.int32)[:, None]
+    for i in range(len(a)):
+        grown = (run[:-1] + 1) * (b == a[i])
+        run[1:] = grown
+        grown *= 0x10101
+        grown += (254 - i) * 256 + 254 - ends
+        np.maximum(best, grown.max(0), out=best)
+    return best >> 16, 255 - (best >> 8 & 255), 255 - (best & 255)
+
+
+def _common(a: np.ndarray, b: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
+    """How many characters of each pair match: those of its longest common part, and of what lies left and right of it. All pairs go through a step together."""
+    codes = lambda texts: np.ascontiguousarray(texts.astype("U").view(np.uint32).reshape(len(texts), -1).T.astype(np.int32))
+    x, y = codes(a), codes(b)
+    total, none = np.zeros(len(a), np.int64), np.zeros(len(a), np.int32)
+    open_ = np.stack([np.arange(len(a), dtype=np.int32), none, long_a, none, long_b])
+    open_ = open_[:, (open_[2] > 0) & (open_[4] > 0)]
+
+    def part(codes: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, other: int) -> np.ndarray:
+        at = start + np.arange((end - start).max(), dtype=np.int32)[:, None]
+        return np.where(at < end, codes[np.minimum(at, len(codes) - 1), row], other)
+
+    while open_.shape[1]:
+        row, from_a, to_a, from_b, to_b = open_
+        size, at_a, at_b = _longest(part(x, row, from_a, to_a, -1), part(y, row, from_b, to_b, -2))
+        total += np.bincount(row, size, len(total)).astype(np.int64)
+        at_a, at_b = at_a + from_a, at_b + from_b
+        sides = np.concatenate([np.stack([row, from_a, at_a, from_b, at_b]), np.stack([row, at_a + size, to_a, at_b + size, to_b])], 1)
+        open_ = sides[:, (np.tile(size, 2) > 0) & (sides[1] < sides[2]) & (sides[3] < sides[4])]
+    return total
+
+
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """What SequenceMatcher(None, x, y).ratio() gives for each pair."""
+    long_a, long_b = (np.fromiter(map(len, x), np.int32, len(x)) for x in (a, b))
+    out, longest, both = np.ones(len(a)), np.maximum(long_a, long_b), long_a + long_b
+    for i in np.flatnonzero(longest >= POPULAR_FROM):
+        out[i] = SequenceMatcher(None, a[i], b[i]).ratio()
+    short = np.flatnonzero((longest < POPULAR_FROM) & (both > 0))
+    x, y = np.array(a, object)[short], np.array(b, object)[short]
+    step = max(1, CELLS // max(1, longest[short].max(initial=1)))
+    for at in range(0, len(short), step):
+        some = short[at : at + step]
+        out[some] = 2.0 * _common(x[at : at + step], y[at : at + step], long_a[some], long_b[some]) / both[some]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def name_likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        yield pd.Series(likenesses(a.tolist(), b.tolist()))
+
+
+name_likeness = name_likeness.asNondeterministic()  # else it runs once for a filter and again for the rows that are left
 
 
 def relocations(strangers: DataFrame, missing: DataFrame) -> DataFrame:
     """(current_path, source_id, score): for new paths the lost sources of like name and size, by score.
 
-    Candidates meet in blocks of the same type and file size class (powers of 1/0.9, each file in its own class and the next), so no pair of all is formed.
+    Candidates meet in blocks of the same type and file size class (powers of 1/0.9, each file in its own class and the next), so no pair of all is formed. A block is dealt out in
+    ``PARTS`` parts of its new paths, each with all lost sources of the block: few rows make many pairs, so tasks go by a number and not by bytes.
     """
     step = F.floor(F.log(F.greatest("file_size", F.lit(1))) / F.log(F.lit(1 / SIZE_LEAST))).cast("long")
     stem = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(c, "/"), -1)), r"\.[^.]*$", ""), "[^a-z0-9]+", " ")
-    a = strangers.select("current_path", "document_type", F.col("file_size").alias("size"), stem(F.col("current_path")).alias("stem"), F.explode(F.array(step - 1, step, step + 1)).alias("block"))
-    b = missing.select("source_id", "document_type", F.col("file_size").alias("old_size"), stem(F.col("current_path")).alias("old_stem"), step.alias("block"))
+    cell = F.concat_ws("|", "block", "part", "document_type")  # one key, so that the join keeps the dealing
+    part = F.pmod(F.xxhash64("current_path"), F.lit(PARTS))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+    a = strangers.where("document_type is not null").select("current_path", "document_type", F.col("file_size").alias("size"), stem(F.col("current_path")).alias("stem"), F.explode(F.array(step - 1, step, step + 1)).alias("block"), part.alias("part"))
+    b = missing.where("document_type is not null").select("source_id", "document_type", F.col("file_size").alias("old_size"), stem(F.col("current_path")).alias("old_stem"), step.alias("block"), parts.alias("part"))
+    tasks = 2 * int(strangers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.withColumn("cell", cell).drop("document_type", "block", "part").repartition(tasks, "cell")
     ratio = F.least("size", "old_size") / F.greatest("size", "old_size", F.lit(1))
-    near = a.join(b, ["document_type", "block"]).withColumn("ratio", ratio).where(F.col("ratio") >= SIZE_LEAST).withColumn("name", name_likeness("stem", "old_stem"))
+    met = dealt(a).join(dealt(b), "cell").withColumn("ratio", ratio).where(F.col("ratio") >= SIZE_LEAST)
+    near = met.withColumn("name", name_likeness("stem", "old_stem"))
     return near.where(F.col("name") >= NAME_LEAST).select("current_path", "source_id", (NAME_SHARE * F.col("name") + (1 - NAME_SHARE) * F.col("ratio")).alias("score"))
