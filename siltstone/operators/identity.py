@@ -13,14 +13,17 @@ undecided one is decided in every round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
-from siltstone.operators.changes import NAME_LEAST, NAME_SHARE, SIZE_LEAST, name_likeness
+from siltstone.operators.changes import NAME_LEAST, PARTS, SIZE_LEAST, name_likeness
 from siltstone.storage import settled
 
 NEVER = "\U0010ffff"  # a turn after all paths
+FIRST = 16, 256  # sources of a block among which two are looked for, and again if that was not enough
 
 
 def turn(path: Column) -> Column:
@@ -33,29 +36,76 @@ def stem(path: Column) -> Column:
     return F.array_join(tokens(F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")), " ")
 
 
-def relocations(strangers: DataFrame, active: DataFrame) -> DataFrame:
-    """(turn, source_id, score): strangers and the active sources of like name and size that no earlier path has.
+def relocations(strangers: DataFrame, active: DataFrame, first: int | None = None) -> DataFrame:
+    """(turn, source_id): strangers and the active sources of like name and size that no earlier path has.
 
     They meet in blocks of a type and of size and name length classes, as names of such likeness have 13 of 27 of their lengths in common at least. Files without a size,
-    or of size 0, are like in size to all (0.9), so they meet by type and length alone.
+    or of size 0, are like in size to all (0.9), so they meet by type and length alone. With ``first`` a block has only so many sources, those whose turn to go comes last.
+    Few rows make many pairs, so tasks go by a number: strangers are dealt out by turn where blocks are cut, else the sources of a block in ``PARTS`` parts.
     """
     low = NAME_LEAST / (2 - NAME_LEAST)
     steps = lambda x, base: F.floor(F.log(x) / F.log(F.lit(1 / base))).cast("long")
     has_size = F.coalesce(F.col("size") > 0, F.lit(False))
-    known = lambda df, own, path: df.select(own, "document_type", F.col("file_size").alias("size"), stem(F.col(path)).alias("stem")).where("stem <> ''").withColumns({"sized": has_size, "long": steps(F.char_length("stem"), low)})
+    known = lambda df, own, path: df.select(own, "document_type", F.col("file_size").alias("size"), stem(F.col(path)).alias("stem")).where("stem <> '' and document_type is not null").withColumns({"sized": has_size, "long": steps(F.char_length("stem"), low)})
     a, b = known(strangers, "turn", "current_path"), known(active, F.struct("source_id", "old_turn").alias("old"), "old_path")
     b = b.withColumnsRenamed({"size": "old_size", "stem": "old_stem", "sized": "old_sized"})
     near = lambda x: F.explode(F.array(x - 1, x, x + 1))
-    lengths = lambda df: df.withColumn("long", near(F.col("long")))
-    keys = ["document_type", "long"]
     class_of = lambda c: steps(F.greatest(c, F.lit(1)), SIZE_LEAST)
-    both = lengths(a.where("sized")).withColumn("block", near(class_of("size"))).join(b.where("old_sized").withColumn("block", class_of("old_size")), [*keys, "block"]).drop("block")
-    open_ = lengths(a.where("not sized")).join(b, keys).unionByName(lengths(a.where("sized")).join(b.where("not old_sized"), keys))
+    tasks = 2 * int(strangers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(a: DataFrame, b: DataFrame, size_a: Column, size_b: Column) -> DataFrame:
+        block = lambda size: F.concat_ws("|", size, "long", "document_type")
+        a, b = (df.withColumn("cell", block(size)).drop("long", "document_type") for df, size in ((a.withColumn("long", near(F.col("long"))).withColumn("_size", size_a), F.col("_size")), (b, size_b)))
+        a = a.drop("_size")
+        if first:
+            place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("old.old_turn"), F.xxhash64("old.source_id"), "old.source_id"))
+            return a.repartition(tasks, "turn").join(F.broadcast(b.withColumn("_place", place).where(F.col("_place") <= first).drop("_place")), "cell").drop("cell")  # blocks are few
+        part, every = F.pmod(F.xxhash64("old.source_id"), F.lit(PARTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+        in_part = lambda df, part: df.withColumn("_part", part).withColumn("cell", F.concat_ws("|", "_part", "cell")).drop("_part").repartition(tasks, "cell")
+        return in_part(a, every).join(in_part(b, part), "cell").drop("cell")
+
+    none = F.lit("-")
+    both = meet(a.where("sized"), b.where("old_sized"), near(class_of("size")), class_of("old_size"))
+    open_ = meet(a.where("not sized"), b, none, none).unionByName(meet(a.where("sized"), b.where("not old_sized"), none, none))
     ratio = F.when(F.col("sized") & F.col("old_sized"), F.least("size", "old_size") / F.greatest("size", "old_size")).otherwise(SIZE_LEAST)
     bound = 2.0 * F.least(F.char_length("stem"), F.char_length("old_stem")) / (F.char_length("stem") + F.char_length("old_stem"))
-    met = both.unionByName(open_).where(F.col("old.old_turn") > F.col("turn")).withColumn("ratio", ratio).where((F.col("ratio") >= SIZE_LEAST) & (bound >= NAME_LEAST))
-    met = met.withColumn("name", name_likeness("stem", "old_stem")).where(F.col("name") >= NAME_LEAST)
-    return met.select("turn", "old.source_id", (NAME_SHARE * F.col("name") + (1 - NAME_SHARE) * F.col("ratio")).alias("score"))
+    met = both.unionByName(open_).where(F.col("old.old_turn") > F.col("turn")).where((ratio >= SIZE_LEAST) & (bound >= NAME_LEAST))
+    return met.withColumn("name", name_likeness("stem", "old_stem")).where(F.col("name") >= NAME_LEAST).select("turn", "old.source_id")
+
+
+def likes(strangers: DataFrame, active: DataFrame) -> DataFrame:
+    """(turn, source_id): what ``matched`` must know of likeness: all pairs of some strangers, two pairs of every other one, which finds these two free whatever happens.
+
+    A source is safe if no stranger has its fingerprint and no poor stranger is like it; a stranger that is like fewer than two safe sources is poor. Those that are not poor are ambiguous at the
+    latest when likeness counts, so by likeness only the poor ever claim. Two safe sources are looked for among the first of each block; only strangers for whom that is not enough
+    meet all sources. As more strangers prove poor, fewer sources are safe, until nothing changes.
+    """
+    taken = settled(active.join(strangers.select(F.col("new_print").alias("print")), "print", "left_semi").select("source_id"))
+    safe = settled(active.join(taken, "source_id", "left_anti"))
+    pair = F.count("*") >= 2
+    left, some = strangers, []
+    for first in FIRST:
+        found = settled(relocations(left, safe, first))
+        rich = found.groupBy("turn").agg(pair.alias("rich")).where("rich").select("turn")
+        some.append(found.join(rich, "turn", "left_semi"))
+        left = settled(left.join(rich, "turn", "left_anti"))
+        if left.isEmpty():
+            break
+    some, whole = settled(reduce(DataFrame.union, some)), settled(relocations(left, active)) if not left.isEmpty() else left.select("turn", F.lit("").alias("source_id"))
+    unsafe, before = taken, -1
+    while True:
+        rich = lambda df: df.join(unsafe, "source_id", "left_anti").groupBy("turn").agg(pair.alias("rich")).where("rich").select("turn")  # noqa: B023, E731
+        fallen = settled(some.select("turn").distinct().join(rich(some), "turn", "left_anti"))
+        if not fallen.isEmpty():
+            whole = settled(whole.union(relocations(strangers.join(fallen, "turn", "left_semi"), active)))
+            some = settled(some.join(fallen, "turn", "left_anti"))
+        poor = settled(whole.select("turn").distinct().join(rich(whole), "turn", "left_anti"))
+        if (size := poor.count()) == before:
+            break
+        unsafe, before = settled(taken.union(whole.join(poor, "turn", "left_semi").select("source_id")).distinct()), size
+    free = some.join(unsafe, "source_id", "left_anti").union(whole.join(poor, "turn", "left_anti").join(unsafe, "source_id", "left_anti").select("source_id", "turn"))
+    two = free.groupBy("turn").agg(F.array(F.min("source_id"), F.max("source_id")).alias("two")).select("turn", F.explode("two").alias("source_id"))
+    return two.union(whole.join(poor, "turn", "left_semi").select("turn", "source_id"))
 
 
 def _last_two(sources: DataFrame, t: str) -> DataFrame:
@@ -118,7 +168,7 @@ def matched(now: DataFrame, before: DataFrame, fuzzy: bool = True) -> DataFrame:
     gone = stay.withColumnRenamed("turn", "t")
     old = settled(old.join(gone, "source_id", "left").withColumn("t", F.coalesce("t", F.lit(NEVER))))
 
-    pairs = settled(relocations(strangers, old.where("active and old_path is not null").withColumn("old_turn", F.col("t")))) if fuzzy else strangers.sparkSession.createDataFrame([], "turn string, source_id string, score double")
+    pairs = settled(likes(strangers, old.where("active and old_path is not null").withColumn("old_turn", F.col("t")))) if fuzzy else strangers.sparkSession.createDataFrame([], "turn string, source_id string")
     # a source is at stake if a stranger looks at it: the others never change hands
     looked = old.join(strangers.select(F.col("new_print").alias("print")), "print", "left_semi").select("source_id").union(pairs.select("source_id")).distinct()
     sources = settled(old.join(looked, "source_id").select("source_id", "print", "t"))
