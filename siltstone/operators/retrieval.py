@@ -25,14 +25,19 @@ def query_terms(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
 
 
 def term_counts(records: DataFrame, keys: list[str], fields: dict[str, float], queries: dict[str, str]) -> DataFrame:
-    """(query_id, keys, field, weight, token, hits). Tokens that no query has are dropped before they become rows."""
+    """(query_id, keys, field, weight, token, hits). Tokens that no query has are dropped, and the others counted in each record, before they become rows.
+
+    Rows are dealt out once, by the first key, for this and for what groups by that key afterwards. Tasks go by a number: rows are alike and shrink to little, so tasks that go by bytes would hold too many.
+    """
     vocabulary = sorted({t for text in queries.values() for t in query_tokens(text)})
     known = F.array(*map(F.lit, vocabulary))
     found = lambda f: F.filter(tokens(F.col(f)), lambda t: F.array_contains(known, t))
     stacked = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), found(f).alias("tokens")) for f, w in fields.items()))
-    rows = records.select(*keys, F.explode(stacked).alias("x")).select(*keys, "x.field", "x.weight", F.explode("x.tokens").alias("token"))
-    hits = rows.groupBy(*keys, "field", "weight", "token").agg(F.count("*").alias("hits"))
-    return hits.join(query_terms(records.sparkSession, queries), "token")
+    counted = lambda found: F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("token"), F.size(F.filter(found, lambda x: x == t)).cast("long").alias("n")))
+    rows = records.select(*keys, F.explode(stacked).alias("x")).select(*keys, "x.field", "x.weight", F.explode(counted(F.col("x.tokens"))).alias("x")).select(*keys, "field", "weight", "x.token", "x.n")
+    rows = rows.repartition(2 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys[0])
+    hits = rows.groupBy(*keys, "field", "weight", "token").agg(F.sum("n").alias("hits"))
+    return hits.join(F.broadcast(query_terms(records.sparkSession, queries)), "token")  # the words of the queries
 
 
 def lexical(records: DataFrame, keys: list[str], fields: dict[str, float], queries: dict[str, str]) -> DataFrame:
