@@ -20,6 +20,8 @@ LINE_GAP, CELL_GAP, ROW_GAP, COLUMN_SPREAD, LEAST_ROWS, PREVIEW, TABLE_PADDING =
 DRAWING_PADDING, END_PADDING, CORNER_DISTANCE = 24.0, 180_000.0, 320_000.0
 NEAR = 1e-6  # so near to LINE_GAP, means are computed without rounding
 CELL = 256.0  # side of the grid cells in which drawings meet
+#: How far from a shape an end may be that links with it, with some room for rounding, and the side of the grid cells in which they meet.
+REACH, LINK_CELL = CORNER_DISTANCE + 1, 8 * CORNER_DISTANCE
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -225,23 +227,20 @@ def connector_links(connectors: DataFrame, shapes: DataFrame) -> DataFrame:
     """(slide, connector, shape): the shapes that an end of a connector touches or comes near to.
 
     ``connectors``: slide, connector, x0, y0, x1, y1, begin_x, begin_y, end_x, end_y; ``shapes``: slide, shape, x0, y0, x1, y1. An end touches a shape if it is within END_PADDING of its box
-    on both axes, and is near if its distance from the nearest corner (across plus down) is at most CORNER_DISTANCE. Connectors without an end link what their own box overlaps. Ends and
-    shapes meet in grid cells: boxes in cells of four times the distance, corners with the ends of their own cell and the eight around it. Incomplete shapes link with nothing.
+    on both axes, and is near if its distance from the nearest corner (across plus down) is at most CORNER_DISTANCE. Connectors without an end link what their own box overlaps. All meet in
+    one pass over wide grid cells: an end is sent to its own cell, a shape to those that ends in its reach may lie in, mostly one. Incomplete shapes link with nothing.
     """
     whole = shapes.select("slide", "shape", *(F.col(c).cast("double").alias(f"s_{c}") for c in BOX)).dropna()
     both = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull()
-    ends = F.array(F.when(both("begin_x", "begin_y"), F.struct(F.col("begin_x").cast("double").alias("x"), F.col("begin_y").cast("double").alias("y"))), F.when(both("end_x", "end_y"), F.struct(F.col("end_x").cast("double").alias("x"), F.col("end_y").cast("double").alias("y"))))
-    lines = connectors.withColumn("ends", F.array_compact(ends))
-    points = lines.select("slide", "connector", F.explode("ends").alias("e")).select("slide", "connector", "e.x", "e.y")
-    side = 4 * CORNER_DISTANCE
-    reach = [points.select("slide", "connector", *(F.col(c[0]) + (END_PADDING if c[1] == "1" else -END_PADDING) for c in BOX)).toDF("slide", "connector", *(f"c_{c}" for c in BOX))]
-    reach.append(lines.where(F.size("ends") == 0).select("slide", "connector", *(F.col(c).cast("double").alias(f"c_{c}") for c in BOX)).dropna())
-    in_cells = lambda df, p: df.withColumn("at", F.explode(cells_of(*(F.col(f"{p}_{c}") for c in BOX), side)))
-    touched = in_cells(reach[0].union(reach[1]), "c").join(in_cells(whole, "s"), ["slide", "at"]).where(overlap("c", "s")).select("slide", "connector", "shape")
-
-    cell = lambda x, y: F.struct(F.floor(x / CORNER_DISTANCE).alias("i"), F.floor(y / CORNER_DISTANCE).alias("j"))
-    corners = whole.select("slide", "shape", F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("s_x0", "s_x1") for y in ("s_y0", "s_y1")))).alias("k")).select("slide", "shape", F.col("k.x").alias("k_x"), F.col("k.y").alias("k_y"))
-    corners = corners.withColumn("at", cell(F.col("k_x"), F.col("k_y")))
-    around = F.explode(F.array(*(F.struct((F.floor(F.col("x") / CORNER_DISTANCE) + i).alias("i"), (F.floor(F.col("y") / CORNER_DISTANCE) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = points.withColumn("at", around).join(corners, ["slide", "at"]).where(F.abs(F.col("x") - F.col("k_x")) + F.abs(F.col("y") - F.col("k_y")) <= CORNER_DISTANCE).select("slide", "connector", "shape")
-    return touched.union(near).distinct()
+    place = lambda x0, y0, x1, y1, end: F.struct(*(F.col(c).cast("double").alias(f"c_{k}") for c, k in zip((x0, y0, x1, y1), BOX, strict=True)), F.lit(end).alias("end"))
+    ends = F.array_compact(F.array(*(F.when(both(f"{e}_x", f"{e}_y"), place(f"{e}_x", f"{e}_y", f"{e}_x", f"{e}_y", True)) for e in ("begin", "end"))))
+    places = connectors.withColumn("ends", ends).select("slide", "connector", F.explode(F.when(F.size("ends") > 0, F.col("ends")).otherwise(F.array(place(*BOX, False)))).alias("e")).select("slide", "connector", "e.*").dropna(subset=[f"c_{c}" for c in BOX])
+    low, high = lambda a, b: F.least(a, b) - REACH, lambda a, b: F.greatest(a, b) + REACH
+    reach = cells_of(low("s_x0", "s_x1"), low("s_y0", "s_y1"), high("s_x0", "s_x1"), high("s_y0", "s_y1"), LINK_CELL)
+    # two numbers as keys, not a structure: they are most of what is sent beside the boxes
+    in_cells = lambda df, at: df.withColumn("at", F.explode(at)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).drop("at")
+    met = in_cells(places, cells_of(*(F.col(f"c_{c}") for c in BOX), LINK_CELL)).join(in_cells(whole, reach), ["slide", "i", "j"])
+    pad = F.when(F.col("end"), END_PADDING).otherwise(0.0)
+    touches = (F.col("c_x0") - pad <= F.col("s_x1")) & (F.col("s_x0") <= F.col("c_x1") + pad) & (F.col("c_y0") - pad <= F.col("s_y1")) & (F.col("s_y0") <= F.col("c_y1") + pad)
+    away = lambda c: F.least(F.abs(F.col(f"c_{c}0") - F.col(f"s_{c}0")), F.abs(F.col(f"c_{c}0") - F.col(f"s_{c}1")))
+    return met.where(touches | (F.col("end") & (away("x") + away("y") <= CORNER_DISTANCE))).select("slide", "connector", "shape").distinct()
