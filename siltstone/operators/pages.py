@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ LINE_GAP, CELL_GAP, ROW_GAP, COLUMN_SPREAD, LEAST_ROWS, PREVIEW, TABLE_PADDING =
 DRAWING_PADDING, END_PADDING, CORNER_DISTANCE = 24.0, 180_000.0, 320_000.0
 NEAR = 1e-6  # so near to LINE_GAP, means are computed without rounding
 CELL = 256.0  # side of the grid cells in which drawings meet
+CHUNK = 256  # drawings of a page that are merged where they lie
 #: How far from a shape an end may be that links with it, with some room for rounding, and the side of the grid cells in which they meet.
 REACH, LINK_CELL = CORNER_DISTANCE + 1, 8 * CORNER_DISTANCE
 BOX = ("x0", "y0", "x1", "y1")
@@ -173,22 +176,94 @@ def tables(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return found.select("page", "first_line", "rows", "columns", *BOX, preview.alias("preview"))
 
 
+def _first_of_each(chunk: np.ndarray, boxes: list[np.ndarray], padding: float) -> np.ndarray:
+    """For rows in order of their chunks the first row of each one's cluster: boxes of a chunk that overlap are one, and so are the boxes around them, until none do."""
+    n = len(chunk)
+    behind = np.searchsorted(chunk, chunk, side="right") - np.arange(n) - 1  # rows of the chunk that follow
+    a = np.repeat(np.arange(n), behind)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(behind) - behind, behind)
+    first, (x0, y0, x1, y1) = np.arange(n), [c.copy() for c in boxes]
+    while len(a):
+        u, v = first[a], first[b]
+        hit = (x0[u] - padding <= x1[v] + padding) & (x0[v] - padding <= x1[u] + padding) & (y0[u] - padding <= y1[v] + padding) & (y0[v] - padding <= y1[u] + padding)
+        u, v = u[hit], v[hit]
+        to = np.arange(n)
+        np.minimum.at(to, np.maximum(u, v), np.minimum(u, v))
+        while (to[to] != to).any():
+            to = to[to]
+        for c, f in ((x0, np.minimum), (y0, np.minimum), (x1, np.maximum), (y1, np.maximum)):
+            f.at(c, to, c)
+        first = to[first]
+        # only chunks in which boxes have grown can have more to merge
+        grown = np.zeros(chunk[-1] + 1, bool)
+        grown[chunk[np.maximum(u, v)]] = True
+        left = grown[chunk[a]] & (first[a] != first[b])
+        a, b = a[left], b[left]
+    return first
+
+
+def _merged_in_chunks(drawings: DataFrame, padding: float, most: int) -> DataFrame:
+    """(page, drawing, cluster, box): clusters of ``most`` neighbouring drawings of a page at a time; ``box``, the drawing's own, is there only on pages that have more. A task holds a batch and a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cut = None, None  # rows of a page that may go on; the page of which rows are out already
+
+        def merged(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, cut
+            rows, n = rows.combine_chunks(), rows.num_rows
+            pages = rows.column("page").combine_chunks()
+            opens = np.concatenate([[True], pc.not_equal(pages.slice(1), pages.slice(0, n - 1)).to_numpy(zero_copy_only=False)])
+            starts = np.flatnonzero(opens)
+            sizes, page = np.diff(np.append(starts, n)), np.cumsum(opens) - 1
+            wide = sizes > most
+            wide[0] |= cut is not None and pages[0] == cut
+            out = n if last else starts[-1] + sizes[-1] // most * most * wide[-1]
+            if not last:
+                held, cut = rows.slice(out), pages[n - 1] if wide[-1] else None
+            if out:
+                at = np.arange(n) - starts[page]
+                chunk = np.cumsum(opens | (at % most == 0))[:out] - 1
+                rows, wide = rows.slice(0, out), wide[page[:out]]
+                boxes = [rows.column(c).combine_chunks() for c in BOX]
+                first = _first_of_each(chunk, [c.to_numpy() for c in boxes], padding)
+                number = rows.column("drawing").combine_chunks()
+                box = pa.StructArray.from_arrays(boxes, names=list(BOX), mask=pa.array(~wide))
+                yield pa.RecordBatch.from_arrays([pages.slice(0, out), number, number.take(pa.array(first)), box], ["page", "drawing", "cluster", "box"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                yield from merged(rows if held is None else pa.concat_tables([held, rows]), False)
+        if held is not None and held.num_rows:
+            yield from merged(held, True)
+
+    kind = {c: drawings.schema[c].dataType.simpleString() for c in ("page", "drawing")}
+    box = ", ".join(f"{c}: double" for c in BOX)
+    return drawings.sortWithinPartitions("page", "drawing").mapInArrow(run, f"page {kind['page']}, drawing {kind['drawing']}, cluster {kind['drawing']}, box struct<{box}>")
+
+
 def drawing_clusters(drawings: DataFrame, padding: float = DRAWING_PADDING, side: float = CELL) -> DataFrame:
     """``drawings`` (page, drawing, x0, y0, x1, y1) to (page, drawing, cluster): cluster is the number of its first drawing.
 
     Drawings whose boxes overlap are one, and so are clusters whose boxes around all their drawings do, until none does. What comes out doesn't depend on the order of merging: a box only
-    grows, so what overlaps once always will. (A first pass in the order of drawings with less padding merges nothing that this doesn't.) Every round joins boxes that
+    grows, so what overlaps once always will. (A first pass in the order of drawings with less padding merges nothing that this doesn't.) So up to CHUNK drawings of a page are merged
+    where they lie, which is all of most pages; what is left of larger ones meets in rounds. Every round joins boxes that
     share a grid cell, and each goes to the least number among those that it meets. Rows that repeat a number are one drawing; those without a page, a number or a whole box have no row.
     """
-    all_ = settled(drawings.select("page", "drawing", *(F.col(c).cast("double").alias(c) for c in BOX)).dropna().groupBy("page", "drawing").agg(*_around()))
-    members, boxes = all_.select("page", "drawing", F.col("drawing").alias("cluster")), all_.withColumnRenamed("drawing", "cluster")
+    whole = drawings.select("page", "drawing", *(F.col(c).cast("double").alias(c) for c in BOX)).dropna()
+    parts = 2 * int(drawings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = settled(_merged_in_chunks(whole.repartition(parts, "page").groupBy("page", "drawing").agg(*_around()), padding, CHUNK))
+    rest, done = local.where("box is not null"), local.where("box is null").select("page", "drawing", "cluster")
+    if rest.isEmpty():
+        return done
+    members, boxes = rest.select("page", "drawing", "cluster"), settled(rest.select("page", "cluster", "box.*").groupBy("page", "cluster").agg(*_around()))
     while True:
         wide = boxes.withColumn("at", F.explode(cells_of(F.col("x0") - padding, F.col("y0") - padding, F.col("x1") + padding, F.col("y1") + padding, side)))
         a, b = (wide.select("page", "at", F.col("cluster").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in BOX)) for p in "ab")
         meets = a.join(b, ["page", "at"]).where((F.col("a_id") > F.col("b_id")) & overlap("a", "b", padding))
         moves = settled(meets.groupBy("page", F.col("a_id").alias("cluster")).agg(F.min("b_id").alias("to")))
         if moves.isEmpty():
-            return members
+            return done.union(members)
         to = F.coalesce("to", "cluster")
         members = settled(members.join(moves, ["page", "cluster"], "left").select("page", "drawing", to.alias("cluster")))
         boxes = settled(boxes.join(moves, ["page", "cluster"], "left").withColumn("cluster", to).groupBy("page", "cluster").agg(*_around()))
