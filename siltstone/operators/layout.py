@@ -41,8 +41,12 @@ def nearest_captions(captions: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def continuations(parts: DataFrame, doc: str, page: str, key: list[str]) -> DataFrame:
-    """(doc, key, first_page, pages): runs of parts with the same key on consecutive pages, of two pages or more."""
-    one = parts.select(doc, page, *key).distinct()
+    """(doc, key, first_page, pages): runs of parts with the same key on consecutive pages, of two pages or more.
+
+    Parts are dealt out once, by document and key. Tasks go by a number: rows shrink to little, so tasks that go by bytes would hold too many.
+    """
+    parts = parts.select(doc, page, *key).repartition(2 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc, *key)
+    one = parts.distinct()
     run = F.col(page) - F.row_number().over(Window.partitionBy(doc, *key).orderBy(page))
     return one.withColumn("run", run).groupBy(doc, *key, "run").agg(F.min(page).alias("first_page"), F.count("*").alias("pages")).where("pages > 1").drop("run")
 
