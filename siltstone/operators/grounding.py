@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -12,13 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import coverage, significant_terms, tokens
+from siltstone.storage import settled
 
 #: Limits of a trace and thresholds of the statuses.
 SEGMENT_CHARS, SEGMENTS_MOST = 960, 24
 GROUNDED = (6.0, 3.0, 0.75)
 PARTIAL_TOTAL, PARTIAL_COVERAGE = 2.5, 0.35
 SET_COVERAGE, SET_DIRECT = 0.6, 2.5
-
+#: Terms of segments that all tasks get at once, and how many tasks the words of sources are dealt to for each shuffle partition.
+BLOCK_TERMS, SPREAD = 200_000, 4
 
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
 
@@ -71,16 +74,33 @@ def segments(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", "text").mapInArrow(run, "answer_id string, segment long, before long, text string")
 
 
+def _blocks(segments_: DataFrame) -> list[DataFrame]:
+    """(answer_id, segment, token) of the segments in blocks of about BLOCK_TERMS terms, each small enough to be sent to all tasks."""
+    terms = settled(segments_.select("answer_id", "segment", significant_terms(F.col("text")).alias("terms")))
+    n = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) // BLOCK_TERMS + 1
+    return [terms.where(F.pmod(F.xxhash64("answer_id", "segment"), F.lit(n)) == k).select("answer_id", "segment", F.explode("terms").alias("token")) for k in range(n)]
+
+
+def _best(wanted: DataFrame, evidence: DataFrame, top: int) -> DataFrame:
+    """(answer_id, segment, source_id, matched, place) for a block: words that no segment has are dropped first, the others dealt out by source, where they are counted and the best ones chosen.
+
+    Tasks go by a number: words shrink to little, but each makes rows for all segments that have it, so tasks that go by bytes would hold too many.
+    """
+    known = evidence.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+    dealt = known.repartition(SPREAD * int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
+    hits = dealt.join(F.broadcast(wanted), "token").groupBy("source_id", "answer_id", "segment").agg(F.count("*").alias("matched"))
+    order = Window.partitionBy("answer_id", "segment").orderBy(F.desc("matched"), "source_id")
+    return hits.select("answer_id", "segment", "source_id", "matched").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def support(segments_: DataFrame, evidence: DataFrame, top: int = 3) -> DataFrame:
     """(answer_id, segment, place, source_id, matched, total): the sources whose words cover a segment best.
 
     ``evidence``: (source_id, token), distinct. ``total`` is 1.2 for each matched distinct token of the segment. Tokens meet by an equi-join, so stop words
-    are left out on both sides beforehand.
+    are left out on both sides beforehand. Segments come in blocks, and only ``top`` sources of each segment leave a task.
     """
-    wanted = segments_.select("answer_id", "segment", F.explode(significant_terms(F.col("text"))).alias("token"))
-    hits = wanted.join(evidence, "token").groupBy("answer_id", "segment", "source_id").agg(F.count("*").alias("matched"))
-    order = Window.partitionBy("answer_id", "segment").orderBy(F.desc("matched"), "source_id")
-    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).withColumn("total", F.col("matched") * 12 / 10)
+    found = reduce(DataFrame.union, [_best(wanted, evidence, top) for wanted in _blocks(segments_)])
+    return found.withColumn("total", F.col("matched") * 12 / 10)
 
 
 def top_status(total, lexical, units, cover):
@@ -109,21 +129,26 @@ def reasons(status, final, total, cover, set_cover):
 
 
 def statuses(segments_: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Every segment with its coverage by the top source and by the set of three, its status and the reasons."""
-    found = support(segments_, evidence)
+    """Every segment with its coverage by the top source and by the set of three, its status, the reasons, and the ids of the three."""
+    parts = []
+    for wanted in _blocks(segments_):
+        best = settled(_best(wanted, evidence, 3))  # three rows a segment
+        # words are asked for again of the sources that were found, so the others need not be taken apart
+        again = evidence.join(F.broadcast(best.select("source_id").distinct()), "source_id", "left_semi").join(F.broadcast(wanted), "token").join(F.broadcast(best), ["answer_id", "segment", "source_id"], "left_semi")
+        by_set = again.groupBy("answer_id", "segment").agg(F.countDistinct("token").alias("by_set"))
+        parts.append((best, by_set, best.groupBy("answer_id", "segment").agg(F.sort_array(F.collect_set("source_id")).alias("supporting"))))
+    shown, covered, supporting = (reduce(DataFrame.union, p) for p in zip(*parts, strict=True))
+    shown = shown.withColumn("total", F.col("matched") * 12 / 10)
     terms = segments_.select("answer_id", "segment", significant_terms(F.col("text")).alias("terms"))
-    wanted = terms.select("answer_id", "segment", F.explode("terms").alias("token"))
-    shown = found.select("answer_id", "segment", "place", "source_id", "total", "matched")
-    covered = wanted.join(evidence, "token").join(shown, ["answer_id", "segment", "source_id"], "left_semi").groupBy("answer_id", "segment").agg(F.countDistinct("token").alias("by_set"))
     best = shown.where("place = 1").select("answer_id", "segment", "source_id", "total", "matched")
-    rows = terms.select("answer_id", "segment", F.size("terms").alias("n_terms")).join(best, ["answer_id", "segment"], "left").join(covered, ["answer_id", "segment"], "left")
+    rows = terms.select("answer_id", "segment", F.size("terms").alias("n_terms")).join(best, ["answer_id", "segment"], "left").join(covered, ["answer_id", "segment"], "left").join(supporting, ["answer_id", "segment"], "left")
     share = lambda c: F.coalesce(F.try_divide(c.cast("double"), F.col("n_terms").cast("double")), F.lit(0.0))
     cover, set_cover, total = share(F.col("matched")), share(F.col("by_set")), F.col("total")
     status = F.when(total.isNull(), "unresolved").otherwise(top_status(total, total, F.lit(1), cover))
     rows = rows.withColumns({"top_coverage": cover, "set_coverage": set_cover, "top_status": status})
     rows = rows.withColumn("final_status", set_status(F.col("top_status"), F.col("set_coverage"), F.coalesce(total, F.lit(0.0))))
     codes = reasons(F.col("top_status"), F.col("final_status"), total, F.col("top_coverage"), F.col("set_coverage"))
-    return rows.withColumn("reasons", codes).select("answer_id", "segment", "source_id", F.col("n_terms").cast("long").alias("n_terms"), "top_coverage", "set_coverage", "top_status", "final_status", "reasons")
+    return rows.withColumn("reasons", codes).select("answer_id", "segment", "source_id", F.col("n_terms").cast("long").alias("n_terms"), "top_coverage", "set_coverage", "top_status", "final_status", "reasons", F.coalesce("supporting", F.array().cast("array<string>")).alias("supporting"))
 
 
 def answer_states(traced: DataFrame) -> DataFrame:

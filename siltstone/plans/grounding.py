@@ -28,7 +28,7 @@ def term_coverage(spark, sf_dir):
 
 def grounding_status(spark, sf_dir):
     traced = grounding.statuses(_segments(spark, sf_dir), _evidence(spark, sf_dir))
-    return traced.withColumns({c: F.round(c, 6) for c in ("top_coverage", "set_coverage")})
+    return traced.drop("supporting").withColumns({c: F.round(c, 6) for c in ("top_coverage", "set_coverage")})
 
 
 def answer_state_rollup(spark, sf_dir):

@@ -50,12 +50,10 @@ def reference_resolution(spark, sf_dir):
 def scoped_support(spark, sf_dir):
     """Answers with a scope each: whether every segment keeps to it, and the state, status and issues that follow."""
     segments, evidence = answers._segments(spark, sf_dir), answers._evidence(spark, sf_dir)
-    traced = grounding.statuses(segments, evidence).select("answer_id", "segment", "final_status")
-    found = grounding.support(segments, evidence)
-    shown = found.groupBy("answer_id", "segment").agg(F.collect_set("source_id").alias("supporting"))  # three at most
-    best = found.where("place = 1").groupBy("answer_id").agg(F.min("source_id").alias("best"))
+    traced = grounding.statuses(segments, evidence).select("answer_id", "segment", "source_id", "final_status", "supporting")
+    best = traced.groupBy("answer_id").agg(F.min("source_id").alias("best"))
     k, none = F.regexp_extract("answer_id", "[0-9]+", 0).cast("long"), F.array().cast("array<string>")
-    rows = traced.join(shown, ["answer_id", "segment"], "left").join(best, "answer_id", "left").withColumns({"k": k, "scope": _pick(k, MODES), "supporting": F.coalesce("supporting", none)})
+    rows = traced.drop("source_id").join(best, "answer_id", "left").withColumns({"k": k, "scope": _pick(k, MODES)})
     own = F.concat(F.lit("doc-"), "k")
     rows = rows.withColumns({"target": F.when(F.col("scope") == scopes.SOFT, F.col("best")).when(F.col("scope") == scopes.HARD, own), "compared": F.when((F.col("scope") == scopes.COMPARE) & F.col("best").isNotNull(), F.array_distinct(F.array(F.col("best"), own))).otherwise(none)})
     kept = scopes.segment_satisfied(F.col("scope"), F.col("final_status"), F.col("target"), F.col("compared"), F.col("supporting"))
