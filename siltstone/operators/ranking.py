@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import query_tokens
-from siltstone.operators.retrieval import TERM_CAP, TOP_ARTIFACTS, TOP_UNITS, best, memory_gate, term_counts
+from siltstone.operators.retrieval import TOP_ARTIFACTS, TOP_UNITS, best, lexical, memory_gate
 
 #: Weights of all fields, and what else adds to scores.
 SOURCE_FIELDS = {"title": 5.0, "entities": 4.0, "summary": 3.0, "claims": 2.5, "key_points": 2.5, "affordance": 2.0, "document_context": 1.8, "path": 1.5}
@@ -28,13 +28,6 @@ def _by_value(column: Column, values: dict[str, float]) -> Column:
     return reduce(lambda c, kv: c.when(column == kv[0], kv[1]), values.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
 
 
-def field_scores(records: DataFrame, keys: list[str], fields: dict[str, float], queries: dict[str, str], parts: list[str]) -> DataFrame:
-    """(query_id, keys, lexical, and of each field in ``parts`` its share): each term counts up to twice in each field. Sums are of whole tenths."""
-    tenths = F.least("hits", F.lit(TERM_CAP)) * F.round(F.col("weight") * 10).cast("long")
-    shares = [(F.coalesce(F.sum(F.when(F.col("field") == p, tenths)), F.lit(0)) / 10).alias(f"of_{p}") for p in parts]
-    return term_counts(records, keys, fields, queries).groupBy("query_id", *keys).agg((F.sum(tenths) / 10).alias("lexical"), *shares)
-
-
 def _channels(own: str, wanted: str, weight: float) -> Column:
     none = F.array().cast("array<string>")
     return weight * F.size(F.array_intersect(F.coalesce(own, none), F.coalesce(wanted, none)))
@@ -51,7 +44,7 @@ def unit_scores(units: DataFrame, asked: DataFrame, queries: dict[str, str]) ->
 
     Where a reference is exact, its source has no other unit. Units without a word of the query have no row, unless the reference means them.
     """
-    hits = field_scores(units, ["source_id", "unit_id"], UNIT_FIELDS, queries, ["context", "labels"])
+    hits = lexical(units, ["source_id", "unit_id"], UNIT_FIELDS, queries, ["context", "labels"])
     of = units.select("source_id", "unit_id", "channels", "confidence", "citation_density")
     meant = asked.where("how in ('exact', 'approximate') and to_unit is not null").select("query_id", F.col("to_source").alias("source_id"), F.col("to_unit").alias("unit_id"))
     rows = hits.join(meant.join(of.select("source_id", "unit_id"), ["source_id", "unit_id"], "left_semi"), ["query_id", "source_id", "unit_id"], "full").join(of, ["source_id", "unit_id"]).join(F.broadcast(asked.drop("words")), "query_id")  # a row a query
@@ -70,7 +63,7 @@ def artifact_scores(artifacts: DataFrame, units: DataFrame, asked: DataFrame, qu
 
     A unit whose overlay has labels and whose artifacts have no word of the query brings its page image along, with PAGE_IMAGE.
     """
-    hits = field_scores(artifacts, ["source_id", "artifact_id"], ARTIFACT_FIELDS, queries, ["context", "labels"])
+    hits = lexical(artifacts, ["source_id", "artifact_id"], ARTIFACT_FIELDS, queries, ["context", "labels"])
     of = artifacts.select("source_id", "artifact_id", "unit_id", "artifact_type", "captioned", "promoted")
     rows = hits.join(of, ["source_id", "artifact_id"]).join(F.broadcast(asked), "query_id")  # a row a query
     exact = F.coalesce((F.col("how") == "exact") & (F.col("source_id") == F.col("to_source")) & F.col("to_unit").isNotNull(), F.lit(False))
@@ -93,7 +86,7 @@ def scores(sources: DataFrame, units: DataFrame, artifacts: DataFrame, queries:
     fields have no words. ``preferred`` names channels for queries, ``resolved`` (source, unit, exact or approximate). ``mode`` and ``domain`` are those of ``memory_gate``.
     """
     asked = _asked(sources.sparkSession, queries, preferred or {}, resolved or {})
-    own = field_scores(sources, ["source_id"], SOURCE_FIELDS, queries, ["document_context"]).withColumnsRenamed({"lexical": "lexical_source", "of_document_context": "own_context"})
+    own = lexical(sources, ["source_id"], SOURCE_FIELDS, queries, ["document_context"]).withColumnsRenamed({"lexical": "lexical_source", "of_document_context": "own_context"})
     add = lambda c: F.sum(c)
     unit = unit_scores(units, asked, queries).groupBy("query_id", "source_id").agg(add("lexical").alias("lexical_units"), add("metadata").alias("unit_metadata"), add("of_context").alias("unit_context"), add("of_labels").alias("unit_overlay"))
     art = artifact_scores(artifacts, units, asked, queries).groupBy("query_id", "source_id").agg(add("score").alias("lexical_artifacts"), add("of_context").alias("artifact_context"), add("of_labels").alias("artifact_overlay"))

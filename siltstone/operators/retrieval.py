@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import query_tokens, tokens
@@ -18,31 +18,37 @@ STRENGTH = {"high": 1.5, "medium": 0.8}
 OTHER_STRENGTH, HOP_SHARE = 0.5, 0.15
 
 
-def query_terms(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
-    """(query_id, token), distinct."""
-    rows = sorted({(q, t) for q, text in queries.items() for t in query_tokens(text)})
-    return spark.createDataFrame(rows, "query_id string, token string")
+def lexical(records: DataFrame, keys: list[str], fields: dict[str, float], queries: dict[str, str], parts: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, keys, lexical, and of each field in ``parts`` its share): each term of the query counts up to twice in each field, by the field's weight. Sums are of whole tenths, so that ties are ties.
 
-
-def term_counts(records: DataFrame, keys: list[str], fields: dict[str, float], queries: dict[str, str]) -> DataFrame:
-    """(query_id, keys, field, weight, token, hits). Tokens that no query has are dropped, and the others counted in each record, before they become rows.
-
-    Rows are dealt out once, by the first key, for this and for what groups by that key afterwards. Tasks go by a number: rows are alike and shrink to little, so tasks that go by bytes would hold too many.
+    Words that no query has are dropped, and the others counted where they are read; the counts of a field are one array of numbers, so a record has a row for each field, not for each word. Rows are dealt
+    out once, by the first key, for this and for what groups by that key afterwards. Tasks go by a number: rows are alike and shrink to little, so tasks that go by bytes would hold too many. There a record's
+    arrays are put together, also if its text came in several rows: counts that were cut at TERM_CAP, added up and cut again are those of the whole.
     """
-    vocabulary = sorted({t for text in queries.values() for t in query_tokens(text)})
-    known = F.array(*map(F.lit, vocabulary))
-    found = lambda f: F.filter(tokens(F.col(f)), lambda t: F.array_contains(known, t))
-    stacked = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), found(f).alias("tokens")) for f, w in fields.items()))
-    counted = lambda found: F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("token"), F.size(F.filter(found, lambda x: x == t)).cast("long").alias("n")))
-    rows = records.select(*keys, F.explode(stacked).alias("x")).select(*keys, "x.field", "x.weight", F.explode(counted(F.col("x.tokens"))).alias("x")).select(*keys, "field", "weight", "x.token", "x.n")
+    asked = {q: sorted({*query_tokens(text)}) for q, text in queries.items()}
+    vocabulary = sorted({t for terms in asked.values() for t in terms})
+    names, n, base = list(fields), len(vocabulary), TERM_CAP + 1
+    known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    stacked = F.array(*(F.struct(F.lit(i).alias("field"), F.filter(tokens(F.col(f)), lambda t: F.array_contains(known, t)).alias("tokens")) for i, f in enumerate(names)))
+    words = F.col("x.tokens")
+    code = lambda t: ((F.col("x.field") * n + F.array_position(known, t) - 1) * base + F.least(F.size(F.filter(words, lambda x: x == t)), F.lit(TERM_CAP))).cast("int")
+    rows = records.select(*keys, F.explode(stacked).alias("x")).where(F.size("x.tokens") > 0).select(*keys, F.transform(F.array_distinct(words), code).alias("codes"))
     rows = rows.repartition(2 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys[0])
-    hits = rows.groupBy(*keys, "field", "weight", "token").agg(F.sum("n").alias("hits"))
-    return hits.join(F.broadcast(query_terms(records.sparkSession, queries)), "token")  # the words of the queries
-
-
-def lexical(records: DataFrame, keys: list[str], fields: dict[str, float], queries: dict[str, str]) -> DataFrame:
-    """(query_id, keys, lexical): each term of the query counts up to twice in each field, by the field's weight. Sums are of whole tenths, so that ties are ties."""
-    return term_counts(records, keys, fields, queries).groupBy("query_id", *keys).agg((F.sum(F.least("hits", F.lit(TERM_CAP)) * F.round(F.col("weight") * 10).cast("long")) / 10).alias("lexical"))
+    rows = rows.groupBy(*keys).agg(F.flatten(F.collect_list("codes")).alias("codes"))  # rows of one record
+    place, count = lambda c: F.floor(c / base).cast("int"), lambda c: c % base
+    rows = rows.withColumn("places", F.array_distinct(F.transform("codes", place)))
+    tenths = F.array(*(F.round(F.lit(w) * 10).cast("long") for w in fields.values()))
+    hit = lambda p, hits: F.struct(F.floor(p / n).cast("int").alias("field"), (p % n).alias("token"), (hits * F.element_at(tenths, F.floor(p / n).cast("int") + 1)).alias("tenths"))
+    summed = lambda p: F.least(F.aggregate(F.filter("codes", lambda c: place(c) == p), F.lit(0), lambda a, c: a + count(c)), F.lit(TERM_CAP))
+    whole = F.size("places") == F.size("codes")
+    hits = F.when(whole, F.transform("codes", lambda c: hit(place(c), count(c)))).otherwise(F.transform("places", lambda p: hit(p, summed(p))))
+    of = F.array(*(F.struct(F.lit(q).alias("id"), F.array(*(F.lit(vocabulary.index(t)) for t in terms)).cast("array<int>").alias("tokens")) for q, terms in asked.items()))
+    rows = rows.select(*keys, hits.alias("hits")).select(*keys, "hits", F.explode(of).alias("q"))
+    rows = rows.select(F.col("q.id").alias("query_id"), *keys, F.filter("hits", lambda h: F.array_contains(F.col("q.tokens"), h["token"])).alias("hits")).where(F.size("hits") > 0)
+    total = lambda hits: F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + h["tenths"]) / 10
+    share = lambda i: total(F.filter("hits", lambda h: h["field"] == i))
+    shares = [share(names.index(p)).alias(f"of_{p}") for p in parts]
+    return rows.select("query_id", *keys, total(F.col("hits")).alias("lexical"), *shares)
 
 
 def best(scored: DataFrame, within: list[str], order: list, n: int) -> DataFrame:
@@ -79,12 +85,15 @@ def ranked(scores: DataFrame, top: int) -> DataFrame:
     return shown.withColumns({"place": F.row_number().over(order), "result_count": F.count("*").over(Window.partitionBy("query_id"))}).where(F.col("place") <= top)
 
 
-def with_compare_bonus(scores: DataFrame) -> DataFrame:
-    """The second and third source of a comparison gain 1.2 and 0.6, if their words match by over 0.5."""
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "source_id"))
+def compare_gains(scores: DataFrame) -> DataFrame:
+    """The second and third source of a comparison gain 1.2 and 0.6, if their words match by over 0.5: only these rows, with what they gain.
+
+    Only the first three rows of a query are ever ranked together: the filter on the place lets every task keep three before rows are sent.
+    """
+    first = best(scores, ["query_id"], [F.desc("total"), "source_id"], 3)
     gains = (F.col("lexical_source") + F.col("lexical_units") + F.col("lexical_artifacts")) > 0.5
-    bonus = F.when(gains & (F.col("place") == 2), 1.2).when(gains & (F.col("place") == 3), 0.6).otherwise(0.0)
-    return scores.withColumn("place", place).withColumn("compare_bonus", bonus).withColumn("total", F.col("total") + F.col("compare_bonus")).drop("place")
+    bonus = F.when(F.col("place") == 2, 1.2).otherwise(0.6)
+    return first.where((F.col("place") > 1) & gains).withColumn("compare_bonus", bonus).withColumn("total", F.col("total") + F.col("compare_bonus")).drop("place")
 
 
 def support_units(scored: DataFrame, with_artifacts: DataFrame, cited: DataFrame, n: int = 3) -> DataFrame:

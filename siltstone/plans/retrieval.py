@@ -105,7 +105,7 @@ def graph_propagation_seq(spark, sf_dir):
 
 
 def compare_bonus(spark, sf_dir):
-    gained = retrieval.with_compare_bonus(_scores(spark, sf_dir)).where("compare_bonus > 0")
+    gained = retrieval.compare_gains(_scores(spark, sf_dir))
     return gained.select("query_id", "source_id", "compare_bonus", F.round("total", 6).alias("total"))
 
 
