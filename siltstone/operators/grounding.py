@@ -6,8 +6,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ PARTIAL_TOTAL, PARTIAL_COVERAGE = 2.5, 0.35
 SET_COVERAGE, SET_DIRECT = 0.6, 2.5
 #: Terms of segments that all tasks get at once, and how many tasks the words of sources are dealt to for each shuffle partition.
 BLOCK_TERMS, SPREAD = 200_000, 4
+#: Meetings of words and segments that a task counts at once.
+WALK_HITS = 1_000_000
 
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
 
@@ -84,13 +87,54 @@ def _blocks(segments_: DataFrame) -> list[DataFrame]:
 def _best(wanted: DataFrame, evidence: DataFrame, top: int) -> DataFrame:
     """(answer_id, segment, source_id, matched, place) for a block: words that no segment has are dropped first, the others dealt out by source, where they are counted and the best ones chosen.
 
-    Tasks go by a number: words shrink to little, but each makes rows for all segments that have it, so tasks that go by bytes would hold too many.
+    Tasks go by a number: words shrink to little, but each meets all segments that have it, so tasks that go by bytes would hold too many. A task walks through its sources in their order, counts for about
+    WALK_HITS meetings at once, and keeps ``top`` sources of each segment; nothing is held for pairs of segments and sources. Later sources must match more words than those that are kept.
     """
-    known = evidence.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
-    dealt = known.repartition(SPREAD * int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
-    hits = dealt.join(F.broadcast(wanted), "token").groupBy("source_id", "answer_id", "segment").agg(F.count("*").alias("matched"))
+    spark = evidence.sparkSession
+    rows = wanted.select("token", "answer_id", "segment").toArrow()  # BLOCK_TERMS rows
+    words, names = rows["token"].combine_chunks().dictionary_encode(), rows.select(["answer_id", "segment"]).group_by(["answer_id", "segment"]).aggregate([]).combine_chunks()
+    at = {k: i for i, k in enumerate(zip(*(names[c].to_pylist() for c in ("answer_id", "segment")), strict=True))}
+    word, segment = words.indices.to_numpy(), np.array([at[k] for k in zip(rows["answer_id"].to_pylist(), rows["segment"].to_pylist(), strict=True)], np.int64)
+    segment, starts = segment[np.argsort(word, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words.dictionary)))])
+    known = spark.createDataFrame(pa.table({"token": words.dictionary, "word": pa.array(range(len(words.dictionary)), pa.int32())}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, floor, kept, held = len(at), np.zeros(len(at), np.int64), [np.zeros(0, np.int64)] * 2 + [np.zeros(0, object)], None
+        for batch in chain(batches, [None]):
+            rows = [b for b in (held, batch) if b is not None]
+            if not rows:
+                return
+            ids, word = (pa.chunked_array([b.column(i) for b in rows]).combine_chunks() for i in (0, 1))
+            ids, word = ids.dictionary_encode(null_encoding="encode"), word.to_numpy()
+            source, ids = ids.indices.to_numpy(), ids.dictionary.to_numpy(zero_copy_only=False)
+            if batch is not None:  # the last source may go on
+                whole = int(np.searchsorted(source, source[-1])) if len(source) else 0
+                held = pa.RecordBatch.from_arrays([pa.array(ids[source[whole:]], pa.string()), pa.array(word[whole:])], ["source_id", "word"])
+                source, word = source[:whole], word[:whole]
+            size = starts[word + 1] - starts[word]
+            done = np.cumsum(size)
+            while len(source):
+                cut = max(int(np.searchsorted(done, done[0] - size[0] + WALK_HITS, "right")), 1)
+                cut = int(np.searchsorted(source, source[cut] if cut < len(source) and source[cut] > source[0] else source[cut - 1] + 1))
+                part = size[:cut]
+                met = segment[np.repeat(starts[word[:cut]] - np.cumsum(part) + part, part) + np.arange(part.sum())]
+                pair, matched = np.unique(np.repeat(source[:cut], part).astype(np.int64) * n + met, return_counts=True)
+                more = matched > floor[pair % max(n, 1)]
+                pair, matched = pair[more], matched[more]
+                seg, count, who = (np.concatenate(x) for x in zip(kept, (pair % max(n, 1), matched, ids[pair // max(n, 1)]), strict=True))
+                order = np.lexsort((-count, seg))  # stable: sources come in their order
+                seg, count, who = seg[order], count[order], who[order]
+                place = np.arange(len(seg)) - np.searchsorted(seg, seg)
+                floor[seg[place == top - 1]] = count[place == top - 1]
+                kept = [x[place < top] for x in (seg, count, who)]
+                source, word, size, done = source[cut:], word[cut:], size[cut:], done[cut:]
+        seg, count, who = kept
+        yield pa.RecordBatch.from_arrays([names["answer_id"].combine_chunks().take(pa.array(seg)), names["segment"].combine_chunks().take(pa.array(seg)), pa.array(who, pa.string()), pa.array(count)], ["answer_id", "segment", "source_id", "matched"])
+
+    dealt = evidence.join(F.broadcast(known), "token").select("source_id", "word").repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id").sortWithinPartitions("source_id")
+    hits = dealt.mapInArrow(run, "answer_id string, segment long, source_id string, matched long")
     order = Window.partitionBy("answer_id", "segment").orderBy(F.desc("matched"), "source_id")
-    return hits.select("answer_id", "segment", "source_id", "matched").withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
 
 def support(segments_: DataFrame, evidence: DataFrame, top: int = 3) -> DataFrame:
