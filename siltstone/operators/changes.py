@@ -7,6 +7,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -124,22 +126,185 @@ def name_likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 name_likeness = name_likeness.asNondeterministic()  # else it runs once for a filter and again for the rows that are left
 
 
+#: Pairs of names that are worked on at once, lost sources that they are looked for among, and rows of the result that go out together.
+PAIRS, HELD, ROWS = 1 << 16, 1 << 12, 1 << 16
+#: A missing size, which ``least`` passes over.
+NO_SIZE = np.iinfo(np.int64).max
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """A row for each place, a column for each text; 0 behind its end."""
+    return np.ascontiguousarray(np.array(texts, "U").view(np.uint32).reshape(len(texts), -1).T)
+
+
+def _places(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """For each letter, and in a last row for all others, the places at which each text has it, as bits."""
+    kind = next(k for k in (np.uint16, np.uint32, np.uint64) if len(codes) <= 8 * np.dtype(k).itemsize)
+    out = np.zeros((len(letters) + 1, codes.shape[1]), kind)
+    for place, row in enumerate(codes):
+        at = np.flatnonzero(row)
+        out[np.searchsorted(letters, row[at]), at] |= kind(1 << place)
+    return out
+
+
+def _in_order(a: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many characters of each text of ``a`` (letters' numbers, a row for each place) and each one of ``places`` match in order: no fewer than difflib finds. A bit for each place, all pairs together."""
+    left = np.full((a.shape[1], places.shape[1]), np.iinfo(places.dtype).max, places.dtype)
+    more = np.empty_like(left)
+    for row in a:
+        at = places[row]
+        at &= left
+        np.add(left, at, out=more)
+        left -= at
+        left |= more
+    return np.bitwise_count(~left)
+
+
+def _matching(rows: np.ndarray) -> np.ndarray:
+    """How many characters of each pair difflib finds to match. ``rows`` has for each place in the first text the places in the second with the same character, as bits.
+
+    The longest common part (the first one in the first text and then in the second) counts, and what crosses it goes, until nothing is left. Parts that are left of it or right of it don't
+    touch each other, so it makes no difference that the longest of them all comes next.
+    """
+    kind = rows.dtype.type
+    one, place, total, pair = kind(1), np.arange(len(rows))[:, None], np.zeros(rows.shape[1], np.int64), np.arange(rows.shape[1])
+    while True:
+        some = np.bitwise_or.reduce(rows, 0) != 0
+        if not some.all():
+            rows, pair = rows[:, some], pair[some]
+        if not len(pair):
+            return total
+        size, start, end = np.empty(len(pair), np.int64), np.empty(len(pair), np.int64), np.empty(len(pair), kind)
+        runs, at, long = rows, np.arange(len(pair)), 1  # where a common part of this length ends in the second text, by its start in the first
+        while len(at):
+            longer = runs[1:] & (runs[:-1] << one)
+            grows = np.bitwise_or.reduce(longer, 0) != 0 if len(longer) else np.zeros(len(at), bool)
+            ready = np.flatnonzero(~grows)
+            if len(ready):
+                ends = runs[:, ready]
+                first = (ends != 0).argmax(0)
+                ends = ends[first, np.arange(len(ready))]
+                to = at[ready]
+                size[to], start[to], end[to] = long, first, ends & (~ends + one)
+                longer, at = longer[:, grows], at[grows]
+            runs, long = longer, long + 1
+        total[pair] += size
+        before, behind = (end >> (size - 1).astype(kind)) - one, ~((end << one) - one)
+        rows = np.where(place < start, rows & before, np.where(place >= start + size, rows & behind, kind(0)))
+
+
+def _sizes(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return pc.fill_null(rows.column("size"), NO_SIZE).to_numpy()
+
+
+def _size_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What SQL makes of least / greatest of both and 1, a missing one left out; 0 if both are missing."""
+    low, known = np.minimum(a, b), lambda x: np.where(x == NO_SIZE, 1, x)
+    return np.where(low == NO_SIZE, 0.0, low / np.maximum(np.maximum(known(a), known(b)), 1))
+
+
+class _Lost:
+    """The lost sources of a cell, their names as bits where these have place in a word."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        self.ids, self.sizes = rows.column("id").combine_chunks(), _sizes(rows)
+        self.names = rows.column("stem").to_pylist()
+        self.lengths = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        order = np.argsort(self.lengths, kind="stable")
+        bits = np.searchsorted(self.lengths[order], (16, 32, 64), side="right")
+        self.long, self.blocks = order[bits[2] :], []
+        for low, high in zip((0, *bits[:2]), bits, strict=True):
+            for at in range(low, high, HELD):
+                some = order[at : min(at + HELD, high)]
+                codes = _codes([self.names[i] for i in some])
+                letters = np.unique(codes[codes > 0])
+                self.blocks.append((some, letters, _places(codes, letters)))
+
+    def alike(self, new: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of ``new``, rows of lost sources, scores) of the pairs of like name and size."""
+        names, sizes = new.column("stem").to_pylist(), _sizes(new)
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(lengths, kind="stable")
+        short = np.searchsorted(lengths[order], POPULAR_FROM)
+
+        def scored(i: np.ndarray, j: np.ndarray, ratio: np.ndarray, matching: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            both = lengths[i] + self.lengths[j]
+            name = likenesses([names[k] for k in i], [self.names[k] for k in j]) if matching is None else np.where(both > 0, 2.0 * matching / np.maximum(both, 1), 1.0)
+            good = name >= NAME_LEAST
+            return i[good], j[good], NAME_SHARE * name[good] + (1 - NAME_SHARE) * ratio[good]
+
+        for b, letters, places in self.blocks:
+            step = max(1, PAIRS // len(b))
+            for at in range(0, short, step):
+                a = order[at : min(at + step, short)]
+                codes = _codes([names[i] for i in a])
+                number = np.minimum(np.searchsorted(letters, codes), max(0, len(letters) - 1))
+                number = np.where(letters[number] == codes, number, len(letters)) if len(letters) else np.zeros_like(number)
+                both = lengths[a][:, None] + self.lengths[b]
+                i, j = np.nonzero((2.0 * _in_order(number, places) >= NAME_LEAST * both * (1 - 1e-9)) | (both == 0))
+                ratio = _size_ratios(sizes[a[i]], self.sizes[b[j]])
+                near = np.flatnonzero(ratio >= SIZE_LEAST)
+                i, j, ratio = i[near], j[near], ratio[near]
+                yield scored(a[i], b[j], ratio, _matching(places[number[:, i], j]))
+        # names that are too long for a word, or of which difflib leaves characters out
+        for a, b in ((order[:short], self.long), (order[short:], np.arange(len(self.names)))):
+            step = max(1, CELLS // max(1, len(b)))
+            for at in range(0, len(a) if len(b) else 0, step):
+                i, j = (x.ravel() for x in np.meshgrid(a[at : at + step], b, indexing="ij"))
+                ratio = _size_ratios(sizes[i], self.sizes[j])
+                near = np.flatnonzero(ratio >= SIZE_LEAST)
+                for some in np.array_split(near, -(-len(near) // CELLS) or 1):
+                    yield scored(i[some], j[some], ratio[some], None)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, new, id, size, stem), in each cell the lost sources first, to the pairs that are alike. A task holds the lost sources of a cell."""
+    cell, parts, lost = None, [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cells, new = batch.column("cell"), batch.column("new")
+        other = lambda c: pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        cuts = [0, *(np.flatnonzero(other(cells) | other(new)) + 1).tolist(), n]
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = batch.slice(at, to - at)
+            if cells[at].as_py() != cell:
+                cell, parts, lost = cells[at].as_py(), [], None
+            if not new[at].as_py():
+                parts.append(rows)
+            elif parts:
+                lost, held, many = lost or _Lost(parts), [], 0
+                for found in lost.alike(rows):
+                    held, many = [*held, found], many + len(found[0])
+                    if many >= ROWS:
+                        yield _pairs(rows, lost, held)
+                        held, many = [], 0
+                if many:
+                    yield _pairs(rows, lost, held)
+
+
+def _pairs(new: pa.RecordBatch, lost: _Lost, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    i, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([new.column("id").take(pa.array(i)), lost.ids.take(pa.array(j)), pa.array(score)], ["current_path", "source_id", "score"])
+
+
 def relocations(strangers: DataFrame, missing: DataFrame) -> DataFrame:
     """(current_path, source_id, score): for new paths the lost sources of like name and size, by score.
 
     Candidates meet in blocks of the same type and file size class (powers of 1/0.9, each file in its own class and the next), so no pair of all is formed. A block is dealt out in
-    ``PARTS`` parts of its new paths, each with all lost sources of the block: few rows make many pairs, so tasks go by a number and not by bytes.
+    ``PARTS`` parts of its new paths, each with all lost sources of the block: few rows make many pairs, so tasks go by a number and not by bytes. Pairs are made and compared in the task
+    that has both, and only those that are alike become rows.
     """
     step = F.floor(F.log(F.greatest("file_size", F.lit(1))) / F.log(F.lit(1 / SIZE_LEAST))).cast("long")
-    stem = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(c, "/"), -1)), r"\.[^.]*$", ""), "[^a-z0-9]+", " ")
-    cell = F.concat_ws("|", "block", "part", "document_type")  # one key, so that the join keeps the dealing
+    stem = F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split("current_path", "/"), -1)), r"\.[^.]*$", ""), "[^a-z0-9]+", " ")
+    cell = F.concat_ws("|", "block", "part", "document_type")  # one key, so that a cell is one task's
     part = F.pmod(F.xxhash64("current_path"), F.lit(PARTS))
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
-    a = strangers.where("document_type is not null").select("current_path", "document_type", F.col("file_size").alias("size"), stem(F.col("current_path")).alias("stem"), F.explode(F.array(step - 1, step, step + 1)).alias("block"), part.alias("part"))
-    b = missing.where("document_type is not null").select("source_id", "document_type", F.col("file_size").alias("old_size"), stem(F.col("current_path")).alias("old_stem"), step.alias("block"), parts.alias("part"))
+    side = lambda df, new, name: df.where("document_type is not null").select(F.lit(new).alias("new"), F.col(name).cast("string").alias("id"), "document_type", F.col("file_size").cast("long").alias("size"), stem.alias("stem"), part.alias("own"), step.alias("step")).where("stem is not null")
+    a = side(strangers, True, "current_path").withColumn("block", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).withColumn("part", F.col("own"))
+    b = side(missing, False, "source_id").withColumn("block", F.col("step")).withColumn("part", parts)
     tasks = 2 * int(strangers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.withColumn("cell", cell).drop("document_type", "block", "part").repartition(tasks, "cell")
-    ratio = F.least("size", "old_size") / F.greatest("size", "old_size", F.lit(1))
-    met = dealt(a).join(dealt(b), "cell").withColumn("ratio", ratio).where(F.col("ratio") >= SIZE_LEAST)
-    near = met.withColumn("name", name_likeness("stem", "old_stem"))
-    return near.where(F.col("name") >= NAME_LEAST).select("current_path", "source_id", (NAME_SHARE * F.col("name") + (1 - NAME_SHARE) * F.col("ratio")).alias("score"))
+    dealt = a.unionByName(b).select(cell.alias("cell"), "new", "id", "size", "stem").repartition(tasks, "cell").sortWithinPartitions("cell", "new")
+    return dealt.mapInArrow(_meetings, "current_path string, source_id string, score double")
