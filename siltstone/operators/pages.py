@@ -21,6 +21,7 @@ LINE_GAP, CELL_GAP, ROW_GAP, COLUMN_SPREAD, LEAST_ROWS, PREVIEW, TABLE_PADDING =
 #: The padding of drawings, of the end of a connector, and how far a corner may be from it.
 DRAWING_PADDING, END_PADDING, CORNER_DISTANCE = 24.0, 180_000.0, 320_000.0
 NEAR = 1e-6  # so near to LINE_GAP, means are computed without rounding
+BATCH, LONG_PAGE = 1 << 16, 1 << 10  # words that are worked on at once, and words of a page from which on it's numbered by itself
 CELL = 256.0  # side of the grid cells in which drawings meet
 CHUNK = 256  # drawings of a page that are merged where they lie
 #: How far from a shape an end may be that links with it, with some room for rounding, and the side of the grid cells in which they meet.
@@ -176,6 +177,145 @@ def tables(cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return found.select("page", "first_line", "rows", "columns", *BOX, preview.alias("preview"))
 
 
+def _lines_of(starts: np.ndarray, sizes: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """``word_lines`` for the words of some pages, each page's in their order: one word of every page at a time, and long pages word by word."""
+    centre, line, numbered = (y0 + y1) / 2.0, np.zeros(len(y0), np.int32), _numbering()
+    for k in np.flatnonzero(sizes > LONG_PAGE):
+        some = slice(starts[k], starts[k] + sizes[k])
+        line[some] = numbered()([0] * int(sizes[k]), y0[some].tolist(), y1[some].tolist())
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] <= LONG_PAGE]
+    first, left = starts[order], -sizes[order]
+    total, many, opened, n = centre[first], np.ones(len(first)), first.copy(), np.ones(len(first), np.int32)
+    line[first] = 1
+    for t in range(1, -left[0] if len(left) else 0):
+        k = np.searchsorted(left, -t)  # pages that have more words than that
+        at = first[:k] + t
+        here = centre[at]
+        away = np.abs(here - total[:k] / many[:k])
+        for i in np.flatnonzero(np.abs(away - LINE_GAP) < NEAR):
+            centres = centre[opened[i] : at[i]].tolist()
+            away[i] = abs(here[i] - float(sum(map(Fraction, centres)) / len(centres)))
+        opens = away > LINE_GAP
+        n[:k] += opens
+        total[:k] = np.where(opens, here, total[:k] + here)
+        many[:k] = np.where(opens, 1, many[:k] + 1)
+        opened[:k][opens] = at[opens]
+        line[at] = n[:k]
+    return line
+
+
+def _opens(*columns: np.ndarray) -> np.ndarray:
+    """Where one of some columns isn't what it was in the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _joined(texts: pa.Array, starts: np.ndarray, by: str) -> pa.Array:
+    """The texts from each start to the next one as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(texts)), pa.int32()), texts), by)
+
+
+def _tables_of(words: pa.Table) -> tuple[pa.Array, list] | None:
+    """``tables(word_cells(words))`` for the words of whole pages, in the order of pages: a row of words for each table, and the columns of tables but the page."""
+    page = words.column("page").combine_chunks()
+    new = np.concatenate([[True], pc.not_equal(page.slice(1), page.slice(0, len(page) - 1)).to_numpy(zero_copy_only=False)])
+    number, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
+    word = words.column("word").to_numpy()
+    word = np.unique(word, return_inverse=True)[1] if word.dtype == object else word
+    x0, y0, x1, y1 = (words.column(c).to_numpy() for c in BOX)
+    order = np.lexsort((word, x0, y0, number))
+    line = np.empty(len(order), np.int32)
+    line[order] = _lines_of(firsts, np.diff(np.append(firsts, len(order))), y0[order], y1[order])
+
+    order = np.lexsort((word, y0, x0, line, number))
+    number, line, x0, y0, x1, y1 = (c[order] for c in (number, line, x0, y0, x1, y1))
+    opens = _opens(number, line)
+    opens[1:] |= x0[1:] - x1[:-1] > CELL_GAP
+    at = np.flatnonzero(opens)
+    texts = pc.utf8_trim(_joined(pc.fill_null(words.column("text").combine_chunks().take(pa.array(order)), ""), at, " "), " \t\n\x0b\f\r")
+    said = np.flatnonzero(pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    box = [f.reduceat(c, at)[said] for f, c in ((np.minimum, x0), (np.minimum, y0), (np.maximum, x1), (np.maximum, y1))]
+    number, line, texts = number[at][said], line[at][said], texts.take(pa.array(said))
+
+    # lines of two cells or more, each from its first cell
+    at = np.flatnonzero(_opens(number, line))
+    n = np.diff(np.append(at, len(line)))
+    at, n = at[n > 1], n[n > 1]
+    if not len(at):
+        return None
+    number, line, top = number[at], line[at], box[1][at]
+    opens = _opens(number)
+    opens[1:] |= (np.diff(line) > 1) | ~(np.abs(np.diff(top)) <= ROW_GAP)
+    run, begins = np.cumsum(opens) - 1, np.flatnonzero(opens)
+    by = np.lexsort((line, n, run))  # the most usual number of cells of each run, the first of equals
+    alike = np.flatnonzero(_opens(run[by], n[by]))
+    times, seen = np.diff(np.append(alike, len(by))), line[by][alike]
+    best = np.lexsort((seen, -times, run[by][alike]))
+    columns = n[by][alike][best][_opens(run[by][alike][best])]
+    lines = np.diff(np.append(begins, len(run)))
+    fits = np.flatnonzero((lines >= LEAST_ROWS)[run] & (n >= columns[run]))
+    rows = np.bincount(run[fits], minlength=len(begins))
+    fits = fits[rows[run[fits]] >= LEAST_ROWS]
+    if not len(fits):
+        return None
+    at, run = at[fits], run[fits]
+    opens = _opens(run)
+    place = np.arange(len(run)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    wide = columns[run]
+    column = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    cell, of = np.repeat(at, wide) + column, np.repeat(run, wide)
+    box, starts = [c[cell] for c in box], np.flatnonzero(_opens(of))
+    by = np.lexsort((column, of))
+    each = np.flatnonzero(_opens(of[by], column[by]))
+    spread = np.maximum.reduceat(box[0][by], each) - np.minimum.reduceat(box[0][by], each)
+    spread = np.maximum.reduceat(spread, np.flatnonzero(_opens(of[by][each])))
+    good, found = spread <= COLUMN_SPREAD, of[starts]
+    shown = np.repeat(place < PREVIEW, wide)
+    texts, place, of = texts.take(pa.array(cell[shown])), np.repeat(place, wide)[shown], of[shown]
+    each = np.flatnonzero(_opens(of, place))
+    preview = _joined(_joined(texts, each, " | "), np.flatnonzero(_opens(of[each])), "\n")
+    out = [line[begins][found], rows[found], columns[found].astype(np.int32), *(f.reduceat(c, starts) for f, c in zip((np.minimum, np.minimum, np.maximum, np.maximum), box, strict=True)), preview]
+    return pa.array(firsts[number[begins][found]][good]), [c.filter(pa.array(good)) if isinstance(c, pa.Array) else pa.array(c[good]) for c in out]
+
+
+def word_tables(rows: DataFrame, words: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``tables(word_cells(words(rows)))``, where ``words`` makes (page, word, text, x0, y0, x1, y1) of single rows; ``page`` is one of their columns.
+
+    Only rows are sent and sorted; words and cells are made where the page is, and only tables leave the task. It holds about ``BATCH`` words and the page that goes beyond them. A row
+    makes many words, so tasks go by a number and not by bytes.
+    """
+    tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = words(rows.where("page is not null").repartition(tasks, "page").sortWithinPartitions("page"))
+    whole = sent.select("page", "word", "text", *(F.col(c).cast("double").alias(c) for c in BOX)).dropna(subset=["word", *BOX])
+    kind = whole.schema["page"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many, enough = [], 0, BATCH
+
+        def made(words: pa.Table) -> Iterator[pa.RecordBatch]:
+            with np.errstate(invalid="ignore"):
+                found = _tables_of(words) if words.num_rows else None
+            if found and len(found[0]):
+                yield pa.RecordBatch.from_arrays([words.column("page").combine_chunks().take(found[0]), *found[1]], ["page", "first_line", "rows", "columns", *BOX, "preview"])
+
+        for batch in batches:
+            held, many = [*held, batch], many + batch.num_rows
+            if many >= enough:
+                table = pa.Table.from_batches(held).combine_chunks()
+                page = table.column("page").combine_chunks()
+                other = pc.not_equal(page, page[many - 1]).to_numpy(zero_copy_only=False)
+                cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+                yield from made(table.slice(0, cut))
+                held, many = table.slice(cut).to_batches(), many - cut
+                enough = max(BATCH, 2 * many)
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    return whole.mapInArrow(run, f"page {kind}, first_line int, rows bigint, columns int, x0 double, y0 double, x1 double, y1 double, preview string")
+
+
 def _first_of_each(chunk: np.ndarray, boxes: list[np.ndarray], padding: float) -> np.ndarray:
     """For rows in order of their chunks the first row of each one's cluster: boxes of a chunk that overlap are one, and so are the boxes around them, until none do."""
     n = len(chunk)

@@ -11,17 +11,27 @@ from siltstone.sources import corpus
 COLUMNS = {"l_partkey": 40, "l_suppkey": 118, "l_quantity": 180, "l_extendedprice": 240, "l_returnflag": 330, "l_linestatus": 352, "l_shipdate": 420}
 
 
-def _words(spark, sf_dir):
-    """The words of invoices: a page for each order, a row for each item, more or less apart by its tax."""
+def _items(spark, sf_dir):
+    """Line items on invoices, a page for each order, with what is printed of them, in short columns."""
     items = corpus.table(spark, sf_dir, "lineitem")
-    as_text = {"l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd"), "l_returnflag": F.col("l_returnflag"), "l_linestatus": F.col("l_linestatus")}
-    fields = F.array(*(F.struct(F.lit(k).alias("k"), as_text.get(c, F.col(c).cast("long").cast("string")).alias("text"), F.lit(x).alias("x")) for k, (c, x) in enumerate(COLUMNS.items())))
-    top = 100.0 + 22 * F.col("l_linenumber") + F.round(F.col("l_tax") * 100).cast("long") % 9
-    rows = items.select(F.col("l_orderkey").alias("page"), "l_partkey", "l_linenumber", top.alias("top"), (F.col("l_suppkey") % 3 * 4).alias("shift"), F.explode(fields).alias("f"))
+    short = {"l_shipdate": F.col("l_shipdate").cast("date"), "l_returnflag": F.col("l_returnflag"), "l_linestatus": F.col("l_linestatus")}
+    return items.select(F.col("l_orderkey").alias("page"), "l_linenumber", (F.round(F.col("l_tax") * 100).cast("long") % 9).alias("lower"), *(short.get(c, F.col(c).cast("long")).alias(c) for c in COLUMNS))
+
+
+def _printed(items):
+    """The words of items: a row of its page for each, more or less apart by its tax."""
+    fields = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("string").alias("text"), F.lit(x).alias("x")) for k, (c, x) in enumerate(COLUMNS.items())))
+    top = 100.0 + 22 * F.col("l_linenumber") + F.col("lower")
+    rows = items.select("page", "l_partkey", "l_linenumber", top.alias("top"), (F.col("l_suppkey") % 3 * 4).alias("shift"), F.explode(fields).alias("f"))
     x0 = (F.col("f.x") + F.col("shift")).cast("double")
     return rows.select("page", ((F.col("l_partkey") * 10 + F.col("l_linenumber")) * 10 + F.col("f.k")).cast("long").alias("word"), "f.text", x0.alias("x0"), (F.col("top") + F.col("f.k") % 2).alias("y0"), (x0 + 6 * F.char_length("f.text")).alias("x1"), (F.col("top") + 10).alias("y1"))
 
 
+def _words(spark, sf_dir):
+    """The words of invoices."""
+    return _printed(_items(spark, sf_dir))
+
+
 def word_lines(spark, sf_dir):
     """The line of every word."""
     return pages.word_lines(_words(spark, sf_dir)).select("page", "word", "line")
@@ -29,7 +39,7 @@ def word_lines(spark, sf_dir):
 
 def table_regions(spark, sf_dir):
     """The tables of every invoice."""
-    return pages.tables(pages.word_cells(_words(spark, sf_dir)))
+    return pages.word_tables(_items(spark, sf_dir), _printed)
 
 
 def drawing_clusters(spark, sf_dir):
