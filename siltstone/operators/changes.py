@@ -169,9 +169,9 @@ def _matching(rows: np.ndarray) -> np.ndarray:
     kind = rows.dtype.type
     one, place, total, pair = kind(1), np.arange(len(rows))[:, None], np.zeros(rows.shape[1], np.int64), np.arange(rows.shape[1])
     while True:
-        some = np.bitwise_or.reduce(rows, 0) != 0
-        if not some.all():
-            rows, pair = rows[:, some], pair[some]
+        some = np.flatnonzero(np.bitwise_or.reduce(rows, 0))
+        if len(some) < len(pair):
+            rows, pair = rows.take(some, 1), pair[some]
         if not len(pair):
             return total
         size, start, end = np.empty(len(pair), np.int64), np.empty(len(pair), np.int64), np.empty(len(pair), kind)
@@ -181,12 +181,13 @@ def _matching(rows: np.ndarray) -> np.ndarray:
             grows = np.bitwise_or.reduce(longer, 0) != 0 if len(longer) else np.zeros(len(at), bool)
             ready = np.flatnonzero(~grows)
             if len(ready):
-                ends = runs[:, ready]
+                ends = runs.take(ready, 1)
                 first = (ends != 0).argmax(0)
                 ends = ends[first, np.arange(len(ready))]
                 to = at[ready]
                 size[to], start[to], end[to] = long, first, ends & (~ends + one)
-                longer, at = longer[:, grows], at[grows]
+                on = np.flatnonzero(grows)
+                longer, at = longer.take(on, 1), at[on]
             runs, long = longer, long + 1
         total[pair] += size
         before, behind = (end >> (size - 1).astype(kind)) - one, ~((end << one) - one)
